@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,12 +17,54 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of all documents: all are inserted, exact copies deleted, the rest revised to include an end token, and the
+    first batch is delivered once more, which changes nothing."""
+    from docproof.llm.common import save, shared_dir
+    from docproof.llm.exact_dedup import exact_dedup
+    from docproof.llm.token_counts import Rollup, count_tokens, deletes, inserts, revisions
+
+    docs = table(spark, sf_dir, "documents")
+    counted = count_tokens(docs, _tokenizer("byte_bpe_50k.tiktoken")).select("doc_id", "source", "lang", F.lit("byte_bpe_50k").alias("tokenizer"), "tokens")
+    rows = save(counted, "counted")
+    copies = rows.join(exact_dedup(docs).where("not kept").select("doc_id"), "doc_id", "left_semi")
+    rest = rows.join(exact_dedup(docs).where("not kept").select("doc_id"), "doc_id", "left_anti")
+    rollup = Rollup(spark, f"{shared_dir(spark)}/docproof/rollup-{uuid.uuid4().hex}")
+    rollup.apply("all", inserts(rows))
+    rollup.apply("copies", deletes(copies))
+    rollup.apply("ends", revisions(rest.withColumn("now", F.col("tokens") + 1), "tokens", "now"))
+    rollup.apply("all", inserts(rows))
+    rollup.compact()
+    return rollup.read()
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docproof.llm.toxicity import score_toxicity, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_toxicity(docs, train(docs, table(spark, sf_dir, "labels")))
+    held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docproof.llm.exact_dedup import exact_dedup
 
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docproof.llm.language_id import page_languages, train
+
+    return page_languages(table(spark, sf_dir, "pages"), train(table(spark, sf_dir, "documents")))
+
+
+def op5_graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docproof.llm.graph_search import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docproof.llm.packing import pack
 
@@ -34,6 +77,21 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the texts that are left."""
+    from docproof.llm.line_dedup import remove_repeated_lines
+
+    found = remove_repeated_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docproof.llm.warc import archive_folder, read_archives, write_archives
+
+    found = read_archives(write_archives(table(spark, sf_dir, "pages"), archive_folder(spark)))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the operator's ids and of the text that they decode to."""
     from docproof.llm.pieces import decode_pieces, encode_pieces
@@ -53,6 +111,19 @@ ORACLE = {
         select doc_id, min(doc_id) over (partition by text_sha256) as keep_id, count(*) over (partition by text_sha256) as group_size,
                doc_id = min(doc_id) over (partition by text_sha256) as kept, text_sha256
         from h""",
+    "op8_line_dedup": r"""
+        with l as (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as pos
+                   from documents where coalesce(text, '') <> ''),
+        w as (select doc_id, pos, line as a, lead(line, 1) over d as b, lead(line, 2) over d as c, lead(pos, 2) over d as p
+              from l window d as (partition by doc_id order by pos)),
+        f as (select a, b, c, min(struct_pack(doc_id := doc_id, pos := pos)) as first, count(*) as n
+              from w where p is not null and (trim(a) <> '' or trim(b) <> '' or trim(c) <> '') group by a, b, c),
+        r as (select distinct w.doc_id, w.pos + i.i as pos from w join f using (a, b, c) cross join (select unnest([0, 1, 2]) as i) i
+              where p is not null and (w.doc_id <> f.first.doc_id or w.pos <> f.first.pos)),
+        k as (select l.doc_id, count(*) as n_lines, count(r.pos) as n_removed, coalesce(string_agg(l.line, chr(10) order by l.pos) filter (where r.pos is null), '') as text
+              from l left join r on l.doc_id = r.doc_id and l.pos = r.pos group by l.doc_id)
+        select d.doc_id, coalesce(n_lines, 0) as n_lines, coalesce(n_removed, 0) as n_removed, sha256(coalesce(k.text, '')) as text_sha256
+        from documents d left join k on d.doc_id = k.doc_id""",
 }
 
 
