@@ -9,7 +9,7 @@ Four kinds of evidence about a text's language meet in one posterior:
 * the host's habit: its languages' shares, smoothed towards its domain's, and those towards the whole corpus'.
 
 The last three are estimated by grouped aggregation over all rows from what the texts alone say, summed as probabilities.
-The likelihood of a text is tempered (``TEMPER``), since neighbouring triples repeat each other's evidence.
+The likelihood of a text is tempered (``TEMPER``, ``FULL``), since neighbouring triples repeat each other's evidence.
 
 Hosts join back from a written table, so that adaptive execution can split a host with a third of the pages.
 
@@ -34,7 +34,8 @@ from docproof.llm.common import plain, save
 BUCKETS = 1 << 15
 SAMPLE_DOCS = 8_000
 LANGUAGES = 200
-TEMPER = 0.02
+#: Each triple counts by half, and all of a text's together like ``FULL`` of them at most.
+TEMPER, FULL = 0.5, 60.0
 #: Pseudo-rows with which a host's shares lean on its domain's, and a domain's on the corpus'.
 HOST_LEAN, DOMAIN_LEAN, TABLE_LEAN = 20.0, 50.0, 1.0
 LEAST = 0.5
@@ -66,7 +67,7 @@ class TextModel:
             return None
         counts = np.bincount(grams, minlength=BUCKETS)
         at = np.nonzero(counts)[0]
-        total = TEMPER * (counts[at] @ self.table[at])
+        total = min(TEMPER, FULL / len(grams)) * (counts[at] @ self.table[at])
         return total - total.max()
 
 
