@@ -12,7 +12,7 @@ every segment decodes to the one codeword within distance 3. The *filed* side ke
 an error of one bit cannot hide a pair. Keys are (exact segment, codeword of another) and, for the last case,
 (codeword, codeword). The join verifies the distance itself, and reports a pair under its first key only.
 
-Components come from the links by label spreading with pointer jumping on tables in the shared folder. Only distinct
+Components come from the links by contraction (see ``components``) on tables in the shared folder. Only distinct
 fingerprints take part, so exact copies, however many, cost one row; each document then gets the label of its
 fingerprint. Joins that a frequent fingerprint could skew read written tables, so that adaptive execution can split them.
 
@@ -140,22 +140,27 @@ def links(prints: DataFrame) -> DataFrame:
     return asking.join(filed.hint("shuffle_hash"), close).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
 
 
-def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, label, for the nodes that have an edge: the smallest start value of all nodes in reach. ``nodes`` has node
-    and label (the start value). Labels spread over the edges and then jump along themselves, so that the rounds grow
-    with the logarithm of a chain's length. Tables are cut from their history each round."""
-    edges = edges.select("a", "b")
-    both = save(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
-    touched = both.select(F.col("a").alias("node")).distinct()
-    state = save(nodes.join(touched, "node", "left_semi").select("node", F.col("label").alias("own"), "label"), "labels")
+def components(edges: DataFrame) -> DataFrame:
+    """node, root (the smallest node in reach) for the nodes of ``edges`` (a, b). Each round every node points to the
+    smallest of itself and its neighbours, pointers jump along themselves to the roots, and the edges are drawn anew
+    between roots; edges within a root vanish, so a dense group costs its links once. Tables are cut from their history
+    each round."""
+    found = None
     while True:
-        heard = both.join(state.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("heard"))
-        spread = save(state.join(heard, "node").select("node", "own", F.least("label", "heard").alias("label"), F.col("label").alias("was")), "labels")
-        of = spread.groupBy(F.col("own").alias("label")).agg(F.min("label").alias("further"))
-        jumped = save(spread.join(of, "label", "left").select("node", "own", F.least("label", F.coalesce("further", "label")).alias("label"), "was"), "labels")
-        if jumped.where("label < was").isEmpty():
-            return jumped.select("node", "label")
-        state = jumped.select("node", "own", "label")
+        near = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        points = save(near.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("root")), "points")
+        while True:
+            further = points.select(F.col("node").alias("root"), F.col("root").alias("next"))
+            jumped = save(points.join(further, "root").select("node", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")), "points")
+            points = jumped.select("node", "root")
+            if jumped.where("moved").isEmpty():
+                break
+        to = points.select(F.col("node").alias("root"), F.col("root").alias("next"))
+        found = points if found is None else save(found.join(to, "root", "left").select("node", F.coalesce("next", "root").alias("root")), "roots")
+        drawn = edges.join(points.select(F.col("node").alias("a"), F.col("root").alias("c")), "a").join(points.select(F.col("node").alias("b"), F.col("root").alias("d")), "b")
+        edges = save(drawn.where("c != d").select(F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b")).distinct(), "edges")
+        if edges.isEmpty():
+            return found
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -163,8 +168,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prints = save(fingerprints(docs, id_col, text_col), "fingerprints")
     distinct = save(prints.groupBy(F.col("fp").alias("node")).agg(F.min("id").alias("label")), "nodes")
     edges = save(links(distinct.select(F.col("node").alias("fp"))), "links")
-    joined = components(edges, distinct.where("label is not null"))
-    label = save(distinct.join(joined.select("node", F.col("label").alias("c")), "node", "left").select(F.col("node").alias("fp"), F.coalesce("c", "label").alias("component_id")), "components")
+    rooted = distinct.join(components(edges), "node", "left").select(F.col("node").alias("fp"), F.coalesce("root", "node").alias("root"), "label")
+    rooted = save(rooted, "roots")
+    smallest = rooted.groupBy("root").agg(F.min("label").alias("component_id"))
+    label = save(rooted.join(smallest, "root").select("fp", "component_id"), "components")
     return prints.join(label, "fp").select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
