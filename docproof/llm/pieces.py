@@ -28,6 +28,7 @@ from docproof.llm.common import plain
 from docproof.llm.encoders import Store
 
 MARK = "▁"
+SLICE = 128
 #: Kinds of pieces, as the model's file numbers them (fixed values).
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -124,7 +125,7 @@ class Pieces:
         self.sizes = np.array([1 if k == BYTE else len(x.encode()) for x, k in zip(names, kinds, strict=True)], dtype=np.int32)
         self.unknown = self.library.unk_id()
         self.out = [bytes([self.bytes[i]]) if k == BYTE else b"" if k == CONTROL else " \u2047 ".encode() if k == UNKNOWN else x.replace(MARK, " ").encode() for i, (x, k) in enumerate(zip(names, kinds, strict=True))]
-        self.segmented = Store(self._segment)
+        self.segmented = Store(self._segment, 200_000)
 
     def _segment(self, part: str) -> tuple[bytes, bytes]:
         """The ids of a normalised part, and how many of its bytes each takes; both as 32-bit integers."""
@@ -261,21 +262,25 @@ def load(path: str) -> Pieces:
         return Pieces(file.read())
 
 
-def encode_pieces(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, ids, first, end: the ids of a text's pieces, and for each its span of the source text's UTF-8 bytes."""
+def encode_pieces(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """doc_id, ids, first, end: the ids of a text's pieces, and for each its span of the source text's UTF-8 bytes. With
+    ``decoded`` the text that the ids decode to comes along, made in the same pass. Batches leave in small slices, since
+    a text has more bytes of ids and spans than of letters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = load(model)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                found = [pieces.encode(x) for x in part.column(1).to_pylist()]
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                found = [pieces.encode(x.as_py()) for x in part.column(1)]
                 offsets = np.concatenate([[0], np.cumsum([len(x[0]) for x in found])]).astype(np.int32)
-                lists = [pa.ListArray.from_arrays(offsets, np.concatenate([x[i] for x in found]).astype(kind)) for i, kind in enumerate((np.int32, np.int64, np.int64))]
-                yield pa.RecordBatch.from_arrays([part.column(0), *lists], names=["doc_id", "ids", "first", "end"])
+                lists = [pa.ListArray.from_arrays(offsets, np.concatenate([x[i] for x in found]).astype(np.int32)) for i in range(3)]
+                texts = [pa.array([pieces.decode(x[0].tolist()) for x in found], type=pa.string())] * decoded
+                yield pa.RecordBatch.from_arrays([part.column(0), *lists, *texts], names=["doc_id", "ids", "first", "end", *["decoded"] * decoded])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), plain(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, ids array<int>, first array<long>, end array<long>")
+    schema = f"doc_id {kind}, ids array<int>, first array<int>, end array<int>" + ", decoded string" * decoded
+    return docs.select(F.col(id_col).alias("doc_id"), plain(text_col).alias("text")).mapInArrow(run, schema)
 
 
 def decode_pieces(encoded: DataFrame, model: str) -> DataFrame:
@@ -284,6 +289,6 @@ def decode_pieces(encoded: DataFrame, model: str) -> DataFrame:
     @F.arrow_udf("string")
     def run(ids: pa.Array) -> pa.Array:
         pieces = load(model)
-        return pa.array([pieces.decode(x) for x in ids.to_pylist()], type=pa.string())
+        return pa.array([pieces.decode(x.as_py()) for x in ids], type=pa.string())
 
     return encoded.withColumn("decoded", run(F.col("ids")))

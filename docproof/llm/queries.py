@@ -94,10 +94,9 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the operator's ids and of the text that they decode to."""
-    from docproof.llm.pieces import decode_pieces, encode_pieces
+    from docproof.llm.pieces import encode_pieces
 
-    model = _tokenizer("piece_bpe_32k.model")
-    found = decode_pieces(encode_pieces(table(spark, sf_dir, "documents"), model).select("doc_id", "ids"), model)
+    found = encode_pieces(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"), decoded=True)
     return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
