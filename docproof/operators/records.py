@@ -170,3 +170,47 @@ def quality_bucket(digital: Column, sharp: Column, contrast: Column, char_height
     """digital; good when sharp, contrasty, large enough and straight; else poor."""
     good = (sharp >= 100) & (contrast >= 0.35) & (char_height >= 12) & (F.abs(skew) < 3)
     return F.when(digital, "digital").when(good, "good_scan").otherwise("poor_scan")
+
+
+def append_chain(log: DataFrame, by: str = "tenant_id") -> DataFrame:
+    """Hashes of a new log (seq, body), each over the one before. An append is sequential by nature: one chain for each ``by``, so
+    that tasks share the work; a chain's rows are folded in their order."""
+    import hashlib
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        chain, last = None, ""
+        for batch in batches:
+            before, own = [], []
+            for key, body in zip(batch[by], batch["body"], strict=True):
+                last = "" if key != chain else last
+                before.append(last)
+                chain, last = key, hashlib.sha256((last + body).encode()).hexdigest()
+                own.append(last)
+            yield batch.assign(prev_hash=before, hash=own)
+
+    kind = log.schema[by].dataType.simpleString()
+    rows = log.select(by, "seq", "body").repartition(by).sortWithinPartitions(by, "seq")
+    return rows.mapInPandas(run, f"{by} {kind}, seq long, body string, prev_hash string, hash string")
+
+
+def safe_meta(x: Column | str) -> Column:
+    """Audit details that hold no personal data: a short word of plain characters."""
+    return F.rlike(x, F.lit(r"^[A-Za-z0-9_.:\-/]{0,80}$"))
+
+
+def blank_fields(docs: DataFrame, spec: DataFrame) -> DataFrame:
+    """A pending row for each field of a document's type, for documents that nothing could be read of."""
+    return docs.join(F.broadcast(spec), "doc_type").select("doc_id", F.col("name").alias("field_name"), F.lit("pending").alias("status"))
+
+
+def unreadable_reason(ink: Column, contrast: Column, char_height: Column, sharp: Column) -> Column:
+    """Why a page cannot be read: blank, faded, small or blurry; null if it can."""
+    return F.when(ink < 0.002, "blank").when(contrast < 0.06, "faded").when(char_height < 5, "small").when(sharp < 1, "blurry")
+
+
+def can_review(role: Column, tenant: Column, doc_tenant: Column, managed: Column) -> Column:
+    """Whether a person may be given a document: of its tenant with review rights, or staff where the tenant's review is managed."""
+    return F.when(role == "staff_reviewer", managed).otherwise(role.isin("admin", "manager", "reviewer") & (tenant == doc_tenant))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from docproof import streaming
 from docproof.functions import gst
 from docproof.functions import normalize as norm
-from docproof.operators import checks, evidence, matching, metrics, records, risk
+from docproof.operators import checks, codes, evidence, matching, metrics, records, risk
 from docproof.settings import DEFAULTS
 from docproof.sources.tables import load, with_clause
 
@@ -928,3 +928,122 @@ ORACLES |= {
     "ST6_stream_first": "select distinct o_custkey || '|' || (o_orderkey % 40) as dedupe_key, cast(1 as bigint) as rows from orders",
     "ST9_stream_profiles": "select o_custkey as vendor_id, count(*) as documents, count(*) filter (where o_orderstatus = 'F') as corrected from orders group by 1",
 }
+
+
+# --- codes, readers, the rest ----------------------------------------------------------------------------------------
+
+
+@query("SRC1_media_type", "prints", sql="select doc_id, line_index, case cast(item_code % 4 as int) when 0 then 'application/pdf' when 1 then 'image/png' when 2 then 'image/jpeg' end as kind from prints")
+def _(prints):
+    i = F.col("item_code") % 4
+    body = F.concat(F.unhex(F.when(i == 0, "255044462D312E37").when(i == 1, "89504E470D0A1A0A00").when(i == 2, "FFD8FFE0").otherwise("6674797068656963")), F.encode("amount", "utf-8"))
+    return prints.select("doc_id", "line_index", codes.media_type(body).alias("kind"))
+
+
+@query("SC37_invoice_token", "inv_header", sql="select doc_id, invoice_number as doc_no, supplier_gstin as seller, cast(grand_total as double) as total, cast(line_count as int) as items from inv_header where grand_total is not null")
+def _(headers):
+    fields = F.struct(F.col("invoice_number").alias("DocNo"), F.col("supplier_gstin").alias("SellerGstin"), F.col("grand_total").alias("TotInvVal"), F.col("line_count").alias("ItemCnt"))
+    read = codes.parse_invoice_token("token", "DocNo string, SellerGstin string, TotInvVal decimal(18,2), ItemCnt int")
+    rows = headers.where("grand_total is not null").select("doc_id", codes.invoice_token(fields).alias("token")).select("doc_id", read.alias("r"))
+    return rows.select("doc_id", F.col("r.DocNo").alias("doc_no"), F.col("r.SellerGstin").alias("seller"), double("r.TotInvVal").alias("total"), F.col("r.ItemCnt").alias("items"))
+
+
+@query("SC38_payment", "customer", sql="select c_custkey, 'c' || c_custkey || '@bank' as payee, c_name || ' & co' as name, cast(round(cast(c_acctbal as decimal(18,2)), 2) as double) as amount from customer where c_acctbal >= 0")
+def _(customers):
+    uri = F.concat(F.lit("upi://pay?pa=c"), "c_custkey", F.lit("%40bank&pn="), F.url_encode(F.concat("c_name", F.lit(" & co"))), F.lit("&am="), F.col("c_acctbal").cast("decimal(18,2)"))
+    payee, name, amount = codes.parse_payment("uri")
+    return customers.where("c_acctbal >= 0").select("c_custkey", uri.alias("uri")).select("c_custkey", payee.alias("payee"), name.alias("name"), amount.cast("double").alias("amount"))
+
+
+@query("SC39_barcode", "prints", sql=r"select doc_id, line_index, regexp_full_match(code_text, '[A-Za-z0-9/\-]{5,40}') as plain, regexp_full_match(replace(code_text, ' ', ''), '[A-Za-z0-9/\-]{5,40}') as joined from prints")
+def _(prints):
+    return prints.select("doc_id", "line_index", codes.is_barcode("code_text").alias("plain"), codes.is_barcode(F.replace("code_text", F.lit(" "))).alias("joined"))
+
+
+@query("SC34_issuer", "inv_header", sql="select doc_id, case when supplier_gstin = '03ABCDE1234F1Z5' then '27AAPFU0939F1ZV' else supplier_gstin end as issuer from inv_header")
+def _(headers):
+    text = F.concat(F.lit("to 03abcde1234f1z5 from "), F.lower("supplier_gstin"), F.lit(" or 27AAPFU0939F1ZV"))
+    return headers.select("doc_id", codes.issuer(text, ["03ABCDE1234F1Z5"]).alias("issuer"))
+
+
+@query("SC42_parse_reading", "fields", sql="select doc_id, line_index, field_name, case when needs_review then null else value end as value, value as raw_text from fields")
+def _(fields):
+    cell = F.struct(F.col("value"), F.col("value").alias("raw_text"), F.when(F.col("needs_review"), "not_present").otherwise("clear").alias("legibility"))
+    lines = fields.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line_index", cell.alias("c"), "field_name")), lambda a, b: a["line_index"] - b["line_index"]).alias("l"))
+    reading = F.to_json(F.struct(F.transform("l", lambda x: F.struct(F.create_map(x["field_name"], x["c"]).alias("cells"))).alias("line_items")))
+    return codes.parse_reading(lines.select("doc_id", reading.alias("reading"))).select("doc_id", "line_index", "field_name", "value", "raw_text")
+
+
+@query("EV4_apply_codes", "inv_header", sql="""select doc_id, case when doc_id % 6 = 0 then case when doc_id % 4 = 0 then 'Q' else 'U' end when true then invoice_number end as value, case when doc_id % 4 = 0 then 'einvoice_qr' when doc_id % 3 = 0 then 'upi_qr' end as code_source,
+    doc_id % 6 = 0 as code_filled, case when doc_id % 6 <> 0 and (doc_id % 4 = 0 or doc_id % 3 = 0) then false end as code_agrees from inv_header""")
+def _(headers):
+    fields = headers.select("doc_id", F.lit("invoice_number").alias("field_name"), F.lit("string").alias("kind"), F.when(F.col("doc_id") % 6 != 0, F.col("invoice_number")).alias("value"))
+    name = F.lit("invoice_number").alias("field_name")
+    said = headers.where("doc_id % 3 = 0").select("doc_id", name, F.lit("upi_qr").alias("source"), F.lit("U").alias("code_value")).unionByName(headers.where("doc_id % 4 = 0").select("doc_id", name, F.lit("einvoice_qr").alias("source"), F.lit("Q").alias("code_value")))
+    return codes.apply_codes(fields, said).select("doc_id", "value", "code_source", "code_filled", "code_agrees")
+
+
+@query("JN13_billed_to", "inv_header", sql="""select doc_id, case cast(doc_id % 3 as int) when 0 then 'own' when 1 then 'misread' else 'other' end as billed_to, case when doc_id % 3 = 1 then supplier_gstin end as suggest from inv_header""")
+def _(headers):
+    read = F.when(F.col("doc_id") % 3 == 0, F.col("supplier_gstin")).when(F.col("doc_id") % 3 == 1, F.concat(F.substring("supplier_gstin", 1, 14), F.lit("S"))).otherwise("27AAPFU0939F1ZV")
+    own = headers.select("tenant_id", F.col("supplier_gstin").alias("gstin")).distinct()
+    return codes.billed_to(headers.select("doc_id", "tenant_id", read.alias("gstin")), own)
+
+
+@query("JN14_nearest_word", "fields", sql="""with w as (select doc_id, value as text, line_index as wx, line_index * 2 as wy from fields), p as (select f.doc_id, f.line_index, w.text, w.wx, w.wy, row_number() over (partition by f.doc_id, f.line_index order by (w.wx - f.line_index - 1) ** 2 + (w.wy - f.line_index * 2) ** 2, w.wx, w.wy, w.text) as r
+    from fields f join w on w.doc_id = f.doc_id and w.text = f.value) select doc_id, line_index, text, wx, wy from p where r = 1""")
+def _(fields):
+    words = fields.select("doc_id", F.lit(1).alias("page"), F.col("value").alias("text"), F.col("line_index").alias("wx"), (F.col("line_index") * 2).alias("wy"), F.col("value").alias("whole"))
+    asked = fields.select("doc_id", F.lit(1).alias("page"), F.col("line_index").cast("string").alias("field_name"), "value", (F.col("line_index") + 1).alias("x"), (F.col("line_index") * 2).alias("y"))
+    exact = codes.nearest_words(asked.withColumn("value", F.concat(F.lit("v"), F.col("value"), F.lit("e"))), words.withColumn("text", F.concat(F.lit("v"), F.col("text"), F.lit("e"))))
+    return exact.select("doc_id", F.col("field_name").cast("int").alias("line_index"), F.regexp_replace("text", "[ve]", "").alias("text"), "wx", "wy")
+
+
+@query("SRC12_misread", "fields", sql="select doc_id, line_index, case when (doc_id + line_index) % 10 = 0 then null when (doc_id + line_index) % 10 = 1 then translate(value, '38', '83') else value end as value from fields")
+def _(fields):
+    return fields.select("doc_id", "line_index", codes.misread(F.col("value"), F.col("doc_id") + F.col("line_index")).alias("value"))
+
+
+@query("AU1_append_chain", "events")
+def _(events):
+    return records.append_chain(events.select(F.col("user_id").alias("tenant_id"), F.col("event_id").alias("seq"), "event_type").withColumnRenamed("event_type", "body"))
+
+
+@query("PF18_safe_meta", "prints", sql=r"select doc_id, line_index, regexp_full_match(amount, '[A-Za-z0-9_.:\-/]{0,80}') as safe from prints")
+def _(prints):
+    return prints.select("doc_id", "line_index", records.safe_meta("amount").alias("safe"))
+
+
+@query("PF19_blank_fields", "docs", sql="select doc_id, name as field_name, 'pending' as status from docs join (values ('invoice', 'number'), ('invoice', 'total'), ('lr', 'number')) s(doc_type, name) on s.doc_type = docs.doc_type where docs.status = 'needs_review'")
+def _(docs):
+    spec = docs.sparkSession.createDataFrame([("invoice", "number"), ("invoice", "total"), ("lr", "number")], "doc_type string, name string")
+    return records.blank_fields(docs.where("status = 'needs_review'"), spec)
+
+
+@query("QL3_unreadable", "prints", sql="select doc_id, line_index, case when item_code % 50 = 0 then 'blank' when item_code % 20 = 1 then 'faded' when item_code % 9 < 5 then 'small' when item_code % 6 = 0 then 'blurry' end as reason from prints")
+def _(prints):
+    i = F.col("item_code")
+    return prints.select("doc_id", "line_index", records.unreadable_reason((i % 50) / 100, (i % 20 - 1) / 10 + F.when(i % 20 == 0, 1).otherwise(0), i % 9, i % 6).alias("reason"))
+
+
+@query("RV4_can_review", "docs", sql="select doc_id, case when vendor_id % 5 = 0 then tenant_id % 2 = 0 else vendor_id % 5 in (1, 2, 3) and tenant_id = doc_id % 25 end as may from docs")
+def _(docs):
+    role = F.get(F.array(*[F.lit(x) for x in ("staff_reviewer", "admin", "manager", "reviewer", "uploader")]), (F.col("vendor_id") % 5).cast("int"))
+    return docs.select("doc_id", records.can_review(role, F.col("doc_id") % 25, F.col("tenant_id"), F.col("tenant_id") % 2 == 0).alias("may"))
+
+
+@query("RV6_document_detail", "fields", sql="select doc_id, string_agg(line_index || '=' || value, ';' order by line_index) as detail from fields group by 1")
+def _(fields):
+    rows = F.array_sort(F.collect_list(F.struct("line_index", "value")))
+    return fields.groupBy("doc_id").agg(F.array_join(F.transform(rows, lambda r: F.concat_ws("=", r["line_index"], r["value"])), ";").alias("detail"))
+
+
+@query("SO1_latest", "docs", sql="select doc_id from docs order by docs.created_at desc, doc_id limit 100")
+def _(docs):
+    return docs.orderBy(F.desc("created_at"), "doc_id").limit(100).select("doc_id")
+
+
+@query("SE1_languages", "docs", sql="select tenant_id, string_agg(l, ',' order by l) as languages from (select distinct tenant_id, unnest(string_split(languages, ',')) as l from docs) where l <> 'other' group by 1")
+def _(docs):
+    spoken = docs.select("tenant_id", F.explode(F.split("languages", ",")).alias("l")).where("l <> 'other'")
+    return spoken.groupBy("tenant_id").agg(F.array_join(F.array_sort(F.collect_set("l")), ",").alias("languages"))
