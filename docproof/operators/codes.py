@@ -32,7 +32,7 @@ def parse_invoice_token(token: Column | str, schema: str) -> Column:
     """The payload's fields as a struct; null if it is no token."""
     part = F.translate(F.split_part(token, F.lit("."), F.lit(2)), "-_", "+/")
     padded = F.concat(part, F.repeat(F.lit("="), F.pmod(-F.length(part), F.lit(4))))
-    return F.from_json(F.get_json_object(F.decode(F.try_to_binary(padded, F.lit("base64")), F.lit("utf-8")), "$.data"), schema)
+    return F.from_json(F.get_json_object(F.decode(F.try_to_binary(padded, F.lit("base64")), "utf-8"), "$.data"), schema)
 
 
 def parse_payment(uri: Column | str) -> tuple[Column, Column, Column]:
