@@ -54,6 +54,11 @@ def _check(name: str | Column, when: Column, ok: Column, keys: list[str | Column
     )
 
 
+def _chosen(checks: dict[str, Column], only: tuple[str, ...] | None) -> list[Column]:
+    """The checks of the families asked for: what is not asked for is not in the plan."""
+    return [c for name, c in checks.items() if only is None or name.split(":")[0] in only]
+
+
 def _rows(df: DataFrame, checks: list[Column]) -> DataFrame:
     return df.select("doc_id", F.explode(F.array_compact(F.array(*checks))).alias("c")).select("doc_id", "c.*")
 
@@ -68,7 +73,7 @@ def per_factor(rate_per: Column | str) -> Column:
     return F.when(n > 1, n).otherwise(1)
 
 
-def line_checks(lines: DataFrame) -> DataFrame:
+def line_checks(lines: DataFrame, only: tuple[str, ...] | None = None) -> DataFrame:
     """Invoice lines: quantity times rate, tax, legal rate, total."""
     lines = _optional(lines, dict.fromkeys(("discount", "cgst_amount", "sgst_amount", "igst_amount", "line_total"), MONEY) | {"rate_per": "string"})
     q, r, t, pct, total = (F.col(c) for c in ("quantity", "rate", "taxable_value", "gst_rate", "line_total"))
@@ -88,15 +93,13 @@ def line_checks(lines: DataFrame) -> DataFrame:
     total_ok |= F.coalesce((tax == 0) & (F.abs(total - t - due) <= tol(total, "0.0005")), F.lit(False))
     key = lambda *names: [F.format_string(f"line_items[%d].{n}", "line_index") for n in names]
     name = lambda n: F.concat(F.lit(f"{n}:"), F.col("line_index"))
-    return _rows(
-        lines,
-        [
-            _check(name("line_math"), q.isNotNull() & r.isNotNull() & t.isNotNull(), close(calc), key("quantity", "rate", "discount", "taxable_value"), calc=calc, printed=t),
-            _check(name("line_tax"), t.isNotNull() & pct.isNotNull() & has_tax, F.abs(due - tax) <= F.greatest(dec("0.51"), tax * dec("0.001")), key("taxable_value", "gst_rate", "cgst_amount", "sgst_amount", "igst_amount"), calc=due, printed=tax),
-            _check(name("gst_slab"), pct.isNotNull() & ~pct.isin(*[F.lit(x).cast("decimal(9,2)") for x in RATES]), F.lit(False), key("gst_rate")),
-            _check(name("line_total"), total.isNotNull() & t.isNotNull(), total_ok, key("taxable_value", "line_total", "cgst_amount", "sgst_amount", "igst_amount"), calc=t + tax, printed=total),
-        ],
-    )
+    found = {
+        "line_math": _check(name("line_math"), q.isNotNull() & r.isNotNull() & t.isNotNull(), close(calc), key("quantity", "rate", "discount", "taxable_value"), calc=calc, printed=t),
+        "line_tax": _check(name("line_tax"), t.isNotNull() & pct.isNotNull() & has_tax, F.abs(due - tax) <= F.greatest(dec("0.51"), tax * dec("0.001")), key("taxable_value", "gst_rate", "cgst_amount", "sgst_amount", "igst_amount"), calc=due, printed=tax),
+        "gst_slab": _check(name("gst_slab"), pct.isNotNull() & ~pct.isin(*[F.lit(x).cast("decimal(9,2)") for x in RATES]), F.lit(False), key("gst_rate")),
+        "line_total": _check(name("line_total"), total.isNotNull() & t.isNotNull(), total_ok, key("taxable_value", "line_total", "cgst_amount", "sgst_amount", "igst_amount"), calc=t + tax, printed=total),
+    }
+    return _rows(lines, _chosen(found, only))
 
 
 def with_line_sums(headers: DataFrame, lines: DataFrame) -> DataFrame:
@@ -124,7 +127,7 @@ def date_check(name: str, as_of: str) -> Column:
     return _check(f"date:{name}", d.isNotNull(), ~(ahead | old), [name], F.when(old, "warn").otherwise("error"))
 
 
-def invoice_checks(headers: DataFrame, lines: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
+def invoice_checks(headers: DataFrame, lines: DataFrame, s: Settings = DEFAULTS, only: tuple[str, ...] | None = None) -> DataFrame:
     """Invoice headers: sums, tax, states, total, round-off, words, identifiers, dates."""
     money = ("cgst_amount", "sgst_amount", "igst_amount", "cess_amount", "tcs_amount", "other_charges", "discount_total", "round_off")
     said = "amount_in_words" in headers.columns
@@ -153,21 +156,21 @@ def invoice_checks(headers: DataFrame, lines: DataFrame, s: Settings = DEFAULTS)
     place = F.coalesce(state_code("place_of_supply"), F.when(buyer.isin(*STATES), buyer))
     split, whole = (zero(cgst) > 0) | (zero(sgst) > 0), zero(igst) > 0
     words = F.col("words_amount") if said else F.lit(None).cast(MONEY)
-    checks = [
-        _check("lines_sum_subtotal", (n > 0) & sub.isNotNull() & (F.col("lines_taxed") == n), any_same(variants(F.col("lines_taxable")), sub), ["subtotal"], calc=F.col("lines_taxable"), printed=sub),
-        *[_check(f"tax_sum:{x}_amount", F.col(f"lines_{x}").isNotNull() & F.col(f"{x}_amount").isNotNull(), same(F.col(f"lines_{x}"), F.col(f"{x}_amount"), s), [f"{x}_amount"], calc=F.col(f"lines_{x}"), printed=F.col(f"{x}_amount")) for x in ("cgst", "sgst", "igst")],
-        _check("tax_rate_reconcile", (sub > 0) & (cgst.isNotNull() | igst.isNotNull()), rate_ok, ["cgst_amount", "sgst_amount", "igst_amount", "subtotal"], F.when(all_rated | (n == 0), "error").otherwise("warn")),
-        _check("cgst_eq_sgst", cgst.isNotNull() & sgst.isNotNull() & ((cgst != 0) | (sgst != 0)), F.abs(cgst - sgst) <= dec("0.02"), ["cgst_amount", "sgst_amount"]),
-        _check("tax_type_vs_state", sup.isNotNull() & place.isNotNull() & (tax > 0), F.when(sup == place, split & ~whole).otherwise(whole & ~split), ["cgst_amount", "sgst_amount", "igst_amount", "place_of_supply", "supplier_gstin"]),
-        _check("grand_total", gt.isNotNull() & sub.isNotNull(), any_same(variants(base), gt), ["grand_total", "subtotal", *money], calc=F.coalesce(*[F.when(same(v, gt, s), v) for v in variants(base, (oc - disc, oc, -disc, F.lit(0)))], base + oc - disc), printed=gt),
-        _check("round_off", F.col("round_off").isNotNull(), F.abs("round_off") < 1, ["round_off"]),
-        F.when(F.col("amount_in_words").isNotNull() & gt.isNotNull() & words.isNull(), F.struct(F.lit("amount_in_words").alias("check_id"), F.lit("skip").alias("status"), F.lit("warn").alias("severity"), F.array(F.lit("amount_in_words")).alias("field_keys"), F.lit(None).cast("decimal(38,4)").alias("calc"), F.lit(None).cast("decimal(38,4)").alias("printed"))),
-        _check("amount_in_words", words.isNotNull() & gt.isNotNull(), F.abs(words - gt) < 1, ["amount_in_words", "grand_total"], calc=words, printed=gt),
-        _check("gstin_distinct", (F.col("supplier_gstin") != "") & (F.col("supplier_gstin") == F.col("buyer_gstin")), F.lit(False), ["supplier_gstin", "buyer_gstin"]),
-        date_check("invoice_date", s.print_as_of),
-        _check("due_after_invoice", F.col("due_date") < F.col("invoice_date"), F.lit(False), ["due_date", "invoice_date"], "warn"),
-    ]
-    return _rows(h, checks)
+    checks = {
+        "lines_sum_subtotal": _check("lines_sum_subtotal", (n > 0) & sub.isNotNull() & (F.col("lines_taxed") == n), any_same(variants(F.col("lines_taxable")), sub), ["subtotal"], calc=F.col("lines_taxable"), printed=sub),
+        **{f"tax_sum:{x}": _check(f"tax_sum:{x}_amount", F.col(f"lines_{x}").isNotNull() & F.col(f"{x}_amount").isNotNull(), same(F.col(f"lines_{x}"), F.col(f"{x}_amount"), s), [f"{x}_amount"], calc=F.col(f"lines_{x}"), printed=F.col(f"{x}_amount")) for x in ("cgst", "sgst", "igst")},
+        "tax_rate_reconcile": _check("tax_rate_reconcile", (sub > 0) & (cgst.isNotNull() | igst.isNotNull()), rate_ok, ["cgst_amount", "sgst_amount", "igst_amount", "subtotal"], F.when(all_rated | (n == 0), "error").otherwise("warn")),
+        "cgst_eq_sgst": _check("cgst_eq_sgst", cgst.isNotNull() & sgst.isNotNull() & ((cgst != 0) | (sgst != 0)), F.abs(cgst - sgst) <= dec("0.02"), ["cgst_amount", "sgst_amount"]),
+        "tax_type_vs_state": _check("tax_type_vs_state", sup.isNotNull() & place.isNotNull() & (tax > 0), F.when(sup == place, split & ~whole).otherwise(whole & ~split), ["cgst_amount", "sgst_amount", "igst_amount", "place_of_supply", "supplier_gstin"]),
+        "grand_total": _check("grand_total", gt.isNotNull() & sub.isNotNull(), any_same(variants(base), gt), ["grand_total", "subtotal", *money], calc=F.coalesce(*[F.when(same(v, gt, s), v) for v in variants(base, (oc - disc, oc, -disc, F.lit(0)))], base + oc - disc), printed=gt),
+        "round_off": _check("round_off", F.col("round_off").isNotNull(), F.abs("round_off") < 1, ["round_off"]),
+        "amount_in_words:skip": F.when(F.col("amount_in_words").isNotNull() & gt.isNotNull() & words.isNull(), F.struct(F.lit("amount_in_words").alias("check_id"), F.lit("skip").alias("status"), F.lit("warn").alias("severity"), F.array(F.lit("amount_in_words")).alias("field_keys"), F.lit(None).cast("decimal(38,4)").alias("calc"), F.lit(None).cast("decimal(38,4)").alias("printed"))),
+        "amount_in_words": _check("amount_in_words", words.isNotNull() & gt.isNotNull(), F.abs(words - gt) < 1, ["amount_in_words", "grand_total"], calc=words, printed=gt),
+        "gstin_distinct": _check("gstin_distinct", (F.col("supplier_gstin") != "") & (F.col("supplier_gstin") == F.col("buyer_gstin")), F.lit(False), ["supplier_gstin", "buyer_gstin"]),
+        "date": date_check("invoice_date", s.print_as_of),
+        "due_after_invoice": _check("due_after_invoice", F.col("due_date") < F.col("invoice_date"), F.lit(False), ["due_date", "invoice_date"], "warn"),
+    }
+    return _rows(h, _chosen(checks, only))
 
 
 def receipt_checks(headers: DataFrame, s: Settings = DEFAULTS) -> DataFrame:

@@ -246,19 +246,19 @@ LINE_SQL = f"""l as (select *, quantity * rate - discount as straight, case when
 
 @query("CK4_line_math", "inv_line", sql=f"with {LINE_SQL} select doc_id, line_index, case when abs(calc - taxable_value) <= greatest(0.51, abs(taxable_value) * 0.0005) then 'pass' else 'fail' end as status from m")
 def _(lines):
-    rows = checks.line_checks(lines.drop("cgst_amount")).where(F.startswith("check_id", F.lit("line_math:")))
+    rows = checks.line_checks(lines.drop("cgst_amount"), ("line_math",)).where(F.startswith("check_id", F.lit("line_math:")))
     return rows.select("doc_id", F.split_part("check_id", F.lit(":"), F.lit(2)).cast("int").alias("line_index"), "status")
 
 
 @query("CK5_line_tax", "inv_line", sql="""select doc_id, line_index, case when abs(cast(taxable_value * gst_rate as decimal(18,4)) / 100 - tax_amount) <= greatest(0.51, tax_amount * 0.001) then 'pass' else 'fail' end as status from inv_line""")
 def _(lines):
-    rows = checks.line_checks(lines.withColumnRenamed("tax_amount", "igst_amount")).where(F.startswith("check_id", F.lit("line_tax:")))
+    rows = checks.line_checks(lines.withColumnRenamed("tax_amount", "igst_amount"), ("line_tax",)).where(F.startswith("check_id", F.lit("line_tax:")))
     return rows.select("doc_id", F.split_part("check_id", F.lit(":"), F.lit(2)).cast("int").alias("line_index"), "status")
 
 
 @query("CK6_gst_slab", "inv_line", sql="select gst_rate_text, count(*) as n from (select cast(cast(gst_rate as int) as varchar) as gst_rate_text, gst_rate from inv_line) where gst_rate not in (0, 0.1, 0.25, 1, 1.5, 3, 5, 6, 7.5, 12, 18, 28, 40) group by 1")
 def _(lines):
-    rows = checks.line_checks(lines).where(F.startswith("check_id", F.lit("gst_slab:")))
+    rows = checks.line_checks(lines, ("gst_slab",)).where(F.startswith("check_id", F.lit("gst_slab:")))
     bad = rows.select("doc_id", F.split_part("check_id", F.lit(":"), F.lit(2)).cast("int").alias("line_index"))
     return lines.join(bad, ["doc_id", "line_index"]).groupBy(F.col("gst_rate").cast("int").cast("string").alias("gst_rate_text")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -268,7 +268,7 @@ def _(lines):
     from (select *, taxable_value + case when item_code % 3 = 0 then 0 when item_code % 5 = 0 then 7 else tax_amount end as line_total from inv_line)""")
 def _(lines):
     total = F.col("taxable_value") + F.when(F.col("item_code") % 3 == 0, 0).when(F.col("item_code") % 5 == 0, 7).otherwise(F.col("tax_amount"))
-    rows = checks.line_checks(lines.withColumn("line_total", total.cast("decimal(18,2)")).withColumnRenamed("tax_amount", "igst_amount")).where(F.startswith("check_id", F.lit("line_total:")))
+    rows = checks.line_checks(lines.withColumn("line_total", total.cast("decimal(18,2)")).withColumnRenamed("tax_amount", "igst_amount"), ("line_total",)).where(F.startswith("check_id", F.lit("line_total:")))
     return rows.select("doc_id", F.split_part("check_id", F.lit(":"), F.lit(2)).cast("int").alias("line_index"), "status")
 
 
@@ -281,7 +281,7 @@ def invoice_rule(name: str, check_id: str, sql: str) -> None:
     """Registers one invoice rule: its rows from the common plan, against SQL of its own."""
 
     def run(headers, lines):
-        rows = checks.invoice_checks(headers, lines.withColumnRenamed("tax_amount", "line_tax")).where(F.startswith("check_id", F.lit(check_id)))
+        rows = checks.invoice_checks(headers, lines.withColumnRenamed("tax_amount", "line_tax"), only=(check_id.split(":")[0],)).where(F.startswith("check_id", F.lit(check_id)))
         return rows.select("doc_id", "check_id", "status", "severity")
 
     query(name, "inv_header", "inv_line", sql=sql)(run)
@@ -312,13 +312,13 @@ invoice_rule("CK10_tax_rate_reconcile", "tax_rate_reconcile", f"""with s as (sel
     select h.doc_id, 'tax_sum:igst_amount' as check_id, case when {EQ.format(a='s.igst', b='h.igst_amount')} then 'pass' else 'fail' end as status from inv_header h join s on s.doc_id = h.doc_id where igst_amount is not null""")
 def _(headers, lines):
     odd = F.when(F.col("item_code") % 31 == 0, F.col("tax_amount") + 3).otherwise(F.col("tax_amount")).cast("decimal(18,2)")
-    return checks.invoice_checks(headers, lines.withColumn("igst_amount", odd)).where(F.startswith("check_id", F.lit("tax_sum:"))).select("doc_id", "check_id", "status")
+    return checks.invoice_checks(headers, lines.withColumn("igst_amount", odd), only=("tax_sum",)).where(F.startswith("check_id", F.lit("tax_sum:"))).select("doc_id", "check_id", "status")
 
 
 @query("CK15_amount_in_words", "inv_header", "inv_line")
 def _(headers, lines):
     said = F.when(F.col("doc_id") % 11 == 0, "rupees many only").otherwise(gst.amount_to_words(F.col("grand_total") + F.when(F.col("doc_id") % 10 == 0, 5).otherwise(0)))
-    return checks.invoice_checks(headers.withColumn("amount_in_words", said), lines).where("check_id = 'amount_in_words'").select("doc_id", "status", "severity")
+    return checks.invoice_checks(headers.withColumn("amount_in_words", said), lines, only=("amount_in_words",)).where("check_id = 'amount_in_words'").select("doc_id", "status", "severity")
 
 
 @query("CK17_receipt", "inv_line", sql=f"""
@@ -887,8 +887,7 @@ def _(prints):
     select check_id, severity, count(*) as n, count(*) filter (where not ok) as failed from c group by 1, 2""")
 def flagship(headers, lines):
     plain = lines.drop("tax_amount")
-    rows = checks.line_checks(plain).unionByName(checks.invoice_checks(headers, plain)).withColumn("check_id", evidence.family())
-    rows = rows.where(F.col("check_id").isin("line_math", "gst_slab", "lines_sum_subtotal", "grand_total"))
+    rows = checks.line_checks(plain, ("line_math", "gst_slab")).unionByName(checks.invoice_checks(headers, plain, only=("lines_sum_subtotal", "grand_total"))).withColumn("check_id", evidence.family())
     return rows.groupBy("check_id", "severity").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("status") == "fail").alias("failed"))
 
 
