@@ -4,7 +4,8 @@ Every run of three consecutive lines is hashed (twice 64 bits). Of the places wh
 corpus, the first - smallest doc_id, then smallest line number - stays; the lines that later occurrences cover are merged
 per document and removed. A passage of n >= 3 repeated lines is covered by n - 2 overlapping windows, so it goes whole.
 
-The windows travel as hashes; texts shuffle once, at the end. The count of windows is pre-aggregated before its shuffle,
+The windows travel as hashes. At the end only texts that may lose lines shuffle: their ids' hashes fall into buckets of which
+the occupied ones are known, at most ``BUCKETS``; all other texts pass straight. The count of windows is pre-aggregated before its shuffle,
 and the join back reads written tables, so adaptive execution can split a window that very many documents share.
 
 Defined results: null text counts as empty and has no lines; texts of fewer than three lines stay as they are; windows of
@@ -21,6 +22,8 @@ from docproof.llm.common import plain, save
 
 WIDTH = 3
 LAST = 2**63 - 1
+#: Of the ids' hashes; the occupied ones are broadcast, at most this many 8-byte numbers.
+BUCKETS = 1 << 20
 
 
 def _windows(docs: DataFrame) -> DataFrame:
@@ -43,12 +46,16 @@ def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     first = save(windows.groupBy("a", "b").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").select("a", "b", "first"), "repeated")
     later = windows.join(first, ["a", "b"]).where(place != F.col("first")).select("id", "pos")
     covered = later.select("id", F.explode(F.sequence("pos", F.col("pos") + (WIDTH - 1))).alias("line")).distinct().groupBy("id").agg(F.collect_list("line").alias("covered"))
+    covered = save(covered, "covered")
+    # texts that surely lose nothing pass straight; only those in a bucket of a covered document meet their lines
+    bucket = F.pmod(F.xxhash64("id"), F.lit(BUCKETS))
+    buckets = F.broadcast(covered.select(bucket.alias("bucket")).distinct())
     lines = F.when(F.col("text") == "", F.array().cast("array<string>")).otherwise(F.split("text", "\n"))
-    rows = base.select("id", lines.alias("lines")).join(save(covered, "covered"), "id", "left")
+    placed = base.withColumn("bucket", bucket)
+    straight = placed.join(buckets, "bucket", "left_anti").select("id", F.size(lines).alias("n"), F.lit(0).alias("gone"), "text")
+    rows = placed.join(buckets, "bucket", "left_semi").select("id", lines.alias("lines")).join(covered.hint("merge"), "id", "left")
     kept = F.when(F.col("covered").isNull(), F.col("lines")).otherwise(F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "covered"), lambda i: F.get("lines", i)))
-    return rows.select(
-        F.when(F.col("id") != LAST, F.col("id")).alias("doc_id"),
-        F.size("lines").cast("long").alias("n_lines"),
-        F.coalesce(F.size("covered"), F.lit(0)).cast("long").alias("n_removed"),
-        F.array_join(kept, "\n").alias("text"),
+    cut = rows.select("id", F.size("lines").alias("n"), F.coalesce(F.size("covered"), F.lit(0)).alias("gone"), F.array_join(kept, "\n").alias("text"))
+    return straight.unionByName(cut).select(
+        F.when(F.col("id") != LAST, F.col("id")).alias("doc_id"), F.col("n").cast("long").alias("n_lines"), F.col("gone").cast("long").alias("n_removed"), "text"
     )
