@@ -75,7 +75,7 @@ def per_factor(rate_per: Column | str) -> Column:
 
 def line_checks(lines: DataFrame, only: tuple[str, ...] | None = None) -> DataFrame:
     """Invoice lines: quantity times rate, tax, legal rate, total."""
-    lines = _optional(lines, dict.fromkeys(("discount", "cgst_amount", "sgst_amount", "igst_amount", "line_total"), MONEY) | {"rate_per": "string"})
+    lines = _optional(lines, dict.fromkeys(("discount", "cgst_amount", "sgst_amount", "igst_amount", "line_total"), MONEY) | {"rate_per": "string", "gst_rate": "decimal(9,2)"})
     q, r, t, pct, total = (F.col(c) for c in ("quantity", "rate", "taxable_value", "gst_rate", "line_total"))
     disc = zero("discount")
     tol = lambda x, rel: F.greatest(dec("0.51"), F.abs(x) * dec(rel))

@@ -6,10 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docproof.functions.gst import look_alike
-from docproof.functions.normalize import clean_code, values_agree
+from docproof.functions.normalize import clean_code, fold_digits, parse_amount, parse_date, squeeze, values_agree
 
 #: First bytes of the file types that can be read (fixed values).
 MAGIC = {"25504446": "application/pdf", "FFD8FF": "image/jpeg", "89504E470D0A1A0A": "image/png", "49492A00": "image/tiff", "4D4D002A": "image/tiff"}
+#: Kinds of fields that a barcode may repeat, and kinds by how they are looked up in a text (fixed values).
+BARCODED = ("string", "gstin", "vehicle")
+NUMERIC, CODED = ("number", "percent", "integer"), ("gstin", "pan", "ifsc", "vehicle", "hsn")
 TAX_ID = r"\b[0-9]{2}[A-Z]{5}[0-9]{4}[A-Z][0-9A-Z]Z[0-9A-Z]\b"
 
 
@@ -73,6 +76,52 @@ def apply_codes(fields: DataFrame, codes: DataFrame) -> DataFrame:
     return rows.select("doc_id", "field_name", F.coalesce("value", "c.code_value").alias("value"), F.col("c.source").alias("code_source"), filled.alias("code_filled"), agrees.alias("code_agrees"))
 
 
+def code_values(readings: DataFrame, spec: DataFrame) -> DataFrame:
+    """Codes read (doc_id, doc_type, source, values as a map) as a row for each field that the document's type knows; spec
+    is (doc_type, name)."""
+    rows = readings.select("doc_id", "doc_type", "source", F.explode("values").alias("field_name", "code_value")).where("code_value is not null")
+    known = spec.select("doc_type", F.col("name").alias("field_name"))
+    return rows.join(known, ["doc_type", "field_name"], "left_semi").select("doc_id", "field_name", "source", "code_value")
+
+
+def barcode_fields(fields: DataFrame, barcodes: DataFrame) -> DataFrame:
+    """The fields (doc_id, field_name, kind, value) whose value a barcode (doc_id, code) of the document repeats, whatever
+    its spaces and dashes. An equality on the cleaned value, so a document's fields and codes are never paired."""
+    said = barcodes.select("doc_id", clean_code("code").alias("__code")).where("__code != ''")
+    rows = fields.where(F.col("kind").isin(*BARCODED) & F.col("value").isNotNull()).withColumn("__code", clean_code("value"))
+    return rows.join(said, ["doc_id", "__code"], "left_semi").select("doc_id", "field_name", "value")
+
+
+def text_layers(pages: DataFrame) -> DataFrame:
+    """One row for each document whose pages (doc_id, page, text) all have text: what fields are looked up in - numbers,
+    dates, the text as one code, the text in small letters."""
+    held = F.array_sort(F.collect_list(F.struct("page", "text")))
+    whole = pages.groupBy("doc_id").agg(F.array_join(F.transform(held, lambda p: p["text"]), "\n").alias("text"), F.count_if(F.coalesce(F.trim("text"), F.lit("")) == "").alias("bare"))
+    text = fold_digits("text")
+    numbers = F.regexp_extract_all(text, F.lit(r"[0-9][0-9,]*(?:\.[0-9]+)?"), F.lit(0))
+    dates = F.regexp_extract_all(text, F.lit(r"[0-9]{1,4}[./-][0-9]{1,2}[./-][0-9]{1,4}|[0-9]{1,2}[\s-]*[A-Za-z]{3,9}[\s,-]*[0-9]{2,4}"), F.lit(0))
+    return whole.where("bare = 0").select(
+        "doc_id",
+        F.array_distinct(F.transform(numbers, lambda x: F.round(parse_amount(x), 2).cast("decimal(18,2)"))).alias("numbers"),
+        F.array_distinct(F.transform(dates, lambda x: F.date_format(parse_date(x), "yyyy-MM-dd"))).alias("dates"),
+        clean_code("text").alias("code"),
+        F.lower(squeeze("text")).alias("plain"),
+    )
+
+
+def grounded(fields: DataFrame, layers: DataFrame) -> DataFrame:
+    """Fields (doc_id, field_name, kind, value) with ``in_text_layer``: whether the value stands in the document's text. Null without a
+    text layer, without a value, for short strings and for kinds that cannot be looked up."""
+    rows = fields.join(layers, "doc_id", "left")
+    kind, value = F.col("kind"), F.col("value")
+    number = F.round(value.try_cast("decimal(18,4)"), 2).cast("decimal(18,2)")
+    holds = lambda a, x: F.coalesce(F.array_contains(a, x), F.lit(False))
+    found = F.when(kind.isin(*NUMERIC), holds("numbers", number) | holds("numbers", F.abs(number)))
+    found = found.when(kind.isin(*CODED), F.contains("code", value)).when(kind == "date", holds("dates", value))
+    found = found.when((kind == "string") & (F.length(value) >= 3), F.contains("plain", F.lower(value)))
+    return rows.select(*fields.columns, F.when(value.isNotNull() & F.col("plain").isNotNull(), found).alias("in_text_layer"))
+
+
 def billed_to(docs: DataFrame, own: DataFrame) -> DataFrame:
     """Whether documents (doc_id, tenant_id, gstin) are billed to the tenant's own identifiers: own, misread (one own one looks alike,
     which is proposed) or other. Only identifiers that are not own meet a tenant's list, which is short."""

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from docproof.settings import DEFAULTS, Settings
 
+#: The quality buckets of a labelled evaluation that stand for a condition (fixed values).
+BENCHMARK = {"printed": ("digital", "good_scan", "printed", "poor_scan"), "vernacular": ("bilingual", "vernacular"), "handwritten": ("handwritten",)}
 DONE = ("ready", "exported")
 
 
@@ -151,3 +153,35 @@ def evaluation_cells(docs: DataFrame) -> DataFrame:
     )
     reasons = F.array_compact(F.array(F.when(F.col("documents") < 20, "documents"), F.when(F.coalesce(F.col("escape_rate_pct") > 0.5, F.lit(True)), "escapes"), F.when(F.coalesce(F.col("accuracy_pct") < 97, F.lit(True)), "accuracy")))
     return cell.withColumn("reasons", F.array_join(reasons, ",")).withColumn("passed", F.col("reasons") == "")
+
+
+def benchmark(evaluated: DataFrame) -> DataFrame:
+    """Accuracy by condition from evaluated documents (bucket, synthetic, fields, auto, correct, auto_wrong); synthetic ones do not count."""
+    names = F.array_compact(F.array(F.lit("overall"), *[F.when(F.col("bucket").isin(*buckets), name) for name, buckets in BENCHMARK.items()]))
+    rows = evaluated.where(~F.coalesce("synthetic", F.lit(False))).select(F.explode(names).alias("condition"), "*")
+    found = rows.groupBy("condition").agg(
+        F.count(F.lit(1)).alias("documents"), F.sum("fields").alias("fields"), percent(F.sum("correct"), F.sum("fields")).alias("field_accuracy_pct"), percent(F.sum("auto_wrong"), F.sum("auto")).alias("escape_rate_pct")
+    )
+    return found.where("fields > 0")
+
+
+def readiness(gate: DataFrame) -> DataFrame:
+    """One row: which cells of a gate report (doc_type, quality, passed) may be shown; no_eval_run for an empty report."""
+    passed = F.array_sort(F.collect_list(F.when(F.col("passed"), F.concat_ws("/", "doc_type", "quality"))))
+    return gate.agg(F.when(F.count(F.lit(1)) > 0, "ok").otherwise("no_eval_run").alias("status"), F.count(F.lit(1)).alias("cells"), passed.alias("ready"))
+
+
+def offline_summary(checked: DataFrame) -> DataFrame:
+    """Per bucket of checked documents (bucket, quality_bucket, unreadable_reason, corrections, codes, compared, disagree,
+    checks_run, checks_failed, ms): counts, the quality buckets as a map, and the mean time."""
+    some = lambda c: F.size(F.coalesce(c, F.array().cast("array<string>"))) > 0
+    part = checked.groupBy("bucket", "quality_bucket").agg(
+        F.count(F.lit(1)).alias("docs"), F.count("unreadable_reason").alias("refused_unreadable"), F.count_if(some("corrections")).alias("auto_corrected"), F.count_if(some("codes")).alias("docs_with_codes"),
+        *[F.sum(c).alias(c) for c in ("compared", "disagree", "checks_run", "checks_failed", "ms")],
+    )
+    kinds = F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("quality_bucket").isNotNull(), F.struct("quality_bucket", "docs")))))
+    total = lambda c, name: F.sum(c).alias(name)
+    return part.groupBy("bucket").agg(
+        total("docs", "docs"), kinds.alias("quality_buckets"), *[total(c, c) for c in ("refused_unreadable", "auto_corrected", "docs_with_codes")], total("compared", "code_fields_compared"),
+        total("disagree", "code_fields_disagree"), total("checks_run", "checks_run"), total("checks_failed", "checks_failed_on_truth"), F.round(F.sum("ms") / F.sum("docs")).cast("long").alias("mean_ms"),
+    )

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docproof.functions.normalize import clean_code, safe_cell, shape_mask
+from docproof.functions.text import ratio
 from docproof.settings import DEFAULTS, Settings
 
 
@@ -65,6 +66,26 @@ def vendor_profiles(docs: DataFrame) -> DataFrame:
     return base.join(usual, ["tenant_id", "vendor_id"], "left")
 
 
+def vendor_checks(docs: DataFrame, history: DataFrame, least_ratio: float = 80.0, least_numbers: int = 3) -> DataFrame:
+    """Invoices (doc_id, tenant_id, vendor_id, name, bank_account, number) against their vendor's earlier ones: another name, another
+    bank account, a number in a form not seen before. Rows (doc_id, check_id, severity) of what fails.
+
+    A vendor's history is one row, and its number forms meet by equality, so a vendor with a third of all invoices adds
+    rows on the left side alone."""
+    key = ["tenant_id", "vendor_id"]
+    profile = vendor_profiles(history).select(*key, F.col("name").alias("__name"), F.col("bank_account").alias("__account"), "numbers")
+    forms = history.select(*key, shape_mask("number").alias("mask")).distinct().withColumn("__seen", F.lit(True))
+    rows = docs.withColumn("mask", shape_mask("number")).join(profile, key).join(forms, [*key, "mask"], "left")
+    bare = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
+    account = clean_code("bank_account")
+    failing = lambda name, severity, when: F.when(when, F.struct(F.lit(name).alias("check_id"), F.lit(severity).alias("severity")))
+    renamed = (F.col("name") != "") & (F.col("__name") != "") & (ratio(bare("__name"), bare("name")) < least_ratio)
+    moved = (account != "") & (F.col("__account") != "") & (account != F.col("__account"))
+    odd = (F.col("number") != "") & (F.col("numbers") >= least_numbers) & F.col("__seen").isNull()
+    found = [failing("vendor_name", "warn", renamed), failing("vendor_bank_changed", "error", moved), failing("invoice_number_format", "warn", odd)]
+    return rows.select("doc_id", F.explode(F.array_compact(F.array(*found))).alias("c")).select("doc_id", "c.*")
+
+
 def own_numbers(seen: DataFrame, stated: DataFrame, least: int = 3) -> DataFrame:
     """A tenant's own identifiers: those stated, and those that ``least`` reviewed documents were billed to."""
     learned = seen.groupBy("tenant_id", "gstin").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("tenant_id", "gstin")

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from docproof import streaming
 from docproof.functions import gst
 from docproof.functions import normalize as norm
-from docproof.operators import checks, codes, evidence, matching, metrics, records, risk
+from docproof.operators import checks, codes, evidence, matching, metrics, records, repair, risk
 from docproof.settings import DEFAULTS
+from docproof.sources import datasets
 from docproof.sources.tables import load, with_clause
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1046,3 +1047,113 @@ def _(docs):
 def _(docs):
     spoken = docs.select("tenant_id", F.explode(F.split("languages", ",")).alias("l")).where("l <> 'other'")
     return spoken.groupBy("tenant_id").agg(F.array_join(F.array_sort(F.collect_set("l")), ",").alias("languages"))
+
+
+@query("JN11_code_values", "docs", sql="""with s as (select doc_id, doc_type, case when doc_id % 2 = 0 then 'einvoice_qr' else 'upi_qr' end as source from docs where doc_type is not null),
+    v as (select doc_id, doc_type, source, 'number' as field_name, 'N' || doc_id as code_value from s union all select doc_id, doc_type, source, 'total', case when doc_id % 3 = 0 then null else cast(doc_id as varchar) end from s union all select doc_id, doc_type, source, 'other', 'x' from s)
+    select doc_id, field_name, source, code_value from v where code_value is not null and (field_name = 'number' and doc_type in ('invoice', 'lr') or field_name = 'total' and doc_type = 'invoice')""")
+def _(docs):
+    spec = docs.sparkSession.createDataFrame([("invoice", "number"), ("invoice", "total"), ("lr", "number")], "doc_type string, name string")
+    values = F.create_map(F.lit("number"), F.concat(F.lit("N"), "doc_id"), F.lit("total"), F.when(F.col("doc_id") % 3 != 0, F.col("doc_id").cast("string")), F.lit("other"), F.lit("x"))
+    read = docs.where("doc_type is not null").select("doc_id", "doc_type", F.when(F.col("doc_id") % 2 == 0, "einvoice_qr").otherwise("upi_qr").alias("source"), values.alias("values"))
+    return codes.code_values(read, spec)
+
+
+@query("JN12_barcode_fields", "prints", sql="""with c as (select doc_id, line_index, item_code, code_text, upper(regexp_replace(code_text, '[^A-Za-z0-9]', '', 'g')) as code from prints)
+    select doc_id, cast(line_index as varchar) as field_name, code_text as value from c where item_code % 4 <> 0 and code in (select code from c d where d.doc_id = c.doc_id and d.line_index % 2 = 0)""")
+def _(prints):
+    kind = F.when(F.col("item_code") % 4 == 0, "number").when(F.col("item_code") % 4 == 1, "vehicle").otherwise("string")
+    fields = prints.select("doc_id", F.col("line_index").cast("string").alias("field_name"), kind.alias("kind"), F.col("code_text").alias("value"))
+    return codes.barcode_fields(fields, prints.where("line_index % 2 = 0").select("doc_id", F.upper(F.replace("code_text", F.lit(" "))).alias("code")))
+
+
+@query("SC36_grounded", "inv_line", sql="""with p as (select doc_id, line_index, 'Line ' || line_index || ':  ' || description || ' qty ' || quantity as text, description, quantity from inv_line),
+    w as (select doc_id, lower(string_agg(regexp_replace(text, '\\s+', ' ', 'g'), ' ' order by line_index)) as plain, list(cast(line_index as decimal(18,2))) || list(quantity) as numbers from p group by 1)
+    select p.doc_id, p.line_index, n as field_name, case n when 'quantity' then list_contains(w.numbers, cast(p.quantity + p.line_index % 2 as decimal(18,2)))
+        when 'description' then contains(w.plain, lower(case when p.line_index % 2 = 0 then p.description else p.description || ' x' end)) end as in_text_layer
+    from p join w on w.doc_id = p.doc_id, (values ('quantity'), ('description'), ('address')) v(n)""")
+def _(lines):
+    page = F.format_string("Line %d:  %s qty %s", "line_index", "description", F.col("quantity").cast("string"))
+    layers = codes.text_layers(lines.select("doc_id", F.col("line_index").alias("page"), page.alias("text")))
+    odd = F.col("line_index") % 2
+    asked = F.array(
+        F.struct(F.lit("quantity").alias("field_name"), F.lit("number").alias("kind"), (F.col("quantity") + odd).cast("decimal(18,2)").cast("string").alias("value")),
+        F.struct(F.lit("description").alias("field_name"), F.lit("string").alias("kind"), F.when(odd == 0, F.upper("description")).otherwise(F.concat("description", F.lit(" x"))).alias("value")),
+        F.struct(F.lit("address").alias("field_name"), F.lit("text").alias("kind"), F.col("description").alias("value")),
+    )
+    return codes.grounded(lines.select("doc_id", "line_index", F.explode(asked).alias("a")).select("doc_id", "line_index", "a.*"), layers).select("doc_id", "line_index", "field_name", "in_text_layer")
+
+
+@query("AG16_benchmark", "docs", "fields", sql=f"""with {FC}, b as (select *, case when has_handwriting then 'handwritten' when languages = 'tamil' then 'vernacular' else quality_bucket end as bucket from d where not is_qa_sample),
+    s as (select 'overall' as condition, * from b union all select 'printed', * from b where bucket in ('digital', 'good_scan', 'poor_scan') union all select bucket, * from b where bucket in ('handwritten', 'vernacular'))
+    select condition, count(*) as documents, cast(sum(ft) as bigint) as fields, {PCT.format(n='sum(ft - fx)', d='sum(ft)')} as field_accuracy_pct, {PCT.format(n='sum(fe)', d='sum(fo)')} as escape_rate_pct from s group by 1 having sum(ft) > 0""")
+def _(docs, fields):
+    bucket = F.when(F.col("has_handwriting"), "handwritten").when(F.col("languages") == "tamil", "vernacular").otherwise(F.col("quality_bucket"))
+    rows = metrics.with_field_counts(docs, fields)
+    return metrics.benchmark(rows.select(bucket.alias("bucket"), F.col("is_qa_sample").alias("synthetic"), F.col("fields_total").alias("fields"), F.col("fields_open").alias("auto"), (F.col("fields_total") - F.col("fields_corrected")).alias("correct"), F.col("fields_escaped").alias("auto_wrong")))
+
+
+@query("AG17_readiness", "docs", "fields", sql=f"""with {FC}, c as (select doc_type, coalesce(quality_bucket, 'unknown') as quality, count(*) as n, {PCT.format(n='sum(fe)', d='sum(fo)')} as escapes, {PCT.format(n='sum(ft - fx)', d='sum(ft)')} as right_pct from d where doc_type is not null group by 1, 2)
+    select case when count(*) > 0 then 'ok' else 'no_eval_run' end as status, count(*) as cells, coalesce(string_agg(doc_type || '/' || quality, ',' order by doc_type || '/' || quality) filter (where n >= 20 and escapes <= 20 and right_pct >= 80), '') as ready from c""")
+def _(docs, fields):
+    cells = metrics.evaluation_cells(metrics.with_field_counts(docs, fields))
+    passed = (F.col("documents") >= 20) & (F.col("escape_rate_pct") <= 20) & (F.col("accuracy_pct") >= 80)
+    return metrics.readiness(cells.select("doc_type", "quality", passed.alias("passed"))).select("status", "cells", F.array_join("ready", ",").alias("ready"))
+
+
+@query("AG28_offline_summary", "docs", sql="""with r as (select coalesce(doc_type, 'none') as bucket, quality_bucket, case when doc_id % 11 = 0 then 'blank' end as reason, doc_id % 3 = 0 as fixed, doc_id % 4 = 0 as coded, cast(doc_id % 5 as bigint) as compared, cast(doc_id % 2 as bigint) as disagree, doc_id % 9 as run, cast(doc_id % 2 as bigint) as failed, doc_id % 800 as ms from docs),
+    k as (select bucket, string_agg(quality_bucket || '=' || n, ',' order by quality_bucket) as kinds from (select bucket, quality_bucket, count(*) as n from r where quality_bucket is not null group by 1, 2) group by 1)
+    select r.bucket, count(*) as docs, any_value(kinds) as quality_buckets, count(reason) as refused_unreadable, count(*) filter (where fixed) as auto_corrected, count(*) filter (where coded) as docs_with_codes, cast(sum(compared) as bigint) as code_fields_compared, cast(sum(disagree) as bigint) as code_fields_disagree,
+        cast(sum(run) as bigint) as checks_run, cast(sum(failed) as bigint) as checks_failed_on_truth, cast(round(sum(ms) / count(*)) as bigint) as mean_ms from r left join k on k.bucket = r.bucket group by 1""")
+def _(docs):
+    i = F.col("doc_id")
+    some = lambda n: F.when(i % n == 0, F.array(F.lit("x"))).otherwise(F.array().cast("array<string>"))
+    rows = docs.select(F.coalesce("doc_type", F.lit("none")).alias("bucket"), "quality_bucket", F.when(i % 11 == 0, "blank").alias("unreadable_reason"), some(3).alias("corrections"), some(4).alias("codes"), (i % 5).alias("compared"), (i % 2).alias("disagree"), (i % 9).alias("checks_run"), (i % 2).alias("checks_failed"), (i % 800).alias("ms"))
+    found = metrics.offline_summary(rows)
+    kinds = F.array_join(F.transform(F.map_entries("quality_buckets"), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
+    return found.withColumn("quality_buckets", F.nullif(kinds, F.lit("")))
+
+
+@query("CK28_vendor_checks", "docs", sql="""with v as (select *, 'Vendor' || vendor_id as name, 'ac-' || vendor_id || case when doc_id % 32 in (0, 1) then 'x' else '' end as account, case when doc_id % 5 = 0 then 'AA/9' when doc_id % 5 = 1 then 'A-99' else 'AAA99' end as mask from docs),
+    h as (select * from v where doc_id % 2 = 0), p as (select tenant_id, vendor_id, upper(replace(last(account order by created_at, doc_id) filter (where reviewed_at is not null), '-', '')) as account, count(*) as n from h group by 1, 2),
+    n as (select v.doc_id, v.tenant_id, v.vendor_id, case when v.doc_id % 7 = 0 then 'qqqq' else name end as name, upper(replace(v.account, '-', '')) as account, mask, p.account as known, p.n from v join p on p.tenant_id = v.tenant_id and p.vendor_id = v.vendor_id where v.doc_id % 2 = 1)
+    select doc_id, 'vendor_name' as check_id, 'warn' as severity from n where name = 'qqqq' union all select doc_id, 'vendor_bank_changed', 'error' from n where account <> known
+    union all select doc_id, 'invoice_number_format', 'warn' from n where n >= 3 and not exists (select 1 from h where h.tenant_id = n.tenant_id and h.vendor_id = n.vendor_id and h.mask = n.mask)""")
+def _(docs):
+    i = F.col("doc_id")
+    rows = docs.select(
+        "doc_id", "tenant_id", "vendor_id", "created_at", "reviewed_at", F.concat(F.lit("Vendor"), "vendor_id").alias("name"),
+        F.concat(F.lit("ac-"), "vendor_id", F.when((i % 32).isin(0, 1), "x").otherwise("")).alias("bank_account"), F.when(i % 5 == 0, "IN/7").when(i % 5 == 1, "T-42").otherwise("GST08").alias("number"),
+    )
+    return records.vendor_checks(rows.where("doc_id % 2 = 1").withColumn("name", F.when(i % 7 == 0, "qqqq").otherwise(F.col("name"))), rows.where("doc_id % 2 = 0"))
+
+
+@query("RP5_search", "inv_line")
+def _(lines):
+    """One line of a document is misread: its quantity with a zero too many, of every third document its rate too; every second document has
+    another reading, which saw both as they are."""
+    first = F.col("line_index") == 0
+    rows = lines.where("item_code % 11 <> 0").select("doc_id", "line_index", "rate_per", "discount", "taxable_value", F.when(first, F.col("quantity") * 10).otherwise(F.col("quantity")).cast("decimal(18,2)").alias("quantity"), F.when(first & (F.col("doc_id") % 3 == 0), F.col("rate") + 100).otherwise(F.col("rate")).cast("decimal(18,2)").alias("rate"))
+    seen = F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("value")) for f in ("quantity", "rate")])
+    second = lines.where("line_index = 0 and doc_id % 2 = 0").select("doc_id", "line_index", F.explode(seen).alias("s")).select("doc_id", "line_index", "s.*")
+    found = repair.search(rows, second)
+    return found.select("doc_id", "line_index", "kind", F.to_json("changes").alias("changes"))
+
+
+def synthetic_invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Failed rules over made-up invoices and receipts, by rule: none, since they are exact."""
+    lines = datasets.invoice_lines(spark, 1000)
+    heads = datasets.invoice_headers(lines, DEFAULTS.print_as_of)
+    found = checks.line_checks(lines).unionByName(checks.invoice_checks(heads, lines)).unionByName(checks.receipt_checks(datasets.receipts(spark, 1000, DEFAULTS.print_as_of)))
+    return found.groupBy(evidence.family().alias("rule")).agg(F.count(F.lit(1)).alias("checked"), F.count_if(F.col("status") == "fail").alias("failed"))
+
+
+def synthetic_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The truths of a made-up dataset, as written and read back."""
+    folder = _work(spark)
+    datasets.truths(spark, 100, DEFAULTS.print_as_of).write.partitionBy("bucket").json(folder)
+    return spark.read.json(folder).select("bucket", "name", F.from_json("truth", datasets.TRUTH).alias("t")).groupBy("bucket", "t.doc_type").agg(F.count_distinct("name").alias("documents"), F.sum(F.size("t.line_items")).alias("lines"))
+
+
+QUERIES |= {"SRC13_synthetic": synthetic_invoices, "SRC15_dataset": synthetic_dataset}
+ORACLES["SRC15_dataset"] = "select bucket, doc_type, cast(100 as bigint) as documents, cast(case when doc_type = 'lr' then 0 else 300 end as bigint) as lines from (values ('digital', 'invoice'), ('good_scan', 'invoice'), ('poor_scan', 'invoice'), ('bilingual', 'invoice'), ('carbon', 'lr')) v(bucket, doc_type)"

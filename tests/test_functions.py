@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from docproof.functions import gst, text
 from docproof.functions import normalize as norm
-from docproof.operators import checks, evidence, matching, metrics, records, risk
+from docproof.operators import checks, codes, evidence, matching, metrics, records, repair, risk
+from docproof.sources import datasets
 
 
 def ask(spark, f, rows, schema):
@@ -116,3 +117,57 @@ def test_refit_recovers_weights(spark):
     rows = spark.range(6000).selectExpr("1.0 as bias", "cast(id % 2 as double) as x", "cast(pmod(xxhash64(id), 1000) < case when id % 2 = 1 then 900 else 300 end as int) as y")
     w = risk.refit(rows, ["bias", "x"], "y")
     assert w["bias"] == pytest.approx(math.log(3 / 7), abs=0.15) and w["x"] == pytest.approx(math.log(9) - math.log(3 / 7), abs=0.2)
+
+
+def test_labelled_folder(spark, tmp_path):
+    (tmp_path / "digital").mkdir()
+    for name in ("a.pdf", "a.jpg", "b.txt", "c.png"):
+        (tmp_path / "digital" / name).write_bytes(b"x")
+    for name in ("a", "b", "d"):
+        (tmp_path / "digital" / f"{name}.truth.json").write_text('{"doc_type": "invoice", "bucket": "digital", "fields": {"total": 5},\n "line_items": [{"quantity": 2}]}')
+    found = datasets.labelled(spark, f"file://{tmp_path}").collect()
+    assert [(r["name"], r["path"].rsplit("/", 1)[1], r["bucket"], r["fields"], r["line_items"]) for r in found] == [("a", "a.jpg", "digital", {"total": "5"}, [{"quantity": "2"}])]
+
+
+def test_synthetic_documents_are_exact(spark):
+    from docproof.plans.queries import QUERIES
+
+    found = {r["rule"]: r for r in QUERIES["SRC13_synthetic"](spark, "").collect()}
+    assert {"line_math", "line_tax", "line_total", "lines_sum_subtotal", "tax_sum", "grand_total", "amount_in_words", "tax_type_vs_state", "total_freight", "freight_math"} <= set(found)
+    assert {k: r["failed"] for k, r in found.items() if r["failed"]} == {}
+    heads = datasets.invoice_headers(datasets.invoice_lines(spark, 50), "2024-06-30")
+    assert heads.where(gst.gstin_problem("supplier_gstin").isNotNull() | gst.gstin_problem("buyer_gstin").isNotNull()).isEmpty()
+    again = datasets.invoice_headers(datasets.invoice_lines(spark, 80).where("doc_id < 50"), "2024-06-30")
+    assert heads.exceptAll(again).isEmpty()
+
+
+def test_repair_search(spark):
+    from decimal import Decimal as D
+
+    row = "doc_id int, line_index int, quantity decimal(18,2), rate decimal(18,2), discount decimal(18,2), taxable_value decimal(18,2)"
+    lines = [
+        (1, 0, 70, 11, 0, 77), (1, 1, 2, 5, 0, 10),  # another reading saw the quantity
+        (2, 0, 70, 12, 0, 77),  # two fields, both backed
+        (3, 0, 7, 11, 0, 777),  # a slip only: the value's digit doubled
+        (4, 0, 9, 11, 0, 500), (4, 1, 9, 11, 0, 500),  # two lines fail
+        (5, 0, 2, 3, 0, 100),  # two single solutions
+        (6, 0, 2, 3, 0, 6),  # nothing is wrong
+    ]
+    second = [(1, 0, "quantity", 7), (1, 0, "rate", 11), (2, 0, "quantity", 7), (2, 0, "rate", 11), (4, 0, "quantity", 1), (5, 0, "quantity", 33.33), (5, 0, "rate", 50), (5, 0, "quantity", None), (6, 0, "quantity", 3)]
+    found = repair.search(spark.createDataFrame([(*r[:2], *map(D, r[2:])) for r in lines], row), spark.createDataFrame([(*r[:3], r[3] if r[3] is None else D(str(r[3]))) for r in second], "doc_id int, line_index int, field_name string, value decimal(18,2)"))
+    got = {r["doc_id"]: (r["kind"], sorted((c["field_name"], float(c["value"])) for c in r["changes"])) for r in found.collect()}
+    assert got == {1: ("single", [("quantity", 7.0)]), 2: ("pair", [("quantity", 7.0), ("rate", 11.0)]), 3: ("slip", [("taxable_value", 77.0)])}
+
+
+def test_grounding(spark):
+    pages = spark.createDataFrame([(1, 2, "Date 05/06/2025"), (1, 1, "Total ₹ 1,23,456.50\nGSTIN 27AAPFU 0939F1ZV  Acme   Ltd"), (2, 1, "x"), (2, 2, None)], "doc_id int, page int, text string")
+    asked = [("number", "123456.5"), ("number", "-123456.50"), ("number", "99"), ("number", "x"), ("gstin", "27AAPFU0939F1ZV"), ("string", "ACME LTD"), ("string", "Ac"), ("date", "2025-06-05"), ("date", "2025-05-06"), ("text", "Acme"), ("string", None)]
+    fields = spark.createDataFrame([(1, str(i), k, v) for i, (k, v) in enumerate(asked)] + [(2, "0", "string", "xxx"), (3, "0", "string", "xxx")], "doc_id int, field_name string, kind string, value string")
+    rows = {(r["doc_id"], int(r["field_name"])): r["in_text_layer"] for r in codes.grounded(fields, codes.text_layers(pages)).collect()}
+    assert [rows[1, i] for i in range(len(asked))] == [True, True, False, False, True, True, None, True, False, None, None]
+    assert rows[2, 0] is None and rows[3, 0] is None
+
+
+def test_empty_reports(spark):
+    gate = spark.createDataFrame([], "doc_type string, quality string, passed boolean")
+    assert [tuple(r) for r in metrics.readiness(gate).collect()] == [("no_eval_run", 0, [])]
