@@ -120,6 +120,18 @@ def certify(rows: DataFrame, alpha: float, delta: float, guide: DataFrame | None
     return found
 
 
+def certificates(rows: DataFrame) -> dict[str, dict]:
+    """The certificate of each stakes group of ``labelled`` rows: certified on the sampled documents of the cal half at the
+    group's ``ALPHA``, guided by those of the fit half."""
+    sampled = rows.where("is_qa_sample").withColumn("half", half("doc_id")).persist()
+    found = {}
+    for group, alpha in ALPHA.items():
+        mine = sampled.where(F.coalesce("is_high_stakes", F.lit(False)) == F.lit(group == "high_stakes"))
+        found[group] = certify(mine.where("half = 'cal'"), alpha, DELTA / 2, mine.where("half = 'fit'"))
+    sampled.unpersist()
+    return found
+
+
 def refit(rows: DataFrame, features: list[str], label: str, l2: float = 1.0) -> dict[str, float]:
     """Weights of a logistic model with an L2 penalty on each, by Newton steps: every step is one aggregate of fixed size."""
     n, x = len(features), F.array(*[F.col(f).cast("double") for f in features])

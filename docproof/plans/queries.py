@@ -849,9 +849,10 @@ def _(fields, docs):
 
 @query("RC9_certificate", "fields", "docs")
 def _(fields, docs):
-    rows = risk.labelled(fields, docs).where("status <> 'corrected' or score < 0.5")
-    found = risk.certify(rows, 0.05, risk.DELTA / 2)
-    return fields.sparkSession.createDataFrame([(found.get("threshold"), found.get("accepted"), found.get("errors"), found.get("upper"))], "threshold double, accepted long, errors long, upper double")
+    """One row a stakes group; the threshold is null where nothing can be certified."""
+    names = ("threshold", "accepted", "errors", "p_value", "upper")
+    found = risk.certificates(risk.labelled(fields, docs))
+    return fields.sparkSession.createDataFrame([(group, *(c.get(x) for x in names)) for group, c in found.items()], "stakes string, threshold double, accepted long, errors long, p_value double, upper double")
 
 
 @query("RC3_refit", "fields", "docs")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from docproof.functions import gst, text
 from docproof.functions import normalize as norm
 from docproof.operators import checks, codes, evidence, matching, metrics, records, repair, risk
+from docproof.plans.queries import QUERIES
 from docproof.sources import datasets
 
 
@@ -113,6 +114,37 @@ def test_certificate_holds(spark):
     assert risk.certify(rows.limit(0), 0.01, 0.05)["threshold"] is None
 
 
+def test_certificates_by_hand(spark):
+    """Corrected fields of high score count, each group has its own alpha, the fit half guides, and only sampled documents certify."""
+
+    def straight(cal, guide, alpha, delta):
+        p = lambda rows, t: (lambda n, k: risk.binomial_tail(k, n, alpha) if n >= 1 else 1.0)(sum(s >= t for s, _ in rows), sum(w for s, w in rows if s >= t))
+        steps, found = sorted({s for s, _ in cal}, reverse=True), None
+        start = min(range(len(steps)), key=lambda i: p(guide, steps[i]))
+        for t in steps[start:]:
+            if p(cal, t) > delta:
+                break
+            found = t
+        return found
+
+    # one field a document, so the design effect is 1; errors lie at 0.6 to 0.7, above the middle
+    every = [(i, i % 100 / 100, i % 3 > 0, 60 <= i % 100 < 70 and i % 2 == 0 or i % 100 < 30, i % 7 != 0) for i in range(24_000)]
+    fields = spark.createDataFrame([(i, 0, s, h, "corrected" if w else "auto", "1", "2" if w else None) for i, s, h, w, _ in every], "doc_id long, line_index int, score double, is_high_stakes boolean, status string, value string, final_value string")
+    docs = spark.createDataFrame([(i, q, "x") for i, _, _, _, q in every], "doc_id long, is_qa_sample boolean, reviewed_at string")
+    got = risk.certificates(risk.labelled(fields, docs))
+    fit = {i for i, *_ in every if hashlib.sha256(str(i).encode()).digest()[0] < 128}
+    for group, alpha in (("normal", 0.01), ("high_stakes", 0.003)):
+        mine = [(i, s, w) for i, s, h, w, q in every if q and h == (group == "high_stakes")]
+        want = straight([(s, w) for i, s, w in mine if i not in fit], [(s, w) for i, s, w in mine if i in fit], alpha, 0.025)
+        assert want is not None and want > 0.65 and got[group]["threshold"] == want
+    unsampled = risk.certificates(risk.labelled(fields, docs.withColumn("is_qa_sample", F.lit(False))))
+    assert [c["threshold"] for c in unsampled.values()] == [None, None]
+
+
+def test_certificate_query_has_both_groups(spark, sf_dir):
+    assert [r["stakes"] for r in QUERIES["RC9_certificate"](spark, sf_dir).orderBy("stakes").collect()] == ["high_stakes", "normal"]
+
+
 def test_refit_recovers_weights(spark):
     rows = spark.range(6000).selectExpr("1.0 as bias", "cast(id % 2 as double) as x", "cast(pmod(xxhash64(id), 1000) < case when id % 2 = 1 then 900 else 300 end as int) as y")
     w = risk.refit(rows, ["bias", "x"], "y")
