@@ -7,7 +7,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
-from docproof.llm import simhash
+from docproof.llm import similar, simhash
 from docproof.llm.common import table
 from docproof.llm.exact_dedup import drop_exact_copies, exact_dedup
 from docproof.llm.line_dedup import remove_repeated_lines
@@ -89,6 +89,43 @@ def test_near_edge_cases(spark):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def similar_by_hand(rows):
+    sets = []
+    for _, text in rows:
+        words = [w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if w]
+        sets.append({tuple(words[i : i + 5]) for i in range(len(words) - 4)} if len(words) > 4 else {tuple(words)})
+    label = [i for i, _ in rows]
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if 5 * (k := len(sets[i] & sets[j])) >= 4 * (len(sets[i]) + len(sets[j]) - k)]
+    for _ in rows:
+        for i, j in pairs:
+            label[i] = label[j] = min(label[i], label[j])
+    return {i: x for (i, _), x in zip(rows, label, strict=True)}
+
+
+def test_similar_by_brute_force(spark, sf_dir):
+    dice = np.random.default_rng(5)
+    base = [f"w{x}" for x in dice.integers(0, 5000, 120)]
+    rows = [(r["doc_id"] + 1000, r["text"]) for r in table(spark, sf_dir, "documents").collect()] + [(1, ""), (2, " \n"), (3, None), (4, "One two"), (5, "one  TWO"), (6, "two one")]
+    for i in range(60):  # from a word to six edited
+        words = list(base)
+        for at in dice.choice(len(words), i % 6 + 1, replace=False):
+            words[at] = "new" + str(i)
+        rows.append((100 + i, " ".join(words)))
+    got = {r["doc_id"]: r["component_id"] for r in similar.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == similar_by_hand(rows)
+
+
+def test_near_stage_drops_an_edited_copy(spark, sf_dir):
+    import corpus_pipeline
+
+    words = [f"word{i}" for i in range(100)]
+    edited = [" ".join([*words[:at], "other", *words[at + 1 :]]) for at in (20, 50, 80)]
+    docs = spark.createDataFrame([(1, " ".join(words), "c"), *((i + 2, t, "c") for i, t in enumerate(edited)), (None, edited[0], "c"), (9, None, "c")], "doc_id long, text string, component_id string")
+    kept = corpus_pipeline.near_copies(spark, docs, sf_dir)
+    assert kept.columns == docs.columns and sorted((r["doc_id"] or -1) for r in kept.collect()) == [-1, 1, 9]
+    assert corpus_pipeline.near_copies(spark, docs.limit(0), sf_dir).count() == 0
+
+
 def lines_by_hand(rows):
     first, texts = {}, {i: t.split("\n") if t else [] for i, t in sorted(rows)}
     gone = {i: set() for i in texts}
