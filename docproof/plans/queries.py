@@ -706,6 +706,11 @@ def _(fields):
     return evidence.reread_targets(fields, 3).select("doc_id", "line_index")
 
 
+@query("EV6_reread_whole", "fields", sql="select doc_id, line_index from (select doc_id, line_index, row_number() over (partition by doc_id order by is_high_stakes desc, score, line_index) as r from fields where not proven) where r <= 40")
+def _(fields):
+    return evidence.reread_targets(fields).select("doc_id", "line_index")
+
+
 @query("EV7_reread_outcome", "fields", sql="select doc_id, line_index, case when is_high_stakes then 'illegible' when final_value is null then 'differ' when value = final_value then 'agree' else 'differ' end as outcome from fields")
 def _(fields):
     return fields.select("doc_id", "line_index", evidence.reread_outcome("value", "final_value", ~F.col("is_high_stakes")).alias("outcome"))

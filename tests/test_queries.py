@@ -9,6 +9,7 @@ import pandas as pd
 import pytest
 
 from docproof.plans.queries import ORACLES, QUERIES
+from docproof.sources.tables import load
 
 
 @pytest.fixture(scope="module")
@@ -57,3 +58,9 @@ def test_entry(spark):
     import __spark_entry__ as e
 
     assert e.entry(spark).count() == 4 and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_reread_keeps_all_below_the_limit(spark, sf_dir):
+    unproven = load(spark, sf_dir, "fields").where("not proven").groupBy("doc_id").count()
+    assert unproven.where("count > 3").count() > 0 and unproven.where("count > 40").isEmpty()
+    assert QUERIES["EV6_reread_whole"](spark, sf_dir).count() == unproven.agg({"count": "sum"}).first()[0]
