@@ -60,6 +60,11 @@ def _(prints):
     return prints.where("amount like 'INR%' or amount in ('nil', '.5', 'abc', '')").select("doc_id", "line_index", norm.parse_int("amount").alias("n"))
 
 
+@query("SC3_parse_int_whole", "prints")
+def _(prints):
+    return prints.select("doc_id", "line_index", "amount", norm.parse_int("amount").alias("n"))
+
+
 @query("SC4_parse_percent", "prints", sql=r"""
     select doc_id, line_index, cast(case when percent_text = '9% + 9%' then 18 when percent_text = '18 %' then 18 when percent_text = '2.5+2.5' then 5
         when regexp_full_match(percent_text, '[0-9]+%') then cast(replace(percent_text, '%', '') as int) end as double) as pct from prints""")
@@ -388,6 +393,15 @@ def _(fields):
     return rows.select("doc_id", "line_index", F.when(norm.values_agree(F.lit("number"), "value", "code"), "pass").otherwise("fail").alias("status"))
 
 
+@query("CK22_code_agrees_whole", "fields", sql="""select doc_id, line_index, case when doc_id % 3 = 0 then case when doc_id % 12 = 0 then 'fail' else 'pass' end end as status from fields""")
+def _(fields):
+    """Two of three documents have no code, so their status is null."""
+    code = F.when(F.col("doc_id") % 3 == 0, F.col("value").cast("decimal(18,2)") + F.when(F.col("doc_id") % 12 == 0, 1).otherwise(0))
+    rows = fields.withColumn("code", code.cast("string"))
+    status = F.when(norm.values_agree(F.lit("number"), "value", "code"), "pass").otherwise("fail")
+    return rows.select("doc_id", "line_index", F.when(F.col("code").isNotNull(), status).alias("status"))
+
+
 @query("CK25_line_count", "inv_header", "inv_line", sql="""select h.doc_id, case when h.line_count + case when h.doc_id % 16 = 0 then 1 else 0 end = coalesce(n, 0) then 'pass' else 'fail' end as status
     from inv_header h left join (select doc_id, count(*) as n from inv_line group by 1) l on l.doc_id = h.doc_id""")
 def _(headers, lines):
@@ -471,6 +485,17 @@ def _(fields, lines):
     return f.join(t, ["doc_id", "line_index"], "full").select("doc_id", "line_index", outcome.alias("outcome"))
 
 
+@query("JN10_truth_vs_read_whole", "fields", "inv_line", sql="""
+    select doc_id, line_index, case when doc_id % 77 = 0 then 'absent' when doc_id % 7 = 0 then 'missed' when doc_id % 11 = 0 then 'extra' else 'right' end as outcome from inv_line""")
+def _(fields, lines):
+    """Some readings and some truths are null; every line has an outcome."""
+    f = fields.select("doc_id", "line_index", F.when(F.col("doc_id") % 7 > 0, F.col("value")).alias("value"))
+    t = lines.select("doc_id", "line_index", F.when(F.col("doc_id") % 11 > 0, F.col("quantity")).alias("quantity"))
+    read, true = F.col("value").isNotNull(), F.col("quantity").isNotNull()
+    outcome = F.when(~read & ~true, "absent").when(~read, "missed").when(~true, "extra").when(F.col("value").cast("decimal(18,2)") == F.col("quantity"), "right").otherwise("wrong")
+    return f.join(t, ["doc_id", "line_index"], "full").select("doc_id", "line_index", outcome.alias("outcome"))
+
+
 @query("JN15_parents", "docs", sql="select c.doc_id, p.doc_id as parent_id, p.status as parent_status from docs c join docs p on p.doc_id = c.doc_id // 8 * 8 and p.doc_id <> c.doc_id")
 def _(docs):
     parents = docs.select(F.col("doc_id").alias("parent_id"), F.col("status").alias("parent_status"))
@@ -652,6 +677,13 @@ def _(docs):
     return records.own_numbers(seen, docs.select("tenant_id", F.concat(F.lit("g-"), "tenant_id", F.lit("x")).alias("gstin")).distinct())
 
 
+@query("AG25_own_numbers_whole", "docs", sql="""select tenant_id, gstin from (select tenant_id, 'G' || (vendor_id % 9) as gstin, count(*) as n from docs where reviewed_at is not null group by all) where n >= 3
+    union select distinct tenant_id, 'G' || tenant_id || 'X' from docs""")
+def _(docs):
+    seen = docs.where("reviewed_at is not null").select("tenant_id", F.concat(F.lit("G"), F.col("vendor_id") % 9).alias("gstin"))
+    return records.own_numbers(seen, docs.select("tenant_id", F.concat(F.lit("g-"), "tenant_id", F.lit("x")).alias("gstin")).distinct())
+
+
 @query("AG26_dominant_type", "docs", sql="""with r as (select tenant_id, doc_type, row_number() over (partition by tenant_id order by docs.created_at desc, doc_id desc) as r from docs where doc_type is not null), c as (select tenant_id, doc_type, count(*) as n, min(r) as first from r where r <= 200 group by all)
     select tenant_id, max_by(doc_type, struct_pack(n := n, f := -first)) as doc_type, cast(sum(n) as bigint) as seen, cast(round(cast(max(n) as decimal(18,8)) / sum(n), 4) as double) as share from c group by 1""")
 def _(docs):
@@ -687,6 +719,12 @@ def _(docs):
     return docs.where("doc_id % 97 = 1").groupBy("tenant_id").agg(F.coalesce(F.min_by("quality_bucket", rank), F.lit("digital")).alias("quality"))
 
 
+@query("AG31_worst_page_whole", "docs", sql="select tenant_id, case min(case quality_bucket when 'poor_scan' then 1 when 'good_scan' then 2 when 'digital' then 3 end) when 1 then 'poor_scan' when 2 then 'good_scan' else 'digital' end as quality from docs group by 1")
+def _(docs):
+    rank = F.when(F.col("quality_bucket") == "poor_scan", 1).when(F.col("quality_bucket") == "good_scan", 2).when(F.col("quality_bucket") == "digital", 3)
+    return docs.groupBy("tenant_id").agg(F.coalesce(F.min_by("quality_bucket", rank), F.lit("digital")).alias("quality"))
+
+
 # --- evidence, scores, repair ----------------------------------------------------------------------------------------
 
 
@@ -729,10 +767,12 @@ def _(lines):
 
 @query("RP5_repair", "inv_line")
 def _(lines):
-    wrong = lines.withColumn("read", F.when(F.col("line_index") == 0, F.col("quantity") * 10).otherwise(F.col("quantity")).cast("bigint")).where("item_code % 11 <> 0")
-    tried = wrong.where("line_index = 0").select("doc_id", "line_index", "rate", "taxable_value", "discount", "quantity", F.explode(evidence.slips("read")).alias("v"))
-    fits = tried.where(F.abs(F.col("v") * F.col("rate") - F.col("discount") - F.col("taxable_value")) <= F.greatest(F.lit("0.51").cast("decimal(9,2)"), F.col("taxable_value") * F.lit("0.0005").cast("decimal(9,4)")))
-    return fits.groupBy("doc_id", "line_index").agg(F.count_distinct("v").alias("n"), F.min("v").alias("repaired")).where("n = 1").select("doc_id", "line_index", "repaired")
+    """The first line of each document is misread; every line that fails its arithmetic as read is tried."""
+    read = F.when(F.col("line_index") == 0, F.col("quantity") * 10).otherwise(F.col("quantity")).cast("bigint")
+    fits = lambda v: F.abs(F.col(v) * F.col("rate") - F.col("discount") - F.col("taxable_value")) <= F.greatest(F.lit("0.51").cast("decimal(9,2)"), F.col("taxable_value") * F.lit("0.0005").cast("decimal(9,4)"))
+    wrong = lines.withColumn("read", read).where(~fits("read"))
+    tried = wrong.select("doc_id", "line_index", "rate", "taxable_value", "discount", F.explode(evidence.slips("read")).alias("v"))
+    return tried.where(fits("v")).groupBy("doc_id", "line_index").agg(F.count_distinct("v").alias("n"), F.min("v").alias("repaired")).where("n = 1").select("doc_id", "line_index", "repaired")
 
 
 @query("CF3_score", "fields", sql="select doc_id, line_index, 1 / (1 + exp(-(2.0 + case when proven then 1.5 else 0 end + case when agree then 2.5 else -3.5 * (case when needs_review then 1 else 0 end) end))) as score from fields")
@@ -1139,7 +1179,7 @@ def _(lines):
     """One line of a document is misread: its quantity with a zero too many, of every third document its rate too; every second document has
     another reading, which saw both as they are."""
     first = F.col("line_index") == 0
-    rows = lines.where("item_code % 11 <> 0").select("doc_id", "line_index", "rate_per", "discount", "taxable_value", F.when(first, F.col("quantity") * 10).otherwise(F.col("quantity")).cast("decimal(18,2)").alias("quantity"), F.when(first & (F.col("doc_id") % 3 == 0), F.col("rate") + 100).otherwise(F.col("rate")).cast("decimal(18,2)").alias("rate"))
+    rows = lines.select("doc_id", "line_index", "rate_per", "discount", "taxable_value", F.when(first, F.col("quantity") * 10).otherwise(F.col("quantity")).cast("decimal(18,2)").alias("quantity"), F.when(first & (F.col("doc_id") % 3 == 0), F.col("rate") + 100).otherwise(F.col("rate")).cast("decimal(18,2)").alias("rate"))
     seen = F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("value")) for f in ("quantity", "rate")])
     second = lines.where("line_index = 0 and doc_id % 2 = 0").select("doc_id", "line_index", F.explode(seen).alias("s")).select("doc_id", "line_index", "s.*")
     found = repair.search(rows, second)
