@@ -16,10 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``. Only where that is unset (tests) is one
-    made, in the local temp folder."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where that is unset, a local session (tests)
+    gets one in its temp folder; on a cluster no such folder would do, so nothing is written there."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         import tempfile
 
         found = "file://" + tempfile.mkdtemp(prefix="docproof-")
@@ -27,18 +29,23 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def save(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` as a table into the shared folder and reads it back: later steps start from the files, so a lost
-    executor costs one task and not the whole history."""
+def write(df: DataFrame, name: str) -> str:
+    """Writes ``df`` as a table into the shared folder and tells where."""
     path = f"{shared_dir(df.sparkSession)}/docproof/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return path
+
+
+def save(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written and read back: later steps start from the files, so a lost executor costs one task and not the whole
+    history."""
+    return df.sparkSession.read.schema(df.schema).parquet(write(df, name))
 
 
-def parallel(df: DataFrame, rows_per_task: int = 20_000) -> DataFrame:
-    """Spreads a small table over the cluster before costly work on its rows."""
-    spark = df.sparkSession
-    return df.repartition(max(spark.sparkContext.defaultParallelism, 1))
+def spread(table: DataFrame, rows_per_task: int = 20_000) -> DataFrame:
+    """Deals a written table over the cluster before work that makes many rows of each."""
+    tasks = max(table.sparkSession.sparkContext.defaultParallelism, -(-table.count() // rows_per_task))
+    return table.repartition(tasks)
 
 
 def plain(text) -> F.Column:

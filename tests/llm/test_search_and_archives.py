@@ -37,6 +37,53 @@ def test_search_over_shards(spark, sf_dir):
     assert hits / total >= 0.9
 
 
+def nearest_by_hand(rows, every=100, k=10):
+    """(query, vec_id) -> distance, in exact fractions of the doubles."""
+    from fractions import Fraction
+
+    exact = {i: [Fraction(x) for x in v] for i, v in rows}
+    for q in (i for i in exact if i % every == 0):
+        near = sorted((sum((a - b) ** 2 for a, b in zip(exact[q], v, strict=True)), i) for i, v in exact.items() if i != q)
+        yield q, [i for _, i in near[:k]]
+
+
+@pytest.mark.parametrize(("scale", "offset"), [(1.0, 1e5), (1e-30, 0.0), (1e200, 0.0), (3e-310, 0.0), (1e300, 0.0)])
+def test_search_of_far_and_tiny_vectors(spark, scale, offset):
+    dice = np.random.default_rng(4)
+    rows = [(i, (dice.normal(size=3) * scale + offset).tolist()) for i in range(600)]
+    got = {}
+    for r in nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), shard_rows=64).collect():
+        got.setdefault(r["query_id"], {})[r["vec_id"]] = r["score"]
+    hits = [len(set(near) & set(got[q])) / 10 for q, near in nearest_by_hand(rows)]
+    assert len(hits) == 6 and all(len(x) == 10 for x in got.values()) and np.mean(hits) >= 0.9
+    assert all(np.isfinite(s) and s > 0 for x in got.values() for s in x.values())
+
+
+def test_search_over_mixed_magnitudes_and_blocks(spark, monkeypatch):
+    from docproof.llm import graph_search
+
+    monkeypatch.setattr(graph_search, "QUERY_BLOCK", 7)
+    dice = np.random.default_rng(6)
+    rows = [(i, (dice.normal(size=8) * 10.0 ** (-150 * (i % 3))).tolist()) for i in range(900)] + [(8, [1.0] * 8), (3, [2.0] * 8), (100, [1e9] * 8)]
+    found = nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=20, shard_rows=64).collect()
+    got = {}
+    for r in found:
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert all(len(x) == len(set(x)) == 10 for x in got.values()) and len(got) == 45
+    first = [(i, v) for i, v in rows if sum(j == i for j, _ in rows) == 1]
+    hits = [len(set(near) & set(got[q])) / 10 for q, near in nearest_by_hand(first, 20) if q in got]
+    assert np.mean(hits) >= 0.9
+
+
+def test_a_search_that_reaches_too_few_looks_at_all(spark):
+    from docproof.llm.graph_search import build_index, search_index
+
+    rows = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(1, 40)], "vec_id long, embedding array<double>")
+    lost = build_index(rows).withColumn("near", F.transform("near", lambda _: F.array().cast("array<int>")))
+    asked = spark.createDataFrame([(5, [5.0, 1.0])], "id long, v array<double>")
+    assert [r["vec_id"] for r in search_index(lost, asked, 4).orderBy("rank").collect()] == [4, 6, 3, 7]
+
+
 def test_search_edge_cases(spark):
     nan = float("nan")
     rows = [(0, [1.0, 0.0]), (1, [0.0, 0.0]), (2, None), (3, [nan, 1.0]), (4, [None, 1.0]), (None, [1.0, 1.0]), (5, [1.0, 1.0, 1.0]), (100, [2.0, 0.0]), (7, [2.0, 0.0]), (7, [2.0, 0.0]), (8, [2.0, 0.0]), (200, [5.0, float("inf")])]
