@@ -51,3 +51,9 @@ def spread(table: DataFrame, rows_per_task: int = 20_000) -> DataFrame:
 def plain(text) -> F.Column:
     """Null text counts as empty."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` with its own columns, without the rows whose id and text's hash are in ``gone`` (id, place)."""
+    gone = save(gone.distinct(), "gone").select(F.col("id").alias("__gone_id"), F.col("place").alias("__gone_place"))
+    return docs.join(gone, (docs[id_col] == gone["__gone_id"]) & (F.xxhash64(plain(docs[text_col])) == gone["__gone_place"]), "left_anti")

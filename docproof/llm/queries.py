@@ -111,18 +111,17 @@ ORACLE = {
                doc_id = min(doc_id) over (partition by text_sha256) as kept, text_sha256
         from h""",
     "op8_line_dedup": r"""
-        with l as (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as pos
-                   from documents where coalesce(text, '') <> ''),
-        w as (select doc_id, pos, line as a, lead(line, 1) over d as b, lead(line, 2) over d as c, lead(pos, 2) over d as p
-              from l window d as (partition by doc_id order by pos)),
-        f as (select a, b, c, min(struct_pack(doc_id := doc_id, pos := pos)) as first, count(*) as n
-              from w where p is not null and (trim(a) <> '' or trim(b) <> '' or trim(c) <> '') group by a, b, c),
-        r as (select distinct w.doc_id, w.pos + i.i as pos from w join f using (a, b, c) cross join (select unnest([0, 1, 2]) as i) i
-              where p is not null and (w.doc_id <> f.first.doc_id or w.pos <> f.first.pos)),
-        k as (select l.doc_id, count(*) as n_lines, count(r.pos) as n_removed, coalesce(string_agg(l.line, chr(10) order by l.pos) filter (where r.pos is null), '') as text
-              from l left join r on l.doc_id = r.doc_id and l.pos = r.pos group by l.doc_id)
-        select d.doc_id, coalesce(n_lines, 0) as n_lines, coalesce(n_removed, 0) as n_removed, sha256(coalesce(k.text, '')) as text_sha256
-        from documents d left join k on d.doc_id = k.doc_id""",
+        with d as (select distinct doc_id, coalesce(text, '') as text, substr(md5(coalesce(text, '')), 1, 15) as print from documents),
+        l as (select doc_id, print, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as pos from d where text <> ''),
+        w as (select doc_id, print, pos, line as a, lead(line, 1) over d as b, lead(line, 2) over d as c, lead(pos, 2) over d as p
+              from l window d as (partition by doc_id, print order by pos)),
+        o as (select *, row_number() over (partition by a, b, c order by doc_id nulls last, print, pos) as turn
+              from w where p is not null and (trim(a) <> '' or trim(b) <> '' or trim(c) <> '')),
+        r as (select distinct doc_id, print, pos + i.i as pos from o cross join (select unnest([0, 1, 2]) as i) i where turn > 1),
+        k as (select l.doc_id, l.print, count(*) as n_lines, count(r.pos) as n_removed, coalesce(string_agg(l.line, chr(10) order by l.pos) filter (where r.pos is null), '') as text
+              from l left join r on l.doc_id is not distinct from r.doc_id and l.print = r.print and l.pos = r.pos group by l.doc_id, l.print)
+        select t.doc_id, coalesce(n_lines, 0) as n_lines, coalesce(n_removed, 0) as n_removed, sha256(coalesce(k.text, '')) as text_sha256
+        from documents t left join k on t.doc_id is not distinct from k.doc_id and substr(md5(coalesce(t.text, '')), 1, 15) = k.print""",
 }
 
 

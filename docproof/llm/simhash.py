@@ -4,20 +4,23 @@ A fingerprint has 64 bits, cut into four segments of 16. Two fingerprints that d
 4 errors over the segments, so by the pigeonhole principle one of these holds:
 
 * some segment has no error, and then of the other three at least one has 0 or 1 (three with two each would be 6);
-* every segment has exactly one error.
+* every segment has exactly one error, and then each has one half without any.
 
 A segment with at most one error is found through the binary Golay code [23, 12, 7]: read as a (shortened) 23-bit word,
 every segment decodes to the one codeword within distance 3. The *filed* side keeps the index of that codeword. The
 *asking* side emits the index for each word within one bit of its segment - few, because most of them decode alike - so
-an error of one bit cannot hide a pair. Keys are (exact segment, codeword of another) and, for the last case,
-(codeword, codeword). The join verifies the distance itself, and reports a pair under its first key only.
+an error of one bit cannot hide a pair. Keys are (exact segment, codeword of another) and, for the last case, the exact
+halves of three segments, one key for each of the eight ways to choose them. Every key tells about 24 bits. The join
+verifies the distance itself, and reports a pair under its first key only.
 
 Components come from the links by contraction (see ``components``) on tables in the shared folder. Only distinct
 fingerprints take part, so exact copies, however many, cost one row; each document then gets the label of its
 fingerprint. Joins that a frequent fingerprint could skew read written tables, so that adaptive execution can split them.
 
 Defined results: null text is the empty text; texts without words share the fingerprint zero and link like any other;
-rows with a null id get the component of their fingerprint; repeated rows are kept as they are.
+rows with a null id get the component of their fingerprint, and null where no row of it has an id; repeated rows are
+kept as they are. ``drop_near_copies`` keeps of each component the row with the smallest id, of rows that share that id the
+one with the smallest digest of its text, and rows without an id; rows equal in id and text stay or go together.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docproof.llm.common import plain, save
+from docproof.llm.common import plain, save, spread, without
 
 SHINGLE = 4
 MAX_ERRORS = 4
@@ -61,14 +64,14 @@ def fingerprint_of(text: str, size: int = SHINGLE) -> int:
     return int(np.packbits(set_bits * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, fp (the 64 bits as a signed long)."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: str) -> DataFrame:
+    """id, fp (the 64 bits as a signed long), and the columns ``more``."""
 
     @F.pandas_udf("long")
     def fp(texts: pd.Series) -> pd.Series:
         return pd.Series(np.array([fingerprint_of(x) for x in texts], dtype=np.uint64).view(np.int64))
 
-    return docs.select(F.col(id_col).alias("id"), fp(plain(text_col)).alias("fp"))
+    return docs.select(F.col(id_col).alias("id"), *more, fp(plain(text_col)).alias("fp"))
 
 
 @cache
@@ -93,7 +96,7 @@ def golay_tables() -> tuple[np.ndarray, np.ndarray]:
 
 
 def _keys(fp: np.ndarray, asking: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(key, row of its fingerprint). A key: 4 bits for the kind, then the exact segment, then the codeword's index."""
+    """(key, row of its fingerprint). A key: the kind, then the exact segment and the codeword's index, or three halves."""
     index, near = golay_tables()
     segments = [((fp >> (16 * i)) & 0xFFFF).astype(np.int64) for i in range(4)]
     rows = np.arange(len(fp))
@@ -107,10 +110,10 @@ def _keys(fp: np.ndarray, asking: bool) -> tuple[np.ndarray, np.ndarray]:
     for kind, (a, b) in enumerate(EXACT_THEN_NEAR):
         codes = near[segments[b]] if asking else index[segments[b]][:, None]
         put((kind << 32) | (segments[a] << 12)[:, None] | codes, codes >= 0)
-    first, second = (near[segments[0]], near[segments[1]]) if asking else (index[segments[0]][:, None], index[segments[1]][:, None])
-    both = (first[:, :, None] << 12) | second[:, None, :] | (len(EXACT_THEN_NEAR) << 32)
-    valid = (first[:, :, None] >= 0) & (second[:, None, :] >= 0)
-    put(both.reshape(len(fp), -1), valid.reshape(len(fp), -1))
+    for pattern in range(8):
+        halves = [(segments[i] >> 8 * (pattern >> i & 1)) & 0xFF for i in range(3)]
+        key = (len(EXACT_THEN_NEAR) + pattern << 32) | halves[0] << 16 | halves[1] << 8 | halves[2]
+        put(key[:, None], np.ones((len(fp), 1), dtype=bool))
     return np.concatenate(keys), np.concatenate(owners)
 
 
@@ -134,10 +137,12 @@ def _errors(i: int) -> str:
 
 def links(prints: DataFrame) -> DataFrame:
     """a, b with a < b: every pair of distinct fingerprints that differ in at most ``MAX_ERRORS`` bits, once."""
-    first = "case " + " ".join(f"when {_errors(a)} = 0 and {_errors(b)} <= 1 then {kind}" for kind, (a, b) in enumerate(EXACT_THEN_NEAR)) + f" else {len(EXACT_THEN_NEAR)} end"
+    pattern = " + ".join(f"if((a.fp ^ b.fp) & {0xFF << 16 * i}L = 0, 0, {1 << i})" for i in range(3))
+    first = "case " + " ".join(f"when {_errors(a)} = 0 and {_errors(b)} <= 1 then {kind}" for kind, (a, b) in enumerate(EXACT_THEN_NEAR)) + f" else {len(EXACT_THEN_NEAR)} + {pattern} end"
+    prints = spread(prints)
     filed, asking = fuzzy_keys(prints, False).alias("a"), fuzzy_keys(prints, True).alias("b")
     close = F.expr(f"a.key = b.key and a.fp < b.fp and bit_count(a.fp ^ b.fp) <= {MAX_ERRORS} and shiftright(a.key, 32) = {first}")
-    return asking.join(filed.hint("shuffle_hash"), close).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
+    return asking.join(filed, close).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -163,20 +168,26 @@ def components(edges: DataFrame) -> DataFrame:
             return found
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: doc_id, fingerprint (16 hex digits), component_id."""
-    prints = save(fingerprints(docs, id_col, text_col), "fingerprints")
-    distinct = save(prints.groupBy(F.col("fp").alias("node")).agg(F.min("id").alias("label")), "nodes")
+def _labelled(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, place (a digest of the text), fp and first: the smallest (id, place) of the component, null without ids."""
+    texts = docs.select(F.col(id_col).alias("id"), plain(text_col).alias("text"))
+    prints = save(fingerprints(texts.withColumn("place", F.xxhash64("text")), "id", "text", "place"), "fingerprints")
+    known = F.when(F.col("id").isNotNull(), F.struct("id", "place"))
+    distinct = save(prints.groupBy(F.col("fp").alias("node")).agg(F.min(known).alias("first")), "nodes")
     edges = save(links(distinct.select(F.col("node").alias("fp"))), "links")
-    rooted = distinct.join(components(edges), "node", "left").select(F.col("node").alias("fp"), F.coalesce("root", "node").alias("root"), "label")
+    rooted = distinct.join(components(edges), "node", "left").select(F.col("node").alias("fp"), F.coalesce("root", "node").alias("root"), "first")
     rooted = save(rooted, "roots")
-    smallest = rooted.groupBy("root").agg(F.min("label").alias("component_id"))
-    label = save(rooted.join(smallest, "root").select("fp", "component_id"), "components")
-    return prints.join(label, "fp").select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    smallest = rooted.groupBy("root").agg(F.min("first").alias("first"))
+    return prints.join(save(rooted.drop("first").join(smallest, "root").select("fp", "first"), "components"), "fp")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row a document: doc_id, fingerprint (16 hex digits), component_id."""
+    found = _labelled(docs, id_col, text_col)
+    return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first.id").alias("component_id"))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with its own columns; of each component the row with the smallest id stays."""
-    found = near_duplicates(docs, id_col, text_col)
-    gone = save(found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone_id")), "gone")
-    return docs.join(gone, docs[id_col] == gone["__gone_id"], "left_anti")
+    """``docs`` with its own columns; of each component one document stays."""
+    found = _labelled(docs, id_col, text_col)
+    return without(docs, found.where("id is not null and struct(id, place) != first").select("id", "place"), id_col, text_col)

@@ -89,6 +89,32 @@ def test_near_edge_cases(spark):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_unique_texts_stay_where_ids_repeat(spark):
+    text, other = (" ".join(f"{w}{i}" for i in range(80)) for w in ("word", "thing"))
+    docs = spark.createDataFrame([(1, text), (5, text), (5, other), (5, other), (None, "lone")], "doc_id long, text string")
+    for drop in (simhash.drop_near_copies, similar.drop_similar):
+        assert sorted(((r["doc_id"] or 0), r["text"]) for r in drop(docs).collect()) == sorted([(1, text), (5, other), (5, other), (0, "lone")])
+
+
+def test_near_duplicates_by_brute_force(spark, sf_dir):
+    rows = [(r["doc_id"], r["text"]) for r in table(spark, sf_dir, "documents").collect()]
+    rows += [(1000 + i, " ".join([*t.split()[: 40 + i], *(["edit"] if i % 2 else [])])) for i, (_, t) in enumerate(rows[:60])] + [(2000, ""), (2001, None)]
+    prints = [slow_print(t or "") for _, t in rows]
+    label = [i for i, _ in rows]
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 4]
+    for _ in rows:
+        for i, j in pairs:
+            label[i] = label[j] = min(label[i], label[j])
+    got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: (f"{f:016x}", x) for (i, _), f, x in zip(rows, prints, label, strict=True)} and len(set(label)) < len(label)
+
+
+def test_one_error_in_each_segment(spark):
+    prints = [0, *(1 << a | 1 << 16 + b | 1 << 32 + c | 1 << 48 + d for a in (0, 9) for b in (7, 8) for c in (3, 15) for d in (2, 14))]
+    got = {(r["a"], r["b"]) for r in simhash.links(spark.createDataFrame([(p,) for p in prints], "fp long")).collect()}
+    assert {(0, p) for p in prints[1:]} <= got
+
+
 def similar_by_hand(rows):
     sets = []
     for _, text in rows:
@@ -144,6 +170,32 @@ def test_lines_by_hand(spark, sf_dir):
     assert got == lines_by_hand(rows)
 
 
+def rows_by_hand(rows):
+    """(id, text) -> what is left, of rows that may share ids or have none; equal rows are one."""
+    order = lambda r: (r[0] is None, r[0] or 0, hashlib.md5(r[1].encode()).hexdigest()[:15])
+    ranked = sorted(set(rows), key=order)
+    left = lines_by_hand(list(enumerate(t for _, t in ranked)))
+    return {r: left[i] for i, r in enumerate(ranked)}
+
+
+def test_lines_of_repeated_and_missing_ids(spark, tmp_path):
+    import duckdb
+
+    from docproof.llm.queries import ORACLE, op8_line_dedup
+
+    rows = [(7, "a\nb\nc"), (7, "k\nl\nm"), (7, "a\nb\nc"), (3, "a\nb\nc\nz"), (None, "p\nq\nr\ns"), (None, "x\na\nb\nc"), (None, "u\nv"), (2**63 - 1, "p\nq\nr\nt"), (0, "a\nb"), (7, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    want = rows_by_hand(rows)
+    assert want[7, "k\nl\nm"] == "k\nl\nm" and want[None, "p\nq\nr\ns"] == "s" and want[7, "a\nb\nc"] == ""
+    key = lambda r: tuple(str(x) for x in r)
+    got = sorted((key(r) for r in op8_line_dedup(spark, str(tmp_path)).collect()))
+    digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert sorted((i, d) for i, _, _, d in got) == sorted((str(i), digest(want[i, t])) for i, t in rows)
+    base = duckdb.connect()
+    base.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(key(r) for r in base.execute(ORACLE["op8_line_dedup"]).fetchall()) == got
+
+
 def test_lines_edge_cases(spark):
     docs = spark.createDataFrame([(None, "a\nb\nc", 1), (3, "a\nb\nc", 2), (4, None, 3), (3, "a\nb\nc", 2)], "doc_id long, text string, n_lines int")
     got = sorted(((r["doc_id"] or 0), r["n_lines"], r["n_removed"], r["text"]) for r in remove_repeated_lines(docs).collect())
