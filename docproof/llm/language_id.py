@@ -3,20 +3,23 @@
 Four kinds of evidence about a text's language meet in one posterior:
 
 * the text's own likelihood under a character model of each language (byte triples, hashed to ``BUCKETS``), learned from
-  a bounded sample of labelled documents;
+  a bounded sample of labelled documents, ``SAMPLE_DOCS`` of each language; none of them is an answer too (the last one),
+  under which all triples are alike;
 * the language that the markup declares, as reliable as declarations are in this corpus;
 * the suffix of the address (country or generic), likewise;
 * the host's habit: its languages' shares, smoothed towards its domain's, and those towards the whole corpus'.
 
-The last three are estimated by grouped aggregation over all rows from what the texts alone say, summed as probabilities.
-The likelihood of a text is tempered (``TEMPER``, ``FULL``), since neighbouring triples repeat each other's evidence.
+The last three are estimated by grouped aggregation over all rows from what the texts alone say, summed as probabilities;
+a row's own part is taken out of every sum before the sum speaks about it, so no text counts twice. The likelihood of a
+text is tempered (``TEMPER``, ``FULL``), since neighbouring triples repeat each other's evidence.
 
+The model holds 256 KB a language, on the driver and in each worker; every language that a label names is learned.
 Hosts join back from a written table, so that adaptive execution can split a host with a third of the pages.
 
 Defined results: null, empty and letterless texts have no text evidence and rest on the other kinds; without any
-evidence at all the language is null and the row is rejected; null addresses and declarations are their own (uninformative)
-kinds; repeated rows count each; without labelled rows there are no languages, every language is null and nothing is
-rejected, since nothing can be told.
+evidence at all the language is null and the row is rejected, as is a row that none of the languages explains; null
+addresses and declarations are their own (uninformative) kinds; repeated rows count each; without labelled rows there are
+no languages, every language is null and nothing is rejected, since nothing can be told.
 """
 
 from __future__ import annotations
@@ -32,13 +35,14 @@ from pyspark.sql import functions as F
 from docproof.llm.common import plain, save
 
 BUCKETS = 1 << 15
-SAMPLE_DOCS = 8_000
-LANGUAGES = 200
+SAMPLE_DOCS = 2_000
 #: Each triple counts by half, and all of a text's together like ``FULL`` of them at most.
 TEMPER, FULL = 0.5, 60.0
 #: Pseudo-rows with which a host's shares lean on its domain's, and a domain's on the corpus'.
 HOST_LEAN, DOMAIN_LEAN, TABLE_LEAN = 20.0, 50.0, 1.0
 LEAST = 0.5
+#: Second labels under which two-letter suffixes hand out domains.
+SECOND = "ac|co|com|edu|go|gob|gouv|gov|ne|net|nom|or|org"
 
 
 def _grams(text: str) -> np.ndarray:
@@ -55,30 +59,33 @@ def _grams(text: str) -> np.ndarray:
 
 
 class TextModel:
-    """log P(triple | language), a column for each language."""
+    """log P(triple | language), a column for each language; the answers are the languages and none of them."""
 
     def __init__(self, languages: list[str], table: np.ndarray) -> None:
         self.languages, self.table = languages, table
 
     def likelihoods(self, text: str) -> np.ndarray | None:
-        """The tempered log likelihoods, the greatest at 0; None without evidence."""
+        """The tempered log likelihoods of the answers, the greatest at 0; None without evidence."""
         grams = _grams(text)
         if not len(grams) or not self.languages:
             return None
         counts = np.bincount(grams, minlength=BUCKETS)
         at = np.nonzero(counts)[0]
-        total = min(TEMPER, FULL / len(grams)) * (counts[at] @ self.table[at])
+        total = np.append(counts[at] @ self.table[at], -np.log(BUCKETS) * len(grams)) * min(TEMPER, FULL / len(grams))
         return total - total.max()
 
 
 def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", sample: int = SAMPLE_DOCS) -> TextModel:
-    """Learns from about ``sample`` labelled rows, chosen by a hash of the text; at most ``LANGUAGES`` languages, the most
-    frequent. The counts come to the driver: their number is bounded by languages times buckets."""
+    """Learns from about ``sample`` labelled rows of each language, chosen by a hash of the text. The counts come to the
+    driver: their number is bounded by languages times buckets."""
     rows = docs.select(F.col(lang_col).alias("lang"), plain(text_col).alias("text")).where("lang is not null")
-    counted = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).toPandas()
-    languages = sorted(counted["lang"])
-    share = min(1.0, sample / max(1, int(counted["count"].sum())))
-    chosen = rows.where(F.pmod(F.xxhash64("text", F.lit("language")), F.lit(1_000_000)) < round(share * 1_000_000)).where(F.col("lang").isin(languages))
+    counted = rows.groupBy("lang").count().toPandas().sort_values("lang", ignore_index=True)
+    languages = counted["lang"].tolist()
+    if not languages:
+        return TextModel([], np.zeros((BUCKETS, 0)))
+    shares = [(lang, int(min(1.0, sample / n) * 1_000_000)) for lang, n in zip(languages, counted["count"], strict=True)]
+    taken = F.broadcast(docs.sparkSession.createDataFrame(shares, "lang string, taken int"))
+    chosen = rows.join(taken, "lang").where(F.pmod(F.xxhash64("text", F.lit("language")), F.lit(1_000_000)) < F.col("taken")).select("lang", "text")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         totals: dict[str, np.ndarray] = {}
@@ -90,13 +97,13 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", sampl
             yield pd.DataFrame({"lang": lang, "gram": at, "n": total[at]})
 
     found = chosen.mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
-    table = np.full((BUCKETS, len(languages)), 0.5)
-    table[found["gram"].to_numpy(dtype=np.int64), [languages.index(x) for x in found["lang"]]] += found["n"].to_numpy(dtype=np.float64)
+    table, place = np.full((BUCKETS, len(languages)), 0.5), {x: i for i, x in enumerate(languages)}
+    table[found["gram"].to_numpy(dtype=np.int64), found["lang"].map(place).to_numpy(dtype=np.int64)] += found["n"].to_numpy(dtype=np.float64)
     return TextModel(languages, np.log(table / table.sum(axis=0)))
 
 
 def text_evidence(rows: DataFrame, model: TextModel, text: str, name: str) -> DataFrame:
-    """``rows`` with the column ``name``: the text's log likelihood of each language, null without evidence."""
+    """``rows`` with the column ``name``: the text's log likelihood of each answer, null without evidence."""
     held = rows.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("array<double>")
@@ -110,7 +117,8 @@ def text_evidence(rows: DataFrame, model: TextModel, text: str, name: str) -> Da
 def host_parts(url: str) -> tuple[F.Column, F.Column, F.Column]:
     """(host, domain, suffix) of an address; null where there is none."""
     host = F.nullif(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
-    return host, F.nullif(F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1), F.lit("")), F.nullif(F.regexp_extract(host, r"\.([^.]+)$", 1), F.lit(""))
+    domain = F.regexp_extract(host, rf"([^.]+\.(?:(?:{SECOND})\.[a-z]{{2}}|[^.]+))$", 1)
+    return host, F.nullif(domain, F.lit("")), F.nullif(F.regexp_extract(host, r"\.([^.]+)$", 1), F.lit(""))
 
 
 def declared_language(html: str) -> F.Column:
@@ -125,44 +133,40 @@ def visible_text(html: str) -> F.Column:
 def fuse(rows: DataFrame, model: TextModel) -> DataFrame:
     """``rows`` has declared, suffix, domain, host (strings, or null) and evidence; it comes back with lang, posterior and
     rejected added. It is read several times and should be a written table."""
-    n = len(model.languages)
-    if not n:
+    if not model.languages:
         return rows.withColumn("lang", F.lit(None).cast("string")).withColumn("posterior", F.lit(None).cast("double")).withColumn("rejected", F.lit(False))
+    n = len(model.languages) + 1
     weights = F.transform("evidence", lambda x: F.exp(x))
-    share = rows.where("evidence is not null").withColumn("p", F.transform(weights, lambda x: x / F.aggregate(weights, F.lit(0.0), lambda a, b: a + b)))
-    sums = lambda df, *keys: df.groupBy(*keys).agg(F.array(*[F.sum(F.get("p", F.lit(i))) for i in range(n)]).alias("n"))
-    total = _total(sums(share), n)
-    whole = [float(x) for x in (total + TABLE_LEAN) / (total.sum() + TABLE_LEAN * n)]
+    share = F.transform(weights, lambda x: x / F.aggregate(weights, F.lit(0.0), lambda a, b: a + b))
+    told = rows.where("evidence is not null").withColumn("p", share)
+    sums = lambda df, p, name, *keys: df.groupBy(*keys).agg(F.array(*[F.sum(F.get(p, F.lit(i))) for i in range(n)]).alias(name))
+    total = _total(sums(told, "p", "n"), n)
     array = lambda values: F.array(*[F.lit(float(x)) for x in values])
-    added = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
     size = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
-
-    # how often each value of a kind comes with each language: log P(value | language), up to what all languages share
-    def rates(kind: str) -> DataFrame:
-        found = sums(share.where(F.col(kind).isNotNull()), kind)
-        each = F.zip_with(F.col("n"), array(total), lambda x, y: F.log((x + F.lit(0.5)) / (y + F.lit(1.0))))
-        return save(found.select(kind, each.alias(f"{kind}_rate")), kind)
-
-    # hosts lean on their domains, and domains on the whole table
-    hosts = sums(share.where("host is not null"), "domain", "host")
-    domains = hosts.groupBy("domain").agg(F.array(*[F.sum(F.get("n", F.lit(i))) for i in range(n)]).alias("d"))
-    smooth = F.zip_with("d", array(whole), lambda x, y: (x + DOMAIN_LEAN * y) / (size(F.col("d")) + DOMAIN_LEAN))
-    domains = domains.select(F.col("domain").alias("of"), smooth.alias("d"))
-    prior = F.zip_with("n", "d", lambda x, y: F.log((x + HOST_LEAN * y) / (size(F.col("n")) + HOST_LEAN)))
-    hosts = save(hosts.join(domains, F.col("domain").eqNullSafe(F.col("of"))).select("host", prior.alias("prior")), "hosts")
-
-    joined = rows.join(rates("declared"), "declared", "left").join(rates("suffix"), "suffix", "left").join(hosts, "host", "left")
-    nothing = array([0.0] * n)
-    score = F.coalesce("prior", array(np.log(whole)))
-    for kind in ("declared_rate", "suffix_rate", "evidence"):
-        score = added(score, F.coalesce(kind, nothing))
-    scored = joined.withColumn("__score", score).withColumn("__top", F.array_max("__score"))
-    scored = scored.withColumn("__mass", size(F.transform("__score", lambda x: F.exp(x - F.col("__top")))))
+    values = {kind: save(sums(told.where(F.col(kind).isNotNull()), "p", f"__{kind}", kind), kind) for kind in ("declared", "suffix")}
+    hosts = sums(told.where("host is not null"), "p", "__host", "domain", "host")
+    domains = sums(hosts, "__host", "__domain", "domain").withColumnRenamed("domain", "of")
+    hosts = save(hosts.join(domains, F.col("domain").eqNullSafe(F.col("of"))).select("host", "__host", "__domain"), "hosts")
+
+    out = rows.join(values["declared"], "declared", "left").join(values["suffix"], "suffix", "left").join(hosts, "host", "left")
+    out = out.withColumn("__own", F.coalesce(share, array([0.0] * n)))
+    rest = lambda a: F.zip_with(a, "__own", lambda x, y: F.greatest(x - y, F.lit(0.0)))
+    lean = lambda a, to, by: F.zip_with(a, to, lambda x, y: (x + by * y) / (size(a) + by))
+    out = out.withColumn("__all", rest(array(total))).withColumn("__whole", lean("__all", array([1 / n] * n), TABLE_LEAN * n))
+    for part in ("__declared", "__suffix", "__host", "__domain"):
+        out = out.withColumn(part, rest(F.col(part)))
+    out = out.withColumn("__domain", lean("__domain", "__whole", DOMAIN_LEAN)).withColumn("__prior", F.coalesce(lean("__host", "__domain", HOST_LEAN), "__whole"))
+    score = F.transform("__prior", lambda x: F.log(x))
+    for part in ("__declared", "__suffix"):  # how often this value comes with each answer, up to what all share
+        rate = F.zip_with(part, "__all", lambda x, y: F.log((x + F.lit(0.5)) / (y + F.lit(1.0))))
+        score = F.zip_with(score, F.coalesce(rate, array([0.0] * n)), lambda x, y: x + y)
+    score = F.zip_with(score, F.coalesce("evidence", array([0.0] * n)), lambda x, y: x + y)
+    out = out.withColumn("__score", score).withColumn("__top", F.array_max("__score"))
+    posterior = 1 / size(F.transform("__score", lambda x: F.exp(x - F.col("__top"))))
     best = F.get(F.array(*[F.lit(x) for x in model.languages]), F.array_position("__score", F.col("__top")).cast("int") - 1)
     known = F.col("evidence").isNotNull() | F.col("declared").isNotNull() | F.col("host").isNotNull()
-    posterior = 1 / F.col("__mass")
-    out = scored.withColumn("lang", F.when(known, best)).withColumn("posterior", F.when(known, posterior))
-    return out.withColumn("rejected", ~known | (F.col("posterior") < LEAST)).select(*rows.columns, "lang", "posterior", "rejected")
+    out = out.withColumn("lang", F.when(known, best)).withColumn("posterior", F.when(known, posterior))
+    return out.withColumn("rejected", F.col("lang").isNull() | (F.col("posterior") < LEAST)).select(*rows.columns, "lang", "posterior", "rejected")
 
 
 def _total(sums: DataFrame, n: int) -> np.ndarray:

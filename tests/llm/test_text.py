@@ -211,6 +211,66 @@ def test_languages(spark, sf_dir):
     assert language_id.keep_known_languages(docs, model).count() == docs.count()
 
 
+def fused_by_hand(rows, n, language_id=language_id):
+    """The posterior of each answer, from (declared, suffix, domain, host, evidence) rows; own parts are left out."""
+    share = [np.exp(e) / np.exp(e).sum() if e is not None else np.zeros(n) for *_, e in rows]
+    out = []
+    for i, (declared, suffix, domain, host, evidence) in enumerate(rows):
+        of = lambda at, value: sum((share[j] for j, r in enumerate(rows) if j != i and r[at] == value and r[4] is not None), np.zeros(n))
+        rest = sum((share[j] for j in range(len(rows)) if j != i), np.zeros(n))
+        whole = (rest + language_id.TABLE_LEAN) / (rest.sum() + language_id.TABLE_LEAN * n)
+        with_host = sum((share[j] for j, r in enumerate(rows) if j != i and r[2] == domain and r[3] is not None), np.zeros(n))
+        near = (with_host + language_id.DOMAIN_LEAN * whole) / (with_host.sum() + language_id.DOMAIN_LEAN)
+        own = of(3, host)
+        prior = (own + language_id.HOST_LEAN * near) / (own.sum() + language_id.HOST_LEAN) if host is not None and any(r[3] == host and r[4] is not None for r in rows) else whole
+        score = np.log(prior) + (evidence if evidence is not None else 0)
+        for at, value in ((0, declared), (1, suffix)):
+            if value is not None and any(r[at] == value and r[4] is not None for r in rows):
+                score = score + np.log((of(at, value) + 0.5) / (rest + 1))
+        p = np.exp(score - score.max())
+        out.append(p / p.sum())
+    return out
+
+
+def test_fusion_by_brute_force(spark):
+    dice = np.random.default_rng(9)
+    pick = lambda *x: x[dice.integers(len(x))]
+    rows = []
+    for _ in range(80):
+        host = pick("a.x.de", "b.x.de", "c.y.com", "d.co.uk", None)
+        evidence = pick(None, *(-dice.random(3) * 4 for _ in range(5)))
+        rows.append((pick("de", "en", None), host and host.rpartition(".")[2], host and ".".join(host.split(".")[1:]), host, None if evidence is None else evidence - evidence.max()))
+    table = spark.createDataFrame([(i, *r[:4], None if r[4] is None else r[4].tolist()) for i, r in enumerate(rows)], "i int, declared string, suffix string, domain string, host string, evidence array<double>")
+    model = language_id.TextModel(["de", "en"], np.zeros((language_id.BUCKETS, 2)))
+    got = {r["i"]: r for r in language_id.fuse(table, model).collect()}
+    for i, p in enumerate(fused_by_hand(rows, 3)):
+        if rows[i][0] is None and rows[i][3] is None and rows[i][4] is None:
+            assert got[i]["lang"] is None and got[i]["rejected"]
+        else:
+            assert abs(got[i]["posterior"] - p.max()) < 1e-9 and got[i]["lang"] == ["de", "en", None][int(p.argmax())]
+            assert got[i]["rejected"] == (p.argmax() == 2 or p.max() < language_id.LEAST)
+
+
+def test_every_labelled_language_is_learned(spark):
+    rows = [(f"l{i:03d}", " ".join(f"w{i}x{j}".translate(str.maketrans("0123456789", "abcdefghij")) for j in range(40))) for i in range(230)]
+    model = language_id.train(spark.createDataFrame(rows, "lang string, text string"))
+    assert model.languages == sorted(lang for lang, _ in rows)
+    assert np.mean([model.languages[min(int(model.likelihoods(t).argmax()), 229)] == lang for lang, t in rows]) > 0.95
+
+
+def test_text_of_no_learned_language_is_rejected(spark):
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    odd = spark.createDataFrame([(-1, "Быстрая лиса перепрыгнула через ленивую собаку и убежала в тёмный лес"), (-2, "敏捷的狐狸跳过了懒狗然后跑进了黑暗的森林里面去寻找食物")], "doc_id long, text string")
+    some = docs.select("doc_id", "text", "source").unionByName(odd.withColumn("source", F.lit("src0")))
+    kept = language_id.keep_known_languages(some, language_id.train(docs))
+    assert kept.where("doc_id < 0").isEmpty() and kept.count() == docs.count()
+
+
+def test_domains(spark):
+    urls = spark.createDataFrame([("http://a.b.co.uk/x",), ("https://www.example.com",), ("http://x.gov.in",), ("http://localhost/",), (None,)], "url string")
+    assert [r["d"] for r in urls.select(language_id.host_parts("url")[1].alias("d")).collect()] == ["b.co.uk", "example.com", "x.gov.in", None, None]
+
+
 def test_language_edge_cases(spark):
     model = language_id.train(table(spark, "/root/testdata/sf0.01", "documents"))
     text = "the of and with that this was the of and " * 20
