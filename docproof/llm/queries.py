@@ -21,14 +21,14 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of all documents: all are inserted, exact copies deleted, the rest revised to include an end token, and the
     first batch is delivered once more, which changes nothing."""
     from docproof.llm.common import save, shared_dir
-    from docproof.llm.exact_dedup import exact_dedup
+    from docproof.llm.exact_dedup import text_hash, with_groups
     from docproof.llm.token_counts import Rollup, count_tokens, deletes, inserts, revisions
 
-    docs = table(spark, sf_dir, "documents")
-    counted = count_tokens(docs, _tokenizer("byte_bpe_50k.tiktoken")).select("doc_id", "source", "lang", F.lit("byte_bpe_50k").alias("tokenizer"), "tokens")
-    rows = save(counted, "counted")
-    copies = rows.join(exact_dedup(docs).where("not kept").select("doc_id"), "doc_id", "left_semi")
-    rest = rows.join(exact_dedup(docs).where("not kept").select("doc_id"), "doc_id", "left_anti")
+    docs = count_tokens(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.tiktoken"))
+    rows = save(docs.select(F.col("doc_id").alias("id"), text_hash().alias("sha"), "source", "lang", F.lit("byte_bpe_50k").alias("tokenizer"), "tokens"), "counted")
+    grouped = save(with_groups(rows), "grouped")
+    stays = F.col("id").eqNullSafe(F.col("keep"))
+    copies, rest = grouped.where(~stays), grouped.where(stays)
     rollup = Rollup(spark, f"{shared_dir(spark)}/docproof/rollup-{uuid.uuid4().hex}")
     rollup.apply("all", inserts(rows))
     rollup.apply("copies", deletes(copies))

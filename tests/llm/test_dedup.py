@@ -38,6 +38,20 @@ def test_exact_all_copies(spark):
     assert [tuple(r) for r in exact_dedup(docs).groupBy("keep_id", "group_size", "kept").count().orderBy("kept").collect()] == [(0, 3000, False, 2999), (0, 3000, True, 1)]
 
 
+def test_repeated_filter_by_hand(spark, monkeypatch):
+    from docproof.llm import exact_dedup as ed
+
+    monkeypatch.setattr(ed, "HELD", 500)
+    rows = [(f"h{min(i, 900)}",) for i in range(1000)] + [(f"h{i}",) for i in range(0, 900, 7)]
+    hashes = spark.createDataFrame(rows, "sha string").repartition(5)
+    packed = ed.repeated_filter(hashes, "sha", len(rows))
+    places = [tuple(r) for r in hashes.select("sha", *ed._positions("sha", len(packed) * 64)).collect()]
+    hits = np.bincount([p for _, *at in places for p in at], minlength=len(packed) * 64)
+    assert np.array_equal(np.unpackbits(packed.view(np.uint8), bitorder="little"), hits > 1)
+    flagged = {r["sha"] for r in ed.mark_possible(hashes, "sha", packed, "again").where("again").collect()}
+    assert flagged >= {f"h{i}" for i in range(0, 901, 7)} | {"h900"} and len(flagged) < 400
+
+
 def slow_print(text):
     words = [w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text)) if w]
     if not words:

@@ -161,6 +161,28 @@ def test_rollup(spark, tmp_path):
     assert len(state()) == 2 and not rollup.apply("one", inserts(rows))
 
 
+def test_rollup_of_two_writers(spark, tmp_path):
+    rows = spark.createDataFrame([("s", "en", "v1", 5), ("s", "en", "v2", 8)], "source string, lang string, tokenizer string, tokens long")
+    folder = f"file://{tmp_path}/r"
+    one, two = Rollup(spark, folder), Rollup(spark, folder)
+    commit = one._commit
+
+    def late(*args):  # the second writer commits after the first has looked
+        assert two.apply("a/b", inserts(rows))
+        return commit(*args)
+
+    one._commit = late
+    assert not one.apply("a/b", inserts(rows))
+    one._commit = commit
+    want = [("s", "en", "v1", 1, 5), ("s", "en", "v2", 1, 8)]
+    assert sorted(map(tuple, one.read().collect())) == want and one.batches() == {"a/b"}
+    assert one.apply("c", inserts(rows)) and one.apply("d", deletes(rows))
+    assert one.compact() and not two.compact() and one.apply("e", inserts(rows)) and one.compact()
+    one.vacuum()
+    assert sorted(map(tuple, two.read().collect())) == [(*k, 2 * d, 2 * t) for *k, d, t in want]
+    assert not two.apply("a/b", inserts(rows)) and two.batches() == {"a/b", "c", "d", "e"}
+
+
 def test_token_counts_by_hand(spark, sf_dir):
     count = byte_bpe_counter(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     want, seen = defaultdict(lambda: [0, 0]), set()
