@@ -93,11 +93,11 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digests of the operator's ids and of the text that they decode to."""
+    """Digests of the operator's ids, of the text that they decode to, and of the pieces' spans in the source."""
     from docproof.llm.pieces import encode_pieces
 
     found = encode_pieces(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"), decoded=True)
-    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), F.xxhash64("first", "end").alias("spans_xxh64"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -110,7 +110,7 @@ def test_zip_is_a_zip(tmp_path, force64):
         assert standard.testzip() is None and {n: standard.read(n) for n in standard.namelist()} == data
     (tmp_path / "x.zip").write_bytes(out.getvalue())
     with fs.LocalFileSystem().open_input_file(str(tmp_path / "x.zip")) as file:
-        for name, (at, size) in warc.ZipDirectory(file).members.items():
+        for name, (at, size, _) in warc.ZipDirectory(file).members.items():
             file.seek(at)
             assert file.read(size) == data[name]
     with zipfile.ZipFile(tmp_path / "y.zip", "w", zipfile.ZIP_DEFLATED) as packed:
@@ -123,16 +123,80 @@ def test_archives_round_trip(spark, tmp_path):
     rows = [(1, "http://a/", "same"), (9, "http://b/\r\nX: y", "same"), (5, None, "same"), (2, "http://c/", None), (3, "u", ""), (4, "u", "é\r\n\r\n" * 1000), (None, "u", "lost"), (-7, "u", "neg"), (9, "v", "same"), (6, "u", "x" * 6_000_000)]
     pages = spark.createDataFrame([(*r, "c") for r in rows], "page_id long, url string, html string, sha string")
     archives = warc.write_archives(pages, f"file://{tmp_path}/w", archive_records=2)
-    assert archives.agg(F.sum("records")).first()[0] == 9
+    assert archives.agg(F.sum("records")).first()[0] == 10
     got = warc.read_archives(archives).collect()
-    kind = sorted((r["page_id"], r["record_type"], r["refers_to"], r["payload_bytes"]) for r in got if r["page_id"] not in (9,))
+    lone = [r for r in got if r["page_id"] is None]
+    assert [(r["record_type"], bytes(r["payload"])) for r in lone] == [("response", b"lost")]
+    kind = sorted((r["page_id"], r["record_type"], r["refers_to"], r["payload_bytes"]) for r in got if r["page_id"] not in (9, None))
     assert kind == [(-7, "response", None, 3), (1, "revisit", 9, 4), (2, "revisit", 3, 0), (3, "response", None, 0), (4, "response", None, 6000), (5, "revisit", 9, 4), (6, "response", None, 6_000_000)]
     assert [r["record_type"] for r in got if r["page_id"] == 9] == ["response", "response"]
-    assert all(r["verified"] for r in got if r["record_type"] == "response")
+    assert all(r["payload_digest"] == warc.digest(bytes(r["payload"])) for r in got if r["record_type"] == "response")
     assert {r["page_id"]: bytes(r["payload"]).decode() for r in got if r["payload"] is not None}[4] == "é\r\n\r\n" * 1000
     assert warc.read_archives(warc.write_archives(pages.limit(0), f"file://{tmp_path}/e")).count() == 0
 
 
+def foreign_package(path, payloads, name="rec-0.warc.gz", spoil=b""):
+    """A package as other writers make it: own names, records sorted by address in the index, a plain WARC too."""
+    import gzip
+    import json
+
+    def one(i, body, kind="response"):
+        http = b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\n" + body
+        head = f"WARC/1.0\r\nwarc-type: {kind}\r\nWARC-Record-ID: <urn:uuid:00000000-0000-4000-8000-{i:012d}>\r\nWARC-Target-URI: http://x/{i}\r\nWARC-Payload-Digest: sha1:{warc.digest(body)}\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: {len(http)}\r\n\r\n"
+        return head.encode() + http.replace(spoil, b"?" * len(spoil)) + b"\r\n\r\n"
+
+    packed, plain, lines = b"", b"", []
+    for i, body in enumerate(payloads):
+        data = one(i, body)
+        place = {"url": f"http://x/{i}", "offset": str(len(plain if i % 3 == 0 else packed)), "filename": "more.warc" if i % 3 == 0 else name}
+        data = data if i % 3 == 0 else gzip.compress(data)
+        plain, packed = (plain + data, packed) if i % 3 == 0 else (plain, packed + data)
+        lines.append(f"x,{9 - i})/ 20200101000000 " + json.dumps(place | {"length": str(len(data))}))
+    with zipfile.ZipFile(path, "w") as out:
+        out.writestr("datapackage.json", "{}")
+        out.writestr("indexes/index.cdx.gz", gzip.compress("\n".join(["!meta 0", *sorted(lines)]).encode()))
+        out.writestr(f"archive/{name}", packed)
+        out.writestr("archive/more.warc", plain)
+
+
+def test_packages_of_other_writers(spark, tmp_path):
+    payloads = [bytes([65 + i]) * (i * 900) for i in range(9)]
+    foreign_package(tmp_path / "a.wacz", payloads)
+    got = warc.read_archives(spark.createDataFrame([(f"file://{tmp_path}/a.wacz",)], "path string")).collect()
+    assert {(r["url"], bytes(r["payload"]), r["page_id"]) for r in got} == {(f"http://x/{i}", p, None) for i, p in enumerate(payloads)} and len(got) == 9
+    assert all(r["record_id"].startswith("<urn:uuid:0000") for r in got)
+
+
+def test_broken_packages_raise(tmp_path):
+    with pytest.raises(ValueError, match="digest"):
+        foreign_package(tmp_path / "b.wacz", [b"x", b"spoiled"], spoil=b"oil")
+        with fs.LocalFileSystem().open_input_file(str(tmp_path / "b.wacz")) as file:
+            import gzip
+
+            for packed, at, n in warc.records_of(file):
+                file.seek(at)
+                warc.row_of(gzip.decompress(file.read(n)) if packed else file.read(n))
+    foreign_package(tmp_path / "c.wacz", [b"x"])
+    data = bytearray((tmp_path / "c.wacz").read_bytes())
+    with fs.LocalFileSystem().open_input_file(str(tmp_path / "c.wacz")) as file:
+        at = warc.ZipDirectory(file).members["indexes/index.cdx.gz"][0]
+    data[at + 12] ^= 1
+    (tmp_path / "c.wacz").write_bytes(data)
+    with fs.LocalFileSystem().open_input_file(str(tmp_path / "c.wacz")) as file, pytest.raises(ValueError, match="CRC"):
+        warc.records_of(file)
+
+
+def test_archives_query_by_brute_force(spark, sf_dir):
+    from docproof.llm.queries import op9_warc
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "html").collect()
+    last = {}
+    for r in pages:
+        last[r["html"] or ""] = max(r["page_id"], last.get(r["html"] or "", r["page_id"]))
+    want = {(r["page_id"], len((h := r["html"] or "").encode()), warc.digest(h.encode()), "response" if last[h] == r["page_id"] else "revisit", None if last[h] == r["page_id"] else last[h]) for r in pages}
+    assert {tuple(r) for r in op9_warc(spark, sf_dir).collect()} == want and len(want) == len(pages)
+
+
 def test_pipeline_stages(spark, sf_dir):
     import corpus_pipeline as p
 

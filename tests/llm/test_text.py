@@ -106,6 +106,27 @@ def test_character_map_takes_the_longest_prefix():
     assert normal.decode() == "▁fi▁é" and source[3] == 2 and source[5] == 5 and source[-1] == 10
 
 
+def test_map_walk_and_offsets_are_the_librarys(texts):
+    """With a real character map: the library's own NFKC rules, its normaliser and its offsets (in characters)."""
+    library = sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc")
+    spec = dict(pieces.fields(next(v for k, v in pieces.fields(library.serialized_model_proto()) if k == 3)))
+    mapped = pieces.Pieces.__new__(pieces.Pieces)
+    mapped.map, mapped.dummy_prefix, mapped.squeeze, mapped.escape = pieces.CharMap(spec[2]), True, True, True
+    assert mapped.map.longest("①".encode(), 0) == (3, b"1") and len(mapped.map.units) > 10_000
+    random.seed(8)
+    odd = ["".join(random.choice("ﬁ①½Ａé\u0301ｱﾞ㍿ \u3000\t\n\u200bx.한ｶﾞ") for _ in range(random.randrange(25))) for _ in range(600)]
+    for text in [*odd, *texts[:150], *ODD]:
+        if "\0" in text:
+            continue
+        normal, source = mapped.normalise(text)
+        want, offsets = library.normalize(text, with_offsets=True)
+        assert normal.decode() == want, text
+        at = np.cumsum([0, *(len(c.encode()) for c in text)])
+        starts = np.cumsum([0, *(len(c.encode()) for c in want)])
+        if want:
+            assert source[starts].tolist() == at[offsets].tolist(), text
+
+
 def test_pieces_in_tables(spark):
     path = public_tokenizers.path("piece_bpe_32k.model")
     docs = spark.createDataFrame([(1, None, 1), (None, "a b", 2), (3, "", 3), (3, "", 3)], "doc_id long, text string, ids int")
