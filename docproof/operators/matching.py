@@ -1,11 +1,15 @@
 """Three-way match of purchase orders, goods receipts and invoices: all triples in one job.
 
-Lines meet within their document by item code; ``greedy_pairs`` matches them by similarity where codes are missing. Both
-are equi-joins on the document, so the plan scales with documents and never compares lines of different ones.
+``three_way`` pairs the lines of an order with those of each receipt and of the invoice best score first - equal codes,
+else similar texts - and lists every difference, with those of references and suppliers. ``match_lines`` and
+``match_documents`` are the plain form for lines that all have codes. Lines only ever meet within their document, by
+equi-joins, so the plan scales with documents.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,7 +38,8 @@ def _once(lines: DataFrame) -> DataFrame:
 
 def match_lines(orders: DataFrame, receipts: DataFrame, invoices: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
     """Invoice lines with their order line and receipt, and the problems of each."""
-    po = orders.select("doc_id", "item_code", F.col("quantity").alias("q_po"), F.col("rate").alias("r_po"), F.col("gst_rate").alias("g_po"), F.lit(1).alias("turn"))
+    turn = F.row_number().over(Window.partitionBy("doc_id", "item_code").orderBy("quantity", "rate", "gst_rate"))
+    po = orders.select("doc_id", "item_code", F.col("quantity").alias("q_po"), F.col("rate").alias("r_po"), F.col("gst_rate").alias("g_po"), turn.alias("turn"))
     got = received(receipts).withColumn("turn", F.lit(1))
     rows = _once(invoices).join(po, ["doc_id", "item_code", "turn"], "left").join(got, ["doc_id", "item_code", "turn"], "left")
     has_receipt = receipts.select("doc_id").distinct().withColumn("has_receipt", F.lit(True))
@@ -94,3 +99,77 @@ def greedy_pairs(scores: DataFrame, least: float = DEFAULTS.least_similarity) ->
     free = lambda taken, p: ~F.exists(taken, lambda t: (t["a_index"] == p["a_index"]) | (t["b_index"] == p["b_index"]))
     kept = F.aggregate("pairs", none, lambda taken, p: F.when(free(taken, p), F.concat(taken, F.array(p))).otherwise(taken))
     return ordered.select("doc_id", F.inline(kept)).select("doc_id", "a_index", "b_index", "score")
+
+
+def _paired(orders: DataFrame, lines: DataFrame, keys: list[str], s: Settings) -> DataFrame:
+    """keys, po_line, line_index: the lines of each group that an order line takes, best score first."""
+    side = lambda df, x, *more: df.select(*more, F.col("line_index").alias(f"{x}_index"), F.col("item_code").cast("string").alias(f"{x}_code"), F.col("description").alias(f"{x}_text"), F.col("hsn_sac").alias(f"{x}_hsn"))
+    group = F.struct(*keys)
+    of_lines = side(lines.withColumn("group", group), "b", "group").withColumnRenamed("group", "doc_id")
+    of_orders = side(lines.select(*keys, group.alias("group")).distinct().join(orders, "doc_id"), "a", "group").withColumnRenamed("group", "doc_id")
+    pairs = greedy_pairs(similarity(of_orders, of_lines), s.least_similarity)
+    return pairs.select("doc_id.*", F.col("a_index").alias("po_line"), F.col("b_index").alias("line_index"))
+
+
+def three_way(orders: DataFrame, order_lines: DataFrame, receipts: DataFrame, receipt_lines: DataFrame, invoices: DataFrame, invoice_lines: DataFrame, s: Settings = DEFAULTS) -> tuple[DataFrame, DataFrame]:
+    """(lines, issues) of every match, known by doc_id.
+
+    orders: doc_id, po_number, supplier_gstin; receipts: doc_id, receipt_id, po_reference, supplier_invoice_reference,
+    supplier_gstin; invoices: doc_id, invoice_number, po_reference, supplier_gstin, subtotal. Lines: doc_id (and receipt_id),
+    line_index, item_code, description, hsn_sac and their numbers. A missing number proves no difference.
+
+    lines: doc_id, line_index, po_line (null if not ordered), received, accepted (null without a receipt), payable.
+    issues: doc_id, kind, severity (block or warn), line_index (of the invoice's or receipt's line, or null), receipt_id."""
+    order = order_lines.select("doc_id", F.col("line_index").alias("po_line"), F.col("quantity").alias("q_po"), F.col("rate").alias("r_po"), F.col("gst_rate").alias("g_po"))
+    got = receipt_lines.join(_paired(order_lines, receipt_lines, ["doc_id", "receipt_id"], s), ["doc_id", "receipt_id", "line_index"], "left")
+    rec = zero("quantity_received")
+    sums = got.where("po_line is not null").groupBy("doc_id", "po_line").agg(F.sum(rec).alias("received"), F.sum(F.coalesce("quantity_accepted", rec)).alias("accepted"))
+    with_receipt = receipts.select("doc_id").distinct().withColumn("has_receipt", F.lit(True))
+    rows = invoice_lines.join(_paired(order_lines, invoice_lines, ["doc_id"], s), ["doc_id", "line_index"], "left").join(order, ["doc_id", "po_line"], "left").join(sums, ["doc_id", "po_line"], "left").join(with_receipt, "doc_id", "left")
+    q, r, on_po, receipt = F.col("quantity"), F.col("rate"), F.col("po_line").isNotNull(), F.col("has_receipt")
+    accepted = F.when(receipt, zero("accepted"))
+    more = lambda x: (F.lit(1) + F.lit(x).cast("decimal(9,4)") / 100).cast("decimal(12,6)")
+    payable = F.when(on_po & q.isNotNull() & F.col("r_po").isNotNull(), F.when(receipt, F.least(q, accepted)).otherwise(q) * F.col("r_po") - zero("discount"))
+    rows = rows.withColumn("payable", payable.cast("decimal(18,2)")).withColumn("paid_for", accepted)
+
+    def issue(df: DataFrame, kind: str, severity: str, when: Column | str, line: Column | None = None, receipt_id: Column | None = None) -> DataFrame:
+        none = F.lit(None)
+        return df.where(when).select("doc_id", F.lit(kind).alias("kind"), F.lit(severity).alias("severity"), (none if line is None else line).cast("int").alias("line_index"), (none if receipt_id is None else receipt_id).cast("string").alias("receipt_id"))
+
+    line, of_receipt = F.col("line_index"), F.col("receipt_id")
+    given = lambda x: F.coalesce(F.col(x), F.lit("")) != ""
+    named = orders.select("doc_id", F.coalesce("po_number", F.lit("")).alias("po_number"))
+    bills = invoices.join(named, "doc_id", "left").withColumn("po_number", F.coalesce("po_number", F.lit("")))
+    slips = receipts.join(named, "doc_id", "left").withColumn("po_number", F.coalesce("po_number", F.lit(""))).join(invoices.select("doc_id", "invoice_number"), "doc_id", "left")
+    suppliers = reduce(DataFrame.unionByName, [x.select("doc_id", "supplier_gstin") for x in (orders, receipts, invoices)])
+    suppliers = suppliers.where("supplier_gstin <> ''").groupBy("doc_id").agg(F.min("supplier_gstin").alias("a"), F.max("supplier_gstin").alias("b"))
+    billed = rows.where(on_po).select("doc_id", "po_line")
+    totals = rows.groupBy("doc_id").agg(F.bool_and(on_po).alias("all_ordered"), F.coalesce(F.sum("payable"), F.lit(0)).alias("due")).join(invoices.select("doc_id", "subtotal"), "doc_id")
+    off = F.abs(F.col("subtotal") - F.col("due")) > F.greatest(F.lit(s.match_abs).cast("decimal(9,2)"), F.col("due") * F.lit("0.001").cast("decimal(9,3)"))
+    found = [
+        issue(bills, "reference", "block", given("po_reference") & ~same_reference("po_reference", "po_number")),
+        issue(slips, "reference", "block", given("po_reference") & ~same_reference("po_reference", "po_number"), receipt_id=of_receipt),
+        issue(slips, "reference", "warn", given("supplier_invoice_reference") & given("invoice_number") & ~same_reference("supplier_invoice_reference", "invoice_number"), receipt_id=of_receipt),
+        issue(suppliers, "supplier", "block", "a <> b"),
+        issue(got, "extra_line", "warn", "po_line is null", line, of_receipt),
+        issue(rows, "extra_line", "block", ~on_po, line),
+        issue(rows, "price", "block", on_po & (r > F.col("r_po") * more(s.price_pct)), line),
+        issue(rows, "quantity", "block", on_po & receipt & (q > F.col("paid_for") * more(s.quantity_pct)), line),
+        issue(rows, "quantity", "block", on_po & (q > F.col("q_po")), line),
+        issue(rows, "tax", "block", on_po & (F.abs(F.col("gst_rate") - F.col("g_po")) > F.lit("0.001").cast("decimal(9,3)")), line),
+        issue(sums.where("accepted > 0").join(billed, ["doc_id", "po_line"], "left_anti"), "missing_line", "warn", F.lit(True), F.col("po_line")),
+        issue(totals, "total", "block", F.col("all_ordered") & off),
+    ]
+    lines = rows.select("doc_id", "line_index", "po_line", F.when(receipt, zero("received")).alias("received"), F.col("paid_for").alias("accepted"), "payable")
+    return lines, reduce(DataFrame.unionByName, found)
+
+
+def match_results(invoices: DataFrame, order_lines: DataFrame, lines: DataFrame, issues: DataFrame) -> DataFrame:
+    """doc_id, status (incomplete, mismatch or matched), blocks, notes, payable: one row an invoice, from ``three_way``."""
+    counted = issues.groupBy("doc_id").agg(F.count_if(F.col("severity") == "block").alias("blocks"), F.count_if(F.col("severity") == "warn").alias("notes"))
+    billed = lines.groupBy("doc_id").agg(F.sum("payable").cast("decimal(18,2)").alias("payable"), F.lit(True).alias("has_lines"))
+    ordered = order_lines.select("doc_id").distinct().withColumn("has_order", F.lit(True))
+    rows = invoices.select("doc_id").join(counted, "doc_id", "left").join(billed, "doc_id", "left").join(ordered, "doc_id", "left")
+    blocks, notes = (F.coalesce(x, F.lit(0)) for x in ("blocks", "notes"))
+    status = F.when(F.col("has_lines").isNull() | F.col("has_order").isNull(), "incomplete").when(blocks > 0, "mismatch").otherwise("matched")
+    return rows.select("doc_id", status.alias("status"), blocks.cast("bigint").alias("blocks"), notes.cast("bigint").alias("notes"), F.col("payable").cast("double").alias("payable"))
