@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docproof.functions.normalize import clean_code, safe_cell, shape_mask
+from docproof.functions.normalize import clean_code, normalise, safe_cell, shape_mask
 from docproof.functions.text import ratio
 from docproof.settings import DEFAULTS, Settings
 
@@ -126,6 +126,30 @@ def apply_actions(fields: DataFrame, actions: DataFrame) -> DataFrame:
     return fields.join(last, "doc_id", "left").withColumn("status", status).drop("action", "ever")
 
 
+def act_on_fields(fields: DataFrame, actions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(fields, rejected actions) after the log of actions on single fields, known by doc_id, line_index and field_name.
+
+    A confirmation keeps the value that holds; a correction sets ``final_value`` to its own, normalised by the field's
+    ``kind``, where an empty one means that the field is absent. Corrections that are no value of the kind are rejected and
+    change nothing. The last correction holds; once corrected, a field stays so."""
+    key = ["doc_id", "line_index", "field_name"]
+    known = actions.join(fields.select(*key, "kind"), key)
+    known = known.withColumn("new", normalise("kind", "value"))
+    bad = (F.col("action") == "correct") & (F.coalesce("value", F.lit("")) != "") & F.col("new").isNull() | ~F.col("action").isin("confirm", "correct")
+    at = F.when(F.col("action") == "correct", F.struct("created_at", "correction_id"))
+    last = known.where(~bad).groupBy(*key).agg(F.max(F.col("action") == "correct").alias("ever"), F.max_by("new", at).alias("new"))
+    status = F.when(F.col("ever").isNull(), F.col("status")).when(F.col("ever") | (F.col("status") == "corrected"), "corrected").otherwise("confirmed")
+    value = F.when(F.col("ever"), F.col("new")).otherwise(F.col("final_value"))
+    done = fields.join(last, key, "left").withColumn("status", status).withColumn("final_value", value).drop("ever", "new")
+    return done, known.where(bad).select(*actions.columns)
+
+
+def ready_to_complete(fields: DataFrame) -> DataFrame:
+    """doc_id, pending (flagged fields that nobody acted on), ready (none is left)."""
+    pending = F.count_if(F.col("needs_review") & ~F.coalesce(F.col("status").isin("confirmed", "corrected"), F.lit(False)))
+    return fields.groupBy("doc_id").agg(pending.alias("pending"), (pending == 0).alias("ready"))
+
+
 def retention_due(docs: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
     """Documents whose file must go: not purged, and expired or older than the cap."""
     now = F.lit(s.as_of).cast("timestamp_ntz")

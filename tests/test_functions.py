@@ -49,11 +49,18 @@ def test_words(spark):
         "पाँच सौ रुपये पचास पैसे": 500.5,
         "fifty paise": 0.5,
         "two crore": 2e7,
+        "five hundred thousand two hundred and one": 500201,
+        "hundred five thousand": 105000,
+        "thousand crore": 10001000,
+        "hundred": None,
+        "सौ": 100,
+        "दो करोड़ पाँच लाख": 20500000,
+        "seven rupees and five paise": 7.05,
         "many rupees": None,
         "": None,
         "only": None,
     }
-    assert [None if x is None else float(x) for x in map(gst.amount_of_words, said)] == list(said.values())
+    assert [None if x is None else float(x) for x in ask(spark, gst.words_to_amount("x"), [(x,) for x in said], "x string")] == list(said.values())
     numbers = [0.0, 1.0, 21.05, 100.0, 999999.99, 12345678.9, 305000.0]
     assert ask(spark, gst.words_to_amount(gst.amount_to_words("x")).cast("double"), numbers, "x double") == numbers
 
@@ -61,6 +68,12 @@ def test_words(spark):
 def test_comparison(spark):
     rows = [("number", "10.00", "10.001"), ("number", "10", "11"), ("string", "A b", "ab."), ("text", None, None), ("text", "a", None)]
     assert ask(spark, norm.values_agree("k", "a", "b"), rows, "k string, a string, b string") == [True, False, True, True, False]
+    said = "12, Industrial Area Phase II, Near Railway {}, Pune"
+    rows = [("text", said.format("Station"), said.format("Statin")), ("text", said.format("Station"), "14, Market Yard, Opposite the Bus Stand, Nagpur"), ("text", "Railway Station", "Railway Statin"), ("string", said.format("Station"), said.format("Statin"))]
+    assert ask(spark, norm.values_agree("k", "a", "b"), rows, "k string, a string, b string") == [True, False, False, False]
+    assert ask(spark, norm.parse_amount("x").cast("double"), ["\t12.5\n", "\u00a07 "], "x string") == [12.5, 7.0]
+    dates = {" 5th Jun, 2025\t": "2025-06-05", "jun. 5 2025": "2025-06-05", "5/6-25": "2025-06-05", "5june25": "2025-06-05", "5 6 2025": None, "june 5 25": None, "2025-6-5": "2025-06-05", "25-6-5": None, "5-जून-2025": "2025-06-05", "5 ju 2025": None, "31/02/2025": None, "123/1/2025": None}
+    assert [str(x) if x else None for x in ask(spark, norm.parse_date("x"), list(dates), "x string")] == list(dates.values())
     rows = [("number", "12.5", "Rs 12.50"), ("number", "12.5", "13"), ("date", "2025-06-05", "5/6/25"), ("gstin", "AB1", "ab-1"), ("text", "x", "x"), ("number", None, "1")]
     assert ask(spark, norm.raw_consistent("k", "v", "r"), rows, "k string, v string, r string") == [True, False, True, True, None, None]
 

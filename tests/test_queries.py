@@ -67,7 +67,7 @@ def test_entry(spark):
 def test_reread_keeps_all_below_the_limit(spark, sf_dir):
     unproven = load(spark, sf_dir, "fields").where("not proven").groupBy("doc_id").count()
     assert unproven.where("count > 3").count() > 0 and unproven.where("count > 40").isEmpty()
-    assert QUERIES["EV6_reread_whole"](spark, sf_dir).count() == unproven.agg({"count": "sum"}).first()[0]
+    assert QUERIES["EV6_reread_targets"](spark, sf_dir).count() == unproven.agg({"count": "sum"}).first()[0]
 
 
 def test_whole_int_by_hand(spark, sf_dir):
@@ -83,7 +83,7 @@ def test_whole_int_by_hand(spark, sf_dir):
             return None
         return -int(Decimal(digits)) if minus else int(Decimal(digits))
 
-    got = QUERIES["SC3_parse_int_whole"](spark, sf_dir).collect()
+    got = QUERIES["SC3_parse_int"](spark, sf_dir).collect()
     assert len(got) == load(spark, sf_dir, "prints").count()
     assert not [(r["amount"], r["n"]) for r in got if r["n"] != by_hand(r["amount"])]
 
