@@ -151,6 +151,8 @@ def test_similar_by_brute_force(spark, sf_dir):
         for at in dice.choice(len(words), i % 6 + 1, replace=False):
             words[at] = "new" + str(i)
         rows.append((100 + i, " ".join(words)))
+    far = [w if i % 20 else "far" for i, w in enumerate(base)]  # too far from the base, near to one another
+    rows += [(200 + i, " ".join(far[: 3 + 9 * i] + [f"odd{i}"] + far[4 + 9 * i :])) for i in range(12)]
     got = {r["doc_id"]: r["component_id"] for r in similar.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == similar_by_hand(rows)
 
