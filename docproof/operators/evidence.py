@@ -65,6 +65,16 @@ def strong_text(raw: Column | str, numeric: Column) -> Column:
     return ~numeric | (F.length(F.regexp_replace(raw, "[^0-9]", "")) >= 4)
 
 
+def needs_reread(value: Column, legibility: Column, high_stakes: Column, hard: Column, raw_consistent: Column, unparseable: Column, settled: Column) -> Column:
+    """Whether a field is to be read again: never a settled one (proven, or filled from a code); one without a value if it
+    is there but hard to read; else what is costly, on a hard document, or doubtful. A null flag counts as false, of
+    ``raw_consistent`` as unknown."""
+    sure = lambda c: F.coalesce(c, F.lit(False))
+    unread = legibility.isin("illegible", "partly_legible")
+    doubtful = high_stakes, hard, legibility != "clear", ~raw_consistent, unparseable
+    return ~sure(settled) & sure(F.when(value.isNull(), unread).otherwise(reduce(lambda a, b: a | b, map(sure, doubtful))))
+
+
 def reread_targets(fields: DataFrame, most: int = 40) -> DataFrame:
     """Unproven fields that a second reading is asked for: of each document the first ``most``, high stakes first."""
     order = Window.partitionBy("doc_id").orderBy(F.desc("is_high_stakes"), "score", "line_index")

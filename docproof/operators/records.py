@@ -162,6 +162,35 @@ def shortened(expiry: Column | str, s: Settings = DEFAULTS) -> Column:
     return F.least(F.coalesce(expiry, now), now + F.expr(f"interval {s.retention_grace_hours} hours"))
 
 
+def review_expiry(created: Column | str, expires: Column | str, due: Column | str, s: Settings = DEFAULTS) -> Column:
+    """Until when a document in review is kept: two days past its due time if that is later, but never past the cap."""
+    created, expires, due = (F.col(x) if isinstance(x, str) else x for x in (created, expires, due))
+    cap = created + F.expr(f"interval '{s.retention_cap_hours}' hour")
+    return F.least(cap, F.greatest(F.coalesce(expires, cap), due + F.expr("interval '48' hour")))
+
+
+def fail_processing(docs: DataFrame, failed: DataFrame) -> DataFrame:
+    """``docs`` after the jobs of ``failed`` (doc_id) gave up: only documents still in processing become failed."""
+    gone = failed.select(F.col("doc_id").alias("__failed")).distinct()
+    status = F.when(F.col("__failed").isNotNull() & (F.col("status") == "processing"), "failed").otherwise(F.col("status"))
+    return docs.join(gone, docs["doc_id"] == gone["__failed"], "left").withColumn("status", status).drop("__failed")
+
+
+def retry(docs: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``docs`` with the failed ones among ``asked`` (doc_id) back to uploaded, and for each document asked for (known ones,
+    once) whether it was accepted: only failed ones are."""
+    wanted = asked.select(F.col("doc_id").alias("__asked")).distinct()
+    both = docs.join(wanted, docs["doc_id"] == wanted["__asked"], "left")
+    accepted = F.col("__asked").isNotNull() & F.coalesce(F.col("status") == "failed", F.lit(False))
+    answers = both.where("__asked is not null").select("doc_id", accepted.alias("accepted"))
+    return both.withColumn("status", F.when(accepted, "uploaded").otherwise(F.col("status"))).drop("__asked"), answers
+
+
+def page_edge(edge: Column, pages: Column) -> Column:
+    """The longest side, in pixels, at which pages are sent: smaller for long documents."""
+    return F.when(pages <= 6, edge).otherwise(F.least(edge, F.when(pages <= 15, 1800).otherwise(1400)))
+
+
 def export_rows(headers: DataFrame, lines: DataFrame, header_columns: list[str], line_columns: list[str]) -> DataFrame:
     """A row a line with its header repeated, and one for documents without lines; cells as text."""
     head = headers.select("doc_id", *[_cell(headers, c).alias(c) for c in header_columns])

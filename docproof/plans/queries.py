@@ -748,6 +748,17 @@ def _(prints):
     return prints.select("doc_id", "line_index", evidence.strong_text("amount", F.lit(True)).alias("strong"))
 
 
+@query("EV5_needs_reread", "fields", sql="""with f as (select *, case status when 'auto' then 'clear' when 'confirmed' then 'partly_legible' when 'corrected' then case when is_high_stakes then 'not_present' else 'illegible' end end as legibility, case when status = 'corrected' and not agree then null else value end as v from fields)
+    select doc_id, line_index, case when proven then false when v is null then legibility in ('illegible', 'partly_legible') else is_high_stakes or legibility <> 'clear' or score < 0.2 end as again from f""")
+def _(fields):
+    """A corrected field counts as unread where the readings differ; a low score stands for a raw text that does not fit."""
+    corrected = F.col("status") == "corrected"
+    legibility = F.when(corrected, F.when(F.col("is_high_stakes"), "not_present").otherwise("illegible")).when(F.col("status") == "confirmed", "partly_legible").otherwise("clear")
+    value = F.when(~corrected | F.col("agree"), F.col("value"))
+    again = evidence.needs_reread(value, legibility, F.col("is_high_stakes"), F.lit(None).cast("boolean"), F.col("score") >= 0.2, F.lit(False), F.col("proven"))
+    return fields.select("doc_id", "line_index", again.alias("again"))
+
+
 @query("EV6_reread_targets", "fields", sql="select doc_id, line_index from (select doc_id, line_index, row_number() over (partition by doc_id order by is_high_stakes desc, score, line_index) as r from fields where not proven) where r <= 40")
 def _(fields):
     return evidence.reread_targets(fields).select("doc_id", "line_index")
@@ -1197,6 +1208,34 @@ def _(docs):
     return records.vendor_checks(rows.where("doc_id % 2 = 1").withColumn("name", F.when(i % 7 == 0, "qqqq").otherwise(F.col("name"))), rows.where("doc_id % 2 = 0"))
 
 
+@query("PF13_review_expiry", "docs", sql=f"""select doc_id, cast(case when k > x then x else k end as timestamp) as kept_until from (select doc_id, created_at + interval '{DEFAULTS.retention_cap_hours}' hour as x,
+    case when blob_expires_at is null then created_at + interval '{DEFAULTS.retention_cap_hours}' hour when blob_expires_at > d then blob_expires_at else d end as k from (select *, review_due_at + (doc_id % 200) * interval '1' hour + interval '48' hour as d from docs where review_due_at is not null))""")
+def _(docs):
+    due = F.expr("review_due_at + (doc_id % 200) * interval '1' hour")  # some past the cap
+    return docs.where("review_due_at is not null").select("doc_id", records.review_expiry("created_at", "blob_expires_at", due).cast("timestamp").alias("kept_until"))
+
+
+IN_WORK = "case when processed_at is null then 'processing' else status end"
+
+
+@query("RV8_job_failure", "docs", "runs", sql=f"select doc_id, case when processed_at is null and doc_id in (select doc_id from runs where error is not null) then 'failed' else {IN_WORK} end as status from docs")
+def _(docs, runs):
+    return records.fail_processing(docs.withColumn("status", F.expr(IN_WORK)), runs.where("error is not null")).select("doc_id", "status")
+
+
+@query("RV5_retry", "docs", "runs", sql="select doc_id, processed_at is null and doc_id in (select doc_id from runs where error is not null) as accepted from docs")
+def _(docs, runs):
+    """Every document is asked for again; only those that failed are taken."""
+    failed = records.fail_processing(docs.withColumn("status", F.expr(IN_WORK)), runs.where("error is not null"))
+    return records.retry(failed, docs)[1]
+
+
+@query("QL9_page_edge", "docs", sql="select doc_id, cast(case when p > 15 and e > 1400 then 1400 when p between 7 and 15 and e > 1800 then 1800 else e end as bigint) as edge from (select doc_id, doc_id % 30 + 1 as p, 1200 + doc_id % 7 * 200 as e from docs)")
+def _(docs):
+    i = F.col("doc_id")
+    return docs.select("doc_id", records.page_edge(1200 + i % 7 * 200, i % 30 + 1).cast("long").alias("edge"))
+
+
 @query("RP5_search", "inv_line")
 def _(lines):
     """One line of a document is misread: its quantity with a zero too many, of every third document its rate too; every second document has

@@ -217,3 +217,22 @@ def test_grounding(spark):
 def test_empty_reports(spark):
     gate = spark.createDataFrame([], "doc_type string, quality string, passed boolean")
     assert [tuple(r) for r in metrics.readiness(gate).collect()] == [("no_eval_run", 0, [])]
+
+
+def test_failed_jobs_and_retries(spark):
+    docs = spark.createDataFrame([(1, "processing"), (2, "ready"), (3, None), (None, "processing"), (4, "failed"), (5, "processing")], "doc_id long, status string")
+    jobs = spark.createDataFrame([(1,), (1,), (2,), (3,), (None,), (99,)], "doc_id long")
+    after = records.fail_processing(docs, jobs)
+    assert sorted(map(str, after.collect())) == sorted(map(str, spark.createDataFrame([(1, "failed"), (2, "ready"), (3, None), (None, "processing"), (4, "failed"), (5, "processing")], docs.schema).collect()))
+    again, answers = records.retry(after, jobs)
+    assert {(r[0], r[1]) for r in again.collect()} == {(1, "uploaded"), (2, "ready"), (3, None), (None, "processing"), (4, "failed"), (5, "processing")}
+    assert sorted(map(tuple, answers.collect())) == [(1, True), (2, False), (3, False)]
+
+
+def test_needs_reread_with_nulls(spark):
+    flags = "value string, legibility string, high boolean, raw boolean, settled boolean"
+    rows = [("1", "clear", False, None, False), ("1", "clear", None, False, None), ("1", "clear", True, True, True), (None, "not_present", True, False, False), (None, "illegible", False, None, False), (None, None, None, None, None), ("1", "partly_legible", False, True, False)]
+    f = spark.createDataFrame(rows, flags)
+    no = F.lit(False)
+    got = f.select(evidence.needs_reread(F.col("value"), F.col("legibility"), F.col("high"), no, F.col("raw"), no, F.col("settled"))).collect()
+    assert [r[0] for r in got] == [False, True, False, False, True, False, True]
