@@ -49,3 +49,10 @@ def ratio(a: Column | str, b: Column | str) -> Column:
 
 def token_set_ratio(a: Column | str, b: Column | str) -> Column:
     return F.pandas_udf(_pairs(token_set_of), "double")(a, b)
+
+
+def names_match(a: Column | str, b: Column | str, least: float = 85.0) -> Column:
+    """Whether two company names are one: letters and digits alone, pvt and ltd spelled out; null where either is empty."""
+    a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
+    bare = lambda x: F.regexp_replace(F.replace(F.replace(F.lower(x), F.lit("pvt"), F.lit("private")), F.lit("ltd"), F.lit("limited")), "[^a-z0-9]", "")
+    return F.when((a != "") & (b != ""), ratio(bare(a), bare(b)) >= least)

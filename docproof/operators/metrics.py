@@ -185,3 +185,11 @@ def offline_summary(checked: DataFrame) -> DataFrame:
         total("docs", "docs"), kinds.alias("quality_buckets"), *[total(c, c) for c in ("refused_unreadable", "auto_corrected", "docs_with_codes")], total("compared", "code_fields_compared"),
         total("disagree", "code_fields_disagree"), total("checks_run", "checks_run"), total("checks_failed", "checks_failed_on_truth"), F.round(F.sum("ms") / F.sum("docs")).cast("long").alias("mean_ms"),
     )
+
+
+def report(cells: DataFrame) -> DataFrame:
+    """Each of ``evaluation_cells`` as a line of JSON and one of Markdown. Write either column as text."""
+    rows = cells.withColumn("gate", F.when(F.col("passed"), "pass").otherwise("fail"))
+    shown = [F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in ("doc_type", "quality", "documents", "accuracy_pct", "escape_rate_pct", "gate")]
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", *shown), F.lit(" |"))
+    return rows.select("doc_type", "quality", F.to_json(F.struct(*rows.columns)).alias("json"), line.alias("markdown"))

@@ -288,3 +288,10 @@ def unreadable_reason(ink: Column, contrast: Column, char_height: Column, sharp:
 def can_review(role: Column, tenant: Column, doc_tenant: Column, managed: Column) -> Column:
     """Whether a person may be given a document: of its tenant with review rights, or staff where the tenant's review is managed."""
     return F.when(role == "staff_reviewer", managed).otherwise(role.isin("admin", "manager", "reviewer") & (tenant == doc_tenant))
+
+
+def distinct_in_order(rows: DataFrame, by: str, order: str, value: str) -> DataFrame:
+    """``by`` and the distinct values of ``value`` as an array, each where it first occurs. Repeats go before values are gathered."""
+    once = rows.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.min(order).alias("__at"))
+    gathered = F.array_sort(F.collect_list(F.struct("__at", value)))
+    return once.groupBy(by).agg(F.transform(gathered, lambda x: x[value]).alias(value))

@@ -2,38 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docproof import streaming
 from docproof.functions import gst
 from docproof.functions import normalize as norm
-from docproof.operators import checks, codes, evidence, matching, metrics, records, repair, risk
+from docproof.operators import checks, codes, evidence, layout, matching, metrics, records, repair, risk
+from docproof.plans.registry import NOW, ORACLES, QUERIES, query
 from docproof.settings import DEFAULTS
 from docproof.sources import datasets
-from docproof.sources.tables import load, with_clause
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-NOW = f"timestamp '{DEFAULTS.as_of}'"
-
-
-def query(name: str, *tables: str, sql: str | None = None):
-    """Registers a function of DataFrames as a query over those tables; ``sql`` follows their definitions."""
-
-    def put(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
-        QUERIES[name] = lambda spark, sf_dir: f(*[load(spark, sf_dir, t) for t in tables])
-        if sql:
-            adapted = [t for t in tables if t not in ("orders", "lineitem", "supplier", "customer", "events", "documents", "labels", "part", "nation")]
-            body = sql.strip()
-            head = with_clause(*adapted) if adapted else ""
-            ORACLES[name] = f"{head}{',' if head else ''} {body[5:]}" if body.lower().startswith("with ") and head else f"{head} {body}"
-        return f
-
-    return put
-
+from docproof.sources.tables import load
 
 double = lambda c: F.col(c).cast("double")
 
@@ -255,6 +234,16 @@ def _(lines):
     return rows.select("doc_id", F.split_part("check_id", F.lit(":"), F.lit(2)).cast("int").alias("line_index"), "status")
 
 
+@query("CK30_recheck", "inv_line", "fields", sql="with c as (select doc_id, line_index, cast(case when status = 'corrected' then final_value else value end as decimal(18,2)) as quantity from fields), "
+    + LINE_SQL.replace("from inv_line", "from (select i.* exclude (quantity), c.quantity from inv_line i join c on c.doc_id = i.doc_id and c.line_index = i.line_index)", 1)
+    + " select doc_id, line_index from m where abs(calc - taxable_value) > greatest(0.51, abs(taxable_value) * 0.0005)")
+def _(lines, fields):
+    """Lines whose arithmetic fails once corrections hold."""
+    now = layout.rebuild_lines(fields, {"quantity": "decimal(18,2)"})
+    failed = checks.line_checks(lines.drop("quantity").join(now, ["doc_id", "line_index"]), ("line_math",)).where("status = 'fail' and check_id like 'line_math:%'")
+    return failed.select("doc_id", F.split_part("check_id", F.lit(":"), F.lit(2)).cast("int").alias("line_index"))
+
+
 @query("CK5_line_tax", "inv_line", sql="""select doc_id, line_index, case when abs(cast(taxable_value * gst_rate as decimal(18,4)) / 100 - tax_amount) <= greatest(0.51, tax_amount * 0.001) then 'pass' else 'fail' end as status from inv_line""")
 def _(lines):
     rows = checks.line_checks(lines.withColumnRenamed("tax_amount", "igst_amount"), ("line_tax",)).where(F.startswith("check_id", F.lit("line_tax:")))
@@ -673,6 +662,12 @@ def _(docs, fields):
     return metrics.evaluation_cells(metrics.with_field_counts(docs, fields))
 
 
+@query("SNK7_report", "docs", "fields", sql=f"""with {FC}, c as (select doc_type, coalesce(quality_bucket, 'unknown') as quality, count(*) as documents, cast(sum(ft) as bigint) as fields, {PCT.format(n='sum(fe)', d='sum(fo)')} as escape_rate_pct, {PCT.format(n='sum(ft - fx)', d='sum(ft)')} as accuracy_pct from d where doc_type is not null group by 1, 2),
+    r as (select *, concat_ws(',', case when documents < 20 then 'documents' end, case when coalesce(escape_rate_pct > 0.5, true) then 'escapes' end, case when coalesce(accuracy_pct < 97, true) then 'accuracy' end) as reasons from c) select doc_type, quality, concat('| ', doc_type, ' | ', quality, ' | ', documents, ' | ', coalesce(cast(accuracy_pct as varchar), '-'), ' | ', coalesce(cast(escape_rate_pct as varchar), '-'), ' | ', case when reasons = '' then 'pass' else 'fail' end, ' |') as markdown from r""")
+def _(docs, fields):
+    return metrics.report(metrics.evaluation_cells(metrics.with_field_counts(docs, fields))).drop("json")
+
+
 @query("AG21_document_rollup", "fields", "inv_line", sql="""select f.doc_id, count(*) as total, count(*) filter (where needs_review) as flagged, min(score) as least_score, bool_and(abs(quantity * rate - discount - taxable_value) <= greatest(0.51, abs(taxable_value) * 0.0005)) as arithmetic_ok
     from fields f join inv_line l on l.doc_id = f.doc_id and l.line_index = f.line_index group by 1""")
 def _(fields, lines):
@@ -1265,3 +1260,5 @@ def synthetic_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES |= {"SRC13_synthetic": synthetic_invoices, "SRC15_dataset": synthetic_dataset}
 ORACLES["SRC15_dataset"] = "select bucket, doc_type, cast(100 as bigint) as documents, cast(case when doc_type = 'lr' then 0 else 300 end as bigint) as lines from (values ('digital', 'invoice'), ('good_scan', 'invoice'), ('poor_scan', 'invoice'), ('bilingual', 'invoice'), ('carbon', 'lr')) v(bucket, doc_type)"
+
+from docproof.plans import review  # noqa: E402, F401  (registers its queries)

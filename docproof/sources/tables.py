@@ -91,6 +91,30 @@ ADAPTERS: dict[str, str] = {
         select event_id as correction_id, user_id as doc_id, ts as created_at, case when event_type = 'purchase' then 'correct' else 'confirm' end as action,
                cast(cast(value as decimal(18,2)) * 100 as bigint) as time_on_field_ms
         from {events} where event_type in ('click', 'purchase')""",
+    # fields with all that a score looks at, and rules that name them
+    "readings": """
+        select f.doc_id, f.line_index, concat('line_items[', cast(f.line_index as varchar(10)), '].quantity') as field_key, f.k, 'number' as kind,
+               case cast(k % 7 as int) when 0 then 'illegible' when 1 then 'partly_legible' when 2 then 'not_present' else 'clear' end as legibility,
+               case when k % 7 = 2 and f.doc_id % 2 = 0 then null else f.value end as value, f.is_high_stakes as high_stakes, k % 5 = 0 as required,
+               f.proven, k % 3 <> 0 as double_read, f.agree as agreement, case when k % 4 = 1 then null else k % 4 > 0 end as raw_consistent,
+               case when k % 9 = 1 then null else k % 9 > 0 end as in_text_layer, case when k % 11 = 1 then null else k % 11 > 0 end as format_ok,
+               k % 13 = 0 as unparseable, case when k % 8 > 1 then null else k % 8 = 0 end as code_agrees, k % 24 = 0 as code_filled,
+               k % 17 = 0 as zoom_illegible, k % 19 = 0 as repaired, case when k % 6 = 0 then true else null end as master_match,
+               case when k % 10 = 0 then '12' else null end as suggested_value, case when k % 20 = 0 then 'the totals add up' else null end as suggestion_reason,
+               k % 15 = 0 as found_on_zoom, cast(d.vendor_id % 12 as bigint) as seen, cast(case when d.vendor_id % 5 > d.vendor_id % 12 then d.vendor_id % 12 else d.vendor_id % 5 end as bigint) as seen_right,
+               d.quality_bucket, d.has_handwriting as handwriting, d.languages like '%hindi%' or d.languages like '%tamil%' as indic_script
+        from (select *, doc_id * 7 + line_index * 3 as k from {fields}) f join {docs} d on d.doc_id = f.doc_id""",
+    "findings": """
+        select doc_id, line_index * 10 as ordinal, concat('line_math:', cast(line_index as varchar(10))) as check_id, 'error' as severity,
+               case when item_code % 11 = 0 then 'fail' else 'pass' end as status, 'the line does not multiply out' as message, concat('line_items[', cast(line_index as varchar(10)), '].quantity') as field_key from {inv_line}
+        union all
+        select doc_id, line_index * 10 + 1, concat('hsn:', cast(line_index as varchar(10))), 'warn', 'fail', 'an unusual code', concat('line_items[', cast(line_index as varchar(10)), '].quantity') from {inv_line} where item_code % 31 = 0
+        union all
+        select doc_id, line_index * 10 + 2, concat('format:', cast(line_index as varchar(10))), 'error', 'fail', 'misread', concat('line_items[', cast(line_index as varchar(10)), '].quantity') from {inv_line} where item_code % 53 = 0
+        union all
+        select doc_id, line_index * 10 + 3, concat('qr:', cast(line_index as varchar(10))), 'error', 'fail', 'the signed code differs', concat('line_items[', cast(line_index as varchar(10)), '].quantity') from {inv_line} where item_code % 97 = 0
+        union all
+        select doc_id, line_index * 10 + 4, concat('line_tax:', cast(line_index as varchar(10))), 'error', 'pass', 'fits', concat('line_items[', cast(line_index as varchar(10)), '].quantity') from {inv_line} where item_code % 2 = 0""",
     # readings as text, in the forms that documents print
     "prints": """
         select doc_id, line_index,
