@@ -53,3 +53,15 @@ def rebuild_lines(fields: DataFrame, kinds: dict[str, str]) -> DataFrame:
     corrections. A field that a line lacks, or whose value is none of the type, is null."""
     held = effective_value()
     return fields.where("line_index is not null").groupBy("doc_id", "line_index").agg(*[F.max(F.when(F.col("field_name") == n, held)).try_cast(t).alias(n) for n, t in kinds.items()])
+
+
+def field_guides(spec: DataFrame) -> DataFrame:
+    """doc_type, guide: what a reader is told to look for, from the rows of a specification (doc_type, label, description,
+    guidance, place, is_line, name, title, kind, hint), in the order of ``place``."""
+    line = F.concat(F.lit("- "), "name", F.lit(": "), "title", F.lit(" ["), "kind", F.lit("]"), F.when(F.coalesce("hint", F.lit("")) != "", F.concat(F.lit(" ("), "hint", F.lit(")"))).otherwise(""))
+    listed = lambda which: F.transform(F.array_sort(F.collect_list(F.when(which, F.struct("place", line.alias("line"))))), lambda x: x["line"])
+    one = spec.groupBy("doc_type").agg(*[F.max(c).alias(c) for c in ("label", "description", "guidance")], listed(~F.col("is_line")).alias("head"), listed(F.col("is_line")).alias("body"))
+    text = F.array(F.concat(F.lit("Expected document type: "), "label", F.lit(" ("), "description", F.lit(").")), F.lit(""), F.lit("Header fields:"))
+    columns = F.when(F.size("body") > 0, F.concat(F.array(F.lit(""), F.lit("Line item columns:")), F.col("body"))).otherwise(F.array().cast("array<string>"))
+    more = F.when(F.coalesce("guidance", F.lit("")) != "", F.array(F.lit(""), F.col("guidance"))).otherwise(F.array().cast("array<string>"))
+    return one.select("doc_type", F.array_join(F.concat(text, "head", columns, more), "\n").alias("guide"))

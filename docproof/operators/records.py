@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docproof.functions.gst import gstin_problem
 from docproof.functions.normalize import clean_code, normalise, safe_cell, shape_mask
 from docproof.functions.text import ratio
 from docproof.settings import DEFAULTS, Settings
@@ -295,3 +296,12 @@ def distinct_in_order(rows: DataFrame, by: str, order: str, value: str) -> DataF
     once = rows.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.min(order).alias("__at"))
     gathered = F.array_sort(F.collect_list(F.struct("__at", value)))
     return once.groupBy(by).agg(F.transform(gathered, lambda x: x[value]).alias(value))
+
+
+def stated_numbers(rows: DataFrame) -> DataFrame:
+    """tenant_id, gstins, rejected: the tax numbers that a tenant states as its own (tenant_id, gstin), cleaned, sorted, each once, and
+    those of them that are none. A tenant's list is taken over only if ``rejected`` is empty; blank ones do not count."""
+    clean = rows.where(F.trim("gstin") != "").select("tenant_id", clean_code("gstin").alias("gstin")).distinct()
+    checked = clean.withColumn("bad", gstin_problem("gstin").isNotNull())
+    kept = lambda bad: F.array_sort(F.collect_list(F.when(bad, F.col("gstin"))))
+    return checked.groupBy("tenant_id").agg(kept(~F.col("bad")).alias("gstins"), kept(F.col("bad")).alias("rejected"))

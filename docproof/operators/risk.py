@@ -152,3 +152,22 @@ def refit(rows: DataFrame, features: list[str], label: str, l2: float = 1.0) ->
             break
     base.unpersist()
     return dict(zip(features, map(float, w), strict=True))
+
+
+def backtest(rows: DataFrame, features: list[str], least: int = LEAST_FIT) -> dict:
+    """From ``labelled`` rows with their signals: weights refitted on the fit half, every field scored anew, thresholds certified
+    on the cal half's sampled documents, and what follows from it. A field that went to a person whatever its score
+    (``forced``, if there is such a column) neither certifies nor guides. High stakes never get the laxer threshold."""
+    fit = rows.where(half("doc_id") == "fit")
+    found: dict = {"labelled": rows.count(), "fit": fit.count(), "auto_accept": None, "high_stakes": None}
+    if found["fit"] < least:
+        return found | {"decision": "keep: too few labelled fields"}
+    weights = refit(fit.withColumn("__right", (~F.col("wrong")).cast("int")), features, "__right")
+    total = F.aggregate(F.array(*[F.lit(w) * F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f, w in weights.items()]), F.lit(0.0), lambda a, b: a + b)
+    free = rows.where(~F.coalesce("forced", F.lit(False))) if "forced" in rows.columns else rows
+    certs = certificates(free.withColumn("score", F.round(1 / (1 + F.exp(-total)), 4)))
+    found |= {"weights": {f: round(w, 4) for f, w in weights.items()}, "certificates": certs}
+    normal, high = (certs[g]["threshold"] for g in ("normal", "high_stakes"))
+    if normal is None or high is None:
+        return found | {"decision": "keep: no certified threshold for " + " and ".join(g for g, c in certs.items() if c["threshold"] is None)}
+    return found | {"auto_accept": normal, "high_stakes": max(normal, high), "decision": "proposed"}

@@ -102,6 +102,18 @@ def _(ids):
     return ids.select("supplier_id", gst.check_char("first14").alias("c"))
 
 
+@query("RV9_stated_numbers", "tax_ids", sql=f"""with {CHECK_CHAR}, u as (select distinct supplier_id % 25 as tenant_id, case when supplier_id % 3 = 0 then first14 || last1 else first14 || c end as x, c from g where supplier_id % 4 <> 1),
+    b as (select tenant_id, x, not regexp_matches(x, '^[0-9]{{2}}[A-Z]{{5}}[0-9]{{4}}[A-Z][1-9A-Z]Z[0-9A-Z]$') or cast(substring(x, 1, 2) as int) not between 1 and 38 or substring(x, 15, 1) <> c as bad from u)
+    select tenant_id, coalesce(string_agg(x, ',' order by x) filter (where not bad), '') as gstins, coalesce(string_agg(x, ',' order by x) filter (where bad), '') as rejected from b group by 1""")
+def _(ids):
+    """Numbers in small letters with blanks, some wrong; blank rows; every number twice."""
+    right = F.concat("first14", F.when(F.col("supplier_id") % 3 == 0, F.col("last1")).otherwise(gst.check_char("first14")))
+    text = F.when(F.col("supplier_id") % 4 == 1, "  ").otherwise(F.concat(F.lit(" "), F.lower(right), F.lit(" ")))
+    rows = ids.select((F.col("supplier_id") % 25).alias("tenant_id"), text.alias("gstin"))
+    found = records.stated_numbers(rows.unionAll(rows))
+    return found.select("tenant_id", F.array_join("gstins", ",").alias("gstins"), F.array_join("rejected", ",").alias("rejected"))
+
+
 @query("SC17_gstin_problem", "tax_ids", sql=f"""with {CHECK_CHAR}
     select supplier_id, kind, case when not regexp_matches(x, '^[0-9]{{2}}[A-Z]{{5}}[0-9]{{4}}[A-Z][1-9A-Z]Z[0-9A-Z]$') then 'format'
         when cast(substring(x, 1, 2) as int) not between 1 and 38 then 'state' when substring(x, 15, 1) <> c then 'checksum' end as problem
@@ -929,6 +941,14 @@ def _(fields, docs):
     return fields.sparkSession.createDataFrame([(group, *(c.get(x) for x in names)) for group, c in found.items()], "stakes string, threshold double, accepted long, errors long, p_value double, upper double")
 
 
+@query("RC10_backtest", "fields", "docs")
+def _(fields, docs):
+    """One row: what the refit and the certificates come to."""
+    rows = risk.labelled(fields, docs).withColumns({"bias": F.lit(1.0), "forced": F.lit(False)})
+    found = risk.backtest(rows, ["bias", "proven", "agree", "score"])
+    return fields.sparkSession.createDataFrame([tuple(found[c] for c in ("labelled", "fit", "auto_accept", "high_stakes", "decision"))], "labelled long, fit long, auto_accept double, high_stakes double, decision string")
+
+
 @query("RC3_refit", "fields", "docs")
 def _(fields, docs):
     rows = risk.labelled(fields, docs).select(F.lit(1.0).alias("bias"), F.col("proven").cast("int").alias("proven"), F.col("agree").cast("int").alias("agree"), F.col("score").alias("history"), (~F.col("wrong")).cast("int").alias("right"))

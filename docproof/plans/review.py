@@ -269,6 +269,19 @@ def _(lines):
     return layout.text_layers(lines.select("doc_id", F.col("line_index").alias("page_no"), text.alias("text"))).select("doc_id", F.sha2("block", 256).alias("sha"))
 
 
+@query("RV23_field_guides", "part", sql="""with f as (select distinct p_partkey % 40 as i from part), s as (select 'type' || i % 4 as doc_type, i, i % 3 = 0 and i % 4 <> 2 as is_line, '- f' || i || ': Field ' || i || ' [' || case when i % 2 = 0 then 'number' else 'string' end || ']' || case when i % 5 = 0 then ' (as printed)' else '' end as line from f)
+    select doc_type, 'Expected document type: ' || upper(doc_type) || ' (made up).' || chr(10) || chr(10) || 'Header fields:' || coalesce(chr(10) || string_agg(line, chr(10) order by i) filter (where not is_line), '')
+        || coalesce(chr(10) || chr(10) || 'Line item columns:' || chr(10) || string_agg(line, chr(10) order by i) filter (where is_line), '') || case when doc_type = 'type1' then chr(10) || chr(10) || 'Read twice.' else '' end as guide from s group by 1""")
+def _(part):
+    """Made-up types, one without lines, one with a word of advice."""
+    i, kind = F.col("i"), F.concat(F.lit("type"), F.col("i") % 4)
+    spec = part.select((F.col("p_partkey") % 40).alias("i")).distinct().select(
+        kind.alias("doc_type"), F.upper(kind).alias("label"), F.lit("made up").alias("description"), F.when(i % 4 == 1, "Read twice.").alias("guidance"), i.alias("place"), ((i % 3 == 0) & (i % 4 != 2)).alias("is_line"),
+        F.concat(F.lit("f"), i).alias("name"), F.concat(F.lit("Field "), i).alias("title"), F.when(i % 2 == 0, "number").otherwise("string").alias("kind"), F.when(i % 5 == 0, "as printed").alias("hint"),
+    )
+    return layout.field_guides(spec)
+
+
 @query("CK31_rebuild", "fields", sql="select doc_id, line_index, cast(case when status = 'corrected' then final_value else value end as decimal(18,2)) as quantity from fields")
 def _(fields):
     return layout.rebuild_lines(fields, {"quantity": "decimal(18,2)"})

@@ -5,7 +5,7 @@ import glob
 from pyspark.sql import functions as F
 
 from docproof.functions.text import names_match
-from docproof.operators import access, layout, scoring
+from docproof.operators import access, layout, risk, scoring
 
 
 def test_csv_starts_with_the_mark(spark, tmp_path):
@@ -88,3 +88,12 @@ def test_templates(spark):
     examples = spark.createDataFrame([(t, d) for t, ds in shown.items() for d in ds], "template_id int, doc_id int")
     got = {r["template_id"]: (r["vendor_id"], r["problem"]) for r in access.new_templates(templates, examples, docs).collect()}
     assert got == {1: (7, None), 2: (None, "wrong_number"), 3: (None, "not_found"), 4: (None, "several_vendors"), 5: (None, "not_reviewed"), 6: (None, "mixed_types"), 7: (None, "wrong_number")}
+
+
+def test_backtest(spark):
+    rows = spark.range(9000).selectExpr("id as doc_id", "true as is_qa_sample", "id % 2 = 1 as is_high_stakes", "1.0 as bias", "cast(id % 3 > 0 as double) as x", "id % 3 = 0 and pmod(xxhash64(id), 10) < 3 as wrong")
+    found = risk.backtest(rows, ["bias", "x"])
+    assert found["decision"] == "proposed" and found["high_stakes"] >= found["auto_accept"] > 0.9 and found["labelled"] == 9000
+    forced = risk.backtest(rows.withColumn("forced", F.expr("is_high_stakes")), ["bias", "x"])
+    assert forced["decision"] == "keep: no certified threshold for high_stakes" and forced["auto_accept"] is None
+    assert risk.backtest(rows.where("doc_id < 100"), ["bias", "x"])["decision"] == "keep: too few labelled fields"
