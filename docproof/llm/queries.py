@@ -100,11 +100,45 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), F.xxhash64("first", "end").alias("spans_xxh64"))
 
 
+def op12_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docproof.llm.slack_packing import pack_by_slack
+
+    return pack_by_slack(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docproof.llm.filter_audit import filter_audit
+
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
 ORACLE = {
+    "op13_filter_audit": r"""
+        with d as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words,
+                          min(doc_id) over (partition by coalesce(text, '')) as least from documents),
+        l as (select doc_id, max(quality) as quality, max(toxic) as toxic from labels group by doc_id),
+        f as (select part, coalesce(quality = 1, false) as good, coalesce(toxic = 1, false) as bad,
+                     (len(words) < 200)::int + 2 * (100 * len(list_distinct(words)) < 50 * len(words))::int
+                     + 4 * (100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text))::int
+                     + 8 * regexp_matches(text, '[#$%&*|]')::int + 16 * coalesce(d.doc_id > least, false)::int as mask
+              from d left join l on d.doc_id = l.doc_id),
+        m as (select part, mask, count(*) as n, count(*) filter (where good) as good, count(*) filter (where bad) as bad from f group by part, mask),
+        letters as (select unnest(['A', 'B', 'C', 'D', 'E']) as x),
+        orders as (select a.x || b.x || c.x || d.x || e.x as filter_order from letters a, letters b, letters c, letters d, letters e
+                   where len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+        steps as (select filter_order, s as step, filter_order[s] as letter, (1 << (strpos('ABCDE', filter_order[s]) - 1)) as own,
+                         coalesce(list_sum([1 << (strpos('ABCDE', filter_order[i]) - 1) for i in range(1, s)]), 0)::int as prior
+                  from orders, (select unnest([1, 2, 3, 4, 5])::int as s)),
+        r as (select part, filter_order, step, letter, sum(if((mask & (prior | own)) = 0, n, 0))::bigint as kept,
+                     sum(if((mask & prior) = 0 and (mask & own) <> 0, n, 0))::bigint as removed, sum(if((mask & prior) <> 0 and (mask & own) <> 0, n, 0))::bigint as redundant,
+                     sum(if(mask = own, n, 0))::bigint as unique_fails, sum(if((mask & prior) = 0 and (mask & own) <> 0, good, 0))::bigint as good_lost,
+                     sum(if((mask & prior) = 0 and (mask & own) <> 0, bad, 0))::bigint as toxic_lost
+              from m, steps group by part, filter_order, step, letter)
+        select part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) over (partition by part, letter))::bigint as shapley from r""",
     "op3_exact_dedup": r"""
         with h as (select doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) as text_sha256 from documents)
         select doc_id, min(doc_id) over (partition by text_sha256) as keep_id, count(*) over (partition by text_sha256) as group_size,
