@@ -100,6 +100,13 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), F.xxhash64("first", "end").alias("spans_xxh64"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docproof.llm.alignment import NUMBERS, align_documents
+
+    found = align_documents(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), _tokenizer("piece_bpe_32k.model"))
+    return found.select("doc_id", *NUMBERS, F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256)).alias("groups_sha256"))
+
+
 def op12_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docproof.llm.slack_packing import pack_by_slack
 
