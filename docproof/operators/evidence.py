@@ -13,6 +13,8 @@ from docproof.settings import DEFAULTS, Settings
 EXACT = ("line_math", "line_total", "lines_sum_subtotal", "tax_sum", "grand_total", "amount_in_words", "total_freight")
 RATE = ("line_tax", "tax_rate_reconcile")
 ARITHMETIC = (*EXACT, *RATE, "cgst_eq_sgst", "round_off", "accept_reject")
+#: The order in which a line's and then a header's rules are listed.
+CHECK_ORDER = ("line_math", "line_tax", "gst_slab", "line_total", "accept_reject", "lines_sum_subtotal", "tax_sum", "tax_rate_reconcile", "cgst_eq_sgst", "tax_type_vs_state", "grand_total", "round_off", "freight_math", "total_freight", "amount_in_words")
 #: Weights of the signals (fixed values).
 WEIGHTS = {
     "bias": 2.0, "legibility_clear": 0.5, "absent_optional": 2.0, "legibility_partly": -2.0, "legibility_illegible": -5.0,
@@ -76,9 +78,15 @@ def needs_reread(value: Column, legibility: Column, high_stakes: Column, hard: C
 
 
 def reread_targets(fields: DataFrame, most: int = 40) -> DataFrame:
-    """Unproven fields that a second reading is asked for: of each document the first ``most``, high stakes first."""
-    order = Window.partitionBy("doc_id").orderBy(F.desc("is_high_stakes"), "score", "line_index")
-    return fields.where("not proven").withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= most)
+    """The fields that a second reading is asked for, of each document the first ``most``: high stakes first, then what is not
+    clear, then header fields, then by line; equal ones in the document's order.
+
+    Needs doc_id, place (order in the document), line_index (null in the header), value, legibility, is_high_stakes, hard,
+    raw_consistent, unparseable, proven and code_filled; adds turn."""
+    flag = lambda x: F.coalesce(F.col(x), F.lit(False))
+    asked = needs_reread(F.col("value"), F.col("legibility"), F.col("is_high_stakes"), F.col("hard"), F.col("raw_consistent"), F.col("unparseable"), flag("proven") | flag("code_filled"))
+    order = Window.partitionBy("doc_id").orderBy(F.desc(flag("is_high_stakes")), F.col("legibility").eqNullSafe("clear"), F.col("line_index").isNotNull(), F.coalesce("line_index", F.lit(0)), "place")
+    return fields.where(asked).withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= most)
 
 
 def reread_outcome(first: Column | str, second: Column | str, legible: Column) -> Column:
@@ -87,11 +95,14 @@ def reread_outcome(first: Column | str, second: Column | str, legible: Column) -
     return F.when(~legible, "illegible").when(first.isNull() & second.isNotNull(), "found").when(first.eqNullSafe(second), "agree").otherwise("differ")
 
 
-def implicated(checks: DataFrame, most: int = 14) -> DataFrame:
-    """The fields of failing arithmetic, first named first, at most ``most`` a document."""
+def implicated(checks: DataFrame, values: DataFrame, most: int = 14) -> DataFrame:
+    """The fields of failing arithmetic in the order of the checks (lines by number, then the header), each where it is first
+    named, at most ``most`` a document. ``values``: doc_id, field_key of the fields that hold a number."""
     bad = checks.where((F.col("status") == "fail") & (F.col("severity") == "error") & family().isin(*ARITHMETIC))
-    keys = bad.select("doc_id", "check_id", F.posexplode("field_keys").alias("pos", "field_key"))
-    first = keys.groupBy("doc_id", "field_key").agg(F.min(F.struct("check_id", "pos")).alias("at"))
+    part = F.split_part("check_id", F.lit(":"), F.lit(2))
+    line, rank = part.try_cast("int"), F.array_position(F.array(*map(F.lit, CHECK_ORDER)), family())
+    keys = bad.select("doc_id", F.struct(line.isNull().alias("header"), line.alias("line"), rank.alias("rank"), part.alias("part")).alias("check"), F.posexplode("field_keys").alias("pos", "field_key"))
+    first = keys.groupBy("doc_id", "field_key").agg(F.min(F.struct("check", "pos")).alias("at")).join(values.select("doc_id", "field_key").distinct(), ["doc_id", "field_key"], "left_semi")
     return first.withColumn("turn", F.row_number().over(Window.partitionBy("doc_id").orderBy("at", "field_key"))).where(F.col("turn") <= most).select("doc_id", "field_key", "turn")
 
 

@@ -19,10 +19,11 @@ from docproof.settings import DEFAULTS, Settings
 
 
 def same_reference(a: Column | str, b: Column | str) -> Column:
-    """Equal up to case, punctuation and leading zeros, or one the end of the other; both given."""
+    """Equal up to case, punctuation and leading zeros, or one the end of the other. Letters and digits of all scripts count;
+    where nothing of either is left, it proves nothing."""
     a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
-    bare = lambda x: F.ltrim(F.regexp_replace(F.upper(x), "[^A-Z0-9]", ""), F.lit("0"))
-    return (a != "") & (b != "") & (bare(a).endswith(bare(b)) | bare(b).endswith(bare(a)))
+    bare = lambda x: F.ltrim(F.regexp_replace(F.upper(x), r"[^\p{L}\p{N}]", ""), F.lit("0"))
+    return (bare(a) != "") & (bare(b) != "") & (bare(a).endswith(bare(b)) | bare(b).endswith(bare(a)))
 
 
 def received(receipts: DataFrame) -> DataFrame:

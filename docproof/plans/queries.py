@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docproof import streaming
 from docproof.functions import gst
 from docproof.functions import normalize as norm
-from docproof.operators import checks, codes, evidence, layout, matching, metrics, records, repair, risk
+from docproof.operators import routing, checks, codes, evidence, layout, matching, metrics, records, repair, risk
 from docproof.plans.registry import NOW, ORACLES, QUERIES, query
 from docproof.settings import DEFAULTS
 from docproof.sources import datasets
@@ -528,10 +528,17 @@ def _(orders, receipts, invoices, headers):
     return matching.match_documents(orders, receipts, invoices, headers)
 
 
-@query("MT3_same_reference", "inv_header", sql="select doc_id, doc_id % 4 <> 3 as same from inv_header where doc_id > 0")
+@query("MT3_same_reference", "inv_header", sql=r"""
+    , r as (select doc_id, case doc_id % 8 when 0 then '00' || doc_id when 1 then 'inv-' || doc_id when 2 then doc_id::varchar when 3 then doc_id || 'x' when 4 then 'पीओ/' || doc_id when 5 then 'क-ख' when 6 then '-/-' else 'पीओ/१२' end as a,
+                  case when doc_id % 8 = 4 then 'पीओ ' || doc_id when doc_id % 8 = 7 then case when doc_id % 16 = 7 then 'पीओ-१२' else 'पीओ-१३' end else doc_id::varchar end as b from inv_header),
+    n as (select doc_id, ltrim(regexp_replace(upper(a), '[^\p{L}\p{N}]', '', 'g'), '0') as a, ltrim(regexp_replace(upper(b), '[^\p{L}\p{N}]', '', 'g'), '0') as b from r)
+    select doc_id, a <> '' and b <> '' and (right(a, length(b)) = b or right(b, length(a)) = a) as same from n""")
 def _(headers):
-    said = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("00"), "doc_id")).when(F.col("doc_id") % 4 == 1, F.concat(F.lit("inv-"), "doc_id")).when(F.col("doc_id") % 4 == 2, F.col("doc_id").cast("string")).otherwise(F.concat("doc_id", F.lit("x")))
-    return headers.where("doc_id > 0").select("doc_id", matching.same_reference(F.col("doc_id").cast("string"), said).alias("same"))
+    """References of Latin letters, of others, and of none."""
+    n, key = F.col("doc_id") % 8, F.col("doc_id").cast("string")
+    a = F.when(n == 0, F.concat(F.lit("00"), key)).when(n == 1, F.concat(F.lit("inv-"), key)).when(n == 2, key).when(n == 3, F.concat(key, F.lit("x"))).when(n == 4, F.concat(F.lit("पीओ/"), key)).when(n == 5, "क-ख").when(n == 6, "-/-").otherwise("पीओ/१२")
+    b = F.when(n == 4, F.concat(F.lit("पीओ "), key)).when(n == 7, F.when(F.col("doc_id") % 16 == 7, "पीओ-१२").otherwise("पीओ-१३")).otherwise(key)
+    return headers.select("doc_id", matching.same_reference(a, b).alias("same"))
 
 
 @query("MT5_supplier_consistent", "inv_header", "grn_line", sql="""select h.doc_id, count(distinct x) > 1 as differs from inv_header h join (select doc_id, case when line_index % 9 = 8 then 'other' else 'same' end as x from grn_line) g on g.doc_id = h.doc_id group by 1""")
@@ -561,8 +568,8 @@ def _whole_match(orders, receipts, invoices, headers):
                  case when r.doc_id % 9 = 0 then 'X' else o.supplier end as supplier from grn_line r join o on o.doc_id = r.doc_id),
     p as (select b.doc_id, 'block' as severity, b.ref as x, o.po as y from b join o on o.doc_id = b.doc_id union all select g.doc_id, 'block', g.ref, o.po from g join o on o.doc_id = g.doc_id
           union all select g.doc_id, 'warn', g.bill, o.number from g join o on o.doc_id = g.doc_id),
-    n as (select *, ltrim(regexp_replace(upper(x), '[^A-Z0-9]', '', 'g'), '0') as nx, ltrim(regexp_replace(upper(y), '[^A-Z0-9]', '', 'g'), '0') as ny from p where x <> '')
-    select doc_id, 'reference' as kind, severity, count(*) as n from n where not (ends_with(nx, ny) or ends_with(ny, nx)) group by all
+    n as (select *, ltrim(regexp_replace(upper(x), '[^\p{L}\p{N}]', '', 'g'), '0') as nx, ltrim(regexp_replace(upper(y), '[^\p{L}\p{N}]', '', 'g'), '0') as ny from p where x <> '')
+    select doc_id, 'reference' as kind, severity, count(*) as n from n where nx = '' or ny = '' or not (ends_with(nx, ny) or ends_with(ny, nx)) group by all
     union all select g.doc_id, 'supplier', 'block', 1 from g join o on o.doc_id = g.doc_id where g.supplier <> o.supplier""")
 def _(orders, receipts, invoices, headers):
     _, issues = matching.three_way(*_whole_match(orders, receipts, invoices, headers))
@@ -706,15 +713,13 @@ def _(docs):
     return records.own_numbers(seen, docs.select("tenant_id", F.concat(F.lit("g-"), "tenant_id", F.lit("x")).alias("gstin")).distinct())
 
 
-@query("AG26_dominant_type", "docs", sql="""with r as (select tenant_id, doc_type, row_number() over (partition by tenant_id order by docs.created_at desc, doc_id desc) as r from docs where doc_type is not null), c as (select tenant_id, doc_type, count(*) as n, min(r) as first from r where r <= 200 group by all)
-    select tenant_id, max_by(doc_type, struct_pack(n := n, f := -first)) as doc_type, cast(sum(n) as bigint) as seen, cast(round(cast(max(n) as decimal(18,8)) / sum(n), 4) as double) as share from c group by 1""")
+@query("AG26_dominant_type", "intake", sql="""
+    , r as (select tenant_id, filed_type, row_number() over (partition by tenant_id order by intake.created_at desc, doc_id desc) as r from intake where filed_type is not null),
+    c as (select tenant_id, filed_type, count(*) as n, min(r) as first from r where r <= 200 group by all),
+    t as (select tenant_id, max_by(filed_type, struct_pack(n := n, f := -first)) as usual_type, cast(sum(n) as bigint) as seen, max(n) as most from c group by 1)
+    select * from t where seen >= 20 and most >= 0.85 * seen""")
 def _(docs):
-    from pyspark.sql import Window
-
-    recent = docs.where("doc_type is not null").withColumn("r", F.row_number().over(Window.partitionBy("tenant_id").orderBy(F.desc("created_at"), F.desc("doc_id")))).where("r <= 200")
-    counts = recent.groupBy("tenant_id", "doc_type").agg(F.count(F.lit(1)).alias("n"), F.min("r").alias("first"))
-    share = F.round(F.max("n").cast("decimal(18,8)") / F.sum("n"), 4).cast("double")
-    return counts.groupBy("tenant_id").agg(F.max_by("doc_type", F.struct("n", -F.col("first"))).alias("doc_type"), F.sum("n").alias("seen"), share.alias("share"))
+    return routing.usual_type(docs.withColumnRenamed("filed_type", "doc_type"))
 
 
 @query("AG27_template_hints", "prints", sql="select doc_id, median(item_code % 97) as x, stddev_pop(item_code % 97) <= 12 as steady, count(*) as n from prints group by 1 having count(*) >= 2")
@@ -766,9 +771,14 @@ def _(fields):
     return fields.select("doc_id", "line_index", again.alias("again"))
 
 
-@query("EV6_reread_targets", "fields", sql="select doc_id, line_index from (select doc_id, line_index, row_number() over (partition by doc_id order by is_high_stakes desc, score, line_index) as r from fields where not proven) where r <= 40")
-def _(fields):
-    return evidence.reread_targets(fields).select("doc_id", "line_index")
+@query("EV6_reread_targets", "cells", sql="""
+    , asked as (select * from cells where not (coalesce(proven, false) or coalesce(code_filled, false))
+        and case when value is null then coalesce(legibility in ('illegible', 'partly_legible'), false)
+            else coalesce(is_high_stakes, false) or coalesce(hard, false) or coalesce(legibility <> 'clear', false) or coalesce(not raw_consistent, false) or coalesce(unparseable, false) end)
+    select doc_id, place, turn from (select doc_id, place, row_number() over (partition by doc_id order by case when is_high_stakes then 0 else 1 end, case when legibility = 'clear' then 1 else 0 end,
+        case when line_index is null then 0 else 1 end, coalesce(line_index, 0), place) as turn from asked) where turn <= 40""")
+def _(cells):
+    return evidence.reread_targets(cells).select("doc_id", "place", "turn")
 
 
 @query("EV7_reread_outcome", "fields", sql="select doc_id, line_index, case when is_high_stakes then 'illegible' when final_value is null then 'differ' when value = final_value then 'agree' else 'differ' end as outcome from fields")
@@ -776,10 +786,14 @@ def _(fields):
     return fields.select("doc_id", "line_index", evidence.reread_outcome("value", "final_value", ~F.col("is_high_stakes")).alias("outcome"))
 
 
-@query("RP2_implicated", "inv_line", sql=f"""with {LINE_SQL}, k as (select doc_id, 'line_math:' || line_index as c, n, i, 'line_items[' || line_index || '].' || n as field_key from m, (values ('quantity', 0), ('rate', 1), ('discount', 2), ('taxable_value', 3)) v(n, i) where abs(calc - taxable_value) > greatest(0.51, abs(taxable_value) * 0.0005))
-    select doc_id, field_key, turn from (select *, row_number() over (partition by doc_id order by c, i, field_key) as turn from k) where turn <= 14""")
+@query("RP2_implicated", "long_line", sql=f"""with {LINE_SQL.replace('inv_line', 'long_line').replace('- discount', '- coalesce(discount, 0)')}, k as (select doc_id, line_index, n, i, 'line_items[' || line_index || '].' || n as field_key from m, (values ('quantity', 0), ('rate', 1), ('discount', 2), ('taxable_value', 3)) v(n, i)
+        where abs(calc - taxable_value) > greatest(0.51, abs(taxable_value) * 0.0005) and case n when 'quantity' then quantity when 'rate' then rate when 'discount' then discount else taxable_value end is not null)
+    select doc_id, field_key, turn from (select *, row_number() over (partition by doc_id order by line_index, i) as turn from k) where turn <= 14""")
 def _(lines):
-    return evidence.implicated(checks.line_checks(lines)).select("doc_id", "field_key", "turn")
+    """Documents of many lines, so that the limit cuts; most have no discount, which is then no field to mend."""
+    names = ("quantity", "rate", "discount", "taxable_value")
+    values = lines.select("doc_id", F.explode(F.array_compact(F.array(*[F.when(F.col(n).isNotNull(), F.format_string(f"line_items[%d].{n}", "line_index")) for n in names]))).alias("field_key"))
+    return evidence.implicated(checks.line_checks(lines), values)
 
 
 @query("RP3_slips", "inv_line")
@@ -1281,4 +1295,4 @@ def synthetic_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES |= {"SRC13_synthetic": synthetic_invoices, "SRC15_dataset": synthetic_dataset}
 ORACLES["SRC15_dataset"] = "select bucket, doc_type, cast(100 as bigint) as documents, cast(case when doc_type = 'lr' then 0 else 300 end as bigint) as lines from (values ('digital', 'invoice'), ('good_scan', 'invoice'), ('poor_scan', 'invoice'), ('bilingual', 'invoice'), ('carbon', 'lr')) v(bucket, doc_type)"
 
-from docproof.plans import review  # noqa: E402, F401  (registers its queries)
+from docproof.plans import decisions, review  # noqa: E402, F401  (register their queries)

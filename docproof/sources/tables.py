@@ -115,6 +115,37 @@ ADAPTERS: dict[str, str] = {
         select doc_id, line_index * 10 + 3, concat('qr:', cast(line_index as varchar(10))), 'error', 'fail', 'the signed code differs', concat('line_items[', cast(line_index as varchar(10)), '].quantity') from {inv_line} where item_code % 97 = 0
         union all
         select doc_id, line_index * 10 + 4, concat('line_tax:', cast(line_index as varchar(10))), 'error', 'pass', 'fits', concat('line_items[', cast(line_index as varchar(10)), '].quantity') from {inv_line} where item_code % 2 = 0""",
+    # what is known of a document on arrival, of a first look at it, and of its reading
+    "intake": """
+        select doc_id, tenant_id, created_at, case when tenant_id % 3 = 0 and doc_id % 10 <> 0 then 'invoice' else doc_type end as filed_type,
+               case when doc_id % 5 = 0 then coalesce(doc_type, 'memo') end as declared_type,
+               case cast(doc_id % 8 as int) when 1 then 'einvoice_qr' when 2 then 'barcode' end as code_source,
+               case when doc_id % 7 = 3 then doc_type end as text_type,
+               case cast(doc_id % 11 as int) when 2 then 'grn' when 3 then 'letter' end as type_hint,
+               cast(case when doc_id % 3 = 0 then 1 else 1 + doc_id % 17 end as int) as pages,
+               case when doc_id % 13 = 0 then doc_id - 1 end as parent_id,
+               quality_bucket, coalesce(quality_bucket = 'digital', false) as is_digital,
+               cast(case when doc_id % 16 = 0 then 2 when doc_id % 16 = 4 then 1 end as int) as local_groups,
+               doc_id % 9 <> 4 as looked, case cast(doc_id % 6 as int) when 0 then 'po' when 1 then 'letter' when 2 then 'contract' when 3 then null else 'lr' end as look_type,
+               case when doc_id % 4 = 1 then 'tamil' when doc_id % 4 = 2 then 'other' else 'english' end as look_language, doc_id % 14 = 5 as look_handwriting,
+               cast(case when doc_id % 3 = 1 then 2 else 1 end as int) as look_groups,
+               cast(case when doc_id % 19 = 0 then 40 when doc_id % 19 = 1 then 1 else 0 end as int) as unreadable_pages, doc_id % 29 = 0 as indic_text,
+               case cast(doc_id % 9 as int) when 0 then null when 1 then 'po' when 2 then 'letter' when 3 then 'invoice' else doc_type end as observed_type,
+               languages, has_handwriting, case when doc_id % 31 = 0 then 'illegible' else 'clear' end as legibility, cast(doc_id % 4 as int) as targets
+        from {docs}""",
+    # nine fields a line, three of the first line's in the header, for limits by document
+    "cells": """
+        select f.doc_id, cast(f.line_index * 9 + n.i as int) as place, case when f.line_index = 0 and n.i < 3 then null else f.line_index end as line_index,
+               case when (f.k + n.i) % 6 = 1 then null else f.value end as value,
+               case cast((f.k * 3 + n.i) % 5 as int) when 0 then 'illegible' when 1 then 'partly_legible' when 2 then 'not_present' when 3 then null else 'clear' end as legibility,
+               (f.k + n.i * n.i) % 4 = 0 as is_high_stakes, f.doc_id % 3 = 0 as hard, case when (f.k + n.i) % 7 < 2 then null else (f.k + n.i) % 7 > 3 end as raw_consistent,
+               (f.k + n.i) % 11 = 0 as unparseable, (f.k + n.i) % 5 = 2 as proven, case when n.i = 7 then true end as code_filled
+        from {readings} f join (select 0 as i union all select 1 union all select 2 union all select 3 union all select 4 union all select 5 union all select 6 union all select 7 union all select 8) n on n.i >= 0""",
+    # long documents: the lines of many orders under one id
+    "long_line": """
+        select doc_id - doc_id % 256 as doc_id, cast(row_number() over (partition by doc_id - doc_id % 256 order by doc_id, line_index) - 1 as int) as line_index,
+               item_code, quantity, rate, taxable_value, gst_rate, rate_per, case when discount = 0 then null else discount end as discount
+        from {inv_line}""",
     # readings as text, in the forms that documents print
     "prints": """
         select doc_id, line_index,

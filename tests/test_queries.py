@@ -64,12 +64,6 @@ def test_entry(spark):
     assert e.entry(spark).count() == 4 and set(e.oracle_sql()) <= set(e.queries())
 
 
-def test_reread_keeps_all_below_the_limit(spark, sf_dir):
-    unproven = load(spark, sf_dir, "fields").where("not proven").groupBy("doc_id").count()
-    assert unproven.where("count > 3").count() > 0 and unproven.where("count > 40").isEmpty()
-    assert QUERIES["EV6_reread_targets"](spark, sf_dir).count() == unproven.agg({"count": "sum"}).first()[0]
-
-
 def test_whole_int_by_hand(spark, sf_dir):
     fold = str.maketrans("०१२३४५६७८९", "0123456789")
 
