@@ -36,6 +36,8 @@ from docproof.llm.common import plain, save
 
 BUCKETS = 1 << 15
 SAMPLE_DOCS = 2_000
+#: Rows draw a number below this one, from their hash.
+DRAW = 1 << 53
 #: Each triple counts by half, and all of a text's together like ``FULL`` of them at most.
 TEMPER, FULL = 0.5, 60.0
 #: Pseudo-rows with which a host's shares lean on its domain's, and a domain's on the corpus'.
@@ -75,17 +77,19 @@ class TextModel:
         return total - total.max()
 
 
-def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", sample: int = SAMPLE_DOCS) -> TextModel:
-    """Learns from about ``sample`` labelled rows of each language, chosen by a hash of the text. The counts come to the
-    driver: their number is bounded by languages times buckets."""
-    rows = docs.select(F.col(lang_col).alias("lang"), plain(text_col).alias("text")).where("lang is not null")
-    counted = rows.groupBy("lang").count().toPandas().sort_values("lang", ignore_index=True)
+def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", sample: int = SAMPLE_DOCS, id_col: str = "doc_id") -> TextModel:
+    """Learns from about ``sample`` labelled rows of each language, chosen by a hash of id and text; the row with a
+    language's smallest hash is always among them, so that no language goes unlearned, and rows equal in both count once.
+    The counts come to the driver: their number is bounded by languages times buckets."""
+    key = [F.col(id_col).cast("string")] if id_col in docs.columns else []
+    rows = docs.select(F.col(lang_col).alias("lang"), plain(text_col).alias("text"), F.pmod(F.xxhash64(*key, plain(text_col), F.lit("language")), F.lit(DRAW)).alias("draw")).where("lang is not null")
+    counted = rows.groupBy("lang").agg(F.count("*").alias("count"), F.min("draw").alias("least")).toPandas().sort_values("lang", ignore_index=True)
     languages = counted["lang"].tolist()
     if not languages:
         return TextModel([], np.zeros((BUCKETS, 0)))
-    shares = [(lang, int(min(1.0, sample / n) * 1_000_000)) for lang, n in zip(languages, counted["count"], strict=True)]
-    taken = F.broadcast(docs.sparkSession.createDataFrame(shares, "lang string, taken int"))
-    chosen = rows.join(taken, "lang").where(F.pmod(F.xxhash64("text", F.lit("language")), F.lit(1_000_000)) < F.col("taken")).select("lang", "text")
+    limits = [(lang, max(int(least), int(min(1.0, sample / n) * DRAW))) for lang, n, least in counted[["lang", "count", "least"]].itertuples(index=False)]
+    taken = F.broadcast(docs.sparkSession.createDataFrame(limits, "lang string, taken long"))
+    chosen = rows.join(taken, "lang").where(F.col("draw") <= F.col("taken")).dropDuplicates(["lang", "draw"]).select("lang", "text")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         totals: dict[str, np.ndarray] = {}

@@ -13,7 +13,7 @@ written tables, so adaptive execution can split a window that very many document
 A row is known by its id and a digest of its text, so rows that share an id, or have none, keep their own lines.
 
 Defined results: null text counts as empty and has no lines; texts of fewer than three lines stay as they are; windows of
-blank lines only do not count; a null id sorts after all others, and rows of one id by their texts' digests; rows equal
+blank lines only (white space of any ASCII kind) do not count; a null id sorts after all others, and rows of one id by their texts' digests; rows equal
 in id and text are one document, repeated, and lose the same lines. Other columns are not looked at.
 """
 
@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from docproof.llm.common import plain, save
 
 WIDTH = 3
+#: A line that is not blank.
+SAID = r"[^\x20\x09-\x0D]"
 #: A row's identity: whether it has no id, its id, and the first 60 bits of its text's digest.
 KEY = ["lone", "id", "print"]
 #: Of the keys' hashes; the occupied ones are broadcast, at most this many 8-byte numbers.
@@ -33,7 +35,7 @@ BUCKETS = 1 << 20
 
 def _windows(docs: DataFrame) -> DataFrame:
     """The key, pos, a, b: a row for each window, where a and b are its two hashes."""
-    line = lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(7), x).alias("b"), (F.trim(x) != "").alias("said"))
+    line = lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(7), x).alias("b"), x.rlike(SAID).alias("said"))
     hashed = docs.select(*KEY, F.transform(F.split("text", "\n"), line).alias("h")).where(F.size("h") >= WIDTH)
     parts = [F.slice("h", F.lit(i + 1), F.size("h") - (WIDTH - 1)) for i in range(WIDTH)]
     zipped = F.arrays_zip(*[p.alias(f"l{i}") for i, p in enumerate(parts)])

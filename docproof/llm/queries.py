@@ -157,7 +157,7 @@ ORACLE = {
         w as (select doc_id, print, pos, line as a, lead(line, 1) over d as b, lead(line, 2) over d as c, lead(pos, 2) over d as p
               from l window d as (partition by doc_id, print order by pos)),
         o as (select *, row_number() over (partition by a, b, c order by doc_id nulls last, print, pos) as turn
-              from w where p is not null and (trim(a) <> '' or trim(b) <> '' or trim(c) <> '')),
+              from w where p is not null and regexp_matches(a || b || c, '[^\x20\x09-\x0D]')),
         r as (select distinct doc_id, print, pos + i.i as pos from o cross join (select unnest([0, 1, 2]) as i) i where turn > 1),
         k as (select l.doc_id, l.print, count(*) as n_lines, count(r.pos) as n_removed, coalesce(string_agg(l.line, chr(10) order by l.pos) filter (where r.pos is null), '') as text
               from l left join r on l.doc_id is not distinct from r.doc_id and l.print = r.print and l.pos = r.pos group by l.doc_id, l.print)

@@ -219,3 +219,11 @@ def test_lines_edge_cases(spark):
     assert remove_repeated_lines(docs.limit(0)).count() == 0
     plan = remove_repeated_lines(docs)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_blank_lines_of_any_kind(spark):
+    """Three blank lines in a row, of carriage returns or tabs, are no passage."""
+    texts = ["a one\r\n\r\n\r\n\r\nb", "c two\r\n\r\n\r\n\r\nd", "x\n\t\n \t\n\x0b\ny", "z\n\t\n \t\n\x0b\nw", "long " * 50_000 + "\n1\n2\n3", "tail\n1\n2\n3"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in remove_repeated_lines(docs).collect()}
+    assert [got[i] for i in range(5)] == texts[:5] and got[5] == "tail"

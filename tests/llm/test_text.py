@@ -363,3 +363,18 @@ def test_language_edge_cases(spark):
     assert sorted((r["doc_id"] or 0) for r in language_id.keep_known_languages(docs, model).collect())[-1] == 1
     empty = language_id.train(docs.limit(0))
     assert language_id.keep_known_languages(docs, empty).count() == 3
+
+
+def test_languages_of_one_text_are_learned(spark):
+    """Many rows of one text, with ids of their own, with one id, and without: each language is learned and stays."""
+    from docproof.llm.language_id import keep_known_languages, train
+
+    english = [(i, f"the quick brown fox {i} jumps over the lazy dog and then some more words {i * 7}", "en", "a") for i in range(300)]
+    one = [(1000 + i, "zażółć gęślą jaźń wszystkim którzy przyszli dzisiaj na spotkanie", "pl", "b") for i in range(4000)]
+    same = [(7, "ystävällinen yhdistys järjestää tänään yhteisen illan kaikille", "fi", "c")] * 4000
+    docs = spark.createDataFrame(english + one + same, "doc_id long, text string, lang string, source string")
+    for sample in (50, 2000):
+        model = train(docs, sample=sample)
+        assert model.languages == ["en", "fi", "pl"] and (model.table.max(axis=0) - model.table.min(axis=0) > 1).all()
+        assert {tuple(r) for r in keep_known_languages(docs, model).groupBy("lang").count().collect()} == {("en", 300), ("pl", 4000), ("fi", 4000)}
+    assert train(docs.drop("doc_id")).languages == ["en", "fi", "pl"]
