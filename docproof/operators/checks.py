@@ -129,10 +129,14 @@ def date_check(name: str, as_of: str) -> Column:
 
 def invoice_checks(headers: DataFrame, lines: DataFrame, s: Settings = DEFAULTS, only: tuple[str, ...] | None = None) -> DataFrame:
     """Invoice headers: sums, tax, states, total, round-off, words, identifiers, dates."""
+    return header_checks(with_line_sums(headers, lines), s, only)
+
+
+def header_checks(headers: DataFrame, s: Settings = DEFAULTS, only: tuple[str, ...] | None = None) -> DataFrame:
+    """``invoice_checks`` of headers that carry the sums of their lines (``with_line_sums``)."""
     money = ("cgst_amount", "sgst_amount", "igst_amount", "cess_amount", "tcs_amount", "other_charges", "discount_total", "round_off")
     said = "amount_in_words" in headers.columns
-    headers = _optional(headers, dict.fromkeys(money, MONEY) | {"amount_in_words": "string", "buyer_gstin": "string", "due_date": "date"})
-    h = with_line_sums(headers, lines)
+    h = _optional(headers, dict.fromkeys(money, MONEY) | {"amount_in_words": "string", "buyer_gstin": "string", "due_date": "date"})
     if said:  # a column of its own, so that the words are read once and not for each rule
         h = h.withColumn("words_amount", words_to_amount("amount_in_words"))
     sub, gt = F.col("subtotal"), F.col("grand_total")

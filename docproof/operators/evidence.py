@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docproof.functions.normalize import fold_digits
 from docproof.settings import DEFAULTS, Settings
 
 #: Rules tight enough to prove their values, and rates that cannot pass misread (fixed values).
@@ -15,6 +17,8 @@ RATE = ("line_tax", "tax_rate_reconcile")
 ARITHMETIC = (*EXACT, *RATE, "cgst_eq_sgst", "round_off", "accept_reject")
 #: The order in which a line's and then a header's rules are listed.
 CHECK_ORDER = ("line_math", "line_tax", "gst_slab", "line_total", "accept_reject", "lines_sum_subtotal", "tax_sum", "tax_rate_reconcile", "cgst_eq_sgst", "tax_type_vs_state", "grand_total", "round_off", "freight_math", "total_freight", "amount_in_words")
+#: Digits for which a digit is mistaken (fixed values).
+SLIPS = {"0": "869", "1": "74", "2": "73", "3": "859", "4": "91", "5": "638", "6": "5809", "7": "12", "8": "30695", "9": "4807"}
 #: Weights of the signals (fixed values).
 WEIGHTS = {
     "bias": 2.0, "legibility_clear": 0.5, "absent_optional": 2.0, "legibility_partly": -2.0, "legibility_illegible": -5.0,
@@ -106,21 +110,55 @@ def implicated(checks: DataFrame, values: DataFrame, most: int = 14) -> DataFram
     return first.withColumn("turn", F.row_number().over(Window.partitionBy("doc_id").orderBy("at", "field_key"))).where(F.col("turn") <= most).select("doc_id", "field_key", "turn")
 
 
-def slips(value: Column | str) -> Column:
-    """Plausible misreads of a whole number: a digit mistaken, dropped, doubled, two swapped, zeros added."""
-    misread = {"0": "869", "1": "74", "2": "73", "3": "859", "4": "91", "5": "638", "6": "5809", "7": "12", "8": "30695", "9": "4807"}
-    text = (F.col(value) if isinstance(value, str) else value).cast("string")
-    table = F.create_map(*[F.lit(x) for kv in misread.items() for x in kv])
-    n = F.length(text)
-    part = lambda a, b: F.substring(text, a, b)
-    one = F.lit(1)
-    put = lambda i, x, skip: F.concat(part(one, i - 1), x, part(i + skip, n))
+def printed_digits(value: Column, raw: Column | None = None) -> tuple[Column, Column]:
+    """(whole, fraction) of a number as it is printed: the first number of ``raw`` where that is the value, else the value
+    itself, with two decimals unless it is whole."""
+    size = F.abs(value)
+    plain = F.when(size == F.floor(size), F.floor(size).cast("string")).otherwise(F.format_string("%.2f", size.cast("double")))
+    if raw is not None:
+        printed = F.regexp_replace(F.regexp_extract(fold_digits(raw), r"[0-9][0-9,]*(?:\.[0-9]+)?", 0), ",", "")
+        plain = F.when(F.abs(printed.try_cast("decimal(38,6)") - size) < F.lit("0.005").cast("decimal(4,3)"), printed).otherwise(plain)
+    return F.split_part(plain, F.lit("."), F.lit(1)), F.split_part(plain, F.lit("."), F.lit(2))
+
+
+def slips(value: Column | str, raw: Column | None = None) -> Column:
+    """Plausible misreads of a printed number, as an array of (value, reason), each value once: a digit mistaken, a digit of
+    the whole part dropped or doubled, two neighbours swapped, the decimal point shifted or lost (which a whole number
+    cannot lose)."""
+    value = (F.col(value) if isinstance(value, str) else value).cast("decimal(20,4)")
+    whole, fraction = printed_digits(value, raw)
+    bound = F.struct(whole.alias("whole"), fraction.alias("fraction"), value.alias("value"))
+    signed = F.when(value < 0, -1).otherwise(1)
+    rows = bind(bound, lambda x: bind(F.concat(x["whole"], x["fraction"]), lambda digits: _misreads(digits, F.length(x["whole"]), x["fraction"] != "", F.abs(x["value"]))))
+    rows = F.transform(rows, lambda y: F.struct(F.round(y["value"] * signed, 2).cast("decimal(18,2)").alias("value"), y["reason"].alias("reason")))
+    rows = bind(rows, lambda y: F.filter(y, lambda z: z["value"].isNotNull() & (F.abs(z["value"] - value) > F.lit("0.004").cast("decimal(4,3)"))))
+    return bind(rows, lambda y: bind(F.transform(y, lambda z: z["value"]), lambda values: F.filter(y, lambda z, i: F.array_position(values, z["value"]) == i + 1)))
+
+
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` names it."""
+    return F.element_at(F.transform(F.array(value), lambda x: use(x)), 1)
+
+
+def _misreads(digits: Column, point: Column, broken: Column, value: Column) -> Column:
+    """(value, reason) of the misreads of a number's digits, ``point`` of them before the decimal point; null where none is."""
+    table = F.create_map(*[F.lit(y) for kv in SLIPS.items() for y in kv])
+    n, one = F.length(digits), F.lit(1)
+    part = lambda a, b: F.substring(digits, a, b)
     at = lambda i: part(i, one)
-    each = F.sequence(one, n)
-    swapped = F.when(n > 1, F.transform(F.sequence(one, F.greatest(n - 1, one)), lambda i: put(i, F.concat(at(i + 1), at(i)), 2))).otherwise(F.array().cast("array<string>"))
-    wrong = F.flatten(F.transform(each, lambda i: F.transform(F.filter(F.split(F.element_at(table, at(i)), ""), lambda c: c != ""), lambda c: put(i, c, 1))))
-    found = F.concat(wrong, F.transform(each, lambda i: put(i, F.lit(""), 1)), F.transform(each, lambda i: put(i, F.concat(at(i), at(i)), 1)), swapped, F.array(F.concat(text, F.lit("0")), F.concat(text, F.lit("00"))))
-    return F.array_sort(F.array_distinct(F.filter(F.transform(found, lambda x: F.when(x != "", x).cast("bigint")), lambda x: x.isNotNull() & (x != text.cast("bigint")))))
+    put = lambda i, y, skip: F.concat(part(one, i - 1), y, part(i + skip, n))
+    number = lambda text, whole: F.concat(F.substring(text, F.lit(1), whole), F.lit("."), F.substring(text, whole + 1, n + 1)).try_cast("decimal(20,4)")
+    found = lambda text, whole, why: F.when(whole > 0, F.struct(number(text, whole).alias("value"), why.alias("reason")))
+    looks = lambda i: F.filter(F.split(F.coalesce(F.element_at(table, at(i)), F.lit("")), ""), lambda c: c != "")
+    mistaken = lambda i: F.transform(looks(i), lambda c: found(put(i, c, 1), point, F.concat(F.lit("a "), c, F.lit(" read as a "), at(i))))
+    others = lambda i: F.array(
+        F.when(i <= point, found(put(i, F.lit(""), 1), point - 1, F.lit("a dropped digit"))),
+        F.when(i <= point, found(put(i, F.concat(at(i), at(i)), 1), point + 1, F.lit("a doubled digit"))),
+        F.when((i < n) & (at(i) != at(i + 1)), found(put(i, F.concat(at(i + 1), at(i)), 2), point, F.lit("two digits swapped"))),
+    )
+    moved = {"10": "shifted", "0.1": "shifted", "100": "missing", "0.01": "missing"}
+    factors = F.array(*[F.when(broken | F.lit(float(f) > 1), F.struct((value * F.lit(f).cast("decimal(6,2)")).cast("decimal(20,4)").alias("value"), F.lit(f"a {why} decimal point").alias("reason"))) for f, why in moved.items()])
+    return F.filter(F.concat(F.flatten(F.transform(F.sequence(one, n), lambda i: F.concat(mistaken(i), others(i)))), factors), lambda y: y.isNotNull())
 
 
 def history_signal(correct: Column | str, total: Column | str) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from docproof.operators import routing, checks, codes, evidence, layout, matchin
 from docproof.plans.registry import NOW, ORACLES, QUERIES, query
 from docproof.settings import DEFAULTS
 from docproof.sources import datasets
+from docproof.sources.scratch import shared_folder
 from docproof.sources.tables import load
 
 double = lambda c: F.col(c).cast("double")
@@ -798,17 +801,10 @@ def _(lines):
 
 @query("RP3_slips", "inv_line")
 def _(lines):
-    return lines.select("doc_id", "line_index", evidence.slips(F.col("quantity").cast("bigint")).alias("slips"))
-
-
-@query("RP5_repair", "inv_line")
-def _(lines):
-    """The first line of each document is misread; every line that fails its arithmetic as read is tried."""
-    read = F.when(F.col("line_index") == 0, F.col("quantity") * 10).otherwise(F.col("quantity")).cast("bigint")
-    fits = lambda v: F.abs(F.col(v) * F.col("rate") - F.col("discount") - F.col("taxable_value")) <= F.greatest(F.lit("0.51").cast("decimal(9,2)"), F.col("taxable_value") * F.lit("0.0005").cast("decimal(9,4)"))
-    wrong = lines.withColumn("read", read).where(~fits("read"))
-    tried = wrong.select("doc_id", "line_index", "rate", "taxable_value", "discount", F.explode(evidence.slips("read")).alias("v"))
-    return tried.where(fits("v")).groupBy("doc_id", "line_index").agg(F.count_distinct("v").alias("n"), F.min("v").alias("repaired")).where("n = 1").select("doc_id", "line_index", "repaired")
+    """Misreads of each line's rate, every third printed with commas and decimals; a test holds the query against a plain version."""
+    printed = F.when(F.col("item_code") % 3 == 0, F.concat(F.lit("₹ "), F.format_number(F.col("rate").cast("double"), 2)))
+    found = F.transform(evidence.slips("rate", printed), lambda x: F.concat(x["value"].cast("string"), F.lit(" "), x["reason"]))
+    return lines.select("doc_id", "line_index", "rate", printed.alias("printed"), F.array_join(F.array_sort(found), "; ").alias("slips"))
 
 
 @query("CF3_score", "fields", sql="select doc_id, line_index, 1 / (1 + exp(-(2.0 + case when proven then 1.5 else 0 end + case when agree then 2.5 else -3.5 * (case when needs_review then 1 else 0 end) end))) as score from fields")
@@ -1012,12 +1008,7 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _work(spark: SparkSession) -> str:
-    """A new folder where driver and executors both write."""
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
-    return f"{base.rstrip('/')}/docproof-stream-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/docproof/stream-{uuid.uuid4().hex}"
 
 
 def stream_first(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -1265,16 +1256,24 @@ def _(docs):
     return docs.select("doc_id", records.page_edge(1200 + i % 7 * 200, i % 30 + 1).cast("long").alias("edge"))
 
 
-@query("RP5_search", "inv_line")
-def _(lines):
-    """One line of a document is misread: its quantity with a zero too many, of every third document its rate too; every second document has
-    another reading, which saw both as they are."""
+def misread(lines: DataFrame, headers: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Invoices of which one line is misread - its quantity with a zero too many, of every third document its rate too, of every
+    seventh the grand total - and what a second reading of every second document saw."""
     first = F.col("line_index") == 0
-    rows = lines.select("doc_id", "line_index", "rate_per", "discount", "taxable_value", F.when(first, F.col("quantity") * 10).otherwise(F.col("quantity")).cast("decimal(18,2)").alias("quantity"), F.when(first & (F.col("doc_id") % 3 == 0), F.col("rate") + 100).otherwise(F.col("rate")).cast("decimal(18,2)").alias("rate"))
-    seen = F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("value")) for f in ("quantity", "rate")])
-    second = lines.where("line_index = 0 and doc_id % 2 = 0").select("doc_id", "line_index", F.explode(seen).alias("s")).select("doc_id", "line_index", "s.*")
-    found = repair.search(rows, second)
-    return found.select("doc_id", "line_index", "kind", F.to_json("changes").alias("changes"))
+    rows = lines.select("doc_id", "line_index", "rate_per", "discount", "taxable_value", "gst_rate", F.when(first & (F.col("doc_id") % 5 > 0), F.col("quantity") * 10).otherwise(F.col("quantity")).cast("decimal(18,2)").alias("quantity"), F.when(first & (F.col("doc_id") % 3 == 0), F.col("rate") + 100).otherwise(F.col("rate")).cast("decimal(18,2)").alias("rate"))
+    heads = headers.select("doc_id", "invoice_date", "subtotal", "grand_total", "cgst_amount", F.col("cgst_amount").alias("sgst_amount"), "igst_amount", "other_charges", "discount_total", "round_off", "supplier_gstin", "place_of_supply")
+    key = lambda n: F.format_string(f"line_items[%d].{n}", "line_index")
+    seen = lines.where("line_index = 0 and doc_id % 2 = 0").select("doc_id", F.explode(F.array(*[F.struct(key(f).alias("field_key"), F.col(f).alias("value"), F.lit("zoomed reading").alias("source")) for f in ("quantity", "rate")])).alias("s"))
+    total = headers.where("doc_id % 4 = 0").select("doc_id", F.struct(F.lit("grand_total").alias("field_key"), (F.col("subtotal") + F.col("tax_total")).cast("decimal(18,2)").alias("value"), F.lit("signed code").alias("source")).alias("s"))
+    return heads, rows, seen.unionByName(total).select("doc_id", "s.*")
+
+
+@query("RP5_search", "inv_line", "inv_header")
+def _(lines, headers):
+    """A test holds it against rules run over whole documents, candidate by candidate."""
+    found = repair.search(*misread(lines, headers))
+    shown = F.transform("changes", lambda c: F.concat(c["field_key"], F.lit(": "), c["old"].cast("decimal(18,2)"), F.lit(" -> "), c["value"], F.lit(" ("), c["source"], F.lit(")")))
+    return found.select("doc_id", "kind", F.array_join(shown, "; ").alias("changes"))
 
 
 def synthetic_invoices(spark: SparkSession, sf_dir: str) -> DataFrame:

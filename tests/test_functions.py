@@ -98,7 +98,6 @@ def test_line_rules(spark):
 
 
 def test_slips_and_signals(spark):
-    assert ask(spark, evidence.slips("x"), [18], "x long") == [sorted({1, 8, 13, 10, 16, 19, 15, 48, 78, 81, 118, 180, 188, 1800})]
     assert ask(spark, evidence.history_signal("c", "t"), [(0, 0), (90, 100)], "c int, t int") == [0.0, pytest.approx(0.0, abs=1e-12)]
 
 
@@ -186,25 +185,6 @@ def test_synthetic_documents_are_exact(spark):
     assert heads.exceptAll(again).isEmpty()
 
 
-def test_repair_search(spark):
-    from decimal import Decimal as D
-
-    row = "doc_id int, line_index int, quantity decimal(18,2), rate decimal(18,2), discount decimal(18,2), taxable_value decimal(18,2)"
-    lines = [
-        (1, 0, 70, 11, 0, 77), (1, 1, 2, 5, 0, 10),  # another reading saw the quantity
-        (2, 0, 70, 12, 0, 77),  # two fields, both backed
-        (3, 0, 7, 13, 0, 991),  # a slip only: the value's digit doubled
-        (7, 0, 7, 11, 0, 777),  # two slips fit: the value's digit doubled, or one of the rate's dropped
-        (4, 0, 9, 11, 0, 500), (4, 1, 9, 11, 0, 500),  # two lines fail
-        (5, 0, 2, 3, 0, 100),  # two single solutions
-        (6, 0, 2, 3, 0, 6),  # nothing is wrong
-    ]
-    second = [(1, 0, "quantity", 7), (1, 0, "rate", 11), (2, 0, "quantity", 7), (2, 0, "rate", 11), (4, 0, "quantity", 1), (5, 0, "quantity", 33.33), (5, 0, "rate", 50), (5, 0, "quantity", None), (6, 0, "quantity", 3)]
-    found = repair.search(spark.createDataFrame([(*r[:2], *map(D, r[2:])) for r in lines], row), spark.createDataFrame([(*r[:3], r[3] if r[3] is None else D(str(r[3]))) for r in second], "doc_id int, line_index int, field_name string, value decimal(18,2)"))
-    got = {r["doc_id"]: (r["kind"], sorted((c["field_name"], float(c["value"])) for c in r["changes"])) for r in found.collect()}
-    assert got == {1: ("single", [("quantity", 7.0)]), 2: ("pair", [("quantity", 7.0), ("rate", 11.0)]), 3: ("slip", [("taxable_value", 91.0)])}
-
-
 def test_grounding(spark):
     pages = spark.createDataFrame([(1, 2, "Date 05/06/2025"), (1, 1, "Total ₹ 1,23,456.50\nGSTIN 27AAPFU 0939F1ZV  Acme   Ltd"), (2, 1, "x"), (2, 2, None)], "doc_id int, page int, text string")
     asked = [("number", "123456.5"), ("number", "-123456.50"), ("number", "99"), ("number", "x"), ("gstin", "27AAPFU0939F1ZV"), ("string", "ACME LTD"), ("string", "Ac"), ("date", "2025-06-05"), ("date", "2025-05-06"), ("text", "Acme"), ("string", None)]
