@@ -11,13 +11,16 @@ cut, so a document's groups are those of its passages in turn. Documents are num
 about ``BLOCK`` characters that share one list of passages; each different passage of the corpus is aligned once, and its
 results come back to the blocks by two joins:
 
-1. ``split``: blocks of (documents as passage numbers, passages), written in buckets by block.
+1. ``split``: blocks of (documents as passage numbers, passages), written in buckets by block, and their ``places``
+   (passage, block, number), in buckets by passage.
 2. ``lexicon``: each different passage once, with A's and B's ids.
-3. ``align``: its groups and links.
+3. ``align``: its groups; ``links`` are the pairs of each.
 4. ``count_pairs``: documents that hold an id pair linked, over all documents.
 5. ``measure``: per passage its counts, then per document their sums and its groups.
 
-Joins and sums by block meet the documents where they lie. A block is bounded, whatever a document's copies do; an id pair
+Tables by passage have the same buckets, so whatever joins, sums or windows by passage moves nothing; only what returns to
+the blocks, and links on their way to their counts and back, shuffle.
+A block is bounded, whatever a document's copies do; an id pair
 that occurs in every document is one row a block before it is counted.
 
 Defined results: texts that are null or empty, or whose tokens of A or B do not join to the very bytes of a space and the
@@ -44,8 +47,9 @@ from docproof.llm.common import plain, save, setting, shared_dir
 from docproof.llm.encoders import byte_letters
 from docproof.llm.pieces import BYTE, MARK, NORMAL, USER_DEFINED, load
 
-#: Characters of text in a block; a longer document is a block of its own.
-BLOCK = 8_000_000
+#: Characters of text in a block; a longer document is a block of its own. The larger, the fewer passages are listed in more than
+#: one block; a block's lists take some four times its text in a task's memory.
+BLOCK = 16_000_000
 #: Passages that are encoded in one call.
 SLICE = 2_000
 
@@ -81,7 +85,7 @@ class Tokenizers:
         self.passages = (lambda text: [text]) if crossed else re.compile(PASSAGE).findall
 
     def encode(self, passages: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        found = [x.ids for x in self.a.encode_batch(passages, add_special_tokens=False)]
+        found = [x.ids for x in self.a.encode_batch_fast(passages, add_special_tokens=False)]
         return found, self.b.library.encode([x.replace(" ", MARK) for x in passages], num_threads=1)
 
     def exact(self, passage: str, a: list[int], b: list[int]) -> bool:
@@ -104,8 +108,7 @@ class _Numbers(dict):
 
 
 def split(docs: DataFrame, byte_level: str, pieces: str, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
-    """A row per block: block, doc_id (array), passages (array), docs (for each document the numbers of its passages). Written in
-    buckets by block, so that later joins by block leave it where it is."""
+    """A row per block: block, doc_id (array), passages (array), docs (for each document the numbers of its passages)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut, task, made = load_both(byte_level, pieces).passages, TaskContext.get().partitionId(), 0
@@ -125,19 +128,33 @@ def split(docs: DataFrame, byte_level: str, pieces: str, id_col: str = "doc_id",
                     yield row()
                     ids, lists, numbers, size, made = [], [], _Numbers(), 0, made + 1
                 ids.append(doc)
-                lists.append(np.array(list(map(numbers.__getitem__, cut(" " + text))) if text else [], dtype=np.int32))
+                lists.append(np.fromiter(map(numbers.__getitem__, cut(" " + text) if text else ()), dtype=np.int32))
                 size += len(text)
         if ids:
             yield row()
 
-    spark = docs.sparkSession
     found = docs.select(F.col(id_col).cast("long").alias("id"), plain(text_col).alias("text")).mapInArrow(run, "block long, doc_id array<long>, passages array<string>, docs array<array<int>>")
-    name, buckets = f"docproof_blocks_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found.write.bucketBy(buckets, "block").option("path", f"{shared_dir(spark)}/docproof/{name}").option("compression", "zstd").saveAsTable(name)
+    return _in_buckets(found, "block")
+
+
+def places(blocks: DataFrame) -> DataFrame:
+    """passage, block, pos: where each passage stands in the blocks' lists."""
+    rows = blocks.select(F.posexplode("passages").alias("pos", "passage"), "block")
+    return _in_buckets(rows.repartition(_buckets(blocks.sparkSession), "passage"), "passage")
+
+
+def _buckets(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _in_buckets(df: DataFrame, key: str) -> DataFrame:
+    """``df`` written in as many buckets as a shuffle has partitions, and read back."""
+    spark, name = df.sparkSession, f"docproof_{key}_{uuid.uuid4().hex}"
+    df.write.bucketBy(_buckets(spark), key).option("path", f"{shared_dir(spark)}/docproof/{name}").option("compression", "zstd").saveAsTable(name)
     return spark.table(name)
 
 
-def lexicon(blocks: DataFrame, byte_level: str, pieces: str) -> DataFrame:
+def lexicon(places: DataFrame, byte_level: str, pieces: str) -> DataFrame:
     """Each different passage once: passage, a, b (arrays of ids; null where their bytes are not the passage's)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,8 +168,7 @@ def lexicon(blocks: DataFrame, byte_level: str, pieces: str) -> DataFrame:
                 sides = [pa.array([x if ok else None for x, ok in zip(side, exact, strict=True)], type=pa.list_(pa.int32())) for side in (a, b)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *sides], names=["passage", "a", "b"])
 
-    different = blocks.select(F.explode("passages").alias("passage")).distinct()
-    return save(different.mapInArrow(run, "passage string, a array<int>, b array<int>"), "lexicon")
+    return _in_buckets(places.select("passage").distinct().mapInArrow(run, "passage string, a array<int>, b array<int>"), "passage")
 
 
 def _sizes(spark: SparkSession, found: dict[int, bytes], name: str) -> DataFrame:
@@ -161,12 +177,11 @@ def _sizes(spark: SparkSession, found: dict[int, bytes], name: str) -> DataFrame
 
 
 def align(lexicon: DataFrame, byte_level: str, pieces: str) -> DataFrame:
-    """passage, groups: array of (a, b), the ids of both sides between two neighbouring cuts, in order. Everything after the
-    exchange by passage stays where it is."""
+    """passage, groups: array of (a, b), the ids of both sides between two neighbouring cuts, in order."""
     both, spark = load_both(byte_level, pieces), lexicon.sparkSession
 
     def tokens(side: str, sizes: dict[int, bytes]) -> DataFrame:
-        found = lexicon.where(F.col(side).isNotNull()).select("passage", side).repartition("passage").select("passage", F.posexplode(side).alias("pos", side))
+        found = lexicon.where(F.col(side).isNotNull()).select("passage", F.posexplode(side).alias("pos", side))
         end = F.sum("size").over(Window.partitionBy("passage").orderBy("pos"))
         return found.join(_sizes(spark, sizes, side), side).select("passage", side, end.alias("end"))
 
@@ -182,51 +197,58 @@ def align(lexicon: DataFrame, byte_level: str, pieces: str) -> DataFrame:
     joined = groups(a, b, "a").join(groups(b, a, "b"), ["passage", "group"])
     in_order = F.sort_array(F.collect_list(F.struct("group", "a", "b")))
     with setting(spark, "spark.sql.requireAllClusterKeysForCoPartition", "false"):
-        return save(joined.groupBy("passage").agg(F.transform(in_order, lambda g: F.struct(g["a"].alias("a"), g["b"].alias("b"))).alias("groups")), "aligned")
+        return _in_buckets(joined.groupBy("passage").agg(F.transform(in_order, lambda g: F.struct(g["a"].alias("a"), g["b"].alias("b"))).alias("groups")), "passage")
+
+
+class Pairs:
+    """Id pairs as numbers a * (size of B's vocabulary) + b, 32-bit where they fit."""
+
+    def __init__(self, size_a: int, size_b: int) -> None:
+        self.size_b, self.kind = size_b, "int" if size_a * size_b < 1 << 31 else "long"
 
+    def of(self, a: F.Column, b: F.Column) -> F.Column:
+        return a.cast(self.kind) * F.lit(self.size_b).cast(self.kind) + b.cast(self.kind)
 
-def pair(a, b) -> F.Column:
-    """One number for a pair of ids."""
-    return F.shiftleft(a.cast("long"), 32).bitwiseOR(b.cast("long"))
+    def a(self, pair: F.Column | str) -> F.Column:
+        return F.floor(F.col(pair) / self.size_b if isinstance(pair, str) else pair / self.size_b).cast("int")
 
 
-def group_links(group: F.Column) -> F.Column:
+def group_links(group: F.Column, pairs: Pairs) -> F.Column:
     """The id pairs of a group and how many occurrences each has."""
     times = lambda side, x: F.when(F.size(side) == 1, 1).otherwise(F.size(F.filter(side, lambda y: y == x)))
-    of = lambda x: F.transform(F.array_distinct(group["b"]), lambda y: F.struct(pair(x, y).alias("pair"), (times(group["a"], x) * times(group["b"], y)).alias("times")))
+    of = lambda x: F.transform(F.array_distinct(group["b"]), lambda y: F.struct(pairs.of(x, y).alias("pair"), (times(group["a"], x) * times(group["b"], y)).alias("times")))
     return F.flatten(F.transform(F.array_distinct(group["a"]), of))
 
 
-def links(aligned: DataFrame) -> DataFrame:
+def links(aligned: DataFrame, pairs: Pairs) -> DataFrame:
     """passage, pair, times: the linked id pairs of each group of each passage."""
-    return aligned.select("passage", F.explode("groups").alias("g")).select("passage", F.inline(group_links(F.col("g"))))
+    return aligned.select("passage", F.explode("groups").alias("g")).select("passage", F.inline(group_links(F.col("g"), pairs)))
 
 
-def _by_block(blocks: DataFrame, passages: DataFrame) -> DataFrame:
+def _by_block(blocks: DataFrame, places: DataFrame, passages: DataFrame) -> DataFrame:
     """``blocks`` with the columns of ``passages`` as arrays over each block's passages (null where it has no such row)."""
     columns = [x for x in passages.columns if x != "passage"]
-    met = blocks.select("block", F.posexplode("passages").alias("pos", "passage")).join(passages, "passage", "left")
-    buckets = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = met.select("block", "pos", *columns).repartition(buckets, "block").groupBy(F.col("block").alias("of")).agg(F.sort_array(F.collect_list(F.struct("pos", *columns))).alias("found"))
+    rows = places.join(passages, "passage", "left").select("block", "pos", *columns).repartition(_buckets(blocks.sparkSession), "block")
+    lists = rows.groupBy(F.col("block").alias("of")).agg(F.sort_array(F.collect_list(F.struct("pos", *columns))).alias("found"))
     part = lambda name: F.transform("found", lambda x: x[name]).alias(name)
-    return blocks.select("block", "doc_id", "docs").join(rows.select("of", *map(part, columns)), F.col("block") == F.col("of"), "left")
+    return blocks.select("block", "doc_id", "docs").join(lists.select("of", *map(part, columns)), F.col("block") == F.col("of"), "left")
 
 
-def count_pairs(blocks: DataFrame, aligned: DataFrame) -> DataFrame:
-    """pair, a, docs, best: in how many documents an id pair is linked, and whether no pair of its A id is in more."""
-    pairs = F.array_distinct(F.flatten(F.transform("groups", lambda g: F.transform(group_links(g), lambda x: x["pair"]))))
-    met = _by_block(blocks, aligned.select("passage", pairs.alias("pairs")))
+def count_pairs(blocks: DataFrame, places: DataFrame, aligned: DataFrame, pairs: Pairs) -> DataFrame:
+    """pair, docs, best: in how many documents an id pair is linked, and whether no pair of its A id is in more."""
+    own = F.array_distinct(F.flatten(F.transform("groups", lambda g: F.transform(group_links(g, pairs), lambda x: x["pair"]))))
+    met = _by_block(blocks, places, aligned.select("passage", own.alias("pairs")))
     at = lambda i: F.col("pairs")[i]
     of_doc = lambda doc: F.array_distinct(F.flatten(F.transform(F.array_distinct(doc), at)))  # noqa: E731 - null where a passage has no tokens
     found = met.select(F.explode(F.transform("docs", of_doc)).alias("x")).select(F.explode("x").alias("pair"))
-    counts = save(found.groupBy("pair").agg(F.count("*").alias("docs")), "pair-counts").withColumn("a", F.shiftright("pair", 32))
+    counts = save(found.groupBy("pair").agg(F.count("*").alias("docs")), "pair-counts").withColumn("a", pairs.a("pair"))
     best = counts.groupBy(F.col("a").alias("of")).agg(F.max("docs").alias("most"))  # at most one row an id of A's vocabulary
-    return counts.join(F.broadcast(best), F.col("a") == F.col("of")).select("pair", "a", "docs", (F.col("docs") == F.col("most")).alias("best"))
+    return counts.join(F.broadcast(best), F.col("a") == F.col("of")).select("pair", "docs", (F.col("docs") == F.col("most")).alias("best"))
 
 
-def measure(aligned: DataFrame, counts: DataFrame) -> DataFrame:
+def measure(aligned: DataFrame, counts: DataFrame, pairs: Pairs) -> DataFrame:
     """Per passage: groups as text, n_a, n_b, n_groups, n_links, n_best and count_sum."""
-    scores = links(aligned).join(counts.select("pair", "docs", "best"), "pair").groupBy(F.col("passage").alias("of"))
+    scores = links(aligned, pairs).join(counts, "pair").groupBy(F.col("passage").alias("of"))
     scores = scores.agg(F.sum("times").alias("n_links"), F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("n_best"), F.sum(F.col("times") * F.col("docs")).alias("count_sum"))
     number = lambda side: F.aggregate("groups", F.lit(0).cast("long"), lambda n, g: n + F.size(g[side]))
     text = F.array_join(F.transform("groups", lambda g: F.concat(F.array_join(g["a"].cast("array<string>"), ","), F.lit("|"), F.array_join(g["b"].cast("array<string>"), ","))), ";")
@@ -240,14 +262,18 @@ NUMBERS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 def align_documents(docs: DataFrame, byte_level: str, pieces: str, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """A row per document: doc_id, n_a, n_b, n_groups, n_links, n_best (links whose pair no other pair of its A id exceeds),
     count_sum (over links, documents that hold the pair) and groups (``a1,a2|b1;a3|b2,b3``)."""
+    both = load_both(byte_level, pieces)
+    pairs = Pairs(max(both.a_bytes) + 1, max(both.b_bytes) + 1)
     blocks = split(docs, byte_level, pieces, id_col, text_col, block)
-    aligned = align(lexicon(blocks, byte_level, pieces), byte_level, pieces)
-    met = _by_block(blocks, measure(aligned, count_pairs(blocks, aligned)))
+    where = places(blocks)
+    aligned = align(lexicon(where, byte_level, pieces), byte_level, pieces)
+    met = _by_block(blocks, where, measure(aligned, count_pairs(blocks, where, aligned, pairs), pairs))
 
     def of_doc(doc: F.Column, i: F.Column) -> F.Column:
-        total = lambda x: F.aggregate(doc, F.lit(0).cast("long"), lambda n, p: n + F.col(x)[p])
-        exact = F.size(doc) == F.size(F.filter(F.transform(doc, lambda p: F.col("n_a")[p]), F.isnotnull))
-        text = F.array_join(F.transform(doc, lambda p: F.col("groups")[p]), ";")
-        return F.struct(F.col("doc_id")[i].alias("doc_id"), *(F.coalesce(total(x), F.lit(0)).alias(x) for x in NUMBERS), F.when(exact, text).otherwise("").alias("groups"))
+        zeros = F.struct(*(F.lit(0).cast("long").alias(x) for x in NUMBERS))
+        total = F.aggregate(doc, zeros, lambda n, p: F.struct(*((n[x] + F.col(x)[p]).alias(x) for x in NUMBERS)))
+        return F.struct(F.col("doc_id")[i].alias("doc_id"), total.alias("total"), F.array_join(F.transform(doc, lambda p: F.col("groups")[p]), ";").alias("groups"))
 
-    return met.select(F.inline(F.transform("docs", of_doc)))
+    rows = met.select(F.inline(F.transform("docs", of_doc)))
+    exact = F.col("total.n_a").isNotNull()  # no sum where a passage has no tokens
+    return rows.select("doc_id", *(F.coalesce(f"total.{x}", F.lit(0)).alias(x) for x in NUMBERS), F.when(exact, F.col("groups")).otherwise("").alias("groups"))

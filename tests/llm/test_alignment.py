@@ -122,8 +122,10 @@ def test_passages_are_where_both_cut(paths):
 
 def test_links_of_wide_groups(spark):
     aligned = spark.createDataFrame([("x", [([1, 1, 2], [7, 8, 7]), ([1], [7])])], "passage string, groups array<struct<a: array<int>, b: array<int>>>")
-    got = {(r["pair"] >> 32, r["pair"] & 0xFFFFFFFF): r["n"] for r in alignment.links(aligned).groupBy("pair").sum("times").withColumnRenamed("sum(times)", "n").collect()}
-    assert got == {(1, 7): 5, (1, 8): 2, (2, 7): 2, (2, 8): 1}
+    for pairs in (alignment.Pairs(50_000, 100), alignment.Pairs(1 << 20, 1 << 20)):
+        found = alignment.links(aligned, pairs)
+        got = {(r["a"], r["pair"] % pairs.size_b): r["n"] for r in found.groupBy("pair", pairs.a("pair").alias("a")).sum("times").withColumnRenamed("sum(times)", "n").collect()}
+        assert got == {(1, 7): 5, (1, 8): 2, (2, 7): 2, (2, 8): 1}
 
 
 def test_settings_stay(spark, paths):
