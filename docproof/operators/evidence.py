@@ -66,6 +66,26 @@ def proven_by_arithmetic(checks: DataFrame, percent_fields: tuple[str, ...] = ("
     return keys.join(bad, ["doc_id", "field_key"], "left_anti")
 
 
+def verified(fields: DataFrame, checks: DataFrame) -> DataFrame:
+    """``fields`` with verified_by: what proves each, of arithmetic, code, text_layer and records, in this order.
+
+    Fields have doc_id, field_key, kind, value, raw, legibility, code_agrees, in_text_layer, master_match. A rule that holds exactly proves
+    the values in it, and also that a term printed nowhere is absent; a rule of rates proves percentages alone; nothing
+    that a failing error names is proven by arithmetic. In the text, a number counts from four digits on."""
+    exact = family().isin(*EXACT) & (F.abs(F.col("calc") - F.col("printed")) <= F.lit("0.011").cast("decimal(9,3)"))
+    rate = family().isin(*RATE)
+    named = checks.select("doc_id", ((F.col("status") == "pass") & exact).alias("exact"), ((F.col("status") == "pass") & rate).alias("rate"), ((F.col("status") == "fail") & (F.col("severity") == "error")).alias("bad"), F.explode("field_keys").alias("field_key"))
+    named = named.where("exact or rate or bad").groupBy("doc_id", "field_key").agg(*[F.bool_or(x).alias(f"by_{x}") for x in ("exact", "rate", "bad")])
+    rows = fields.join(named, ["doc_id", "field_key"], "left")
+    sure = lambda x: F.coalesce(x if isinstance(x, Column) else F.col(x), F.lit(False))
+    there, numeric = F.col("value").isNotNull(), F.col("kind").isin("number", "integer", "percent")
+    absent = ~there & sure(F.col("legibility") == "not_present")
+    sums = ~sure("by_bad") & ((sure("by_exact") & (there | absent)) | (sure("by_rate") & there & (F.col("kind") == "percent")))
+    text = there & sure("in_text_layer") & sure(strong_text(F.coalesce(F.nullif("raw", F.lit("")), F.col("value").cast("string")), numeric))
+    found = F.array(F.when(sums, "arithmetic"), F.when(there & sure("code_agrees"), "code"), F.when(text, "text_layer"), F.when(there & sure("master_match"), "records"))
+    return rows.withColumn("verified_by", F.array_compact(found)).drop("by_exact", "by_rate", "by_bad")
+
+
 def strong_text(raw: Column | str, numeric: Column) -> Column:
     """A short number is in any text by chance; it proves nothing."""
     return ~numeric | (F.length(F.regexp_replace(raw, "[^0-9]", "")) >= 4)

@@ -155,6 +155,87 @@ def evaluation_cells(docs: DataFrame) -> DataFrame:
     return cell.withColumn("reasons", F.array_join(reasons, ",")).withColumn("passed", F.col("reasons") == "")
 
 
+def percent2(n: Column, d: Column) -> Column:
+    """100 n / d to two decimal places, half up on decimals; null where d is 0."""
+    return F.round((F.lit(100) * n.cast("decimal(18,0)") / F.nullif(d.cast("bigint"), F.lit(0).cast("bigint")).cast("decimal(18,0)")).cast("decimal(18,8)"), 2).cast("double")
+
+
+def internal_metrics(docs: DataFrame, fields: DataFrame, days: int = 30, s: Settings = DEFAULTS) -> DataFrame:
+    """Finished documents of all tenants in the window, sliced by type, quality, language and handwriting and as a whole, in one
+    pass of grouping sets over documents with their fields' counts: dimension, slice and six measures."""
+    since = F.lit(s.as_of).cast("timestamp_ntz") - F.expr(f"interval {days} days")
+    sampled = F.col("is_qa_sample") & F.col("reviewed_at").isNotNull()
+    cut = {
+        "by_doc_type": F.coalesce("doc_type", F.lit("unknown")),
+        "by_quality_bucket": F.coalesce("quality_bucket", F.lit("unknown")),
+        "by_language": F.when(F.exists(F.split("languages", ","), lambda x: x != "english"), "hindi/bilingual").otherwise("english_only"),
+        "by_handwriting": F.when(F.col("has_handwriting"), "handwriting").otherwise("printed"),
+    }
+    rows = docs.where((F.col("created_at") >= since) & F.col("processed_at").isNotNull() & F.col("status").isin(*DONE))
+    rows = with_field_counts(rows, fields).where("fields_total > 0").withColumns(cut | {"spot": F.when(sampled, F.col("fields_open")).otherwise(0), "spot_wrong": F.when(sampled, F.col("fields_escaped")).otherwise(0)})
+    found = rows.groupingSets([[], *[[x] for x in cut]], *cut).agg(
+        F.grouping_id().alias("set"), F.count("*").alias("documents"), F.sum("fields_total").alias("fields"),
+        percent(F.sum(F.col("fields_total") - F.col("fields_corrected")), F.sum("fields_total")).alias("first_pass_accuracy_pct"), percent(F.sum("fields_flagged"), F.sum("fields_total")).alias("field_review_rate_pct"),
+        F.sum("spot").cast("bigint").alias("spot_check_fields"), percent(F.sum("spot_wrong"), F.sum("spot")).alias("escape_rate_pct"),
+    )
+    names = F.array(*map(F.lit, cut))
+    given = F.array_position(F.array(*[F.col(x).isNotNull() for x in cut]), F.lit(True)).cast("int")
+    whole = F.col("set") == (1 << len(cut)) - 1
+    return found.select(F.when(whole, "overall").otherwise(F.get(names, given - 1)).alias("dimension"), F.coalesce(*cut, F.lit("all")).alias("slice"), "documents", "fields", "first_pass_accuracy_pct", "field_review_rate_pct", "spot_check_fields", "escape_rate_pct")
+
+
+def internal_totals(docs: DataFrame, runs: DataFrame, corrections: DataFrame, days: int = 30, s: Settings = DEFAULTS) -> DataFrame:
+    """One row of the window: documents, latencies, calls and errors, turnaround, share on time, seconds a field. Quantiles are
+    values at the nearest index, found from counts of values."""
+    since = F.lit(s.as_of).cast("timestamp_ntz") - F.expr(f"interval {days} days")
+    one = F.lit(1).alias("one")
+    recent = docs.where((F.col("created_at") >= since) & F.col("processed_at").isNotNull())
+    reviewed = recent.where("reviewed_at is not null and review_entered_at is not null")
+    late = nearest_quantile(recent.where("processing_ms <> 0").select(one, "processing_ms"), "one", "processing_ms", 0.5, 0.95).select("one", F.col("q50").alias("latency_p50"), F.col("q95").alias("latency_p95"))
+    turn = nearest_quantile(reviewed.select(one, _minutes("review_entered_at", "reviewed_at").alias("minutes")), "one", "minutes", 0.5, 0.9).select("one", F.col("q50").alias("turnaround_p50_min"), F.col("q90").alias("turnaround_p90_min"))
+    spent = nearest_quantile(corrections.where(F.col("created_at") >= since).where("time_on_field_ms <> 0").select(one, "time_on_field_ms"), "one", "time_on_field_ms", 0.5).select("one", F.round(F.col("q50") / 1000, 1).cast("double").alias("seconds_per_field_p50"))
+    rows = recent.groupBy().agg(F.count("*").alias("documents")).withColumn("one", F.lit(1))
+    on_time = reviewed.groupBy().agg(percent(F.count_if(F.col("reviewed_at") <= F.col("review_due_at")), F.count("*")).alias("on_time_pct")).withColumn("one", F.lit(1))
+    calls = runs.where(F.col("created_at") >= since).groupBy().agg(F.count("*").alias("model_calls"), F.count("error").alias("model_errors")).withColumn("one", F.lit(1))
+    for part in (late, turn, spent, on_time, calls):
+        rows = rows.join(part, "one", "left")
+    return rows.drop("one")
+
+
+def evaluation(evaluated: DataFrame) -> DataFrame:
+    """The thirteen measures of each cell (doc_type, bucket) of evaluated documents, and of all together (both null): documents,
+    unreadable_or_failed, field_accuracy_pct, auto_accept_pct, escape_rate_pct, error_catch_rate_pct, straight_through_docs_pct,
+    all_fields_correct_docs_pct, mean_seconds, mean_cost, synthetic_docs, trap_violations, doc_type_accuracy_pct.
+
+    Needs doc_type, bucket (neither null), status, fields, auto, wrong, correct, auto_wrong, wrong_flagged, seconds, cost, synthetic, traps,
+    type_got."""
+    n, count = F.count("*"), F.count_if
+    mean = lambda x, places: F.round(F.sum(F.col(x).cast("decimal(18,6)")) / n, places).cast("double")
+    cells = evaluated.withColumn("own_type", F.col("doc_type")).groupingSets([["doc_type", "bucket"], []], "doc_type", "bucket").agg(
+        n.alias("documents"), count(F.col("status").isin("unreadable", "failed")).alias("unreadable_or_failed"), percent2(F.sum("correct"), F.sum("fields")).alias("field_accuracy_pct"), percent2(F.sum("auto"), F.sum("fields")).alias("auto_accept_pct"),
+        percent2(F.sum("auto_wrong"), F.sum("auto")).alias("escape_rate_pct"), percent2(F.sum("wrong_flagged"), F.sum("wrong")).alias("error_catch_rate_pct"), percent2(count(F.col("status") == "ready"), n).alias("straight_through_docs_pct"),
+        percent2(count((F.col("fields") > 0) & (F.col("wrong") == 0)), n).alias("all_fields_correct_docs_pct"), mean("seconds", 1).alias("mean_seconds"), mean("cost", 4).alias("mean_cost"),
+        count("synthetic").alias("synthetic_docs"), F.sum("traps").cast("bigint").alias("trap_violations"), percent2(count(F.col("type_got") == F.col("own_type")), n).alias("doc_type_accuracy_pct"),
+    )
+    return cells.where("documents > 0")
+
+
+#: What a cell must reach to be shown (fixed values).
+GATE = {"documents": 20, "escape_rate_pct": 0.5, "field_accuracy_pct": 97.0}
+
+
+def gate(cells: DataFrame) -> DataFrame:
+    """doc_type, bucket, reasons, demo_safe: why a cell of ``evaluation`` may not be shown."""
+    asked = F.array(
+        F.when(F.col("synthetic_docs") > 0, "contains synthetic documents"),
+        F.when(F.col("documents") < GATE["documents"], F.concat(F.lit("only "), "documents", F.lit(f" docs (need {GATE['documents']})"))),
+        F.when(F.coalesce(F.col("escape_rate_pct") > GATE["escape_rate_pct"], F.lit(True)), F.concat(F.lit("escape rate "), F.coalesce(F.col("escape_rate_pct").cast("string"), F.lit("unknown")), F.lit(f" above {GATE['escape_rate_pct']}"))),
+        F.when(F.col("trap_violations") > 0, F.concat("trap_violations", F.lit(" blank or illegible trap fields accepted with a value"))),
+        F.when(F.coalesce(F.col("field_accuracy_pct") < GATE["field_accuracy_pct"], F.lit(True)), F.concat(F.lit("field accuracy "), F.coalesce(F.col("field_accuracy_pct").cast("string"), F.lit("unknown")), F.lit(f" below {GATE['field_accuracy_pct']}"))),
+    )
+    return cells.where("doc_type is not null").select("doc_type", "bucket", F.array_compact(asked).alias("reasons")).withColumn("demo_safe", F.size("reasons") == 0)
+
+
 def benchmark(evaluated: DataFrame) -> DataFrame:
     """Accuracy by condition from evaluated documents (bucket, synthetic, fields, auto, correct, auto_wrong); synthetic ones do not count."""
     names = F.array_compact(F.array(F.lit("overall"), *[F.when(F.col("bucket").isin(*buckets), name) for name, buckets in BENCHMARK.items()]))

@@ -725,12 +725,6 @@ def _(docs):
     return routing.usual_type(docs.withColumnRenamed("filed_type", "doc_type"))
 
 
-@query("AG27_template_hints", "prints", sql="select doc_id, median(item_code % 97) as x, stddev_pop(item_code % 97) <= 12 as steady, count(*) as n from prints group by 1 having count(*) >= 2")
-def _(prints):
-    x = F.col("item_code") % 97
-    return prints.groupBy("doc_id").agg(F.median(x).alias("x"), (F.stddev_pop(x) <= 12).alias("steady"), F.count(F.lit(1)).alias("n")).where("n >= 2")
-
-
 @query("AG29_headlines", "inv_line", "fields", sql=f"""with {LINE_SQL}, bad as (select distinct doc_id from m where abs(calc - taxable_value) > greatest(0.51, abs(taxable_value) * 0.0005)), slab as (select distinct doc_id from inv_line where gst_rate not in (0, 0.1, 0.25, 1, 1.5, 3, 5, 6, 7.5, 12, 18, 28, 40)),
     n as (select doc_id, count(*) as n from fields where needs_review group by 1), a as (select doc_id, 'Quantity × rate doesn''t match a line amount' as p from bad union all select s.doc_id, 'An unusual GST rate' from slab s left join bad b on b.doc_id = s.doc_id where b.doc_id is null)
     select a.doc_id, p || case when n.n > 1 then ' (+' || (n.n - 1) || ' more)' else '' end as headline from a left join n on n.doc_id = a.doc_id""")
@@ -1294,4 +1288,4 @@ def synthetic_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES |= {"SRC13_synthetic": synthetic_invoices, "SRC15_dataset": synthetic_dataset}
 ORACLES["SRC15_dataset"] = "select bucket, doc_type, cast(100 as bigint) as documents, cast(case when doc_type = 'lr' then 0 else 300 end as bigint) as lines from (values ('digital', 'invoice'), ('good_scan', 'invoice'), ('poor_scan', 'invoice'), ('bilingual', 'invoice'), ('carbon', 'lr')) v(bucket, doc_type)"
 
-from docproof.plans import decisions, review  # noqa: E402, F401  (register their queries)
+from docproof.plans import decisions, learned, review  # noqa: E402, F401  (register their queries)

@@ -146,6 +146,31 @@ ADAPTERS: dict[str, str] = {
         select doc_id - doc_id % 256 as doc_id, cast(row_number() over (partition by doc_id - doc_id % 256 order by doc_id, line_index) - 1 as int) as line_index,
                item_code, quantity, rate, taxable_value, gst_rate, rate_per, case when discount = 0 then null else discount end as discount
         from {inv_line}""",
+    # finished documents with what an evaluation counts of them
+    "evaluated": """
+        select d.doc_id, d.doc_type, coalesce(d.quality_bucket, 'unknown') as bucket, case when d.doc_id % 23 = 0 then 'unreadable' when d.status = 'exported' then 'ready' else d.status end as status,
+               coalesce(t.fields, 0) as fields, coalesce(t.auto, 0) as auto, coalesce(t.wrong, 0) as wrong, coalesce(t.fields, 0) - coalesce(t.wrong, 0) as correct, coalesce(t.auto_wrong, 0) as auto_wrong,
+               coalesce(t.wrong_flagged, 0) as wrong_flagged, cast(d.processing_ms * cast(0.001 as decimal(4,3)) as decimal(18,3)) as seconds, cast(d.doc_id % 400 as decimal(9,4)) * cast(0.0001 as decimal(5,4)) as cost,
+               d.quality_bucket is null and d.doc_id % 50 = 0 as synthetic, case when d.doc_id % 211 = 0 then 1 else 0 end as traps, case when d.doc_id % 37 = 0 then 'other' else d.doc_type end as type_got
+        from {docs} d left join (select doc_id, count(*) as fields, count(case when not needs_review then 1 end) as auto, count(case when status = 'corrected' then 1 end) as wrong,
+               count(case when status = 'corrected' and not needs_review then 1 end) as auto_wrong, count(case when status = 'corrected' and needs_review then 1 end) as wrong_flagged from {fields} group by doc_id) t on t.doc_id = d.doc_id
+        where d.doc_type is not null""",
+    # the numbers of lines, each with what might prove it
+    "proofs": """
+        select doc_id, line_index, field_name, concat('line_items[', cast(line_index as varchar(10)), '].', field_name) as field_key, kind, value, tax_amount, item_code,
+               case when k % 6 = 0 then '' when k % 6 = 1 then null else concat('₹ ', cast(value as varchar(30))) end as raw,
+               case when value is not null then 'clear' when k % 2 = 0 then 'not_present' else 'illegible' end as legibility,
+               case when k % 5 = 0 then true when k % 5 = 1 then false end as code_agrees, case when k % 4 < 2 then true when k % 4 = 2 then false end as in_text_layer, case when k % 9 = 0 then true end as master_match
+        from (select l.doc_id, l.line_index, n.field_name, n.kind, l.item_code + n.i as k, l.item_code, l.tax_amount,
+                     case n.i when 0 then l.quantity when 1 then l.rate when 2 then case when l.discount = 0 then null else l.discount end when 3 then l.taxable_value else cast(l.gst_rate as decimal(18,2)) end as value
+              from {inv_line} l join (select 0 as i, 'quantity' as field_name, 'number' as kind union all select 1, 'rate', 'number' union all select 2, 'discount', 'number' union all select 3, 'taxable_value', 'number' union all select 4, 'gst_rate', 'percent') n on n.i >= 0)""",
+    # where fields stood on documents of a vendor
+    "marks": """
+        select f.doc_id, d.tenant_id, d.vendor_id % 7 as vendor_id, concat('f', cast(f.k % 5 as varchar(3))) as field_name, case when f.line_index >= 4 then f.line_index end as line_index, 'string' as kind, f.status,
+               case when f.k % 13 = 0 then null else concat('INV-', cast(f.k % 1000 as varchar(5))) end as value, cast(case when f.k % 17 = 0 then null else 1 + f.k % 2 end as int) as page,
+               cast(f.k % 5 * 15 + f.k % 7 as decimal(9,2)) * cast(0.01 as decimal(3,2)) as x0, cast(f.k % 5 * 15 + f.k % 7 + 10 as decimal(9,2)) * cast(0.01 as decimal(3,2)) as x1,
+               cast(case when f.k % 5 = 4 then f.k % 90 else f.k % 11 end as decimal(9,2)) * cast(0.01 as decimal(3,2)) as y0, cast(case when f.k % 5 = 4 then f.k % 90 else f.k % 11 end + 4 as decimal(9,2)) * cast(0.01 as decimal(3,2)) as y1
+        from (select *, doc_id + line_index * 3 as k from {fields}) f join {docs} d on d.doc_id = f.doc_id""",
     # readings as text, in the forms that documents print
     "prints": """
         select doc_id, line_index,
