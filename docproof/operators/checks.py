@@ -134,6 +134,11 @@ def invoice_checks(headers: DataFrame, lines: DataFrame, s: Settings = DEFAULTS,
 
 def header_checks(headers: DataFrame, s: Settings = DEFAULTS, only: tuple[str, ...] | None = None) -> DataFrame:
     """``invoice_checks`` of headers that carry the sums of their lines (``with_line_sums``)."""
+    h, rules = _header_rules(headers, s)
+    return _rows(h, _chosen(rules, only))
+
+
+def _header_rules(headers: DataFrame, s: Settings) -> tuple[DataFrame, dict[str, Column]]:
     money = ("cgst_amount", "sgst_amount", "igst_amount", "cess_amount", "tcs_amount", "other_charges", "discount_total", "round_off")
     said = "amount_in_words" in headers.columns
     h = _optional(headers, dict.fromkeys(money, MONEY) | {"amount_in_words": "string", "buyer_gstin": "string", "due_date": "date"})
@@ -174,18 +179,22 @@ def header_checks(headers: DataFrame, s: Settings = DEFAULTS, only: tuple[str, .
         "date": date_check("invoice_date", s.print_as_of),
         "due_after_invoice": _check("due_after_invoice", F.col("due_date") < F.col("invoice_date"), F.lit(False), ["due_date", "invoice_date"], "warn"),
     }
-    return _rows(h, _chosen(checks, only))
+    return h, checks
 
 
 def receipt_checks(headers: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
     """Lorry receipts."""
+    return _rows(*_receipt_rules(headers, s))
+
+
+def _receipt_rules(headers: DataFrame, s: Settings) -> tuple[DataFrame, list[Column]]:
     h = _optional(headers, {"amount_in_words": "string", "consignor_gstin": "string", "consignee_gstin": "string", "lr_date": "date"})
     cw, aw, rate, fr, total = (F.col(c) for c in ("charged_weight_kg", "actual_weight_kg", "freight_rate", "freight_amount", "total_freight"))
     w = F.coalesce(cw, aw)
     bases = [w * rate, (w * rate / 100).cast("decimal(20,4)"), (w * rate / 1000).cast("decimal(20,4)"), F.col("packages_count") * rate, rate]
     words = words_to_amount("amount_in_words")
     calc = fr + zero("other_charges")
-    return _rows(
+    return (
         h,
         [
             _check("charged_ge_actual", cw < aw, F.lit(False), ["charged_weight_kg", "actual_weight_kg"], "warn"),
@@ -206,16 +215,33 @@ def order_checks(headers: DataFrame, lines: DataFrame, s: Settings = DEFAULTS) -
     calc, amount = (F.col("quantity") * F.col("rate")).cast("decimal(18,4)") - zero("discount"), F.col("line_total")
     of_lines = _rows(lines, [_check(F.concat(F.lit("line_math:"), F.col("line_index")), calc.isNotNull() & amount.isNotNull(), F.abs(calc - amount) <= F.greatest(dec("0.51"), F.abs(amount) * dec("0.0005")), [F.format_string(f"line_items[%d].{n}", "line_index") for n in ("quantity", "rate", "discount", "line_total")], calc=calc, printed=amount)])
     sums = lines.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count("line_total").alias("known"), F.sum("line_total").cast(MONEY).alias("total"))
-    total = F.col("subtotal") + reduce(lambda a, b: a + b, map(zero, heads))
-    of_headers = _rows(
-        h.join(sums, "doc_id", "left"),
-        [
-            _check("lines_sum_subtotal", (F.col("n") > 0) & (F.col("n") == F.col("known")) & F.col("subtotal").isNotNull(), same(F.col("total"), F.col("subtotal"), s), ["subtotal"], calc=F.col("total"), printed=F.col("subtotal")),
-            _check("grand_total", F.col("subtotal").isNotNull() & F.col("grand_total").isNotNull(), same(total, F.col("grand_total"), s), ["grand_total", "subtotal", *heads], calc=total, printed=F.col("grand_total")),
-            date_check("po_date", s.print_as_of),
-        ],
-    )
-    return of_lines.unionByName(of_headers)
+    return of_lines.unionByName(_rows(h.join(sums, "doc_id", "left"), _order_rules("n", "known", "total", s)))
+
+
+def _order_rules(n: str, known: str, of_lines: str, s: Settings) -> list[Column]:
+    """An order's header against the number, the known number and the sum of its lines' totals."""
+    heads = ("cgst_amount", "sgst_amount", "igst_amount", "other_charges")
+    sums, total = F.col(of_lines), F.col("subtotal") + reduce(lambda a, b: a + b, map(zero, heads))
+    return [
+        _check("lines_sum_subtotal", (F.col(n) > 0) & (F.col(n) == F.col(known)) & F.col("subtotal").isNotNull(), same(sums, F.col("subtotal"), s), ["subtotal"], calc=sums, printed=F.col("subtotal")),
+        _check("grand_total", F.col("subtotal").isNotNull() & F.col("grand_total").isNotNull(), same(total, F.col("grand_total"), s), ["grand_total", "subtotal", *heads], calc=total, printed=F.col("grand_total")),
+        date_check("po_date", s.print_as_of),
+    ]
+
+
+def document_checks(headers: DataFrame, lines: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
+    """The rules of every header by its ``doc_type`` (invoice, lr, po, contract; others have none of their own): one table of documents, read
+    once, with the rules of all types as one array of which each type keeps its own. ``lines`` are those of invoices and orders,
+    grouped once. Columns of other types are null."""
+    numbers = dict.fromkeys(("charged_weight_kg", "actual_weight_kg", "freight_rate", "freight_amount", "total_freight"), MONEY) | {"packages_count": "int"}
+    days = dict.fromkeys(("po_date", "effective_date", "expiry_date", "lr_date", "due_date"), "date")
+    texts = dict.fromkeys(("amount_in_words", "consignor_gstin", "consignee_gstin", "buyer_gstin"), "string")
+    h, invoice = _header_rules(with_line_sums(_optional(headers, numbers | days | texts), lines), s)
+    of = lambda kind, rules: F.when(F.col("doc_type") == kind, F.array(*rules))
+    rules = F.coalesce(
+        of("invoice", invoice.values()), of("lr", _receipt_rules(h, s)[1]), of("po", _order_rules("lines_n", "lines_totalled", "lines_total", s)), of("contract", _contract_rules())
+    )
+    return h.select("doc_id", F.explode(F.array_compact(rules)).alias("c")).select("doc_id", "c.*")
 
 
 def goods_receipt_checks(lines: DataFrame) -> DataFrame:
@@ -224,7 +250,11 @@ def goods_receipt_checks(lines: DataFrame) -> DataFrame:
 
 
 def contract_checks(headers: DataFrame) -> DataFrame:
-    return _rows(headers, [_check("term_dates", F.col("expiry_date") <= F.col("effective_date"), F.lit(False), ["effective_date", "expiry_date"])])
+    return _rows(headers, _contract_rules())
+
+
+def _contract_rules() -> list[Column]:
+    return [_check("term_dates", F.col("expiry_date") <= F.col("effective_date"), F.lit(False), ["effective_date", "expiry_date"])]
 
 
 def required_check(values: DataFrame, spec: DataFrame) -> DataFrame:
