@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from docproof.functions.text import ratio, token_set_ratio
 from docproof.operators.checks import zero
 from docproof.settings import DEFAULTS, Settings
+from docproof.sources.scratch import kept
 
 
 def same_reference(a: Column | str, b: Column | str) -> Column:
@@ -80,26 +81,88 @@ def match_documents(orders: DataFrame, receipts: DataFrame, invoices: DataFrame,
     return rows.select("doc_id", blocks.cast("bigint").alias("blocks"), notes.cast("bigint").alias("notes"), F.col("payable").cast("double").alias("payable"), status.alias("status"))
 
 
-def similarity(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Pairs of lines of the same document with their similarity: a (doc_id, a_index, a_code, a_text, a_hsn), b alike."""
-    squash = lambda x: F.regexp_replace(F.lower(F.coalesce(x, F.lit(""))), "[^a-z0-9]", "")
-    words = lambda x: F.regexp_replace(F.lower(F.coalesce(x, F.lit(""))), "[^a-z0-9 ]", "")
-    pairs = a.join(b, "doc_id")
-    same_code = F.coalesce(F.upper(F.trim("a_code")) == F.upper(F.trim("b_code")), F.lit(False)) & (F.col("a_code") != "")
-    text = F.greatest(token_set_ratio(words(F.col("a_text")), words(F.col("b_text"))), ratio(squash(F.col("a_text")), squash(F.col("b_text"))))
-    hsn = F.when((F.col("a_hsn") != "") & (F.substring("a_hsn", 1, 4) == F.substring("b_hsn", 1, 4)), 10.0).otherwise(0.0)
-    return pairs.select("doc_id", "a_index", "b_index", F.when(same_code, 100.0).otherwise(text + hsn).alias("score"))
+def _bare(x: Column | str, keep: str) -> Column:
+    return F.regexp_replace(F.lower(F.coalesce(F.col(x) if isinstance(x, str) else x, F.lit(""))), f"[^{keep}]", "")
+
+
+def _signature(text: Column, alphabet: str) -> list[Column]:
+    """Bits of the letters of a text, and of those that it has twice."""
+    bit = lambda kept: reduce(lambda a, b: a.bitwiseOR(b), [F.when(kept(x), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")) for i, x in enumerate(alphabet)])
+    return [bit(lambda x: text.contains(x)), bit(lambda x: F.length(text) - F.length(F.replace(text, F.lit(x), F.lit(""))) > 1)]
+
+
+ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789 "
+
+
+def _side(lines: DataFrame, x: str) -> DataFrame:
+    """The different lines of each document on one side (doc_id, x_code, x_text, x_hsn): what their scores need, and their indexes, largest
+    first."""
+    code = F.when(F.col(f"{x}_code") != "", F.upper(F.trim(f"{x}_code")))
+    rows = lines.select("doc_id", F.col(f"{x}_index").alias("index"), code.alias(f"{x}_code"), _bare(f"{x}_text", "a-z0-9 ").alias(f"{x}_words"), _bare(f"{x}_text", "a-z0-9").alias(f"{x}_squash"), F.when(F.col(f"{x}_hsn") != "", F.substring(f"{x}_hsn", 1, 4)).alias(f"{x}_head"))
+    once = rows.groupBy(*[c for c in rows.columns if c != "index"]).agg(F.sort_array(F.collect_list("index"), asc=False).alias(f"{x}_lines"))
+    marks = {f"{x}_m{i}": m for i, m in enumerate(_signature(F.col(f"{x}_words"), ALPHABET))}
+    words = F.array_distinct(F.filter(F.split(f"{x}_words", r"\s+"), lambda w: w != ""))
+    return once.withColumns(marks | {f"{x}_set": words, f"{x}_least": F.length(F.array_join(words, ""))})
+
+
+def similarity(a: DataFrame, b: DataFrame, least: float = 0.0) -> DataFrame:
+    """Pairs of lines of the same document that score ``least`` or more: a (doc_id, a_index, a_code, a_text, a_hsn), b alike."""
+    found = _scored(_side(a, "a"), _side(b, "b"), least)
+    return found.select("doc_id", F.explode("a_lines").alias("a_index"), "b_lines", "score").select("doc_id", "a_index", F.explode("b_lines").alias("b_index"), "score")
+
+
+def _scored(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
+    """The pairs of different lines that score ``least`` or more.
+
+    Lines that are alike letter for letter were taken together before, and a pair is compared only if a bound allows
+    it: lines that share a word, or whose letters leave room for so long a common subsequence - each letter that one
+    line has (or has twice) and the other has not is one less, against the letters of its different words. The bounds are integer operations inside the join, so pairs
+    beyond them are neither kept nor sent, and none that scores enough is lost."""
+    same_code = F.coalesce(F.col("a_code") == F.col("b_code"), F.lit(False))
+    hsn = F.when(F.col("a_head") == F.col("b_head"), 10.0).otherwise(0.0)
+    gone = lambda x, y: sum((F.bit_count(F.col(f"{x}_m{i}").bitwiseAND(F.bitwise_not(F.col(f"{y}_m{i}")))) for i in range(2)), F.lit(0))
+    size = lambda x: F.length(f"{x}_words")
+    room = F.least(size("a") - gone("a", "b"), size("b") - gone("b", "a"))
+    possible = F.lit(200.0) * room >= (F.lit(least) - hsn) * (F.col("a_least") + F.col("b_least"))
+    pairs = a.join(b, "doc_id").where(same_code | possible | F.arrays_overlap("a_set", "b_set") | F.lit(least <= 0))
+    text = F.greatest(token_set_ratio("a_words", "b_words"), ratio("a_squash", "b_squash"))
+    return pairs.select("doc_id", "a_lines", "b_lines", F.when(same_code, 100.0).otherwise(text + hsn).alias("score")).where(F.col("score") >= least)
 
 
 def greedy_pairs(scores: DataFrame, least: float = DEFAULTS.least_similarity) -> DataFrame:
-    """One-to-one pairs of each document, best score first; ties go to the larger index. A fold over a document's own pairs in
-    order, as many as its lines allow."""
-    pair = F.struct("score", "a_index", "b_index")
-    ordered = scores.where(F.col("score") >= least).groupBy("doc_id").agg(F.sort_array(F.collect_list(pair), asc=False).alias("pairs"))
-    none = F.array().cast("array<struct<score:double,a_index:int,b_index:int>>")
-    free = lambda taken, p: ~F.exists(taken, lambda t: (t["a_index"] == p["a_index"]) | (t["b_index"] == p["b_index"]))
-    kept = F.aggregate("pairs", none, lambda taken, p: F.when(free(taken, p), F.concat(taken, F.array(p))).otherwise(taken))
-    return ordered.select("doc_id", F.inline(kept)).select("doc_id", "a_index", "b_index", "score")
+    """One-to-one pairs of each document from scored pairs (doc_id, a_index, b_index, score), best score first; ties go to the larger
+    index."""
+    one = scores.where(F.col("score") >= least).select("doc_id", F.array("a_index").alias("a_lines"), F.array("b_index").alias("b_lines"), "score")
+    return _rounds(one)
+
+
+def _rounds(pairs: DataFrame) -> DataFrame:
+    """Greedy pairs by rounds of joins: a pair of line classes that is the best of both its sides is taken, for its largest lines, and for as
+    many as both have where no other pair of either side has its score; what is left of the classes goes on. A round
+    takes at least the best pair of each document, and all that do not compete with each other, so rounds are few; each
+    starts from written tables."""
+    keyed = pairs.select("doc_id", F.xxhash64("a_lines").alias("a"), F.xxhash64("b_lines").alias("b"), "a_lines", "b_lines", "score")
+    left, found = kept(keyed, "pairs"), []
+    while not left.isEmpty():
+        rank = F.struct("score", F.get("a_lines", F.lit(0)).alias("a_top"), F.get("b_lines", F.lit(0)).alias("b_top"))
+        ranked = left.withColumn("rank", rank)
+        ranked = ranked.join(ranked.groupBy("doc_id", "a", "score").count().withColumnRenamed("count", "n_a"), ["doc_id", "a", "score"]).join(ranked.groupBy("doc_id", "b", "score").count().withColumnRenamed("count", "n_b"), ["doc_id", "b", "score"])
+        best = lambda x: ranked.groupBy("doc_id", x).agg(F.max("rank").alias(f"best_{x}"))  # noqa: E731, B023
+        top = ranked.join(best("a"), ["doc_id", "a"]).join(best("b"), ["doc_id", "b"]).where((F.col("rank") == F.col("best_a")) & (F.col("rank") == F.col("best_b")))
+        many = F.when((F.col("n_a") == 1) & (F.col("n_b") == 1), F.least(F.size("a_lines"), F.size("b_lines"))).otherwise(1)
+        top = kept(top.select("doc_id", "a", "b", "score", F.slice("a_lines", F.lit(1), many).alias("a_took"), F.slice("b_lines", F.lit(1), many).alias("b_took")), "pairs-taken")
+        found.append(top.select("doc_id", "score", F.inline(F.arrays_zip(F.col("a_took").alias("a_index"), F.col("b_took").alias("b_index")))))
+        a_gone, b_gone = (top.groupBy("doc_id", x).agg(F.flatten(F.collect_list(f"{x}_took")).alias(f"{x}_gone")) for x in "ab")
+        rest = left.join(a_gone, ["doc_id", "a"], "left").join(b_gone, ["doc_id", "b"], "left")
+        rest = rest.withColumns({f"{x}_lines": F.when(F.col(f"{x}_gone").isNull(), F.col(f"{x}_lines")).otherwise(F.array_except(f"{x}_lines", f"{x}_gone")) for x in "ab"})
+        left = kept(rest.where((F.size("a_lines") > 0) & (F.size("b_lines") > 0)).select(left.columns), "pairs")
+    none = pairs.sparkSession.createDataFrame([], "doc_id " + pairs.schema["doc_id"].dataType.simpleString() + ", a_index int, b_index int, score double")
+    return reduce(DataFrame.unionByName, found, none)
+
+
+def matched_lines(a: DataFrame, b: DataFrame, least: float = DEFAULTS.least_similarity) -> DataFrame:
+    """``greedy_pairs`` of the pairs of ``similarity``, by classes of equal lines."""
+    return _rounds(_scored(_side(a, "a"), _side(b, "b"), least))
 
 
 def _paired(orders: DataFrame, lines: DataFrame, keys: list[str], s: Settings) -> DataFrame:
@@ -108,7 +171,7 @@ def _paired(orders: DataFrame, lines: DataFrame, keys: list[str], s: Settings) -
     group = F.struct(*keys)
     of_lines = side(lines.withColumn("group", group), "b", "group").withColumnRenamed("group", "doc_id")
     of_orders = side(lines.select(*keys, group.alias("group")).distinct().join(orders, "doc_id"), "a", "group").withColumnRenamed("group", "doc_id")
-    pairs = greedy_pairs(similarity(of_orders, of_lines), s.least_similarity)
+    pairs = matched_lines(of_orders, of_lines, s.least_similarity)
     return pairs.select("doc_id.*", F.col("a_index").alias("po_line"), F.col("b_index").alias("line_index"))
 
 

@@ -584,14 +584,13 @@ def _named(lines: DataFrame, side: str, text, code) -> DataFrame:
 
 @query("MT1_similarity", "inv_line")
 def _(lines):
-    return matching.similarity(_named(lines, "a", F.col("description"), F.when(F.col("item_code") % 3 == 0, F.col("item_code").cast("string"))), _named(lines, "b", F.concat(F.upper("description"), F.lit(".")), F.when(F.col("item_code") % 3 == 0, F.col("item_code").cast("string"))))
+    return matching.similarity(_named(lines, "a", F.col("description"), F.when(F.col("item_code") % 3 == 0, F.col("item_code").cast("string"))), _named(lines, "b", F.concat(F.upper("description"), F.lit(".")), F.when(F.col("item_code") % 3 == 0, F.col("item_code").cast("string"))), 70.0)
 
 
 @query("MT2_greedy_match", "inv_line")
 def _(lines):
     code = F.lit(None).cast("string")
-    scores = matching.similarity(_named(lines, "a", F.col("description"), code), _named(lines, "b", F.concat(F.upper("description"), F.lit(".")), code))
-    return matching.greedy_pairs(scores)
+    return matching.matched_lines(_named(lines, "a", F.col("description"), code), _named(lines, "b", F.concat(F.upper("description"), F.lit(".")), code))
 
 
 # --- dashboards ------------------------------------------------------------------------------------------------------

@@ -11,6 +11,7 @@ from docproof.functions import gst, text
 from docproof.functions import normalize as norm
 from docproof.operators import checks, codes, evidence, matching, metrics, records, repair, risk
 from docproof.plans.queries import QUERIES
+from tests import plain
 from docproof.sources import datasets
 
 
@@ -81,8 +82,23 @@ def test_comparison(spark):
 def test_similarity():
     slow = lambda a, b: max([0, *(1 + slow(a[:i], b[:j]) for i in range(len(a)) for j in range(len(b)) if a[i] == b[j])])
     for a, b in [("abcde", "badce"), ("aab", "aba"), ("", "x"), ("hexbolt", "heXbolt"), ("aaa", "aa")]:
-        assert text.common(a, b) == slow(a, b)
-    assert text.ratio_of("abc", "abc") == 100 and text.token_set_of("ms hex bolt", "hex bolt ms m12") == 100 and text.token_set_of("", "a") == 0
+        assert plain.common(a, b) == slow(a, b)
+    assert plain.ratio_of("abc", "abc") == 100 and plain.token_set_of("ms hex bolt", "hex bolt ms m12") == 100 and plain.token_set_of("", "a") == 0
+
+
+def test_native_similarity_is_the_plain_one(spark):
+    import random
+
+    dice = random.Random(8)
+    word = lambda: "".join(dice.choices("abcdehlmort0 1", k=dice.randrange(1, 9)))
+    pairs = [(" ".join(word() for _ in range(dice.randrange(0, 6))), " ".join(word() for _ in range(dice.randrange(0, 6)))) for _ in range(300)]
+    pairs += [(x, "".join(dice.sample(x, len(x)))) for x in ("abcdefgh" * n for n in (7, 8, 16, 30))] + [("a" * 62, "a" * 63), ("ab" * 62, "ba" * 62), ("", ""), ("", "x"), ("क१🙂", "१क🙂🙂"), ("x" * 125, "x" * 125 + "y"), ("bolt m8 bolt", "m8 bolt")]
+    rows = spark.createDataFrame(pairs, "a string, b string").repartition(4).select("a", "b", text.common_length("a", "b").alias("n"), text.ratio("a", "b").alias("r"), text.token_set_ratio("a", "b").alias("t")).collect()
+    for r in rows:
+        assert (r["n"], r["r"], r["t"]) == (plain.common(r["a"], r["b"]), plain.ratio_of(r["a"], r["b"]), pytest.approx(plain.token_set_of(r["a"], r["b"]), abs=1e-9)), r
+    assert spark.createDataFrame([("a", None)], "a string, b string").select(text.ratio("a", "b"), text.token_set_ratio("b", "a")).first() == (None, None)
+    plan = spark.createDataFrame(pairs, "a string, b string").select(text.token_set_ratio("a", "b"))._jdf.queryExecution().toString()
+    assert "Python" not in plan
 
 
 def test_matching(spark):

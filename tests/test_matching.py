@@ -4,7 +4,9 @@ import random
 from collections import defaultdict
 from decimal import Decimal as D
 
-from docproof.functions.text import ratio_of, token_set_of
+import pytest
+
+from tests.plain import ratio_of, token_set_of
 from docproof.operators import matching
 
 LINE = "doc_id long, line_index int, item_code string, description string, hsn_sac string, quantity decimal(18,2), rate decimal(18,2), gst_rate decimal(9,2), discount decimal(18,2)"
@@ -109,3 +111,31 @@ def test_three_way_by_hand(spark):
         want = match_by_hand(*parts)
         assert (status[d], sorted(got[d], key=key), pairs[d]) == (want[0], sorted(want[1], key=key), want[2]), d
     assert {"matched", "mismatch", "incomplete"} == set(status.values())
+
+
+def test_greedy_of_many_and_equal_lines(spark):
+    """Documents of equal lines, of ties, of lines without texts and of hundreds of lines, against the plain fold."""
+    dice = random.Random(12)
+    words = ["bolt", "nut", "washer", "m8", "m10", "zinc", "hex", "long", "aa", "aa1", "steel"]
+    name = lambda n: " ".join(dice.choices(words, k=n))
+    docs = {
+        1: ([("x", "bolt m8", "7318")] * 6, [("x", "bolt m8", "7318")] * 4),
+        2: ([(None, "bolt m8", "7318")] * 5 + [(None, "bolt", None)] * 2, [(None, "m8 bolt zinc", "7318")] * 3 + [(None, "bolt m8", None)] * 4),
+        3: ([(None, "", "1")] * 2 + [(" a1", None, None)], [("A1 ", "other", None), (None, "", "1")]),
+        4: ([(None, "aa aa aa aa", None)], [(None, "aa1", None), (None, "a a", None)]),
+    }
+    for d in range(5, 25):
+        some = lambda k: [(dice.choice([None, None, f"c{dice.randrange(4)}"]), name(dice.randrange(0, 4)), dice.choice([None, "7318", "73181500", "84"])) for _ in range(k)]
+        docs[d] = some(dice.randrange(0, 9)), some(dice.randrange(0, 9))
+    docs[99] = [(None, f"{name(2)} {i}", None) for i in range(150)], [(None, f"{name(2)} {i}", None) for i in range(150)]
+    table = lambda k, x: spark.createDataFrame([(d, i, *r) for d, both in docs.items() for i, r in enumerate(both[k])], f"doc_id long, {x}_index int, {x}_code string, {x}_text string, {x}_hsn string").repartition(4)
+    got = defaultdict(dict)
+    for r in matching.matched_lines(table(0, "a"), table(1, "b")).collect():
+        got[r["doc_id"]][r["b_index"]] = r["a_index"]
+    line = lambda r: dict(zip(("code", "text", "hsn"), r, strict=True))
+    for d, (a, b) in docs.items():
+        assert got[d] == pairs_by_hand([line(r) for r in a], [line(r) for r in b]), d
+    scored = matching.similarity(table(0, "a").where("doc_id < 25"), table(1, "b").where("doc_id < 25"), 70.0)
+    want = {(d, i, j): s for d, (a, b) in docs.items() if d < 25 for i, x in enumerate(a) for j, y in enumerate(b) if (s := alike(line(x), line(y))) >= 70}
+    assert {(r["doc_id"], r["a_index"], r["b_index"]): r["score"] for r in scored.collect()} == pytest.approx(want)
+    assert matching.matched_lines(table(0, "a").limit(0), table(1, "b")).count() == 0
