@@ -206,10 +206,17 @@ def route(raw: Column, high_stakes: Column, failed_here: Column, doc_failed: Col
 
 
 def headlines(checks: DataFrame, flagged: DataFrame) -> DataFrame:
-    """The first phrase by priority of each document's failed checks, with the number of other flagged fields."""
+    """What a document is to be looked at for: doc_id, headline. The first phrase by priority of its failed checks, with the number
+    of other flagged fields; without such a check the labels of the first two flagged fields.
+
+    ``flagged``: doc_id, and label and place (order in the document) of each field that a person is to look at."""
     rank = reduce(lambda a, b: F.when(F.startswith("check_id", F.lit(b[1])), b[0]).otherwise(a), reversed(list(enumerate(PHRASES))), F.lit(None).cast("int"))
     names = F.array(*[F.lit(p[0].upper() + p[1:]) for p in PHRASES.values()])
-    worst = checks.where("status = 'fail'").withColumn("rank", rank).groupBy("doc_id").agg(F.min("rank").alias("rank"))
-    counts = flagged.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    worst = checks.where("status = 'fail'").withColumn("rank", rank).where("rank is not null").groupBy("doc_id").agg(F.min("rank").alias("rank"))
+    turn = flagged.withColumn("turn", F.row_number().over(Window.partitionBy("doc_id").orderBy("place", "label")))
+    counts = turn.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.when(F.col("turn") == 1, F.col("label"))).alias("one"), F.max(F.when(F.col("turn") == 2, F.col("label"))).alias("two"))
+    rows = worst.join(counts, "doc_id", "full").withColumn("n", F.coalesce("n", F.lit(0)))
     more = F.when(F.col("n") > 1, F.concat(F.lit(" (+"), F.col("n") - 1, F.lit(" more)"))).otherwise("")
-    return worst.where("rank is not null").join(counts, "doc_id", "left").select("doc_id", F.concat(F.get(names, F.col("rank")), more).alias("headline"))
+    rest = F.when(F.col("n") > 2, F.concat(F.lit(" +"), F.col("n") - 2)).otherwise("")
+    asked = F.when(F.col("n") == 1, F.concat(F.lit("Confirm "), "one")).otherwise(F.concat(F.lit("Confirm "), "one", F.lit(", "), "two", rest))
+    return rows.select("doc_id", F.when(F.col("rank").isNotNull(), F.concat(F.get(names, F.col("rank")), more)).otherwise(asked).alias("headline"))

@@ -123,6 +123,34 @@ def conditions(docs: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
     return rows.groupBy("condition").agg(F.count(F.lit(1)).alias("documents"), fields.alias("fields"), percent(fields - wrong, fields).alias("accuracy_pct"), (fields >= s.least_fields).alias("measured"), percent(F.sum("fields_caught"), wrong).alias("caught_pct"), percent(F.count_if(F.col("fields_flagged") == 0), F.count(F.lit(1))).alias("no_review_pct"))
 
 
+def conditions_report(docs: DataFrame, evaluated: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
+    """``conditions`` with what backs each: spot_accuracy_pct, spot_documents and spot_fields of its sampled and reviewed documents, trend (day and
+    accuracy of each processed day) and benchmark_pct of the labelled evaluation. Documents have their fields' counts."""
+    hand = F.col("has_handwriting")
+    names = F.array_compact(F.array(F.lit("overall"), F.when(~vernacular() & ~hand, "printed"), F.when(vernacular(), "vernacular"), F.when(hand, "handwritten")))
+    rows = docs.where(F.col("status").isin(*DONE) & F.col("processed_at").isNotNull()).select(F.explode(names).alias("condition"), "*")
+    spot = rows.where(F.col("is_qa_sample") & F.col("reviewed_at").isNotNull()).groupBy("condition").agg(percent(F.sum(F.col("fields_open") - F.col("fields_escaped")), F.sum("fields_open")).alias("spot_accuracy_pct"), F.count("*").alias("spot_documents"), F.sum("fields_open").alias("spot_fields"))
+    daily = rows.groupBy("condition", F.date_format("processed_at", "yyyy-MM-dd").alias("day")).agg(percent(F.sum(F.col("fields_total") - F.col("fields_corrected")), F.sum("fields_total")).alias("accuracy"))
+    trend = daily.groupBy("condition").agg(F.array_sort(F.collect_list(F.struct("day", "accuracy"))).alias("trend"))  # a row a day
+    bench = benchmark(evaluated).select("condition", F.col("field_accuracy_pct").alias("benchmark_pct"))
+    found = conditions(docs, s)
+    for part in (spot, trend, bench):
+        found = found.join(part, "condition", "left")
+    return found
+
+
+def run_costs(runs: DataFrame, prices: DataFrame) -> DataFrame:
+    """doc_id, cost: what the calls for each document cost, by tokens and the prices of a million of them. runs: doc_id, model,
+    tokens_in, tokens_cached (part of tokens_in), tokens_out, error; prices: model, price_in, price_cached, price_out. Failed calls are not charged;
+    a model without a price makes the cost unknown."""
+    million = F.lit(1_000_000)
+    rows = runs.where("error is null").join(F.broadcast(prices), "model", "left")  # a row a model
+    fresh = F.col("tokens_in") - F.col("tokens_cached")
+    cost = (fresh * F.col("price_in") + F.col("tokens_cached") * F.col("price_cached") + F.col("tokens_out") * F.col("price_out")) / million
+    whole = F.when(F.count("*") == F.count(cost), F.sum(cost.cast("decimal(28,10)")))
+    return rows.groupBy("doc_id").agg(F.round(whole, 4).cast("double").alias("cost"))
+
+
 def calibration(fields: DataFrame) -> DataFrame:
     bucket = F.least(F.lit(9), F.floor(F.round(F.col("score").cast("decimal(9,4)") * 10, 4))).cast("int")
     return fields.where(F.col("status").isin("confirmed", "corrected")).groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("reviewed"), percent(F.count_if(F.col("status") == "corrected"), F.count(F.lit(1))).alias("error_rate_pct"))

@@ -44,6 +44,49 @@ def dedupe_key(kind: Column | str, issuer: Column | str, number: Column | str) -
     return F.when((issuer != "") & (number != ""), F.concat_ws("|", kind, clean_code(issuer), clean_code(number)))
 
 
+def keyed_dedupe(kind: Column | str, issuer: Column | str, number: Column | str, key: str) -> Column:
+    """``dedupe_key`` as a pseudonym: equal for equal documents, and telling nothing of issuer or number."""
+    return pseudonym(dedupe_key(kind, issuer, number), key)
+
+
+def same_content(docs: DataFrame, arrived: DataFrame) -> DataFrame:
+    """``arrived`` (doc_id, tenant_id, content_sha256) with same_as: the first document of the tenant (by created_at, doc_id) that holds the very
+    bytes, itself apart, and already_uploaded. The flag informs; nothing is refused."""
+    first = docs.groupBy("tenant_id", "content_sha256").agg(F.min(F.struct("created_at", "doc_id")).alias("first"))
+    rows = arrived.join(first.select("tenant_id", "content_sha256", F.col("first.doc_id").alias("first_doc")), ["tenant_id", "content_sha256"], "left")
+    same = F.when(F.col("first_doc") != F.col("doc_id"), F.col("first_doc"))
+    return rows.select("doc_id", "tenant_id", same.alias("same_as"), same.isNotNull().alias("already_uploaded"))
+
+
+def active_template(docs: DataFrame, templates: DataFrame) -> DataFrame:
+    """doc_id, template_id, hints: the newest active template of each document's tenant, vendor and type, or nulls."""
+    keys = ["tenant_id", "vendor_key", "doc_type"]
+    newest = templates.where("status = 'active'").groupBy(*keys).agg(F.max_by(F.struct("template_id", "hints"), F.struct("created_at", "template_id")).alias("t"))
+    return docs.join(newest, keys, "left").select("doc_id", "t.template_id", "t.hints")
+
+
+def export_table(docs: DataFrame, fields: DataFrame, spec: DataFrame, rename: dict[str, str] | None = None, day: str = "dd-MM-yyyy", lines: bool = True) -> DataFrame:
+    """Documents of one type as the table that accounting systems take: Document ID, Status, a column for each field of the
+    header under its label or the profile's name, and with ``lines`` Line no. and the columns of lines (profile names "line.<field>");
+    a row a line, or one for a document without. Cells are text, dates as the profile writes them, missing ones empty.
+
+    docs: doc_id, reviewed_at; fields: doc_id, line_index, field_name, value; spec: name, label, kind, is_line, place."""
+    rename = rename or {}
+    shown = sorted(spec.collect(), key=lambda r: r["place"])  # the fields of a type, some dozens
+    text = lambda r: F.date_format(F.col("value").try_cast("date"), day) if r["kind"] == "date" else safe_cell(F.col("value"))
+    pick = lambda r: F.max(F.when(F.col("field_name") == r["name"], text(r)))
+    of = lambda is_line: [r for r in shown if r["is_line"] == is_line]
+    head_name = {r["name"]: rename.get(r["name"], r["label"]) for r in of(False)}
+    line_name = {r["name"]: rename.get(f"line.{r['name']}", f"Line {r['label']}") for r in of(True)} if lines else {}
+    head = fields.where("line_index is null").groupBy("doc_id").agg(F.lit(1).alias("__h"), *[pick(r).alias(head_name[r["name"]]) for r in of(False)])
+    rows = docs.select("doc_id", F.when(F.col("reviewed_at").isNotNull(), "Reviewed").otherwise("Auto-verified").alias("Status")).join(head, "doc_id", "left")
+    if lines:
+        body = fields.where("line_index is not null").groupBy("doc_id", "line_index").agg(F.lit(1).alias("__l"), *[pick(r).alias(line_name[r["name"]]) for r in of(True)])
+        rows = rows.join(body.withColumn("Line no.", (F.col("line_index") + 1).cast("string")), "doc_id", "left")
+    every = ["Status", *head_name.values(), *(["Line no.", *line_name.values()] if lines else [])]
+    return rows.select(F.col("doc_id").alias("Document ID"), *[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in every])
+
+
 def duplicates(docs: DataFrame, key: str = "dedupe_key") -> DataFrame:
     """Documents whose key an earlier one of the tenant has; the first (created_at, doc_id) wins. Keys are reduced before they
     join back, so a key that many documents share is one row on its side."""

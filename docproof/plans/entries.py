@@ -220,3 +220,105 @@ def _(docs):
     n = F.col("doc_id") % 4
     role = F.when(n < 2, "reviewer").when(n == 2, "staff_reviewer").otherwise("uploader")
     return docs.select("doc_id", records.can_review(role, F.when(n == 1, F.col("tenant_id") + 1).otherwise(F.col("tenant_id")), F.col("tenant_id"), F.col("doc_id") % 3 == 0).alias("may"))
+
+
+@query("AG29_headlines", "inv_line", "fields", sql="""
+    , l as (select *, quantity * rate - discount as straight, case when rate_per = '100 NOS' then 100 else 1 end as per from inv_line),
+    m as (select *, case when abs(straight - taxable_value) > greatest(0.51, abs(taxable_value) * 0.0005) and per > 1 then cast(quantity * rate as decimal(18,4)) / per - discount else straight end as calc from l),
+    bad as (select distinct doc_id from m where abs(calc - taxable_value) > greatest(0.51, abs(taxable_value) * 0.0005)), slab as (select distinct doc_id from inv_line where gst_rate not in (0, 0.1, 0.25, 1, 1.5, 3, 5, 6, 7.5, 12, 18, 28, 40)),
+    f as (select doc_id, 'Quantity (line ' || (line_index + 1) || ')' as label, row_number() over (partition by doc_id order by line_index) as turn, count(*) over (partition by doc_id) as n from fields where needs_review),
+    n as (select doc_id, max(n) as n, max(label) filter (where turn = 1) as one, max(label) filter (where turn = 2) as two from f group by 1),
+    a as (select doc_id, 'Quantity × rate doesn''t match a line amount' as p from bad union all select s.doc_id, 'An unusual GST rate' from slab s left join bad b on b.doc_id = s.doc_id where b.doc_id is null)
+    select coalesce(a.doc_id, n.doc_id) as doc_id, case when p is not null then p || case when n > 1 then ' (+' || (n - 1) || ' more)' else '' end when n = 1 then 'Confirm ' || one else 'Confirm ' || one || ', ' || two || case when n > 2 then ' +' || (n - 2) else '' end end as headline
+    from a full join n on n.doc_id = a.doc_id""")
+def _(lines, fields):
+    label = F.concat(F.lit("Quantity (line "), F.col("line_index") + 1, F.lit(")"))
+    return evidence.headlines(checks.line_checks(lines), fields.where("needs_review").select("doc_id", label.alias("label"), F.col("line_index").alias("place")))
+
+
+@query("AG30_cost", "runs", sql="""
+    , r as (select doc_id, latency_ms % 5000 as i, latency_ms % 5000 // 4 as c, latency_ms % 700 as o, latency_ms % 3 as m from runs where error is null)
+    select doc_id, case when bool_or(m = 2) then null else cast(round(cast(sum((i - c) * case m when 0 then 3 else 15 end + c * case m when 0 then 0.3 else 1.5 end + o * case m when 0 then 15 else 75 end) as decimal(28,10)) / 1000000, 4) as double) end as cost from r group by 1""")
+def _(runs):
+    """Tokens made of the latency; one model in three has no price."""
+    ms = F.col("latency_ms")
+    calls = runs.select("doc_id", "error", F.concat(F.lit("m"), ms % 3).alias("model"), (ms % 5000).alias("tokens_in"), F.floor(ms % 5000 / 4).alias("tokens_cached"), (ms % 700).alias("tokens_out"))
+    prices = runs.sparkSession.createDataFrame([("m0", "3", "0.3", "15"), ("m1", "15", "1.5", "75")], "model string, a string, b string, c string").selectExpr("model", "cast(a as decimal(9,4)) price_in", "cast(b as decimal(9,4)) price_cached", "cast(c as decimal(9,4)) price_out")
+    return metrics.run_costs(calls, prices)
+
+
+@query("JN5_same_upload", "docs", sql="""
+    , d as (select doc_id, tenant_id, docs.created_at as made_at, 'h' || (vendor_id % 40) as sha from docs), f as (select tenant_id, sha, min_by(doc_id, struct_pack(a := made_at, b := doc_id)) as first from d group by all)
+    select d.doc_id, d.tenant_id, nullif(first, d.doc_id) as same_as, first <> d.doc_id as already_uploaded from d join f on f.tenant_id = d.tenant_id and f.sha = d.sha""")
+def _(docs):
+    rows = docs.withColumn("content_sha256", F.concat(F.lit("h"), F.col("vendor_id") % 40))
+    return records.same_content(rows, rows.select("doc_id", "tenant_id", "content_sha256"))
+
+
+@query("JN8_active_template", "docs", sql="""
+    , k as (select *, vendor_id % 30 as vendor_key from docs), t as (select tenant_id, vendor_key, doc_type, doc_id as template_id, 'look at ' || doc_id as hints, case when doc_id % 3 = 0 then 'draft' else 'active' end as status, k.created_at as made_at from k where doc_id % 4 < 2 and doc_type is not null),
+    n as (select tenant_id, vendor_key, doc_type, max_by(template_id, struct_pack(a := made_at, b := template_id)) as template_id from t where status = 'active' group by all)
+    select k.doc_id, n.template_id, 'look at ' || n.template_id as hints from k left join n on n.tenant_id = k.tenant_id and n.vendor_key = k.vendor_key and n.doc_type = k.doc_type""")
+def _(docs):
+    rows = docs.withColumn("vendor_key", F.col("vendor_id") % 30)
+    made = rows.where("doc_id % 4 < 2 and doc_type is not null").select("tenant_id", "vendor_key", "doc_type", F.col("doc_id").alias("template_id"), F.concat(F.lit("look at "), "doc_id").alias("hints"), F.when(F.col("doc_id") % 3 == 0, "draft").otherwise("active").alias("status"), "created_at")
+    return records.active_template(rows, made)
+
+
+KEY = "a key of the tests"
+
+
+def hmac_sql(text: str, key: str = KEY) -> str:
+    """HMAC-SHA256 of a text in DuckDB: two digests over the padded key."""
+    raw = key.encode().ljust(64, b"\0")
+    blob = lambda x: "unhex('" + bytes(b ^ x for b in raw).hex() + "')"
+    return f"sha256({blob(0x5C)} || unhex(sha256({blob(0x36)} || encode({text}))))"
+
+
+NUMBER = "'INV|' || supplier_gstin || '|' || regexp_replace(upper(invoice_number), '[^A-Z0-9]', '', 'g')"
+
+
+@query("SC24_keyed_dedupe", "inv_header", sql=f"select doc_id, case when doc_id % 7 > 0 then substring({hmac_sql(NUMBER)}, 1, 32) end as key from inv_header")
+def _(headers):
+    number = F.when(F.col("doc_id") % 7 > 0, F.lower("invoice_number")).otherwise("")
+    return headers.select("doc_id", records.keyed_dedupe(F.lit("inv"), F.col("supplier_gstin"), number, KEY).alias("key"))
+
+
+@query("SC23_keyed_pseudonym", "supplier", sql=f"select s_suppkey as supplier_id, substring({hmac_sql('upper(trim(s_name))')}, 1, 32) as pseudonym from supplier")
+def _(suppliers):
+    return suppliers.select(F.col("s_suppkey").alias("supplier_id"), records.pseudonym(F.concat(F.lit(" "), F.lower("s_name")), KEY).alias("pseudonym"))
+
+
+LAYOUT = [("number", "Invoice no.", "string", False, 0), ("day", "Date", "date", False, 1), ("note", "Note", "string", False, 2), ("quantity", "Quantity", "number", True, 3)]
+
+
+@query("SNK1_table", "inv_header", "inv_line", "docs", sql="""
+    , h as (select h.*, d.reviewed_at is not null as seen from inv_header h join docs d on d.doc_id = h.doc_id where d.doc_type = 'invoice')
+    select h.doc_id as "Document ID", case when seen then 'Reviewed' else 'Auto-verified' end as "Status", invoice_number as "Voucher", strftime(invoice_date, '%d/%m/%Y') as "Date", case when h.doc_id % 2 = 0 then chr(39) || '=note' else '' end as "Note",
+        coalesce(cast(line_index + 1 as varchar), '') as "Line no.", coalesce(cast(quantity as varchar), '') as "Qty" from h left join inv_line l on l.doc_id = h.doc_id""")
+def _(headers, lines, docs):
+    """A profile with two names of its own and its own way to write dates."""
+    spec = headers.sparkSession.createDataFrame(LAYOUT, "name string, label string, kind string, is_line boolean, place int")
+    own = docs.where("doc_type = 'invoice'")
+    none, text = F.lit(None).cast("int"), lambda n, v: F.struct(F.lit(n).alias("field_name"), v.cast("string").alias("value"))
+    head = headers.select("doc_id", none.alias("line_index"), F.inline(F.array(text("number", F.col("invoice_number")), text("day", F.col("invoice_date")), text("note", F.when(F.col("doc_id") % 2 == 0, "=note")))))
+    body = lines.select("doc_id", "line_index", F.lit("quantity").alias("field_name"), F.col("quantity").cast("string").alias("value"))
+    fields = head.unionByName(body).join(own.select("doc_id"), "doc_id", "left_semi")
+    return records.export_table(own.join(headers.select("doc_id"), "doc_id", "left_semi"), fields, spec, {"number": "Voucher", "line.quantity": "Qty"}, "dd/MM/yyyy")
+
+
+CONDITION = "s as (select 'overall' as condition, * from v union all select 'printed', * from v where not v and not has_handwriting union all select 'vernacular', * from v where v union all select 'handwritten', * from v where has_handwriting)"
+PCT = "cast(round(cast(cast(100 * ({n}) as decimal(18,0)) / nullif(({d}), 0) as decimal(18,8)), 1) as double)"
+
+
+@query("AG15_conditions_report", "docs", "fields", "evaluated", sql=f"""
+    , c as (select doc_id, count(*) as ft, count(*) filter (where status = 'corrected') as fx, count(*) filter (where not needs_review) as fo, count(*) filter (where not needs_review and status = 'corrected') as fe from fields group by 1),
+    v as (select d.*, coalesce(ft, 0) as ft, coalesce(fx, 0) as fx, coalesce(fo, 0) as fo, coalesce(fe, 0) as fe, languages in ('english,hindi', 'tamil') as v from docs d left join c on c.doc_id = d.doc_id where status in ('ready', 'exported') and processed_at is not null), {CONDITION},
+    o as (select condition, count(*) as documents, {PCT.format(n='sum(ft - fx)', d='sum(ft)')} as accuracy_pct from s group by 1),
+    q as (select condition, {PCT.format(n='sum(fo - fe)', d='sum(fo)')} as spot_accuracy_pct, count(*) as spot_documents, cast(sum(fo) as bigint) as spot_fields from s where is_qa_sample and reviewed_at is not null group by 1),
+    t as (select condition, count(distinct strftime(processed_at, '%Y-%m-%d')) as days, min(strftime(processed_at, '%Y-%m-%d')) as first_day from s group by 1),
+    b as (select 'overall' as condition, {PCT.format(n='sum(correct)', d='sum(fields)')} as benchmark_pct from evaluated where not synthetic union all select 'printed', {PCT.format(n='sum(correct)', d='sum(fields)')} from evaluated where not synthetic and bucket in ('digital', 'good_scan', 'poor_scan'))
+    select o.condition, documents, accuracy_pct, spot_accuracy_pct, spot_documents, spot_fields, days, first_day, benchmark_pct from o left join q on q.condition = o.condition left join t on t.condition = o.condition left join b on b.condition = o.condition""")
+def _(docs, fields, evaluated):
+    found = metrics.conditions_report(metrics.with_field_counts(docs, fields), evaluated)
+    return found.select("condition", "documents", "accuracy_pct", "spot_accuracy_pct", "spot_documents", "spot_fields", F.size("trend").cast("long").alias("days"), F.element_at("trend", 1)["day"].alias("first_day"), "benchmark_pct")

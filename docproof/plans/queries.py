@@ -715,18 +715,6 @@ def _(docs):
     return routing.usual_type(docs.withColumnRenamed("filed_type", "doc_type"))
 
 
-@query("AG29_headlines", "inv_line", "fields", sql=f"""with {LINE_SQL}, bad as (select distinct doc_id from m where abs(calc - taxable_value) > greatest(0.51, abs(taxable_value) * 0.0005)), slab as (select distinct doc_id from inv_line where gst_rate not in (0, 0.1, 0.25, 1, 1.5, 3, 5, 6, 7.5, 12, 18, 28, 40)),
-    n as (select doc_id, count(*) as n from fields where needs_review group by 1), a as (select doc_id, 'Quantity × rate doesn''t match a line amount' as p from bad union all select s.doc_id, 'An unusual GST rate' from slab s left join bad b on b.doc_id = s.doc_id where b.doc_id is null)
-    select a.doc_id, p || case when n.n > 1 then ' (+' || (n.n - 1) || ' more)' else '' end as headline from a left join n on n.doc_id = a.doc_id""")
-def _(lines, fields):
-    return evidence.headlines(checks.line_checks(lines), fields.where("needs_review"))
-
-
-@query("AG30_cost", "runs", sql="select doc_id, cast(sum(latency_ms * 3 + 7) as bigint) as cost from runs where error is null group by 1")
-def _(runs):
-    return runs.where("error is null").groupBy("doc_id").agg(F.sum(F.col("latency_ms") * 3 + 7).alias("cost"))
-
-
 @query("AG31_worst_page", "docs", sql="select tenant_id, case min(case quality_bucket when 'poor_scan' then 1 when 'good_scan' then 2 when 'digital' then 3 end) when 1 then 'poor_scan' when 2 then 'good_scan' else 'digital' end as quality from docs group by 1")
 def _(docs):
     rank = F.when(F.col("quality_bucket") == "poor_scan", 1).when(F.col("quality_bucket") == "good_scan", 2).when(F.col("quality_bucket") == "digital", 3)
