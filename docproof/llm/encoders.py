@@ -11,7 +11,7 @@ import re
 import unicodedata
 from functools import lru_cache
 
-KEEP = 300_000
+KEEP = 150_000
 #: White space for Python's str.split() and re, but not for the tokenizers.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 
