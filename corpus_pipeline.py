@@ -48,8 +48,8 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word runs, similarity 0.8 or more) the row with the smallest doc_id stays,
-    of rows that share it one text; rows without an id stay."""
+    """Of each group of near copies (found by SimHash with Golay keys, then counted: five-word runs, similarity 0.8 or more)
+    the row with the smallest doc_id stays, of rows that share it one text; rows without an id stay."""
     _small_batches(spark)
     return drop_similar(docs)
 

@@ -56,7 +56,11 @@ def fingerprint_of(text: str, size: int = SHINGLE) -> int:
     ends = np.cumsum(lengths + 1) - 1
     starts = (ends - lengths).tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[size - 1 :].tolist(), strict=False)], dtype=np.uint64)
+    return majority(np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[size - 1 :].tolist(), strict=False)], dtype=np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """64 bits: those that over half of the hashes have set."""
     set_bits = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), 65_536):  # bounds the unpacked bits of a very long text
         part = hashes[at : at + 65_536].view(np.uint8).reshape(-1, 8)
@@ -118,7 +122,8 @@ def _keys(fp: np.ndarray, asking: bool) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fuzzy_keys(prints: DataFrame, asking: bool) -> DataFrame:
-    """key, fp: the rows that the asking or the filed side brings to the join."""
+    """key, fp (and group, where ``prints`` has it): the rows that the asking or the filed side brings to the join."""
+    more = ["group"] if "group" in prints.columns else []
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -126,9 +131,9 @@ def fuzzy_keys(prints: DataFrame, asking: bool) -> DataFrame:
             for at in range(0, len(fp), 4096):
                 part = fp[at : at + 4096]
                 key, row = _keys(part, asking)
-                yield pd.DataFrame({"key": key, "fp": part[row]})
+                yield pd.DataFrame({"key": key, "fp": part[row], **{x: batch[x].to_numpy()[at : at + 4096][row] for x in more}})
 
-    return prints.select("fp").mapInPandas(emit, "key long, fp long")
+    return prints.select("fp", *more).mapInPandas(emit, "key long, fp long" + ", group int" * len(more))
 
 
 def _errors(i: int) -> str:
@@ -136,12 +141,14 @@ def _errors(i: int) -> str:
 
 
 def links(prints: DataFrame) -> DataFrame:
-    """a, b with a < b: every pair of distinct fingerprints that differ in at most ``MAX_ERRORS`` bits, once."""
+    """a, b with a < b: every pair of distinct fingerprints that differ in at most ``MAX_ERRORS`` bits, once. Where
+    ``prints`` has a group (an int), only fingerprints of different groups meet, equal ones too."""
     pattern = " + ".join(f"if((a.fp ^ b.fp) & {0xFF << 16 * i}L = 0, 0, {1 << i})" for i in range(3))
     first = "case " + " ".join(f"when {_errors(a)} = 0 and {_errors(b)} <= 1 then {kind}" for kind, (a, b) in enumerate(EXACT_THEN_NEAR)) + f" else {len(EXACT_THEN_NEAR)} + {pattern} end"
     prints = spread(prints)
     filed, asking = fuzzy_keys(prints, False).alias("a"), fuzzy_keys(prints, True).alias("b")
-    close = F.expr(f"a.key = b.key and a.fp < b.fp and bit_count(a.fp ^ b.fp) <= {MAX_ERRORS} and shiftright(a.key, 32) = {first}")
+    order = "(a.fp < b.fp and a.group != b.group or a.fp = b.fp and a.group < b.group)" if "group" in prints.columns else "a.fp < b.fp"
+    close = F.expr(f"a.key = b.key and {order} and bit_count(a.fp ^ b.fp) <= {MAX_ERRORS} and shiftright(a.key, 32) = {first}")
     return asking.join(filed, close).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
 
 

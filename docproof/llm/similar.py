@@ -1,10 +1,19 @@
-"""Near copies by the share of five-word runs that two texts have in common.
+"""Near copies by SimHash with Golay-code keys, counted exactly on five-word runs.
 
 Two texts are near copies where the Jaccard similarity of their sets of ``WORDS``-word runs is ``LEAST`` or more, case and
-spacing aside. Candidates share one of ``BANDS`` hashes of ``ROWS`` minimum hashes each: a pair at 0.8 shares none with a
-probability of (1 - 0.8 ** 5) ** 32 = 3e-6, a closer pair with less. The similarity itself is then counted on the sets.
+spacing aside. Candidates come from ``PRINTS`` fingerprints of 64 bits over a text's words (a word counts twice at most), which
+an edited word moves by few bits, where it changes five runs. Fingerprints meet through the Golay keys of ``simhash``:
 
-Only texts of different sets take part. Each bucket has a centre, the member that meets most others in its buckets. A text
+1. Texts that file one key are compared with one of them, where the fingerprints differ in at most 4 bits; those found alike
+   are a group.
+2. ``simhash.links`` finds all fingerprints of different groups within 4 bits, and their texts are compared.
+
+Every comparison counts the similarity itself. What lies further apart than 4 bits in all fingerprints (an appended passage
+changes many words) has an exact way of its own: texts that share one of ``BANDS`` hashes of ``ROWS`` minimum hashes are compared
+too where they are not yet one group. A pair at 0.8 shares none with a probability of (1 - 0.8 ** 5) ** 32 = 3e-6, a closer
+pair with less.
+
+Only texts of different sets take part. Each such bucket has a centre, the member that meets most others in its buckets. A text
 x is compared with the centre c of each of its buckets, and what tells them apart is kept: the runs that x lacks and those
 it adds. A text linked with its centre is done. For the others those differences say exactly how much two texts around one
 centre share - |c| less what either lacks, plus what both lack, plus what both add - so the join of the texts around a
@@ -30,9 +39,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docproof.llm.common import plain, save, without
-from docproof.llm.simhash import components
+from docproof.llm.simhash import MAX_ERRORS, components, fuzzy_keys, links, majority
 
 WORDS, LEAST = 5, 0.8
+PRINTS = 2
 BANDS, ROWS = 32, 5
 SEED = 42
 SLICE = 128
@@ -70,16 +80,29 @@ def bands_of(found: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(part.tobytes(), i) for i, part in enumerate(least.reshape(BANDS, ROWS))], dtype=np.uint64)
 
 
+def prints_of(text: str) -> np.ndarray:
+    """Fingerprints over the different words; those that occur more than once count twice."""
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(PRINTS, dtype=np.uint64)
+    found, times = np.unique(np.array([xxhash.xxh64_intdigest(w, SEED) for w in words], dtype=np.uint64), return_counts=True)
+    found = np.concatenate([found, found[times > 1]])
+    mask, factor = _mixers()
+    mixed = (found ^ mask[:PRINTS]) * factor[:PRINTS]
+    mixed = (mixed ^ mixed >> np.uint64(32)) * factor[PRINTS : 2 * PRINTS]  # the low bits of a product tell little
+    return np.array([majority(x) for x in mixed ^ mixed >> np.uint64(32)], dtype=np.uint64)
+
+
 def _sketches(texts: DataFrame) -> DataFrame:
-    """id, place (a hash of the text), node (a hash of the set), size (of the set), bands."""
+    """id, place (a hash of the text), node (a hash of the set), size (of the set), bands, prints."""
 
-    @F.pandas_udf("node long, size int, bands array<long>")
+    @F.pandas_udf("node long, size int, bands array<long>, prints array<long>")
     def sketch(batch: pd.Series) -> pd.DataFrame:
         rows = []
         for text in batch:  # a text's set goes as soon as it is read
             found = runs(text)
-            rows.append((xxhash.xxh64_intdigest(found.tobytes(), SEED), len(found), bands_of(found).view(np.int64)))
-        found = pd.DataFrame(rows, columns=["node", "size", "bands"])
+            rows.append((xxhash.xxh64_intdigest(found.tobytes(), SEED), len(found), bands_of(found).view(np.int64), prints_of(text).view(np.int64)))
+        found = pd.DataFrame(rows, columns=["node", "size", "bands", "prints"])
         return found.assign(node=found["node"].astype(np.uint64).to_numpy().view(np.int64))
 
     return texts.select("id", F.xxhash64("text").alias("place"), sketch("text").alias("s")).select("id", "place", "s.*")
@@ -140,28 +163,84 @@ def _around(centres: DataFrame, least: float) -> DataFrame:
     return found.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
 
 
+def _near(a: str, b: str, least: float) -> F.Column:
+    """Whether sets of these sizes can be as similar as that."""
+    return F.least(a, b) >= least * F.greatest(a, b)
+
+
+def _at_keys(nodes: DataFrame, least: float) -> DataFrame:
+    """Pairs (node, centre) of texts that file one Golay key and whose fingerprints differ in at most ``MAX_ERRORS`` bits.
+    A key's centre is the smallest node that files it."""
+    found = None
+    for i in range(PRINTS):
+        own = save(nodes.select("node", "size", F.col("prints")[i].alias("fp")), "prints")
+        of = own.groupBy("fp").agg(F.min(F.struct("node", "size")).alias("first"))  # of equal fingerprints one files
+        first = save(of.select("fp", "first.node", "first.size"), "filed")
+        keys = fuzzy_keys(first.select("fp"), False)
+        shared = keys.groupBy("key").agg(F.min("fp").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "low")
+        met = save(keys.join(shared, "key").where(f"fp != low and bit_count(fp ^ low) <= {MAX_ERRORS}").select("fp", "low").distinct(), "met")
+        centre = first.select(F.col("fp").alias("low"), F.col("node").alias("centre"), F.col("size").alias("core"))
+        by_key = first.join(met, "fp").join(centre, "low").select("node", "size", "centre", "core")
+        same = own.join(centre.withColumnRenamed("low", "fp"), "fp").where("node != centre").select("node", "size", "centre", "core")
+        pairs = by_key.unionByName(same).where(_near("size", "core", least)).select("node", "centre")
+        found = pairs if found is None else found.unionByName(pairs)
+    return save(found.distinct(), "at-keys")
+
+
+def _by_links(nodes: DataFrame, least: float) -> DataFrame:
+    """Pairs (node, centre) of texts of different groups with fingerprints that differ in at most ``MAX_ERRORS`` bits;
+    ``nodes`` has node, size, prints and group."""
+    found = None
+    for i in range(PRINTS):
+        own = save(nodes.select("node", "size", "group", F.hash("group").alias("short"), F.col("prints")[i].alias("fp")), "prints")
+        linked = save(links(own.select("fp", F.col("short").alias("group")).distinct()).distinct(), "links")
+        a = own.select(F.col("fp").alias("a"), "node", "size", "group")
+        b = own.select(F.col("fp").alias("b"), F.col("node").alias("centre"), F.col("size").alias("core"), F.col("group").alias("other"))
+        pairs = linked.join(a, "a").join(b, "b").where((F.col("group") != F.col("other")) & _near("size", "core", least))
+        pairs = pairs.select(F.least("node", "centre").alias("node"), F.greatest("node", "centre").alias("centre"))
+        found = pairs if found is None else found.unionByName(pairs)
+    return save(found.distinct(), "by-links")
+
+
+def _linked(differences: DataFrame, least: float) -> DataFrame:
+    """a, b: the pairs that are near copies."""
+    close = (F.col("base") - F.size("lost")) >= least * (F.col("base") + F.size("extra"))
+    return differences.where(close).select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select("node").unionByName(pairs.select(F.col("centre").alias("node"))).distinct()
+
+
 def _labelled(docs: DataFrame, id_col: str, text_col: str, least: float) -> DataFrame:
     """id, place (a hash of the text) and first: the smallest (id, place) of the component, null without ids."""
     texts = docs.select(F.col(id_col).alias("id"), plain(text_col).alias("text"))
     sketches = save(_sketches(texts), "sketches")
     known = F.when(F.col("id").isNotNull(), F.struct("id", "place"))
-    firsts = [F.min(known).alias("label"), F.min("place").alias("place"), F.first("size").alias("size"), F.first("bands").alias("bands")]
+    firsts = [F.min(known).alias("label"), F.min("place").alias("place"), *(F.first(x).alias(x) for x in ("size", "bands", "prints"))]
     nodes = save(sketches.groupBy("node").agg(*firsts), "nodes")
-    keys = nodes.select(F.explode("bands").alias("key"), "node")
-    shared = save(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
-    members = save(keys.join(shared, "key"), "members")
+
+    first = _at_keys(nodes, least)
+    edges = save(_linked(_differences(first, _texts_of(_ends(first), nodes, texts)), least), "edges")
+    groups = components(edges).withColumnRenamed("root", "group")
+    grouped = save(nodes.join(groups, "node", "left").withColumn("group", F.coalesce("group", "node")), "grouped")
+    golay = _by_links(grouped, least)
+
+    keys = grouped.select(F.explode("bands").alias("key"), "node", "group")
+    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("group").alias("low"), F.max("group").alias("high"))
+    shared = save(shared.where("low != high").select("key", "n"), "shared")  # in other buckets all are one group
+    members = save(keys.select("key", "node").join(shared, "key"), "members")
     met = save(members.groupBy("node").agg(F.sum("n").alias("met")), "met")
     ranked = save(members.join(met, "node").select("key", "node", "met"), "ranked")
     centre = save(ranked.groupBy("key").agg(F.max_by("node", F.struct("met", "node")).alias("centre")), "centres")
-    pairs = save(ranked.join(centre, "key").select("node", "centre").distinct(), "pairs")
-    apart = pairs.where("node != centre")
+    apart = save(ranked.join(centre, "key").where("node != centre").select("node", "centre").distinct(), "pairs")
 
-    differences = _differences(apart, _texts_of(met.select("node"), nodes, texts))
-    linked = (F.col("base") - F.size("lost")) >= least * (F.col("base") + F.size("extra"))
-    edges = save(differences.where(linked).select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")), "edges")
+    pairs = save(apart.unionByName(golay).distinct(), "asked")
+    differences = _differences(pairs, _texts_of(_ends(pairs), nodes, texts))
+    edges = save(edges.unionByName(_linked(differences, least)).distinct(), "edges")
     groups = components(edges).withColumnRenamed("root", "group")
-    grouped = differences.join(groups, "node", "left").withColumn("group", F.coalesce("group", "node"))
-    more = _around(save(grouped, "grouped"), least)
+    around = differences.join(apart, ["node", "centre"], "left_semi")
+    more = _around(save(around.join(groups, "node", "left").withColumn("group", F.coalesce("group", "node")), "around"), least)
 
     rooted = components(save(edges.unionByName(more), "links"))
     rooted = save(nodes.join(rooted, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "label"), "roots")

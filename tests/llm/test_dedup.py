@@ -168,6 +168,23 @@ def test_near_stage_drops_an_edited_copy(spark, sf_dir):
     assert corpus_pipeline.near_copies(spark, docs.limit(0), sf_dir).count() == 0
 
 
+def test_near_copies_meet_by_fingerprints(spark, monkeypatch):
+    """Without minimum hashes in common, edited copies still meet through the Golay keys of their fingerprints."""
+    sketches = similar._sketches
+    monkeypatch.setattr(similar, "_sketches", lambda texts: sketches(texts).withColumn("bands", F.array("node")))
+    words = [f"word{i}" for i in range(150)]
+    edited = [" ".join([*words[:at], "other", *words[at + 1 :]]) for at in (20, 50, 80)]
+    rows = [(1, " ".join(words)), *((i + 2, t) for i, t in enumerate(edited)), (9, " ".join(reversed(words))), (10, None)]
+    got = {r["doc_id"]: r["component_id"] for r in similar.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 1, 9: 9, 10: 10}
+
+
+def test_links_between_groups(spark):
+    prints = [(0b1111, 1), (0, 1), (0, 2), (0b111, 3), (-1, 4)]
+    got = {(r["a"], r["b"]) for r in simhash.links(spark.createDataFrame(prints, "fp long, group int")).collect()}
+    assert got == {(0, 0), (0, 0b1111), (0, 0b111), (0b111, 0b1111)}
+
+
 def lines_by_hand(rows):
     first, texts = {}, {i: t.split("\n") if t else [] for i, t in sorted(rows)}
     gone = {i: set() for i in texts}
