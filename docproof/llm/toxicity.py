@@ -36,14 +36,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docproof.llm.common import plain
+from docproof.llm.common import plain, release
 
 DECAY, SPAN = 0.8, 5
 LANDMARKS, ROUNDS = 192, 3
 WORDS = 16
 SAMPLE_DOCS, SAMPLE_CHARS = 2500, 12_000
 LONGEST, STEP = 24, 12
-KEEP = 400_000
+KEEP = 150_000
+#: Texts whose words a task holds at a time.
+SLICE = 200
 ENDS = (".", "!", "?")
 CLEAN_COST = 4.0
 CLASSES = 64
@@ -204,6 +206,15 @@ class Strength:
     def strongest(self, tokens: list[str]) -> float:
         return float(self.sentences(tokens)[1].max()) if tokens else -np.inf
 
+    def of(self, texts: list[str]) -> list[float]:
+        """The texts' values; the words of ``SLICE`` texts are held at a time."""
+        found = []
+        for at in range(0, len(texts), SLICE):
+            tokens = [tokens_of(t) for t in texts[at : at + SLICE]]
+            self.learn(tokens)
+            found += map(self.strongest, tokens)
+        return found
+
 
 def _machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 10.0) -> np.ndarray:
     """A linear machine with squared hinge loss, by Newton steps; the last column of ``x`` is the bias."""
@@ -358,12 +369,9 @@ def score_toxicity(docs: DataFrame, scorer: Scorer | None, text_col: str = "text
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         strength = Strength(held.value)
         for texts in batches:
-            margins = []
-            for at in range(0, len(texts), 1000):
-                tokens = [tokens_of(t) for t in texts.iloc[at : at + 1000]]
-                strength.learn(tokens)
-                margins += map(strength.strongest, tokens)
-            yield pd.Series(held.value.link(np.array(margins, dtype=np.float64)))
+            yield pd.Series(held.value.link(np.array(strength.of(texts.tolist()), dtype=np.float64)))
+        del strength
+        release()
 
     return docs.withColumn(name, run(plain(text_col)))
 

@@ -378,3 +378,20 @@ def test_languages_of_one_text_are_learned(spark):
         assert model.languages == ["en", "fi", "pl"] and (model.table.max(axis=0) - model.table.min(axis=0) > 1).all()
         assert {tuple(r) for r in keep_known_languages(docs, model).groupBy("lang").count().collect()} == {("en", 300), ("pl", 4000), ("fi", 4000)}
     assert train(docs.drop("doc_id")).languages == ["en", "fi", "pl"]
+
+
+def test_toxicity_holds_few_words_at_a_time():
+    """A batch's words do not stand in memory together, nor does a task's whole vocabulary."""
+    import tracemalloc
+
+    from docproof.llm import toxicity
+
+    texts = [" ".join(f"w{(97 * i + j) % 5000}" for j in range(300)) for i in range(2000)]
+    strength = toxicity.Strength(toxicity.Scorer("etaoin", np.zeros(toxicity.CLASSES**3, dtype=np.float32), 0.0, 1.0, 0.0))
+    strength.of(texts[:200])
+    tracemalloc.start()
+    values = strength.of(texts[200:1200])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(values) == 1000 and peak < 10_000_000  # some 20 MB where the words of 1000 texts stand together
+    assert toxicity.KEEP <= 150_000
