@@ -18,6 +18,7 @@ import re
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docproof.llm.common import plain
-from docproof.llm.encoders import Store
 
 MARK = "▁"
 SLICE = 128
+#: Parts that a task remembers, and the longest of them.
+KEEP, LONG = 200_000, 64
 #: Kinds of pieces, as the model's file numbers them (fixed values).
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -122,20 +124,35 @@ class Pieces:
         self.parts = (lambda text: [text]) if crossing else re.compile(f"{MARK}+[^{MARK}{lines}]*|[^{MARK}{lines}]+" + "|\n" * bool(lines)).findall
         self.end = self.library.eos_id()
         self.bytes = {i: int(x[3:-1], 16) for i, (x, k) in enumerate(zip(names, kinds, strict=True)) if k == BYTE}
-        self.sizes = np.array([1 if k == BYTE else len(x.encode()) for x, k in zip(names, kinds, strict=True)], dtype=np.int32)
+        #: The map is empty and spaces stay as they are: each byte is its own longest prefix, and spans follow from the spaces alone.
+        self.direct = not self.map.units and not self.squeeze and self.escape
+        self.sizes = np.array([1 if k == BYTE else self._size(x) for x, k in zip(names, kinds, strict=True)], dtype=np.int32)
         self.unknown = self.library.unk_id()
         self.out = [bytes([self.bytes[i]]) if k == BYTE else b"" if k == CONTROL else " \u2047 ".encode() if k == UNKNOWN else x.replace(MARK, " ").encode() for i, (x, k) in enumerate(zip(names, kinds, strict=True))]
-        self.segmented = Store(self._segment, 200_000)
-
-    def _segment(self, part: str) -> tuple[bytes, bytes]:
-        """The ids of a normalised part, and how many of its bytes each takes; both as 32-bit integers."""
-        ids = self.library.encode(part)
-        if self.unknown in ids:
-            pieces = self.library.encode(part, return_type="proto").pieces
-            ids, sizes = [x.id for x in pieces], np.array([1 if x.id in self.bytes else len(x.surface.encode()) for x in pieces], dtype=np.int32)
-        else:
-            sizes = self.sizes[ids]
-        return np.array(ids, dtype=np.int32).tobytes(), sizes.astype(np.int32).tobytes()
+        self.widths = np.array([len(x) for x in self.out], dtype=np.int64)
+        self.segmented: dict[str, tuple[bytes, bytes, bytes]] = {}
+
+    def _size(self, piece: str) -> int:
+        """Bytes of a piece; in a direct model those of its source, where a mark is a space."""
+        return len(piece.encode()) - (len(MARK.encode()) - 1) * piece.count(MARK) * self.direct
+
+    def _segment(self, parts: list[str]) -> Iterator[tuple[bytes, bytes, bytes]]:
+        """For each normalised part its ids, how many bytes each takes (both as 32-bit integers), and what the ids stand for."""
+        found = self.library.encode(parts, num_threads=1)
+        flat = list(chain.from_iterable(found))
+        ids = np.array(flat, dtype=np.int32)
+        sizes = self.sizes[ids]
+        ends = np.cumsum(list(map(len, found)), dtype=np.int64)
+        out, stops = b"".join(map(self.out.__getitem__, flat)), np.concatenate([[0], np.cumsum(self.widths[ids])])[ends].tolist()
+        if self.unknown in flat:
+            for part, end, own in zip(parts, ends.tolist(), found, strict=True):
+                if self.unknown in own:
+                    pieces = self.library.encode(part, return_type="proto").pieces
+                    sizes[end - len(own) : end] = [1 if x.id in self.bytes else self._size(x.surface) for x in pieces]
+        ids, sizes, at, start = ids.tobytes(), sizes.tobytes(), 0, 0
+        for end, stop in zip((4 * ends).tolist(), stops, strict=True):
+            yield ids[at:end], sizes[at:end], out[start:stop]
+            at, start = end, stop
 
     def normalise(self, text: str) -> tuple[bytes, np.ndarray]:
         """The normalised UTF-8 text and, for each of its bytes and its end, the place in the source's bytes."""
@@ -179,7 +196,7 @@ class Pieces:
     def aligned(self, text: str) -> tuple[str, np.ndarray]:
         """``normalise`` as text. Where the map is empty and spaces stay as they are, each byte is its own longest
         prefix, and the alignment follows from the spaces alone."""
-        if self.map.units or self.squeeze or not self.escape:
+        if not self.direct:
             normal, source = self.normalise(text)
             return normal.decode(), source
         data = np.frombuffer(text.encode("utf-8", "replace"), dtype=np.uint8)
@@ -189,24 +206,63 @@ class Pieces:
             normal, source = MARK + normal, np.concatenate([np.zeros(len(MARK.encode()), dtype=source.dtype), source])
         return normal, source
 
+    def _marked(self, text: str) -> np.ndarray:
+        """For a direct model and a text that holds marks of its own: the place of each counted byte in the source's bytes."""
+        sizes = [len(x.encode("utf-8", "replace")) for x in text]
+        at = np.cumsum([0, *sizes])
+        inner = chain.from_iterable((a,) if x == MARK else range(a, a + n) for x, a, n in zip(text, at.tolist(), sizes, strict=False))
+        return np.array([*[0] * self.dummy_prefix, *inner, at[-1]], dtype=np.int64)
+
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, first source byte, end source byte) of the pieces, with the end id last."""
-        normal, source = self.aligned(text)
-        found = list(map(self.segmented.__getitem__, self.parts(normal)))
-        ids = np.frombuffer(b"".join([x for x, _ in found]), dtype=np.int32)
-        ends = np.cumsum(np.frombuffer(b"".join([x for _, x in found]), dtype=np.int32))
-        stops = source[ends]
-        starts = source[np.concatenate([[0], ends[:-1]])] if len(ends) else stops
-        size = len(text.encode("utf-8", "replace"))
-        return np.append(ids, np.int32(self.end)), np.append(starts, size), np.append(stops, size)
+        return next(self.encode_all([text], False))[:3]
+
+    def encode_all(self, texts: list[str], decoded: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, str | None]]:
+        """``encode`` of each text and ``decode`` of its ids. Parts that are not known yet are segmented in one call; what a
+        part's ids stand for is kept with it. Parts stay until ``KEEP`` are known, long ones only for these texts."""
+        if self.direct:
+            normal = [(MARK * self.dummy_prefix + x.replace(" ", MARK) if x else "", self._marked(x) if MARK in x else None) for x in texts]
+        else:
+            normal = [(x.decode(), source) for x, source in map(self.normalise, texts)]
+        cut = [self.parts(x) if x else [] for x, _ in normal]
+        known = self.segmented
+        if len(known) > KEEP:
+            known.clear()
+        new = list(set().union(*cut).difference(known))
+        if new:
+            known.update(zip(new, self._segment(new), strict=True))
+        for text, (_, source), parts in zip(texts, normal, cut, strict=True):
+            own, sizes, out = zip(*map(known.__getitem__, parts), strict=True) if parts else ((), (), ())
+            yield self._spans(text, source, b"".join(own), b"".join(sizes), b"".join(out) if decoded else None)
+        for part in new:
+            if len(part) > LONG:
+                del known[part]
+
+    def _spans(self, text: str, source: np.ndarray | None, own: bytes, sizes: bytes, out: bytes | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, str | None]:
+        n = len(own) // 4
+        ids, starts, stops = (np.zeros(n + 1, dtype=np.int32) for _ in range(3))
+        ids[:n], ids[n] = np.frombuffer(own, dtype=np.int32), self.end
+        np.cumsum(np.frombuffer(sizes, dtype=np.int32), out=stops[:n])
+        if source is not None:
+            starts[:n] = source[np.concatenate([[0], stops[: n - 1]])] if n else 0
+            stops[:n] = source[stops[:n]]
+        else:
+            stops[:n] -= self.dummy_prefix  # no byte of the source stands for the first mark
+            starts[1:n] = stops[: n - 1] if n else 0
+        starts[n] = stops[n] = len(text) if text.isascii() else len(text.encode("utf-8", "replace"))
+        return ids, starts, stops, None if out is None else self._text(out, ids)
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: marks are spaces, the first space goes, control ids are silent, runs of byte ids are read as
         UTF-8 with U+FFFD for each byte that fits nowhere."""
+        return self._text(b"".join(map(self.out.__getitem__, ids)), ids)
+
+    def _text(self, data: bytes, ids: list[int] | np.ndarray) -> str:
+        """The text of ids that stand for ``data``."""
         try:
-            text = b"".join(map(self.out.__getitem__, ids)).decode()
+            text = data.decode()
         except UnicodeDecodeError:
-            return self._decode_broken(ids)
+            return self._decode_broken(ids if isinstance(ids, list) else ids.tolist())
         if text.startswith(" ") and self.dummy_prefix:
             first = next((i for i in ids if self.kinds[i] != CONTROL), None)
             if first is not None and self.kinds[first] in (NORMAL, USER_DEFINED, UNUSED):
@@ -272,10 +328,10 @@ def encode_pieces(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
-                found = [pieces.encode(x.as_py()) for x in part.column(1)]
+                found = list(pieces.encode_all(part.column(1).to_pylist(), decoded))
                 offsets = np.concatenate([[0], np.cumsum([len(x[0]) for x in found])]).astype(np.int32)
-                lists = [pa.ListArray.from_arrays(offsets, np.concatenate([x[i] for x in found]).astype(np.int32)) for i in range(3)]
-                texts = [pa.array([pieces.decode(x[0].tolist()) for x in found], type=pa.string())] * decoded
+                lists = [pa.ListArray.from_arrays(offsets, np.concatenate([x[i] for x in found])) for i in range(3)]
+                texts = [pa.array([x[3] for x in found], type=pa.string())] * decoded
                 yield pa.RecordBatch.from_arrays([part.column(0), *lists, *texts], names=["doc_id", "ids", "first", "end", *["decoded"] * decoded])
 
     kind = docs.schema[id_col].dataType.simpleString()

@@ -395,3 +395,20 @@ def test_toxicity_holds_few_words_at_a_time():
     tracemalloc.stop()
     assert len(values) == 1000 and peak < 10_000_000  # some 20 MB where the words of 1000 texts stand together
     assert toxicity.KEEP <= 150_000
+
+
+def test_pieces_segments_new_parts_of_many_texts_at_once():
+    """One call for a slice's unknown parts; spans and texts as one by one, marks in the source included."""
+    from docproof.llm import pieces as p
+
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as file:
+        ours = p.Pieces(file.read())
+    texts = ["one two", "", "a\u2581 b \u2581", "\U0001f600 two\n\nthree \x00", " \u00e9\u0301 ", "x" * 500]
+    calls, encode = [], ours.library.encode
+    ours.library = type("Counted", (), {"encode": staticmethod(lambda x, **more: calls.append(x) or encode(x, **more))})
+    found = list(ours.encode_all(texts))
+    assert len(calls) == 1 and not any(len(x) > p.LONG for x in ours.segmented)
+    for text, (ids, first, end, decoded) in zip(texts, found, strict=True):
+        data = text.encode()
+        assert decoded == ours.decode(ids.tolist()) == text.replace(p.MARK, " ") and first[-1] == end[-1] == len(data)
+        assert b"".join(data[a:b] for a, b in zip(first, end, strict=True)) == data
