@@ -2,24 +2,23 @@
 
 Two texts are near copies where the Jaccard similarity of their sets of ``WORDS``-word runs is ``LEAST`` or more, case and
 spacing aside. Candidates come from ``PRINTS`` fingerprints of 64 bits over a text's words (a word counts twice at most), which
-an edited word moves by few bits, where it changes five runs. Fingerprints meet through the Golay keys of ``simhash``:
-
-1. Texts that file one key are compared with one of them, where the fingerprints differ in at most 4 bits; those found alike
-   are a group.
-2. ``simhash.links`` finds all fingerprints of different groups within 4 bits, and their texts are compared.
+an edited word moves by few bits, where it changes five runs. Fingerprints meet through the Golay keys of ``simhash``: each
+asks its keys, and where it differs in at most 4 bits from the least or the greatest fingerprint that files one, their texts
+are compared. Two fingerprints alone at a key always meet, of many at one key each meets two at most; texts found alike are
+a group.
 
 Every comparison counts the similarity itself. What lies further apart than 4 bits in all fingerprints (an appended passage
-changes many words) has an exact way of its own: texts that share one of ``BANDS`` hashes of ``ROWS`` minimum hashes are compared
-too where they are not yet one group. A pair at 0.8 shares none with a probability of (1 - 0.8 ** 5) ** 32 = 3e-6, a closer
-pair with less.
+changes many words), or met neither end of a crowded key, has an exact way of its own: texts that share one of ``BANDS`` hashes
+of ``ROWS`` minimum hashes are compared too where their bucket is not yet one group. A pair at 0.8 shares none with a probability
+of (1 - 0.8 ** 5) ** 32 = 3e-6, a closer pair with less.
 
 Only texts of different sets take part. Each such bucket has a centre, the member that meets most others in its buckets. A text
 x is compared with the centre c of each of its buckets, and what tells them apart is kept: the runs that x lacks and those
 it adds. A text linked with its centre is done. For the others those differences say exactly how much two texts around one
 centre share - |c| less what either lacks, plus what both lack, plus what both add - so the join of the texts around a
 centre counts the similarity itself and lets only links through; sets and texts are never sent once a pair. Pairs inside
-a centre's largest component are not asked for. Texts around one centre that are alike, but no near copies, are still
-compared pair by pair in the join.
+a centre's largest component are not asked for, and of a text outside it, only whether it has any link into it. Texts around
+one centre that are alike, but no near copies, are still compared pair by pair in the join.
 
 Defined results: null text is the empty text; texts without words are alike, and texts of fewer words than a run are one
 run. Of a component the row with the smallest id stays, of rows that share that id the one with the smallest hash of its
@@ -38,8 +37,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docproof.llm.common import plain, save, without
-from docproof.llm.simhash import MAX_ERRORS, components, fuzzy_keys, links, majority
+from docproof.llm.common import plain, save, spread, without
+from docproof.llm.simhash import MAX_ERRORS, components, fuzzy_keys, majority
 
 WORDS, LEAST = 5, 0.8
 PRINTS = 2
@@ -140,27 +139,30 @@ def _differences(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     cores = texts.select(F.col("node").alias("centre"), F.col("text").alias("core"))
     both = pairs.join(texts, "node").join(cores, "centre").select("node", "centre", "text", "core")
-    return save(both.mapInArrow(differ, "node long, centre long, base int, lost array<long>, extra array<long>"), "differences")
+    return both.mapInArrow(differ, "node long, centre long, base int, lost array<long>, extra array<long>")
 
 
 def _around(centres: DataFrame, least: float) -> DataFrame:
-    """Links (a, b) between texts around one centre that lie in different groups; ``centres`` has node, centre, group and
-    the differences."""
+    """Links (a, b) between texts around one centre that lie in different groups, with a centre's largest group by its root;
+    ``centres`` has node, centre, group and the differences."""
     sizes = centres.groupBy("centre", "group").agg(F.count(F.lit(1)).alias("n"))
     mixed = sizes.groupBy("centre").agg(F.count(F.lit(1)).alias("groups"), F.max_by("group", F.struct("n", "group")).alias("big"))
     mixed = save(mixed.where("groups > 1").select("centre", "big"), "mixed")
     size = (F.col("base") - F.size("lost") + F.size("extra")).alias("size")
     left = save(centres.join(mixed, "centre").select("centre", "node", "group", "big", "base", size, "lost", "extra"), "left")
-    a, b = left.alias("a"), left.where("group != big").alias("b")
-    # two nodes outside the largest group meet twice, one inside it and one outside once
-    once = "a.centre = b.centre and a.group != b.group and (a.group = a.big or a.node < b.node)"
+    outside = left.where("group != big")
     near = f"least(a.size, b.size) >= {least}D * greatest(a.size, b.size)"
     close = "(a.base - size(a.lost) - size(b.lost) + {0}) * {1}D >= {2:.9f}D * (a.size + b.size)"  # both >= least * (x + y - both)
     most = close.format("least(size(a.lost), size(b.lost)) + least(size(a.extra), size(b.extra))", 1 + least, least - 1e-9)
     both = "(a.base - size(a.lost) - size(b.lost) + size(array_intersect(a.lost, b.lost)) + size(array_intersect(a.extra, b.extra)))"
     exact = f"{both} >= {least}D * (a.size + b.size - {both})"
-    found = a.join(b, F.expr(f"{once} and {near} and {most} and {exact}"))
-    return found.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
+    met = f"a.centre = b.centre and {near} and {most} and {exact}"
+    # the largest group is one already, so whether any of it is linked is enough
+    joined = outside.alias("a").join(left.where("group = big").alias("b"), F.expr(met), "left_semi")
+    joined = joined.select("node", F.col("big").alias("root"))
+    found = outside.alias("a").join(outside.alias("b"), F.expr(f"{met} and a.group != b.group and a.node < b.node"))
+    links = found.select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
+    return links.unionByName(joined.select(F.least("node", "root").alias("a"), F.greatest("node", "root").alias("b"))).distinct()
 
 
 def _near(a: str, b: str, least: float) -> F.Column:
@@ -168,38 +170,26 @@ def _near(a: str, b: str, least: float) -> F.Column:
     return F.least(a, b) >= least * F.greatest(a, b)
 
 
-def _at_keys(nodes: DataFrame, least: float) -> DataFrame:
-    """Pairs (node, centre) of texts that file one Golay key and whose fingerprints differ in at most ``MAX_ERRORS`` bits.
-    A key's centre is the smallest node that files it."""
+def _by_keys(nodes: DataFrame, least: float) -> DataFrame:
+    """Pairs (node, centre) of texts whose fingerprints meet under a Golay key and differ in at most ``MAX_ERRORS`` bits. The
+    least and the greatest fingerprint that file a key are its centres; all ask, so their number grows with the texts alone."""
     found = None
     for i in range(PRINTS):
         own = save(nodes.select("node", "size", F.col("prints")[i].alias("fp")), "prints")
-        of = own.groupBy("fp").agg(F.min(F.struct("node", "size")).alias("first"))  # of equal fingerprints one files
+        of = own.groupBy("fp").agg(F.min(F.struct("node", "size")).alias("first"))  # of equal fingerprints one files and asks
         first = save(of.select("fp", "first.node", "first.size"), "filed")
-        keys = fuzzy_keys(first.select("fp"), False)
-        shared = keys.groupBy("key").agg(F.min("fp").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "low")
-        met = save(keys.join(shared, "key").where(f"fp != low and bit_count(fp ^ low) <= {MAX_ERRORS}").select("fp", "low").distinct(), "met")
-        centre = first.select(F.col("fp").alias("low"), F.col("node").alias("centre"), F.col("size").alias("core"))
-        by_key = first.join(met, "fp").join(centre, "low").select("node", "size", "centre", "core")
-        same = own.join(centre.withColumnRenamed("low", "fp"), "fp").where("node != centre").select("node", "size", "centre", "core")
-        pairs = by_key.unionByName(same).where(_near("size", "core", least)).select("node", "centre")
-        found = pairs if found is None else found.unionByName(pairs)
-    return save(found.distinct(), "at-keys")
-
-
-def _by_links(nodes: DataFrame, least: float) -> DataFrame:
-    """Pairs (node, centre) of texts of different groups with fingerprints that differ in at most ``MAX_ERRORS`` bits;
-    ``nodes`` has node, size, prints and group."""
-    found = None
-    for i in range(PRINTS):
-        own = save(nodes.select("node", "size", "group", F.hash("group").alias("short"), F.col("prints")[i].alias("fp")), "prints")
-        linked = save(links(own.select("fp", F.col("short").alias("group")).distinct()).distinct(), "links")
-        a = own.select(F.col("fp").alias("a"), "node", "size", "group")
-        b = own.select(F.col("fp").alias("b"), F.col("node").alias("centre"), F.col("size").alias("core"), F.col("group").alias("other"))
-        pairs = linked.join(a, "a").join(b, "b").where((F.col("group") != F.col("other")) & _near("size", "core", least))
-        pairs = pairs.select(F.least("node", "centre").alias("node"), F.greatest("node", "centre").alias("centre"))
+        prints = spread(first.select("fp"))
+        ends = save(fuzzy_keys(prints, False).groupBy("key").agg(F.min("fp").alias("low"), F.max("fp").alias("high")), "ends")
+        close = " or ".join(f"(fp != {x} and bit_count(fp ^ {x}) <= {MAX_ERRORS})" for x in ("low", "high"))
+        met = fuzzy_keys(prints, True).alias("a").join(ends.alias("b"), F.expr(f"a.key = b.key and ({close})"))
+        met = met.select("fp", F.explode(F.array("low", "high")).alias("to")).where(f"fp != to and bit_count(fp ^ to) <= {MAX_ERRORS}")
+        met = save(met.select(F.least("fp", "to").alias("fp"), F.greatest("fp", "to").alias("to")).distinct(), "met")
+        centre = first.select(F.col("fp").alias("to"), F.col("node").alias("centre"), F.col("size").alias("core"))
+        by_key = first.join(met, "fp").join(centre, "to").select("node", "size", "centre", "core")
+        same = own.join(centre.withColumnRenamed("to", "fp"), "fp").where("node != centre").select("node", "size", "centre", "core")
+        pairs = by_key.unionByName(same).where(_near("size", "core", least)).select(F.least("node", "centre").alias("node"), F.greatest("node", "centre").alias("centre"))
         found = pairs if found is None else found.unionByName(pairs)
-    return save(found.distinct(), "by-links")
+    return save(found.distinct(), "by-keys")
 
 
 def _linked(differences: DataFrame, least: float) -> DataFrame:
@@ -220,27 +210,26 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, least: float) -> Data
     firsts = [F.min(known).alias("label"), F.min("place").alias("place"), *(F.first(x).alias(x) for x in ("size", "bands", "prints"))]
     nodes = save(sketches.groupBy("node").agg(*firsts), "nodes")
 
-    first = _at_keys(nodes, least)
-    edges = save(_linked(_differences(first, _texts_of(_ends(first), nodes, texts)), least), "edges")
+    near = _by_keys(nodes, least)
+    edges = save(_linked(_differences(near, _texts_of(_ends(near), nodes, texts)), least), "edges")
     groups = components(edges).withColumnRenamed("root", "group")
-    grouped = save(nodes.join(groups, "node", "left").withColumn("group", F.coalesce("group", "node")), "grouped")
-    golay = _by_links(grouped, least)
 
-    keys = grouped.select(F.explode("bands").alias("key"), "node", "group")
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("group").alias("low"), F.max("group").alias("high"))
-    shared = save(shared.where("low != high").select("key", "n"), "shared")  # in other buckets all are one group
-    members = save(keys.select("key", "node").join(shared, "key"), "members")
+    keys = nodes.select(F.explode("bands").alias("key"), "node")
+    shared = save(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
+    members = keys.join(shared, "key").join(groups, "node", "left").select("key", "node", "n", F.coalesce("group", "node").alias("group"))
+    members = save(members, "members")
+    mixed = members.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high"))
+    mixed = save(mixed.where("low != high").select("key"), "mixed")  # in other buckets all are one group
+    members = save(members.join(mixed, "key"), "members")
     met = save(members.groupBy("node").agg(F.sum("n").alias("met")), "met")
     ranked = save(members.join(met, "node").select("key", "node", "met"), "ranked")
     centre = save(ranked.groupBy("key").agg(F.max_by("node", F.struct("met", "node")).alias("centre")), "centres")
-    apart = save(ranked.join(centre, "key").where("node != centre").select("node", "centre").distinct(), "pairs")
+    apart = save(ranked.join(centre, "key").where("node != centre").select("node", "centre").distinct(), "apart")
 
-    pairs = save(apart.unionByName(golay).distinct(), "asked")
-    differences = _differences(pairs, _texts_of(_ends(pairs), nodes, texts))
+    differences = save(_differences(apart, _texts_of(_ends(apart), nodes, texts)), "differences")
     edges = save(edges.unionByName(_linked(differences, least)).distinct(), "edges")
     groups = components(edges).withColumnRenamed("root", "group")
-    around = differences.join(apart, ["node", "centre"], "left_semi")
-    more = _around(save(around.join(groups, "node", "left").withColumn("group", F.coalesce("group", "node")), "around"), least)
+    more = _around(differences.join(groups, "node", "left").withColumn("group", F.coalesce("group", "node")), least)
 
     rooted = components(save(edges.unionByName(more), "links"))
     rooted = save(nodes.join(rooted, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "label"), "roots")

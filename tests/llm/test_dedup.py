@@ -179,6 +179,24 @@ def test_near_copies_meet_by_fingerprints(spark, monkeypatch):
     assert got == {1: 1, 2: 1, 3: 1, 4: 1, 9: 9, 10: 10}
 
 
+def test_alike_but_no_near_copies(spark, monkeypatch):
+    """Texts within a few bits of one another that are no near copies are compared with few, not each with all."""
+    asked, differences = [], similar._differences
+    monkeypatch.setattr(similar, "_differences", lambda pairs, texts: asked.append(pairs.count()) or differences(pairs, texts))
+    dice = np.random.default_rng(7)
+    rows = []
+    for i in range(500):
+        words = [f"word{x}" for x in range(150)]
+        for at in dice.choice(150, 3, replace=False):
+            words[at] = f"new{i}"
+        rows.append((i, " ".join(words)))
+    rows += [(1000 + i, " ".join(text.split()[:140])) for i, text in rows[:20]]
+    prints = [similar.prints_of(text) for _, text in rows]
+    close = sum(any(int(x ^ y).bit_count() <= 4 for x, y in zip(a, b, strict=True)) for i, a in enumerate(prints) for b in prints[:i])
+    got = {r["doc_id"]: r["component_id"] for r in similar.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == similar_by_hand(rows) and sum(asked) < 50 * len(rows) < close
+
+
 def test_links_between_groups(spark):
     prints = [(0b1111, 1), (0, 1), (0, 2), (0b111, 3), (-1, 4)]
     got = {(r["a"], r["b"]) for r in simhash.links(spark.createDataFrame(prints, "fp long, group int")).collect()}
