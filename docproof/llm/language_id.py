@@ -188,8 +188,12 @@ def page_languages(pages: DataFrame, model: TextModel, id_col: str = "page_id",
 
 def keep_known_languages(docs: DataFrame, model: TextModel, source_col: str = "source", text_col: str = "text") -> DataFrame:
     """``docs`` with its own columns, without the rows whose language is rejected. The source stands for the host; there
-    is no markup and no address."""
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    rows = docs.select(row, F.col(source_col).cast("string").alias("host"), F.lit(None).cast("string").alias("domain"), F.lit(None).cast("string").alias("suffix"), F.lit(None).cast("string").alias("declared"), plain(text_col).alias("text"))
+    is no markup and no address, so rows of one text and source fare alike. What is written between holds a text's hash in
+    its place; texts stay where they are."""
+    source, place = docs[f"`{source_col}`"].cast("string"), F.xxhash64(plain(docs[f"`{text_col}`"]))
+    nothing = [F.lit(None).cast("string").alias(x) for x in ("domain", "suffix", "declared")]
+    rows = docs.select(source.alias("host"), *nothing, plain(docs[f"`{text_col}`"]).alias("text"), place.alias("place"))
     rows = save(text_evidence(rows, model, "text", "evidence").drop("text"), "evidence")
-    return fuse(rows, model).where(~F.col("rejected")).select("row.*")
+    gone = save(fuse(rows, model).where("rejected").select("host", "place").distinct(), "rejected")
+    gone = gone.select(F.col("host").alias("__gone_host"), F.col("place").alias("__gone_place"))
+    return docs.join(gone, source.eqNullSafe(gone["__gone_host"]) & (place == gone["__gone_place"]), "left_anti")

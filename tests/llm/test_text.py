@@ -365,6 +365,23 @@ def test_language_edge_cases(spark):
     assert language_id.keep_known_languages(docs, empty).count() == 3
 
 
+def test_language_stage_writes_no_texts(spark):
+    """What is written between is small beside the texts; rejected rows go whatever their id and source, repeated ones too."""
+    from pathlib import Path
+
+    dice = np.random.default_rng(4)
+    words = np.array(["".join(dice.choice(list("abcdefghijklmnopqrstuvwxyz"), 9)) for _ in range(20_000)])
+    english = [(i, " ".join(dice.choice(words, 400)), "en", "a") for i in range(500)]
+    odd = "敏捷的狐狸跳过了懒狗然后跑进了黑暗的森林里面去寻找食物"
+    docs = spark.createDataFrame([*english, (1, odd, None, "a"), (1, odd, None, "a"), (None, odd, None, None), (7, None, "en", "a")], "doc_id long, text string, lang string, source string")
+    model = language_id.train(docs)
+    size = lambda: sum(x.stat().st_size for x in Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://")).rglob("*.parquet"))
+    before = size()
+    kept = language_id.keep_known_languages(docs, model)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted([*range(500), 7])
+    assert size() - before < sum(len(x[1]) for x in english) / 20
+
+
 def test_languages_of_one_text_are_learned(spark):
     """Many rows of one text, with ids of their own, with one id, and without: each language is learned and stays."""
     from docproof.llm.language_id import keep_known_languages, train
