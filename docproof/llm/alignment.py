@@ -18,6 +18,8 @@ results come back to the blocks by two joins:
 4. ``count_pairs``: documents that hold an id pair linked, over all documents.
 5. ``measure``: per passage its counts, then per document their sums and its groups.
 
+What returns to a block meets it in a cogroup, where numpy and Arrow gather it along the documents' lists.
+
 Tables by passage have the same buckets, so whatever joins, sums or windows by passage moves nothing; only what returns to
 the blocks, and links on their way to their counts and back, shuffle.
 A block is bounded, whatever a document's copies do; an id pair
@@ -34,11 +36,12 @@ import json
 import os
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -225,23 +228,76 @@ def links(aligned: DataFrame, pairs: Pairs) -> DataFrame:
     return aligned.select("passage", F.explode("groups").alias("g")).select("passage", F.inline(group_links(F.col("g"), pairs)))
 
 
-def _by_block(blocks: DataFrame, places: DataFrame, passages: DataFrame) -> DataFrame:
-    """``blocks`` with the columns of ``passages`` as arrays over each block's passages (null where it has no such row)."""
+#: Passages whose results a task gathers at a time.
+GATHER = 500_000
+
+
+def _by_block(blocks: DataFrame, places: DataFrame, passages: DataFrame, run: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+    """What ``run`` makes of each block (doc_id, docs) and of its passages' rows (pos, and the columns of ``passages``; none
+    where a passage has no such row)."""
     columns = [x for x in passages.columns if x != "passage"]
-    rows = places.join(passages, "passage", "left").select("block", "pos", *columns).repartition(_buckets(blocks.sparkSession), "block")
-    lists = rows.groupBy(F.col("block").alias("of")).agg(F.sort_array(F.collect_list(F.struct("pos", *columns))).alias("found"))
-    part = lambda name: F.transform("found", lambda x: x[name]).alias(name)
-    return blocks.select("block", "doc_id", "docs").join(lists.select("of", *map(part, columns)), F.col("block") == F.col("of"), "left")
+    rows = places.join(passages, "passage").select("block", "pos", *columns).repartition(_buckets(blocks.sparkSession), "block")
+    own = blocks.select("block", "doc_id", "docs")
+    return own.groupBy("block").cogroup(rows.groupBy("block")).applyInArrow(run, schema)
+
+
+def _numbered(block: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The passages of a block's documents one after another, and where each document's start (and the last one's end)."""
+    docs = block.column("docs").combine_chunks().flatten()
+    offsets = docs.offsets.to_numpy().astype(np.int64)
+    return docs.flatten().to_numpy(zero_copy_only=False), offsets - offsets[0]
+
+
+def _slices(starts: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of whole documents of about ``GATHER`` passages."""
+    first, n = 0, len(starts) - 1
+    while first < n:
+        last = max(first + 1, int(np.searchsorted(starts, starts[first] + GATHER, "right")) - 1)
+        yield first, min(last, n)
+        first = last
+
+
+def _by_place(rows: pa.Table, name: str, n: int) -> np.ndarray:
+    """A column of numbers by its rows' places; 0 where there is no row."""
+    found = np.zeros(n, dtype=np.int64)
+    found[rows.column("pos").to_numpy()] = rows.column(name).to_numpy()
+    return found
+
+
+def _held(block: pa.Table, rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The id pairs that documents of a block hold linked, and how many of them hold each."""
+    flat, starts = _numbered(block)
+    lists = rows.column("pairs").combine_chunks()
+    values, local = np.unique(lists.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
+    size = int(flat.max(initial=-1)) + 1
+    begin, length = np.zeros(size, dtype=np.int64), np.full(size, -1, dtype=np.int64)
+    at, offsets = rows.column("pos").to_numpy(), lists.offsets.to_numpy().astype(np.int64)
+    begin[at], length[at] = offsets[:-1] - offsets[0], np.diff(offsets)
+    docs = np.zeros(len(values), dtype=np.int64)
+    for first, last in _slices(starts):
+        part = flat[starts[first] : starts[last]]
+        n = length[part]
+        missing = np.concatenate([[0], np.cumsum(n < 0)])
+        n = np.maximum(n, 0)
+        ends = np.concatenate([[0], np.cumsum(n)])
+        of = local[np.repeat(begin[part] - ends[:-1], n) + np.arange(ends[-1])]
+        for i, j in zip((starts[first:last] - starts[first]).tolist(), (starts[first + 1 : last + 1] - starts[first]).tolist(), strict=True):
+            if missing[i] == missing[j]:  # a text with a passage without tokens has none
+                docs[of[ends[i] : ends[j]]] += 1  # once, however often the document repeats it
+    return values[docs > 0], docs[docs > 0]
 
 
 def count_pairs(blocks: DataFrame, places: DataFrame, aligned: DataFrame, pairs: Pairs) -> DataFrame:
     """pair, docs, best: in how many documents an id pair is linked, and whether no pair of its A id is in more."""
     own = F.array_distinct(F.flatten(F.transform("groups", lambda g: F.transform(group_links(g, pairs), lambda x: x["pair"]))))
-    met = _by_block(blocks, places, aligned.select("passage", own.alias("pairs")))
-    at = lambda i: F.col("pairs")[i]
-    of_doc = lambda doc: F.array_distinct(F.flatten(F.transform(F.array_distinct(doc), at)))  # noqa: E731 - null where a passage has no tokens
-    found = met.select(F.explode(F.transform("docs", of_doc)).alias("x")).select(F.explode("x").alias("pair"))
-    counts = save(found.groupBy("pair").agg(F.count("*").alias("docs")), "pair-counts").withColumn("a", pairs.a("pair"))
+
+    def count(block: pa.Table, rows: pa.Table) -> pa.Table:
+        values, docs = _held(block, rows) if rows.num_rows else ([], [])
+        return pa.table({"pair": pa.array(values, kind), "docs": pa.array(docs, pa.int64())})
+
+    kind = pa.int32() if pairs.kind == "int" else pa.int64()
+    found = _by_block(blocks, places, aligned.select("passage", own.alias("pairs")), count, f"pair {pairs.kind}, docs long")
+    counts = save(found.groupBy("pair").agg(F.sum("docs").alias("docs")), "pair-counts").withColumn("a", pairs.a("pair"))
     best = counts.groupBy(F.col("a").alias("of")).agg(F.max("docs").alias("most"))  # at most one row an id of A's vocabulary
     return counts.join(F.broadcast(best), F.col("a") == F.col("of")).select("pair", "docs", (F.col("docs") == F.col("most")).alias("best"))
 
@@ -259,6 +315,30 @@ def measure(aligned: DataFrame, counts: DataFrame, pairs: Pairs) -> DataFrame:
 NUMBERS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 
 
+def _gathered(block: pa.Table, rows: pa.Table) -> pa.Table:
+    """A row per document of a block: sums of its passages' numbers, and their groups in turn; zeros and no groups where a
+    passage has no tokens."""
+    flat, starts = _numbered(block)
+    size = int(flat.max(initial=-1)) + 1
+    place = np.full(size, -1, dtype=np.int64)
+    place[rows.column("pos").to_numpy()] = np.arange(rows.num_rows)
+    numbers = {x: _by_place(rows, x, size) for x in NUMBERS}
+    texts, ids = rows.column("groups").combine_chunks(), block.column("doc_id").combine_chunks().flatten()
+    made = []
+    for first, last in _slices(starts):
+        part, at = flat[starts[first] : starts[last]], starts[first : last + 1] - starts[first]
+
+        def sums(x: np.ndarray, at: np.ndarray = at) -> np.ndarray:
+            ends = np.concatenate([[0], np.cumsum(x, dtype=np.int64)])
+            return ends[at[1:]] - ends[at[:-1]]
+
+        whole = sums(place[part] < 0) == 0
+        lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), texts.take(pa.array(np.maximum(place[part], 0)))) if rows.num_rows else None
+        groups = pc.if_else(pa.array(whole), pc.binary_join(lists, ";"), "") if lists is not None else pa.array([""] * (last - first), pa.string())
+        made.append(pa.RecordBatch.from_arrays([ids[first:last], *(pa.array(np.where(whole, sums(numbers[x][part]), 0)) for x in NUMBERS), groups], names=["doc_id", *NUMBERS, "groups"]))
+    return pa.Table.from_batches(made)
+
+
 def align_documents(docs: DataFrame, byte_level: str, pieces: str, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """A row per document: doc_id, n_a, n_b, n_groups, n_links, n_best (links whose pair no other pair of its A id exceeds),
     count_sum (over links, documents that hold the pair) and groups (``a1,a2|b1;a3|b2,b3``)."""
@@ -267,13 +347,5 @@ def align_documents(docs: DataFrame, byte_level: str, pieces: str, id_col: str =
     blocks = split(docs, byte_level, pieces, id_col, text_col, block)
     where = places(blocks)
     aligned = align(lexicon(where, byte_level, pieces), byte_level, pieces)
-    met = _by_block(blocks, where, measure(aligned, count_pairs(blocks, where, aligned, pairs), pairs))
-
-    def of_doc(doc: F.Column, i: F.Column) -> F.Column:
-        zeros = F.struct(*(F.lit(0).cast("long").alias(x) for x in NUMBERS))
-        total = F.aggregate(doc, zeros, lambda n, p: F.struct(*((n[x] + F.col(x)[p]).alias(x) for x in NUMBERS)))
-        return F.struct(F.col("doc_id")[i].alias("doc_id"), total.alias("total"), F.array_join(F.transform(doc, lambda p: F.col("groups")[p]), ";").alias("groups"))
-
-    rows = met.select(F.inline(F.transform("docs", of_doc)))
-    exact = F.col("total.n_a").isNotNull()  # no sum where a passage has no tokens
-    return rows.select("doc_id", *(F.coalesce(f"total.{x}", F.lit(0)).alias(x) for x in NUMBERS), F.when(exact, F.col("groups")).otherwise("").alias("groups"))
+    schema = "doc_id long, " + "".join(f"{x} long, " for x in NUMBERS) + "groups string"
+    return _by_block(blocks, where, measure(aligned, count_pairs(blocks, where, aligned, pairs), pairs), _gathered, schema)

@@ -128,6 +128,28 @@ def test_links_of_wide_groups(spark):
         assert got == {(1, 7): 5, (1, 8): 2, (2, 7): 2, (2, 8): 1}
 
 
+def test_blocks_are_gathered_in_slices(monkeypatch):
+    """A block's documents, over slices of a few passages: sums, groups and the documents that hold each pair; one with a
+    passage that has no row has nothing."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(alignment, "GATHER", 3)
+    docs = [[0, 1, 0, 2], [], [1, 3], [2, 2, 2, 2, 2], [0], [1]]
+    block = pa.table({"block": [5], "doc_id": [[10, 11, 12, None, 14, 14]], "docs": pa.array([docs], pa.list_(pa.list_(pa.int32())))})
+    numbers = {x: [100 + i, 10, 1] for i, x in enumerate(alignment.NUMBERS)}  # of passages 2, 0 and 1; 3 has no tokens
+    rows = pa.table({"pos": pa.array([2, 0, 1], pa.int32()), "groups": ["c|c", "a|a", "b|b"], **numbers})
+    got = alignment._gathered(block, rows).to_pydict()
+    assert got["doc_id"] == [10, 11, 12, None, 14, 14]
+    assert got["groups"] == ["a|a;b|b;a|a;c|c", "", "", "c|c;c|c;c|c;c|c;c|c", "a|a", "b|b"]
+    for i, x in enumerate(alignment.NUMBERS):
+        assert got[x] == [121 + i, 0, 0, 500 + 5 * i, 10, 1]
+    pairs = pa.array([[7, 9], [7], [8, 7]], pa.list_(pa.int32()))
+    values, held = alignment._held(block, pa.table({"pos": pa.array([2, 0, 1], pa.int32()), "pairs": pairs}))
+    assert dict(zip(values.tolist(), held.tolist(), strict=True)) == {7: 4, 8: 2, 9: 2}
+    none = alignment._gathered(block, rows.slice(0, 0)).to_pydict()
+    assert none["groups"] == [""] * 6 and none["n_a"] == [0] * 6
+
+
 def test_settings_stay(spark, paths):
     before = spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition", None)
     alignment.align_documents(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), *paths)
