@@ -46,7 +46,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docproof.llm.common import plain, save, setting, shared_dir
+from docproof.llm.common import plain, release, save, setting, shared_dir
 from docproof.llm.encoders import byte_letters
 from docproof.llm.pieces import BYTE, MARK, NORMAL, USER_DEFINED, load
 
@@ -64,6 +64,11 @@ _BORDER = rf"(?<=[{_LETTER}])(?=[{_OTHER}])|(?<=[!-~])(?=[ \n])|(?<=[!-~{_LETTER
 PASSAGE = rf" ?[{_LETTER}]+(?=[{_OTHER}]|\Z)|(?<=[!-~{_LETTER}])\n(?=[!-~{_LETTER}])| ?[!-@\[-`{{-~]+(?=[ \n]|\Z)|(?s:.)(?:(?!{_BORDER})(?s:.))*"
 
 
+def _cutter(crossed: bool) -> Callable[[str], list[str]]:
+    """text -> its passages: the whole text, if a piece crosses a border."""
+    return (lambda text: [text]) if crossed else re.compile(PASSAGE).findall
+
+
 class Tokenizers:
     """Ids of passages under A and B, and the bytes that each id stands for."""
 
@@ -81,11 +86,11 @@ class Tokenizers:
         self.b = load(pieces)
         self.b_bytes = {i: bytes([self.b.bytes[i]]) if kind == BYTE else name.replace(MARK, " ").encode() for i, (name, kind) in enumerate(zip(self.b.names, self.b.kinds, strict=True))}
         border = re.compile(_BORDER)
-        crossed = any(border.search(x.replace(MARK, " ")) for x, k in zip(self.b.names, self.b.kinds, strict=True) if k in (NORMAL, USER_DEFINED))
+        self.crossed = any(border.search(x.replace(MARK, " ")) for x, k in zip(self.b.names, self.b.kinds, strict=True) if k in (NORMAL, USER_DEFINED))
         plain_map = not (self.b.map.units or self.b.squeeze) and self.b.escape and self.b.dummy_prefix
         if not plain_map or model["normalizer"] or model["pre_tokenizer"]["type"] != "ByteLevel" or model["pre_tokenizer"].get("add_prefix_space"):
             raise ValueError("the borders and the joined bytes are right for a byte-level A and a B that only marks spaces")
-        self.passages = (lambda text: [text]) if crossed else re.compile(PASSAGE).findall
+        self.passages = _cutter(self.crossed)
 
     def encode(self, passages: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         found = [x.ids for x in self.a.encode_batch_fast(passages, add_special_tokens=False)]
@@ -111,10 +116,12 @@ class _Numbers(dict):
 
 
 def split(docs: DataFrame, byte_level: str, pieces: str, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
-    """A row per block: block, doc_id (array), passages (array), docs (for each document the numbers of its passages)."""
+    """A row per block: block, doc_id (array), passages (array), docs (for each document the numbers of its passages). Its tasks
+    load no tokenizers."""
+    crossed = load_both(byte_level, pieces).crossed
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut, task, made = load_both(byte_level, pieces).passages, TaskContext.get().partitionId(), 0
+        cut, task, made = _cutter(crossed), TaskContext.get().partitionId(), 0
         ids, lists, numbers, size = [], [], _Numbers(), 0
 
         def row() -> pa.RecordBatch:
@@ -130,11 +137,14 @@ def split(docs: DataFrame, byte_level: str, pieces: str, id_col: str = "doc_id",
                 if ids and size + len(text) > block:
                     yield row()
                     ids, lists, numbers, size, made = [], [], _Numbers(), 0, made + 1
+                    release()
                 ids.append(doc)
                 lists.append(np.fromiter(map(numbers.__getitem__, cut(" " + text) if text else ()), dtype=np.int32))
                 size += len(text)
         if ids:
             yield row()
+        del ids, lists, numbers
+        release()
 
     found = docs.select(F.col(id_col).cast("long").alias("id"), plain(text_col).alias("text")).mapInArrow(run, "block long, doc_id array<long>, passages array<string>, docs array<array<int>>")
     return _in_buckets(found, "block")
@@ -170,6 +180,7 @@ def lexicon(places: DataFrame, byte_level: str, pieces: str) -> DataFrame:
                 exact = [both.exact(*x) for x in zip(texts, a, b, strict=True)]
                 sides = [pa.array([x if ok else None for x, ok in zip(side, exact, strict=True)], type=pa.list_(pa.int32())) for side in (a, b)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *sides], names=["passage", "a", "b"])
+        release()
 
     return _in_buckets(places.select("passage").distinct().mapInArrow(run, "passage string, a array<int>, b array<int>"), "passage")
 
@@ -229,7 +240,14 @@ def links(aligned: DataFrame, pairs: Pairs) -> DataFrame:
 
 
 #: Passages whose results a task gathers at a time.
-GATHER = 500_000
+GATHER = 200_000
+
+
+def forget() -> None:
+    """Hands the tokenizers of earlier stages back, where a Python worker that gathers still holds them."""
+    load_both.cache_clear()
+    load.cache_clear()
+    release()
 
 
 def _by_block(blocks: DataFrame, places: DataFrame, passages: DataFrame, run: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
@@ -238,7 +256,12 @@ def _by_block(blocks: DataFrame, places: DataFrame, passages: DataFrame, run: Ca
     columns = [x for x in passages.columns if x != "passage"]
     rows = places.join(passages, "passage").select("block", "pos", *columns).repartition(_buckets(blocks.sparkSession), "block")
     own = blocks.select("block", "doc_id", "docs")
-    return own.groupBy("block").cogroup(rows.groupBy("block")).applyInArrow(run, schema)
+
+    def gather(block: pa.Table, rows: pa.Table) -> pa.Table:
+        forget()
+        return run(block, rows)
+
+    return own.groupBy("block").cogroup(rows.groupBy("block")).applyInArrow(gather, schema)
 
 
 def _numbered(block: pa.Table) -> tuple[np.ndarray, np.ndarray]:

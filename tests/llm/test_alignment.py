@@ -150,6 +150,35 @@ def test_blocks_are_gathered_in_slices(monkeypatch):
     assert none["groups"] == [""] * 6 and none["n_a"] == [0] * 6
 
 
+def test_splitting_loads_no_tokenizers(spark, paths, tmp_path):
+    """Tasks that split texts need no vocabulary: its files are gone when they start."""
+    import os
+    import shutil
+
+    own = [shutil.copy(x, tmp_path) for x in paths]
+    alignment.load_both(*own)
+    for x in own:
+        os.remove(x)
+    blocks = alignment.split(spark.createDataFrame([(1, "one two"), (2, None)], "doc_id long, text string").coalesce(1), *own).collect()
+    assert [(r["doc_id"], r["passages"], r["docs"]) for r in blocks] == [([1, 2], [" one", " two"], [[0, 1], []])]
+
+
+def test_gathering_holds_no_tokenizers(spark, paths):
+    """Five blocks over four buckets: one task at least gathers after another block's function has loaded them."""
+    blocks = spark.createDataFrame([(i, [i], [[0]]) for i in range(5)], "block long, doc_id array<long>, docs array<array<int>>")
+    where = spark.createDataFrame([("a", i, 0) for i in range(5)], "passage string, block long, pos int")
+
+    def held(block, rows):
+        import pyarrow as pa
+
+        found = alignment.load_both.cache_info().currsize
+        alignment.load_both(*paths)
+        return pa.table({"held": [found], "rows": [rows.num_rows]})
+
+    got = alignment._by_block(blocks, where, spark.createDataFrame([("a", 1)], "passage string, n int"), held, "held long, rows long")
+    assert [tuple(r) for r in got.collect()] == [(0, 1)] * 5
+
+
 def test_settings_stay(spark, paths):
     before = spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition", None)
     alignment.align_documents(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), *paths)
