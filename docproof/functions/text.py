@@ -1,13 +1,17 @@
 """Similarity of strings by their longest common subsequence, as expressions of the JVM.
 
 The subsequence is found by rows of bits: a word of ``BITS`` positions of the shorter string per step, a step per letter of
-the longer one. Words have 62 bits, so that a sum of two with its carry stays in a signed 64-bit number.
+the longer one. Words have 62 bits, so that a sum of two with its carry stays in a signed 64-bit number. ``words_alike``, which
+joins run over many pairs of few different texts, goes by Arrow batches instead and scores each different pair of a batch once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -110,6 +114,64 @@ def token_set_ratio(a: Column | str, b: Column | str) -> Column:
     return F.when(a.isNotNull() & b.isNotNull(), bind(sets, best))
 
 
+def _common(a: str, b: str) -> int:
+    """Length of the longest common subsequence, by one row of bits of any length."""
+    a, b = sorted((a, b), key=len)
+    masks: dict[str, int] = {}
+    for i, x in enumerate(a):
+        masks[x] = masks.get(x, 0) | 1 << i
+    row = full = (1 << len(a)) - 1
+    for y in b:
+        if hit := row & masks.get(y, 0):
+            row = (row + hit | row - hit) & full
+    return len(a) - row.bit_count()
+
+
+def _ratio(a: str, b: str) -> float:
+    return 100.0 if a == b else 200.0 * _common(a, b) / (len(a) + len(b))
+
+
+def _alike(a: str, b: str) -> float:
+    """The greater of ``token_set_ratio`` of two texts of words and ``ratio`` of their letters."""
+    squashed = _ratio(a.replace(" ", ""), b.replace(" ", ""))
+    x, y = set(a.split()), set(b.split())
+    if not x or not y:
+        return squashed
+    both, left, right = (" ".join(sorted(w)) for w in (x & y, x - y, y - x))
+    if not both:
+        return max(squashed, _ratio(left, right))
+    if not left or not right:
+        return 100.0
+    shared, n, m = len(both), len(both) + 1 + len(left), len(both) + 1 + len(right)
+    return max(squashed, 200.0 * (shared + 1 + _common(left, right)) / (n + m), 200.0 * shared / (shared + n), 200.0 * shared / (shared + m))
+
+
+#: Texts up to this length are remembered from batch to batch, with their scores.
+SHORT = 200
+_remembered = lru_cache(maxsize=20_000)(_alike)
+
+
+def _alike_once(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """``_alike`` of two columns, of each different pair once; 0 where either is null."""
+    a, b = a.dictionary_encode(), b.dictionary_encode()
+    width = len(b.dictionary) + 1
+    pairs, place = np.unique((a.indices.fill_null(-1).to_numpy().astype(np.int64) + 1) * width + b.indices.fill_null(-1).to_numpy() + 1, return_inverse=True)
+    left, right = (None, *a.dictionary.to_pylist()), (None, *b.dictionary.to_pylist())
+    texts = ((left[i], right[j]) for i, j in zip(*(k.tolist() for k in np.divmod(pairs, width)), strict=True))
+    one = lambda x, y: 0.0 if x is None or y is None else (_remembered if len(x) + len(y) <= SHORT else _alike)(x, y)
+    return np.array([one(x, y) for x, y in texts])[place]
+
+
+def words_alike(a: Column | str, b: Column | str) -> Column:
+    """The greater of ``token_set_ratio`` and, white space aside, ``ratio`` of two texts of words in ASCII; 0 where either is null."""
+
+    @F.arrow_udf("double")
+    def alike(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array(_alike_once(a, b))
+
+    return alike.asNondeterministic()(_c(a), _c(b))  # else a filter of its result runs it once more
+
+
 def names_match(a: Column | str, b: Column | str, least: float = 85.0) -> Column:
     """Whether two company names are one: letters and digits alone, pvt and ltd spelled out; null where either is empty."""
     a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
