@@ -1,13 +1,18 @@
 """The three-way match against a plain version, line by line."""
 
+import os
 import random
 from collections import defaultdict
 from decimal import Decimal as D
 
+import pyarrow as pa
 import pytest
 
 from tests.plain import ratio_of, token_set_of
+from docproof.functions import text
 from docproof.operators import matching
+from docproof.plans.queries import QUERIES
+from docproof.sources.scratch import shared_folder
 
 LINE = "doc_id long, line_index int, item_code string, description string, hsn_sac string, quantity decimal(18,2), rate decimal(18,2), gst_rate decimal(9,2), discount decimal(18,2)"
 RECEIVED = "doc_id long, receipt_id string, line_index int, item_code string, description string, hsn_sac string, quantity_received decimal(18,2), quantity_accepted decimal(18,2)"
@@ -139,3 +144,42 @@ def test_greedy_of_many_and_equal_lines(spark):
     want = {(d, i, j): s for d, (a, b) in docs.items() if d < 25 for i, x in enumerate(a) for j, y in enumerate(b) if (s := alike(line(x), line(y))) >= 70}
     assert {(r["doc_id"], r["a_index"], r["b_index"]): r["score"] for r in scored.collect()} == pytest.approx(want)
     assert matching.matched_lines(table(0, "a").limit(0), table(1, "b")).count() == 0
+
+
+def test_each_different_pair_is_scored_once(monkeypatch):
+    scored = []
+    monkeypatch.setattr(text, "_alike", lambda a, b: scored.append((a, b)) or float(len(a)))
+    text._remembered.cache_clear()
+    monkeypatch.setattr(text, "_remembered", text._alike)
+    got = text._alike_once(pa.array(["aa", "b", None, "aa", "aa"] * 50), pa.array(["x", "x", "x", "x", None] * 50))
+    assert got.tolist() == [2.0, 1.0, 0.0, 2.0, 0.0] * 50 and sorted(scored) == [("aa", "x"), ("b", "x")]
+
+
+def _written(spark):
+    folder = shared_folder(spark).removeprefix("file://") + "/docproof"
+    return set(os.listdir(folder)) if os.path.isdir(folder) else set()
+
+
+def test_greedy_takes_all_ties_in_one_pass(spark):
+    """Different texts at one score, which went one pair a round; classes that meet others again with what they have left."""
+    table = lambda x, texts: spark.createDataFrame([(1, i, None, t, None) for i, t in enumerate(texts)], f"doc_id long, {x}_index int, {x}_code string, {x}_text string, {x}_hsn string")
+    before = _written(spark)
+    found = matching.matched_lines(table("a", [f"bolt {i:02}" for i in range(40)]), table("b", [f"bolt {i:02}x" for i in range(40)]))
+    assert found.count() == 40 and _written(spark) == before
+    scores = spark.createDataFrame([(1, a, b, 80.0) for a in ([9, 1], [5]) for b in ([7, 2], [4])], "doc_id long, a_lines array<int>, b_lines array<int>, score double")
+    assert sorted((r["a_index"], r["b_index"]) for r in matching._greedy(scores).collect()) == [(1, 2), (5, 4), (9, 7)]
+
+
+def test_reference_issues_pair_no_lines(spark, sf_dir):
+    before = _written(spark)
+    QUERIES["MT4_reference_issues"](spark, sf_dir)
+    assert {x.rsplit("-", 1)[0] for x in _written(spark) - before} == {"match-headers", "match-receipts"}
+
+
+def test_documents_are_joined_without_broadcasts(spark):
+    """Tables of a row a document look small by their files, and the driver could not hold them."""
+    docs = spark.range(5).selectExpr("id as doc_id", "'r' as receipt_id", "'PO-1' as po_number", "'1' as po_reference", "'I' as invoice_number", "'J' as supplier_invoice_reference", "'S' as supplier_gstin", "1.0 as subtotal")
+    found = matching.reference_issues(docs, docs.drop("po_number", "invoice_number"), docs.drop("po_number"))
+    assert found.count() == 5 and "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    results = matching.match_results(docs, docs, docs.selectExpr("doc_id", "subtotal as payable"), found)
+    assert "Broadcast" not in results._jdf.queryExecution().executedPlan().toString()
