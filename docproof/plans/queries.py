@@ -14,7 +14,7 @@ from docproof.operators import routing, checks, codes, evidence, layout, matchin
 from docproof.plans.registry import NOW, ORACLES, QUERIES, query
 from docproof.settings import DEFAULTS
 from docproof.sources import datasets
-from docproof.sources.scratch import shared_folder
+from docproof.sources.scratch import kept, shared_folder
 from docproof.sources.tables import load
 
 double = lambda c: F.col(c).cast("double")
@@ -542,7 +542,9 @@ def _(headers, receipts):
 
 
 def _whole_match(orders, receipts, invoices, headers):
-    """The tables of ``three_way``: an order and a bill for each header, and a receipt where lines were received."""
+    """The tables of ``three_way``: an order and a bill for each header, and a receipt where lines were received. Headers and
+    receipts are written once, since each is read several times."""
+    headers = kept(headers.select("doc_id", "invoice_number", "supplier_gstin", "subtotal"), "match-headers")
     key = F.col("doc_id").cast("string")
     turn = F.row_number().over(Window.partitionBy("doc_id").orderBy("item_code")) - 1
     hsn = lambda df: df.withColumn("hsn_sac", F.lit("7318"))
@@ -550,7 +552,8 @@ def _whole_match(orders, receipts, invoices, headers):
     said = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("00"), key)).when(F.col("doc_id") % 4 == 1, F.concat(F.lit("po "), key)).when(F.col("doc_id") % 4 == 3, F.concat(key, F.lit("x")))
     bill = F.when(F.col("doc_id") % 5 == 0, "INV/0").otherwise(F.col("invoice_number"))
     supplier = F.when(F.col("doc_id") % 9 == 0, "X").otherwise(F.col("supplier_gstin"))
-    slips = receipts.select("doc_id").distinct().join(headers, "doc_id").select("doc_id", F.lit("r").alias("receipt_id"), said.alias("po_reference"), bill.alias("supplier_invoice_reference"), supplier.alias("supplier_gstin"))
+    slips = receipts.select("doc_id").distinct().join(headers.hint("merge"), "doc_id").select("doc_id", F.lit("r").alias("receipt_id"), said.alias("po_reference"), bill.alias("supplier_invoice_reference"), supplier.alias("supplier_gstin"))
+    slips = kept(slips, "match-receipts")
     bills = headers.select("doc_id", "invoice_number", F.when(F.col("doc_id") % 6 == 0, "PO 1").otherwise(F.concat(F.lit("po-"), key)).alias("po_reference"), "supplier_gstin", "subtotal")
     return order, hsn(orders.withColumn("line_index", turn)), slips, hsn(receipts.withColumn("receipt_id", F.lit("r"))), bills, hsn(invoices)
 
@@ -566,8 +569,8 @@ def _whole_match(orders, receipts, invoices, headers):
     select doc_id, 'reference' as kind, severity, count(*) as n from n where nx = '' or ny = '' or not (ends_with(nx, ny) or ends_with(ny, nx)) group by all
     union all select g.doc_id, 'supplier', 'block', 1 from g join o on o.doc_id = g.doc_id where g.supplier <> o.supplier""")
 def _(orders, receipts, invoices, headers):
-    _, issues = matching.three_way(*_whole_match(orders, receipts, invoices, headers))
-    return issues.where(F.col("kind").isin("reference", "supplier")).groupBy("doc_id", "kind", "severity").agg(F.count(F.lit(1)).alias("n"))
+    order, _, slips, _, bills, _ = _whole_match(orders, receipts, invoices, headers)
+    return matching.reference_issues(order, slips, bills).groupBy("doc_id", "kind", "severity").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("MT14_three_way", "po_line", "grn_line", "inv_line", "inv_header")
