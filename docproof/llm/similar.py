@@ -138,7 +138,7 @@ def _differences(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("node"), part.column("centre"), pa.array(base, pa.int32()), *lists], names=["node", "centre", "base", "lost", "extra"])
 
     cores = texts.select(F.col("node").alias("centre"), F.col("text").alias("core"))
-    both = pairs.join(texts, "node").join(cores, "centre").select("node", "centre", "text", "core")
+    both = pairs.join(texts.hint("merge"), "node").join(cores.hint("merge"), "centre")  # a file of texts is much smaller than they are.select("node", "centre", "text", "core")
     return both.mapInArrow(differ, "node long, centre long, base int, lost array<long>, extra array<long>")
 
 
@@ -181,7 +181,7 @@ def _by_keys(nodes: DataFrame, least: float) -> DataFrame:
         prints = spread(first.select("fp"))
         ends = save(fuzzy_keys(prints, False).groupBy("key").agg(F.min("fp").alias("low"), F.max("fp").alias("high")), "ends")
         close = " or ".join(f"(fp != {x} and bit_count(fp ^ {x}) <= {MAX_ERRORS})" for x in ("low", "high"))
-        met = fuzzy_keys(prints, True).alias("a").join(ends.alias("b"), F.expr(f"a.key = b.key and ({close})"))
+        met = fuzzy_keys(prints, True).alias("a").join(ends.hint("merge").alias("b"), F.expr(f"a.key = b.key and ({close})"))
         met = met.select("fp", F.explode(F.array("low", "high")).alias("to")).where(f"fp != to and bit_count(fp ^ to) <= {MAX_ERRORS}")
         met = save(met.select(F.least("fp", "to").alias("fp"), F.greatest("fp", "to").alias("to")).distinct(), "met")
         centre = first.select(F.col("fp").alias("to"), F.col("node").alias("centre"), F.col("size").alias("core"))
@@ -216,7 +216,7 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, least: float) -> Data
 
     keys = nodes.select(F.explode("bands").alias("key"), "node")
     shared = save(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
-    members = keys.join(shared, "key").join(groups, "node", "left").select("key", "node", "n", F.coalesce("group", "node").alias("group"))
+    members = keys.join(shared.hint("merge"), "key").join(groups, "node", "left").select("key", "node", "n", F.coalesce("group", "node").alias("group"))
     members = save(members, "members")
     mixed = members.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high"))
     mixed = save(mixed.where("low != high").select("key"), "mixed")  # in other buckets all are one group

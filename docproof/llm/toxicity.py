@@ -27,6 +27,7 @@ that has the score's name is replaced in ``score_toxicity``'s result; give anoth
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -345,18 +346,19 @@ def _link(margin: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
     return 4.0, middle
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[list[str], list[bool]]:
-    """At most ``SAMPLE_DOCS`` texts of each label, chosen by a hash of the id, from rows that may train: those whose
-    crc32(doc_id as text) mod 5 is not 0."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+    """text, bad, order, id: at most ``SAMPLE_DOCS`` texts of each label, chosen by a hash of the id, from rows that may train:
+    those whose crc32(doc_id as text) mod 5 is not 0."""
     marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg((F.max(label_col) > 0).alias("bad"))
     marks = marks.where(F.crc32(F.col("id").cast("string")) % 5 != 0)
     some = docs.select(F.col(id_col).alias("id"), plain(text_col).alias("text")).where(F.length("text").between(1, SAMPLE_CHARS))
     order = F.xxhash64("id", F.lit("toxicity"))
-    rows = []
+    parts = []
     for bad in (True, False):
         chosen = marks.where("bad" if bad else "not bad").orderBy(order, "id").limit(2 * SAMPLE_DOCS).select("id")
-        rows += [(r["text"], bad) for r in some.join(F.broadcast(chosen), "id").orderBy(order, "id", "text").limit(SAMPLE_DOCS).collect()]
-    return [t for t, _ in rows], [b for _, b in rows]
+        found = some.join(F.broadcast(chosen), "id").withColumn("order", order).orderBy("order", "id", "text").limit(SAMPLE_DOCS)
+        parts.append(found.select("text", F.lit(bad).alias("bad"), "order", "id"))
+    return parts[0].unionByName(parts[1])
 
 
 def score_toxicity(docs: DataFrame, scorer: Scorer | None, text_col: str = "text", name: str = "score") -> DataFrame:
@@ -377,4 +379,14 @@ def score_toxicity(docs: DataFrame, scorer: Scorer | None, text_col: str = "text
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Scorer | None:
-    return fit(*labelled_sample(docs, labels, id_col, text_col))
+    """Learns in a task, since the sample and what is made of it would be the most that the driver holds."""
+
+    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = [(text, bad) for batch in batches for text, bad in zip(batch["text"], batch["bad"].tolist(), strict=True)]
+        yield pd.DataFrame({"scorer": [pickle.dumps(fit([t for t, _ in rows], [b for _, b in rows]))]})
+        del rows
+        release()
+
+    sample = labelled_sample(docs, labels, id_col, text_col).repartition(1).sortWithinPartitions(F.desc("bad"), "order", "id", "text")
+    found = sample.select("text", "bad").mapInPandas(learn, "scorer binary").collect()
+    return pickle.loads(found[0]["scorer"]) if found else None

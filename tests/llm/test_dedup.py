@@ -262,3 +262,11 @@ def test_blank_lines_of_any_kind(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: r["text"] for r in remove_repeated_lines(docs).collect()}
     assert [got[i] for i in range(5)] == texts[:5] and got[5] == "tail"
+
+
+def test_keys_of_fingerprints_are_never_broadcast(spark):
+    """Some sixty keys a fingerprint, of tables that look small."""
+    from docproof.llm import simhash
+
+    prints = spark.range(50).selectExpr("xxhash64(id) as fp")
+    assert "Broadcast" not in simhash.links(prints)._jdf.queryExecution().executedPlan().toString()

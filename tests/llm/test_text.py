@@ -1,6 +1,7 @@
 """Tokens, packing, pieces, toxicity and languages."""
 
 import array
+import os
 import random
 import zlib
 from collections import defaultdict
@@ -429,3 +430,11 @@ def test_pieces_segments_new_parts_of_many_texts_at_once():
         data = text.encode()
         assert decoded == ours.decode(ids.tolist()) == text.replace(p.MARK, " ") and first[-1] == end[-1] == len(data)
         assert b"".join(data[a:b] for a, b in zip(first, end, strict=True)) == data
+
+
+def test_toxicity_learns_outside_the_driver(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"{'vile' if i % 2 else 'kind'} words number {i}. And more of them.") for i in range(40)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as toxic")
+    monkeypatch.setattr(toxicity, "fit", lambda texts, toxic: (os.getpid(), texts, toxic))
+    pid, texts, toxic = toxicity.train(docs, labels)
+    assert pid != os.getpid() and toxic == sorted(toxic, reverse=True) and {x.split()[0] == "vile" for x in texts[: sum(toxic)]} == {True}
