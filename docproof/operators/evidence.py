@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from docproof.functions.normalize import fold_digits
 from docproof.settings import DEFAULTS, Settings
+from docproof.sources.scratch import kept
 
 #: Rules tight enough to prove their values, and rates that cannot pass misread (fixed values).
 EXACT = ("line_math", "line_total", "lines_sum_subtotal", "tax_sum", "grand_total", "amount_in_words", "total_freight")
@@ -155,6 +156,20 @@ def slips(value: Column | str, raw: Column | None = None) -> Column:
     return bind(rows, lambda y: bind(F.transform(y, lambda z: z["value"]), lambda values: F.filter(y, lambda z, i: F.array_position(values, z["value"]) == i + 1)))
 
 
+#: Up to so many different numbers, their misreads are broadcast: some 30 MB.
+FEW = 20_000
+
+
+def with_slips(rows: DataFrame, value: str, raw: str, shown: Callable[[Column], Column]) -> DataFrame:
+    """``rows`` with slips: what ``shown`` makes of the misreads of each number. Numbers repeat, so each different one, as printed, is
+    worked out once, written and joined."""
+    known = rows.select(F.col(value).alias("__value"), F.col(raw).alias("__raw")).distinct()
+    known = known.repartition(rows.sparkSession.sparkContext.defaultParallelism)  # few bytes, and much work
+    known = kept(known.withColumn("slips", shown(slips("__value", F.col("__raw")))), "slips")
+    known = F.broadcast(known) if known.count() <= FEW else known.hint("merge")
+    return rows.join(known, F.col(value).eqNullSafe(F.col("__value")) & F.col(raw).eqNullSafe(F.col("__raw"))).drop("__value", "__raw")
+
+
 def bind(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with the value computed once, however often ``use`` names it."""
     return F.element_at(F.transform(F.array(value), lambda x: use(x)), 1)

@@ -778,8 +778,8 @@ def _(lines):
 def _(lines):
     """Misreads of each line's rate, every third printed with commas and decimals; a test holds the query against a plain version."""
     printed = F.when(F.col("item_code") % 3 == 0, F.concat(F.lit("₹ "), F.format_number(F.col("rate").cast("double"), 2)))
-    found = F.transform(evidence.slips("rate", printed), lambda x: F.concat(x["value"].cast("string"), F.lit(" "), x["reason"]))
-    return lines.select("doc_id", "line_index", "rate", printed.alias("printed"), F.array_join(F.array_sort(found), "; ").alias("slips"))
+    shown = lambda found: F.array_join(F.array_sort(F.transform(found, lambda x: F.concat(x["value"].cast("string"), F.lit(" "), x["reason"]))), "; ")
+    return evidence.with_slips(lines.select("doc_id", "line_index", "rate", printed.alias("printed")), "rate", "printed", shown)
 
 
 @query("CF3_score", "fields", sql="select doc_id, line_index, 1 / (1 + exp(-(2.0 + case when proven then 1.5 else 0 end + case when agree then 2.5 else -3.5 * (case when needs_review then 1 else 0 end) end))) as score from fields")

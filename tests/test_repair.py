@@ -62,6 +62,15 @@ def test_slips_query_by_brute_force(spark, sf_dir):
         assert r["slips"] == "; ".join(sorted(f"{v} {why}" for v, why in found.items()))
 
 
+def test_each_number_is_misread_once(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, D("18"), None), (2, D("18"), None), (3, None, "₹ 1"), (4, D("18"), "18.00"), (5, None, None)], "id int, v decimal(18,2), p string")
+    want = {r["id"]: r["n"] for r in rows.select("id", F.size(evidence.slips("v", F.col("p"))).alias("n")).collect()}
+    for few in (evidence.FEW, 0):
+        monkeypatch.setattr(evidence, "FEW", few)
+        found = evidence.with_slips(rows, "v", "p", F.size)
+        assert {r["id"]: r["slips"] for r in found.collect()} == want and found.columns == ["id", "v", "p", "slips"]
+
+
 def slow_search(spark, heads, lines, second):
     """The rules of ``search`` by whole documents: every candidate is a copy of its document with an id of its own."""
     checks = repair.all_checks(heads, lines).collect()
