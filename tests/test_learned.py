@@ -67,3 +67,13 @@ def test_labels_of_odd_shapes(spark):
     got = truth.truth_fields(spark.createDataFrame(list(enumerate(texts)), "doc_id int, truth string"), spec)
     assert sorted(((r["doc_id"], r["field_key"], r["value"]) for r in got.collect()), key=str) == [(0, "a", "2.5000"), (0, "line_items[0].b", "x y"), (0, "line_items[1].b", None), (1, "a", None), (5, "a", None)]
     assert got.where(F.col("kind").isNull()).isEmpty()
+
+
+def test_verified_shuffles_once(spark):
+    """Fields and rules meet in one shuffle by document, whose rows hold flags; fields of no document are kept and proven by no rule."""
+    fields = spark.range(4).selectExpr("nullif(id, 3) as doc_id", "'f' as field_key", "'number' as kind", "cast(1 as decimal(18,2)) as value", "'1' as raw", "'clear' as legibility", "id = 2 as code_agrees", "false as in_text_layer", "false as master_match")
+    checks = spark.range(4).selectExpr("nullif(id, 3) as doc_id", "'line_math:0' as check_id", "if(id = 1, 'fail', 'pass') as status", "'error' as severity", "array('f', 'g') as field_keys", "cast(1 as decimal(18,2)) as calc", "cast(1 as decimal(18,2)) as printed")
+    found = evidence.verified(fields, checks)
+    assert {r["doc_id"]: r["verified_by"] for r in found.collect()} == {0: ["arithmetic"], 1: [], 2: ["arithmetic", "code"], None: []}
+    plan = found.select("doc_id", "verified_by")._jdf.queryExecution().optimizedPlan().toString()
+    assert found.columns == [*fields.columns, "verified_by"] and "Join" not in plan and plan.count("RepartitionByExpression") == 1
