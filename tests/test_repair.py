@@ -151,3 +151,12 @@ def test_search_over_sums(spark):
     }
     assert got == {d: (k, sorted(c)) for d, (k, c) in slow_search(spark, *tables).items()}
     assert repair.search(tables[0].limit(0), tables[1].limit(0), tables[2]).count() == 0
+
+
+def test_changes_reach_every_bad_line(spark):
+    """Before misreads of a field are made, it is left out if another line fails too."""
+    checks = spark.createDataFrame([(1, "line_math:0", "fail", "error"), (1, "line_math:2", "fail", "error"), (2, "line_math:1", "fail", "error"), (2, "line_math:0", "pass", "error"), (3, "grand_total", "fail", "error")], "doc_id int, check_id string, status string, severity string")
+    line = lambda i: f"line_items[{i}].rate"
+    rows = spark.createDataFrame([(1, [line(0)]), (1, [line(0), line(2)]), (2, [line(1)]), (2, ["subtotal"]), (3, ["subtotal"]), (3, [line(5)])], "doc_id int, keys array<string>")
+    found = repair.reaching(rows, checks, F.transform("keys", lambda k: F.struct(k.alias("field_key"))))
+    assert sorted((r["doc_id"], r["keys"]) for r in found.collect()) == [(1, [line(0), line(2)]), (2, [line(1)]), (3, [line(5)]), (3, ["subtotal"])]
