@@ -149,7 +149,8 @@ def links(prints: DataFrame) -> DataFrame:
     filed, asking = fuzzy_keys(prints, False).alias("a"), fuzzy_keys(prints, True).alias("b")
     order = "(a.fp < b.fp and a.group != b.group or a.fp = b.fp and a.group < b.group)" if "group" in prints.columns else "a.fp < b.fp"
     close = F.expr(f"a.key = b.key and {order} and bit_count(a.fp ^ b.fp) <= {MAX_ERRORS} and shiftright(a.key, 32) = {first}")
-    return asking.join(filed.hint("merge"), close)  # a broadcast would go by the size of the fingerprints, not of their many keys.select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
+    # a broadcast would go by the size of the fingerprints, not of their many keys
+    return asking.join(filed.hint("merge"), close).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -138,7 +138,8 @@ def _differences(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("node"), part.column("centre"), pa.array(base, pa.int32()), *lists], names=["node", "centre", "base", "lost", "extra"])
 
     cores = texts.select(F.col("node").alias("centre"), F.col("text").alias("core"))
-    both = pairs.join(texts.hint("merge"), "node").join(cores.hint("merge"), "centre")  # a file of texts is much smaller than they are.select("node", "centre", "text", "core")
+    # a file of texts is much smaller than they are
+    both = pairs.join(texts.hint("merge"), "node").join(cores.hint("merge"), "centre").select("node", "centre", "text", "core")
     return both.mapInArrow(differ, "node long, centre long, base int, lost array<long>, extra array<long>")
 
 
